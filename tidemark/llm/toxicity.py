@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import staged
 
-SAMPLE_DOCS, FEATURES, BUCKETS, SWAP_PENALTY, RIDGE, ROUNDS = 24_000, 2_000, 1 << 22, 10.0, 1e-3, 400
+SAMPLE_DOCS, FEATURES, BUCKETS, SWAP_PENALTY, RIDGE, ROUNDS = 24_000, 1_000, 1 << 22, 10.0, 1e-3, 400
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W_]+")
 
