@@ -1,0 +1,46 @@
+"""Column functions on text, URLs and times."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def normal_space(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+
+
+def domain(url: Column) -> Column:
+    """Host in lower case without `www.`."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+
+
+def canonical_url(url: Column) -> Column:
+    """Scheme, host and path without query, fragment and closing slash."""
+    return F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"/+$", "")
+
+
+def tokens(text: Column) -> Column:
+    """Distinct lower-case ASCII words of two characters or more."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{2,})")))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """1 for two empty sets."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def epoch_ms(value: Column) -> Column:
+    """Microseconds, where the size says so, as milliseconds."""
+    return F.when(value > 10**13, F.floor(value / 1000)).otherwise(value)
+
+
+def clamped_number(text: Column, limit: int) -> Column:
+    """The first signed integer of a text within +-limit; null without one."""
+    found = F.regexp_extract(text, r"([+-]?\d+)", 1)
+    return F.when(found != "", F.greatest(F.least(found.cast("double"), F.lit(float(limit))), F.lit(-float(limit))))
+
+
+def one_edit(a: Column, b: Column) -> Column:
+    return F.levenshtein(a, b) <= 1

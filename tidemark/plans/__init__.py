@@ -1,0 +1,6 @@
+"""All registered queries of the library; the training-data operators register their own."""
+
+from tidemark.plans import ledger, market, texts  # noqa: F401
+from tidemark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
