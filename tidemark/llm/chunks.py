@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that one Python worker remembers (about 200 bytes each). When so many are known, new ones are encoded but not kept.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.Table]:
