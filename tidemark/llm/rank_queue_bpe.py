@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.chunks import ChunkCodes, by_bytes, with_space
 
 BATCH_BYTES = 4 << 20
+#: Marks that end many chunks.
+MARKS = ",.!?;:|"
 _CODERS: dict[tuple[bytes, str], RankQueueBpe] = {}
 
 
@@ -131,9 +133,13 @@ class RankQueueBpe(ChunkCodes):
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def encode(self, chunks: list[str]) -> list[bytes]:
-        codes = [np.array(self.encode_text(c), "<u4").tobytes() for c in chunks]
-        self.remember(chunks, codes)
-        return codes
+        """A chunk of letters (behind a space or none) and one mark is two pre-tokens, which are remembered apart."""
+        cut = [(c[:-1], c[-1]) if len(c) > 1 and c[-1] in MARKS and c[c[0] == " " : -1].isalpha() else (c, "") for c in chunks]
+        new = list({x for pair in cut for x in pair} - self.known.keys())
+        made = dict(zip(new, (np.array(self.encode_text(c), "<u4").tobytes() for c in new), strict=True))
+        self.remember(new, list(made.values()))
+        of = lambda x: made[x] if x in made else self.known[x]
+        return [of(head) + of(mark) if mark else of(head) for head, mark in cut]
 
     def ids(self, texts: pa.Array) -> list[list[int]]:
         """The ids of each text (null: none)."""
