@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.chunks import ChunkCodes, by_bytes, with_space
 
 BATCH_BYTES = 4 << 20
+#: Chunks that a Python worker remembers (about 200 bytes each): more than elsewhere, as encoding one takes longer.
+REMEMBERED = 1_500_000
 #: Marks that end many chunks.
 MARKS = ",.!?;:|"
 _CODERS: dict[tuple[bytes, str], RankQueueBpe] = {}
@@ -81,7 +83,7 @@ class RankQueueBpe(ChunkCodes):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        super().__init__()
+        super().__init__(REMEMBERED)
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
