@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def tie_rank(x: str, by: list[str] | None = None) -> Column:
-    """Average rank of ties, from 1."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    return F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*(by or []), x)) - 1) / 2
-
-
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Ranks come from counts of distinct values, so that no task sorts all rows."""
     ranked = with_rank(with_rank(rows, x, "__rx"), y, "__ry")
