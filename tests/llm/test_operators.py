@@ -78,6 +78,16 @@ def test_rank_queue_equals_the_library(request, which):
     assert all(len(r.ids) == r.n_tokens for r in out)
 
 
+def test_rank_queue_when_a_merge_brings_up_a_smaller_rank():
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 300, b"abc": 299, b"bc": 400, b"aab": 298, b"abcab": 297}
+    library = tiktoken.Encoding("small", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    own = rank_queue_bpe.RankQueueBpe(ranks, r"\S+|\s+")
+    texts = ["abcabab", "aababcab" * 50, "abab abc bcab aab", "cbacba", "", "abcabcabcabc aabaab"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_texts(texts)] == [library.encode_ordinary(x) for x in texts]
+
+
 def test_rank_queue_on_long_pre_tokens():
     import base64
 

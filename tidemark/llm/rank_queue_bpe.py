@@ -1,8 +1,9 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue, and decoding.
 
 Each pre-token starts as a linked list of bytes. Neighbouring pairs that may merge lie in one bucket per merge rank, as list positions; a
-three-level bitmap (64 x 64 x 64 ranks) over the buckets gives the next rank by find-first-set. A popped position whose pair has changed since is
-stale and is skipped. The work is n log n in the length of a pre-token, whatever its merges.
+three-level bitmap (64 x 64 x 64 ranks) over the buckets gives the next rank by find-first-set, and its bucket is merged from the left. A position
+whose pair has changed since is stale and is skipped; if a merge brings up a smaller rank, the rest of the bucket waits. Many pre-tokens share one
+queue, as their merges don't touch, so that one look for the next rank serves all of them. The work is n log n in the length, whatever the merges.
 
 Texts are cut before single spaces first, where the pattern always starts a new pre-token; distinct chunks are encoded once and remembered by
 the Python worker (see `chunks`). A text with a longer run of white space after a space is matched by the pattern whole.
@@ -16,7 +17,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,15 @@ from tidemark.llm.chunks import ChunkCodes, by_bytes, with_space
 BATCH_BYTES = 4 << 20
 #: Chunks that a Python worker remembers (about 200 bytes each): more than elsewhere, as encoding one takes longer.
 REMEMBERED = 1_500_000
+#: Bytes of pre-tokens that one queue merges together (about 150 bytes of lists each).
+RUN_BYTES = 1 << 19
 #: Marks that end many chunks.
 MARKS = ",.!?;:|"
 _CODERS: dict[tuple[bytes, str], RankQueueBpe] = {}
 
 
 class RankQueue:
-    """Positions by merge rank; `pop` gives the smallest rank's leftmost position."""
+    """Positions by merge rank; `take` gives the smallest rank and all its positions from the left."""
 
     def __init__(self, ranks: int):
         if ranks > 64**3:
@@ -43,33 +45,28 @@ class RankQueue:
         self.low, self.mid, self.top = [0] * (ranks // 64 + 1), [0] * (ranks // 4096 + 1), 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] |= 1 << (rank & 63)
-            self.mid[b] |= 1 << (a & 63)
-            self.top |= 1 << b
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
+    def open(self, rank: int, positions: list[int]) -> None:
+        """A bucket for a rank that has none."""
+        self.buckets[rank] = positions
+        a, b = rank >> 6, rank >> 12
+        self.low[a] |= 1 << (rank & 63)
+        self.mid[b] |= 1 << (a & 63)
+        self.top |= 1 << b
+
+    def take(self) -> tuple[int, list[int]]:
         b = (self.top & -self.top).bit_length() - 1
         word = self.mid[b]
         a = (b << 6) | ((word & -word).bit_length() - 1)
         word = self.low[a]
         rank = (a << 6) | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return rank, position
+        self.low[a] &= ~(1 << (rank & 63))
+        if not self.low[a]:
+            self.mid[b] &= ~(1 << (a & 63))
+            if not self.mid[b]:
+                self.top &= ~(1 << b)
+        positions = self.buckets.pop(rank)
+        positions.sort()
+        return rank, positions
 
     def __bool__(self) -> bool:
         return bool(self.top)
@@ -90,46 +87,96 @@ class RankQueueBpe(ChunkCodes):
         for piece, rank in ranks.items():
             self.bytes_of[rank] = piece
         self.decimal = [b"%d" % i for i in range(len(self.bytes_of))]
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        n = len(piece)
-        ends = list(range(1, n + 1))  # ends[i]: where the part that starts at i ends
-        before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the part at i with the next one
-        for i in range(n - 1):
-            if (rank := ranks.get(piece[i : i + 2])) is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while queue:
-            rank, i = queue.pop()
-            if pair[i] != rank:
-                continue  # stale
-            j = ends[i]
-            ends[i] = end = ends[j]
-            pair[j] = -1
-            if end < n:
-                before[end] = i
-                pair[i] = rank = ranks.get(piece[i : ends[end]], -1)
-                if rank >= 0:
-                    queue.push(rank, i)
-            else:
-                pair[i] = -1
-            if (h := before[i]) >= 0:
-                pair[h] = rank = ranks.get(piece[h:end], -1)
-                if rank >= 0:
-                    queue.push(rank, h)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : ends[i]]])
-            i = ends[i]
+        self.single = np.array([ranks[bytes([i])] for i in range(256)])
+        self.double = np.full(1 << 16, -1)
+        for piece, rank in ranks.items():
+            if len(piece) == 2:
+                self.double[piece[0] << 8 | piece[1]] = rank
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens that are no tokens themselves, merged in one queue: no pair reaches across two of them."""
+        data = b"".join(pieces)
+        n, sizes = len(data), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw, first = np.frombuffer(data, np.uint8).astype(np.int64), np.cumsum(sizes) - sizes
+        pairs = np.append(self.double[raw[:-1] << 8 | raw[1:]], -1)
+        pairs[first[1:] - 1] = -1
+        starts = np.arange(-1, n)
+        starts[first] = starts[n] = -1
+        before = starts.tolist()  # where the part before the one at i starts; -1 at the start of a pre-token
+        ends = list(range(1, n + 1))  # where the part that starts at i ends
+        pair = pairs.tolist()  # rank of the part at i with the next one
+        code = self.single[raw].tolist()  # id of the part at i
+        queue, get = self.queue, self.ranks.get
+        buckets = queue.buckets
+        order = np.argsort(pairs, kind="stable")
+        ranks, at = np.unique(pairs[order], return_index=True)
+        for rank, positions in zip(ranks.tolist(), np.split(order, at[1:]), strict=True):
+            if rank >= 0:
+                queue.open(rank, positions.tolist())
+        while queue.top:
+            rank, positions = queue.take()
+            lower = False
+            for at, i in enumerate(positions):
+                if pair[i] != rank:
+                    continue  # stale
+                j = ends[i]
+                ends[i] = end = ends[j]
+                code[i], code[j], pair[j] = rank, -1, -1
+                if before[end] >= 0:
+                    before[end] = i
+                    pair[i] = new = get(data[i : ends[end]], -1)
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            queue.open(new, [i])
+                        lower |= new < rank
+                else:
+                    pair[i] = -1
+                if (h := before[i]) >= 0:
+                    pair[h] = new = get(data[h:end], -1)
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(h)
+                        else:
+                            queue.open(new, [h])
+                        lower |= new < rank
+                if lower and at + 1 < len(positions):
+                    queue.open(rank, positions[at + 1 :])  # a smaller rank has come up
+                    break
+        codes = np.array(code)
+        ids = codes[codes >= 0].astype("<u4").tobytes()
+        ends = np.cumsum(np.add.reduceat(codes >= 0, first, dtype=np.int64)) * 4
+        return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token; those that need merging meet in queues of at most about RUN_BYTES (or one pre-token)."""
+        whole = list(map(self.ranks.get, pieces))
+        out = [b"" if rank is None else rank.to_bytes(4, "little") for rank in whole]
+        run, size = [], 0
+        for i in [i for i, rank in enumerate(whole) if rank is None]:
+            if run and size + len(pieces[i]) > RUN_BYTES:
+                self._fill(out, pieces, run)
+                run, size = [], 0
+            run.append(i)
+            size += len(pieces[i])
+        if run:
+            self._fill(out, pieces, run)
         return out
 
+    def _fill(self, out: list[bytes], pieces: list[bytes], run: list[int]) -> None:
+        for i, ids in zip(run, self.merge([pieces[i] for i in run]), strict=True):
+            out[i] = ids
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+        cut = list(map(self.pattern.findall, texts))
+        codes = self.encode_pieces([p.encode("utf-8", "surrogatepass") for pieces in cut for p in pieces])
+        ends = np.cumsum([len(pieces) for pieces in cut]).tolist()
+        return [b"".join(codes[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
     def encode_text(self, text: str) -> list[int]:
-        return [i for piece in self.pattern.findall(text) for i in self.encode_piece(piece.encode("utf-8", "surrogatepass"))]
+        return np.frombuffer(self.encode_texts([text])[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -138,7 +185,7 @@ class RankQueueBpe(ChunkCodes):
         """A chunk of letters (behind a space or none) and one mark is two pre-tokens, which are remembered apart."""
         cut = [(c[:-1], c[-1]) if len(c) > 1 and c[-1] in MARKS and c[c[0] == " " : -1].isalpha() else (c, "") for c in chunks]
         new = list({x for pair in cut for x in pair} - self.known.keys())
-        made = dict(zip(new, (np.array(self.encode_text(c), "<u4").tobytes() for c in new), strict=True))
+        made = dict(zip(new, self.encode_texts(new), strict=True))
         self.remember(new, list(made.values()))
         of = lambda x: made[x] if x in made else self.known[x]
         return [of(head) + of(mark) if mark else of(head) for head, mark in cut]
