@@ -52,15 +52,6 @@ def cci(n: int, w: WindowSpec) -> Column:
     return full(w, n, F.when(deviation == 0, 0.0).otherwise((F.col("typical") - mean) / (0.015 * deviation)))
 
 
-def ema(x: str, n: int, w: WindowSpec) -> Column:
-    """Seeded with the mean of the first n values, then recursive: a fold over the rows so far."""
-    so_far = F.collect_list(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    k = 2 / (n + 1)
-    seed = F.aggregate(F.slice(so_far, 1, n), F.lit(0.0), lambda a, v: a + v) / n
-    rest = F.filter(so_far, lambda _, i: i >= n)
-    return F.when(F.size(so_far) >= n, F.aggregate(rest, seed, lambda a, v: v * k + a * (1 - k)))
-
-
 def persists(condition: Column, d: int, w: WindowSpec) -> Column:
     """True on all of the last d rows."""
     return F.coalesce(full(w, d, F.min(F.coalesce(condition, F.lit(False))).over(last_rows(w, d))), F.lit(False))
@@ -131,3 +122,22 @@ def streaks(rows: DataFrame, key: str, order: list[str], win: Column) -> DataFra
 def equal_parts(position: Column, n: Column, k: int) -> Column:
     """Part 0 to k - 1 of a 0-based position among n rows, by floor."""
     return F.floor(position * k / n)
+
+
+def trailing_percentile(x: str, key: str, time: str, span: int, least: int) -> Column:
+    """Share of the earlier rows within `span` that are greater, ties counting half; null below `least` rows."""
+    values = F.collect_list(x).over(Window.partitionBy(key).orderBy(time).rangeBetween(-span, -1))
+    above = F.aggregate(values, F.lit(0.0), lambda a, v: a + F.when(v > F.col(x), 1.0).when(v == F.col(x), 0.5).otherwise(0.0))
+    return F.when(F.size(values) >= least, above / F.size(values))
+
+
+def price_patterns(bars: DataFrame, key: str, time: str, n: int, gap: float, body: float) -> DataFrame:
+    """`gap`: the low stands above the high two bars before by a share of the true range; `block`: a down bar before a strong up bar. With their middles."""
+    w = Window.partitionBy(key).orderBy(time)
+    r = bars.withColumn("__tr", true_range(w)).withColumn("__atr", sma("__tr", n, w))
+    before = F.lag("high", 2).over(w)
+    wide = F.coalesce(F.col("low") - before >= gap * F.col("__atr"), F.lit(False))
+    strong = (F.lag("close").over(w) < F.lag("open").over(w)) & (F.col("close") > F.col("open")) & (F.col("close") - F.col("open") >= body * F.col("__atr"))
+    block = F.coalesce(strong, F.lit(False))
+    middle = (F.lag("high").over(w) + F.lag("low").over(w)) / 2
+    return r.withColumns({"gap": wide, "gap_middle": F.when(wide, (F.col("low") + before) / 2), "block": block, "block_middle": F.when(block, middle)}).drop("__tr", "__atr")

@@ -56,3 +56,10 @@ def stratum_minimum_then_fill(rows: DataFrame, stratum: str, key: str, seed: str
 
 def frequent(rows: DataFrame, value: str, n: int) -> DataFrame:
     return rows.groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), value).limit(n)
+
+
+def tilted_pair(scores: DataFrame, time: str, key: str, score: str, first: str, second: str) -> DataFrame:
+    """Weights of a pair per time: half each, tilted to the higher score by a quarter of the difference, within 0.25 and 0.75."""
+    p = scores.where(F.col(key).isin(first, second)).groupBy(time).agg(F.max(F.when(F.col(key) == first, F.col(score))).alias("a"), F.max(F.when(F.col(key) == second, F.col(score))).alias("b"))
+    p = p.dropna(subset=["a", "b"]).withColumn("w1", F.least(F.greatest(0.5 + 0.25 * (F.col("a") - F.col("b")), F.lit(0.25)), F.lit(0.75)))
+    return p.select(time, "w1", (1 - F.col("w1")).alias("w2"))

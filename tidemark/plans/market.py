@@ -56,13 +56,6 @@ def wn01_sma(spark, d):
     return bars_1d(spark, d).select("symbol", "day", F.round(I.sma("close", 10, W()), 6).alias("sma"))
 
 
-@query(f"""WITH RECURSIVE {BARS_4H}, p AS (SELECT symbol, slot, close, row_number() OVER (PARTITION BY symbol ORDER BY slot) AS i, avg(close) OVER (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS s FROM b4),
-e AS (SELECT symbol, slot, i, s AS ema FROM p WHERE i = 10 UNION ALL SELECT p.symbol, p.slot, p.i, p.close * (2.0::DOUBLE / 11) + e.ema * (1 - 2.0::DOUBLE / 11) FROM e JOIN p ON p.symbol = e.symbol AND p.i = e.i + 1)
-SELECT p.symbol, p.slot, round(e.ema, 6) AS ema FROM p LEFT JOIN e USING (symbol, i)""")
-def wn02_ema(spark, d):
-    return bars_4h(spark, d).select("symbol", "slot", F.round(I.ema("close", 10, W4()), 6).alias("ema"))
-
-
 RSI = f"""c AS (SELECT *, close - lag(close) {OVER}) AS ch FROM b), g AS (SELECT *, count(ch) {rows(14)} AS n, sum(greatest(ch, 0)) {rows(14)} AS up, sum(greatest(-ch, 0)) {rows(14)} AS dn FROM c),
 q AS (SELECT symbol, day, CASE WHEN n = 14 THEN CASE WHEN dn = 0 THEN 100 ELSE 100 - 100 / (1 + up / dn) END END AS rsi FROM g)"""
 
