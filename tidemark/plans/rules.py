@@ -136,3 +136,19 @@ def ml23_tercile_classes(spark, d):
     """Classes of returns (to nine places) by the training rows' terciles."""
     r = bars_1d(spark, d).select("symbol", "day", F.round(F.col("close") / F.lag("close").over(W()) - 1, 9).alias("r"))
     return walkforward.tercile_classes(r, "symbol", "r", F.col("day") < 9500, 9).where("r is not null").select("symbol", "day", "class")
+
+
+W4 = "OVER (PARTITION BY symbol ORDER BY slot"
+
+
+@query(f"""WITH {BARS_4H}, g AS (SELECT *, ln(close / lag(close) {W4})) AS lr FROM b4)
+SELECT symbol, slot, round(close / lag(close, 6) {W4}) - 1, 6) AS ret_24h, round(close / lag(close, 18) {W4}) - 1, 6) AS ret_72h, round(close / lag(close, 42) {W4}) - 1, 6) AS ret_168h,
+  CASE WHEN count(lr) {W4} ROWS BETWEEN 41 PRECEDING AND CURRENT ROW) = 42 THEN round(stddev_pop(lr) {W4} ROWS BETWEEN 41 PRECEDING AND CURRENT ROW), 6) END AS vol_7d FROM g""")
+def wn35_market_state(spark, d):
+    """Returns over 6, 18 and 42 completed bars and the deviation of the last 42 log returns, null until the window is full."""
+    w = Window.partitionBy("symbol").orderBy("slot")
+    g = bars_4h(spark, d).withColumn("lr", F.log(F.col("close") / F.lag("close").over(w)))
+    week = I.last_rows(w, 42)
+    over = {f"ret_{4 * n}h": F.col("close") / F.lag("close", n).over(w) - 1 for n in (6, 18, 42)}
+    state = g.withColumns({**over, "vol_7d": F.when(F.count("lr").over(week) == 42, F.stddev_pop("lr").over(week))})
+    return rounded(state.select("symbol", "slot", *over, "vol_7d"), *over, "vol_7d")
