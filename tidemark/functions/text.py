@@ -44,3 +44,41 @@ def clamped_number(text: Column, limit: int) -> Column:
 
 def one_edit(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) <= 1
+
+
+# The character references that feeds use.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def plain(text: Column) -> Column:
+    """Character references resolved (`&amp;` last), white space collapsed, lower case. Not case folding: a sharp s stays one letter."""
+    for reference, character in ENTITIES.items():
+        text = F.replace(text, F.lit(reference), F.lit(character))
+    return F.lower(normal_space(text))
+
+
+def without_style(text: Column) -> Column:
+    """Curly quotes and long dashes as their ASCII forms, character by character."""
+    return F.translate(text, "\u2018\u2019\u201c\u201d\u2013\u2014", "''\"\"--")
+
+
+def canonical_names(names: Column, aliases: dict[str, str]) -> Column:
+    """Names by their canonical form, first occurrences in order."""
+    known = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
+    return F.array_distinct(F.transform(names, lambda n: F.coalesce(F.element_at(known, n), n)))
+
+
+def parsed_time(text: Column) -> Column:
+    """ISO 8601 with offset, RFC 822, or a 14-digit capture stamp in UTC; null for anything else."""
+    dated = F.regexp_replace(text, r"^[A-Za-z]{3}, ", "")
+    forms = ["yyyy-MM-dd'T'HH:mm:ssXXX", "dd MMM yyyy HH:mm:ss Z", "yyyyMMddHHmmss"]
+    return F.coalesce(*(F.try_to_timestamp(dated, F.lit(form)) for form in forms))
+
+
+def quarter_key(time: Column) -> Column:
+    return F.concat(F.year(time), F.lit("Q"), F.quarter(time))
+
+
+def matched_terms(text: Column, terms: list[str]) -> Column:
+    """The terms that occur in a text, whatever the case, in the order given."""
+    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(text), t))

@@ -95,3 +95,18 @@ def profile(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.countDistinct(id_col).alias("ids"), F.countDistinct(text).alias("texts"), F.countDistinct(source).alias("sources"),
         F.percentile("w", 0.5).alias("p50"), F.percentile("w", 0.95).alias("p95"), F.count_if(F.col("w") >= 300).alias("long"),
     )
+
+
+def guarded(features: DataFrame, prefix: str, banned: list[str], keys: list[str]) -> DataFrame:
+    """The features themselves; fails if a name lacks the prefix or holds a banned word."""
+    names = [c for c in features.columns if c not in keys]
+    if bad := [c for c in names if not c.startswith(prefix) or any(b in c for b in banned)]:
+        raise ValueError(f"features not allowed: {bad}")
+    return features
+
+
+def one_hot(rows: DataFrame, column: str, levels: list[str]) -> DataFrame:
+    """An indicator column for each level, and one for all other values (null among them)."""
+    x = F.col(column)
+    seen = {f"is_{level}": F.coalesce((x == level).cast("long"), F.lit(0).cast("long")) for level in levels}
+    return rows.withColumns({**seen, "is_other": F.coalesce((~x.isin(*levels)).cast("long"), F.lit(1).cast("long"))})

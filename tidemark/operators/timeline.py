@@ -87,3 +87,44 @@ def tier_lookup(rows: DataFrame, tiers: DataFrame, amount: str) -> DataFrame:
     for r in reversed(t):
         required = F.when(F.col(amount) <= r["limit"], F.col(amount) * r["rate"] - r["deduction"]).otherwise(required)
     return rows.withColumn("required", required)
+
+
+def known_cases(rows: DataFrame, cases: DataFrame, key: str, day: str, known: str, scales: dict[str, float], lookback: int, k: int) -> DataFrame:
+    """For each row the k nearest cases of its key of the last `lookback` days whose outcome was known by its day; distance: sum of scaled differences.
+
+    A case is joined by equality to the days it can serve, so the work is rows times lookback at most. Ties go to the earlier case.
+    """
+    serves = cases.where(F.col(known) <= F.col(day) + lookback).withColumn("__day", F.explode(F.sequence(F.col(known), F.col(day) + lookback)))
+    c = serves.select(F.col(key).alias("__key"), "__day", F.col(day).alias("__case"), "outcome", *(F.col(x).alias(f"__{x}") for x in scales))
+    distance = sum((F.abs(F.col(x) - F.col(f"__{x}")) / s for x, s in scales.items()), F.lit(0.0))
+    pairs = rows.drop("outcome").join(c, (F.col(key) == F.col("__key")) & (F.col(day) == F.col("__day"))).withColumn("distance", F.round(distance, 9))
+    place = F.row_number().over(Window.partitionBy(key, day).orderBy("distance", "__case"))
+    return pairs.withColumn("__i", place).where(F.col("__i") <= k).select(key, day, F.col("__case").alias("case_day"), "distance", "outcome")
+
+
+def blend(curves: list[tuple[DataFrame, float]], time: str, value: str) -> DataFrame:
+    """Weighted sum of a few series on the union of their times, each carried forward; times before the last one starts are dropped. One row a time, so the order is one window."""
+    long = None
+    for i, (curve, _) in enumerate(curves):
+        part = curve.select(time, F.struct(F.lit(i).alias("i"), F.col(value).alias("v")).alias("__p"))
+        long = part if long is None else long.unionByName(part)
+    wide = long.groupBy(time).agg(*(F.max(F.when(F.col("__p.i") == i, F.col("__p.v"))).alias(f"__v{i}") for i in range(len(curves))))
+    w = Window.partitionBy(F.lit(0)).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    total = sum((weight * F.last(f"__v{i}", ignorenulls=True).over(w) for i, (_, weight) in enumerate(curves)), F.lit(0.0))
+    return wide.select(time, total.alias("blend")).where("blend is not null")
+
+
+def nearest_within(left: DataFrame, right: DataFrame, left_id: str, left_time: str, right_id: str, right_time: str, tolerance: int) -> DataFrame:
+    """For each left row the right row nearest in time, at most `tolerance` away. Left rows meet the three buckets around them, so the join is by equality."""
+    l = left.withColumn("__b", F.explode(F.expr(f"sequence({left_time} div {tolerance} - 1, {left_time} div {tolerance} + 1)")))  # noqa: E741
+    r = right.select(right_id, F.col(right_time).alias("__t"), F.expr(f"{right_time} div {tolerance}").alias("__b"))
+    pairs = l.join(r, "__b").withColumn("distance", F.abs(F.col("__t") - F.col(left_time))).where(F.col("distance") <= tolerance)
+    best = pairs.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("__m"))
+    return best.select(left_id, F.col(f"__m.{right_id}").alias(right_id), F.col("__m.distance").alias("distance"))
+
+
+def differing(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Keys whose rows differ (a row missing on one side differs in every field that is not null), and the fields."""
+    both = a.select(key, F.struct(*fields).alias("__a")).join(b.select(key, F.struct(*fields).alias("__b")), key, "full")
+    names = F.array_compact(F.array(*(F.when(~F.col(f"__a.{f}").eqNullSafe(F.col(f"__b.{f}")), f) for f in fields)))
+    return both.select(key, F.array_join(names, ",").alias("fields")).where("fields <> ''")
