@@ -110,3 +110,17 @@ def one_hot(rows: DataFrame, column: str, levels: list[str]) -> DataFrame:
     x = F.col(column)
     seen = {f"is_{level}": F.coalesce((x == level).cast("long"), F.lit(0).cast("long")) for level in levels}
     return rows.withColumns({**seen, "is_other": F.coalesce((~x.isin(*levels)).cast("long"), F.lit(1).cast("long"))})
+
+
+def conditional_impact(records: DataFrame, by: list[str], types: list[str]) -> DataFrame:
+    """Mean of sign, severity, surprise and confidence multiplied, for each event type; 0 when the group has none."""
+    sign = F.when(F.col("direction") == 1, 1).when(F.col("direction") == 2, -1).otherwise(0)
+    impact = sign * F.col("severity") * F.col("surprise") * F.col("confidence")
+    return records.groupBy(*by).agg(*(F.coalesce(F.avg(F.when(F.col("event_type") == t, impact)), F.lit(0.0)).alias(f"impact_{t}") for t in types))
+
+
+def assembled(chunks: DataFrame, key: str, position: str, chunk: str) -> DataFrame:
+    """key, chunks, text: each distinct chunk of a key once, at its first position. A group is one document."""
+    once = chunks.groupBy(key, chunk).agg(F.min(position).alias("__p"))
+    parts = F.array_sort(F.collect_list(F.struct("__p", chunk)))
+    return once.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), F.array_join(F.transform(parts, lambda x: x[chunk]), "\n").alias("text"))

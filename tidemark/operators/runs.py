@@ -36,3 +36,13 @@ def same_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x, y = a.select(key).distinct().withColumn("__a", F.lit(1)), b.select(key).distinct().withColumn("__b", F.lit(1))
     both = x.join(y, key, "full").agg(F.count_if(F.col("__b").isNull()).alias("only_a"), F.count_if(F.col("__a").isNull()).alias("only_b"))
     return both.withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))
+
+
+def field_agreement(pairs: DataFrame, category: str, items: str, number: str) -> DataFrame:
+    """Of paired extractions: equal categories, mean Jaccard overlap of lists (1 for two empty ones), mean absolute difference."""
+    a, b = F.col(f"a_{items}"), F.col(f"b_{items}")
+    union = F.size(F.array_union(a, b))
+    return pairs.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(f"a_{category}") == F.col(f"b_{category}")).alias("same_type"),
+        F.avg(F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)).alias("overlap"), F.avg(F.abs(F.col(f"a_{number}") - F.col(f"b_{number}"))).alias("distance"),
+    )

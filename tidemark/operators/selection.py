@@ -63,3 +63,20 @@ def tilted_pair(scores: DataFrame, time: str, key: str, score: str, first: str,
     p = scores.where(F.col(key).isin(first, second)).groupBy(time).agg(F.max(F.when(F.col(key) == first, F.col(score))).alias("a"), F.max(F.when(F.col(key) == second, F.col(score))).alias("b"))
     p = p.dropna(subset=["a", "b"]).withColumn("w1", F.least(F.greatest(0.5 + 0.25 * (F.col("a") - F.col("b")), F.lit(0.25)), F.lit(0.75)))
     return p.select(time, "w1", (1 - F.col("w1")).alias("w2"))
+
+
+def best_configuration(folds: DataFrame, config: str, value: str, *gates: Column) -> DataFrame:
+    """config, total: of the configurations whose folds pass the gates (on good, worst, total), the one with the largest total; ties by name."""
+    x = F.col(value)
+    sums = folds.groupBy(config).agg(F.sum(x).alias("total"), F.count_if(x > 0).alias("good"), F.min(x).alias("worst"))
+    for gate in gates:
+        sums = sums.where(gate)
+    return sums.orderBy(F.desc("total"), config).limit(1).select(config, "total")
+
+
+def same_density(rows: DataFrame, by: str, order: Column, key: str, zero: Column, half: Column) -> DataFrame:
+    """`weight`: per group the first rows by `order` get 0 and the next 0.5, as many as meet the conditions `zero` and `half`; the rest 1."""
+    per = rows.groupBy(by).agg(F.count_if(zero).alias("__z"), F.count_if(half).alias("__h"))
+    ranked = rows.withColumn("__i", F.row_number().over(Window.partitionBy(by).orderBy(order, key))).join(per, by)
+    i = F.col("__i")
+    return ranked.withColumn("weight", F.when(i <= F.col("__z"), 0.0).when(i <= F.col("__z") + F.col("__h"), 0.5).otherwise(1.0)).drop("__i", "__z", "__h")

@@ -13,17 +13,41 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.corr("__rx", "__ry").alias("spearman"))
 
 
-def with_rank(rows: DataFrame, x: str, out: str) -> DataFrame:
-    """Average rank of ties over all rows: counts per value, a running sum over range partitions, and a join back by value."""
+def running_counts(rows: DataFrame, x: str) -> DataFrame:
+    """Per value of a numeric column: __c rows hold it, __before rows come before it. Nulls come first.
+
+    Values are cut at approximate quantiles, which are literals and so the same whenever a task is run again; sums per part run over the few parts.
+    """
     counts = rows.groupBy(x).agg(F.count(F.lit(1)).alias("__c"))
-    parts = counts.repartitionByRange(F.col(x)).withColumn("__part", F.spark_partition_id())
-    sums = parts.groupBy("__part").agg(F.sum("__c").alias("__s"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
+    parts = min(1000, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = counts.agg(F.percentile_approx(x, [i / parts for i in range(1, parts)] or [0.5])).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(x))) if bounds else F.lit(0)
+    cut = counts.withColumn("__part", part)
+    sums = cut.groupBy("__part").agg(F.sum("__c").alias("__s"))
+    before = sums.select("__part", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     within = F.sum("__c").over(Window.partitionBy("__part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = parts.join(before, "__part").select(F.col(x).alias("__x"), (F.col("__before") + F.coalesce(within, F.lit(0)) + (F.col("__c") + 1) / 2).alias(out))
+    return cut.withColumn("__w", F.coalesce(within, F.lit(0))).join(F.broadcast(before), "__part").select(x, "__c", (F.col("__b") + F.col("__w")).alias("__before"))
+
+
+def with_rank(rows: DataFrame, x: str, out: str) -> DataFrame:
+    """Average rank of ties over all rows, joined back by value."""
+    ranks = running_counts(rows, x).select(F.col(x).alias("__x"), (F.col("__before") + (F.col("__c") + 1) / 2).alias(out))
     return rows.join(ranks, F.col(x).eqNullSafe(F.col("__x"))).drop("__x")
 
 
+def up_to(rows: DataFrame, x: str, key: str, k: int) -> Column:
+    """Condition: the row is one of the k first by x, then key (numeric, unique). No task sorts all rows."""
+
+    def at(part: DataFrame, column: str, position: int):
+        return running_counts(part, column).where((F.col("__before") < position) & (F.col("__before") + F.col("__c") >= position)).first()
+
+    found = at(rows, x, k) if k > 0 else None
+    if found is None:
+        return F.lit(False)
+    tied = at(rows.where(F.col(x) == found[0]), key, k - found["__before"])
+    return (F.col(x) < found[0]) | ((F.col(x) == found[0]) & (F.col(key) <= tied[0]))
+
+
 def regression_metrics(rows: DataFrame, y: str, p: str) -> DataFrame:
     e = F.col(y) - F.col(p)
     return rows.agg(
@@ -43,11 +67,12 @@ def binary_metrics(rows: DataFrame, label: str, p: str) -> DataFrame:
     )
 
 
-def tercile_spread(rows: DataFrame, score: str, value: str, key: str, by: list[str]) -> DataFrame:
-    """Mean value of the top third by score less that of the bottom third, n // 3 rows each."""
-    w = Window.partitionBy(*by)
-    r = rows.withColumn("__i", F.row_number().over(w.orderBy(score, key))).withColumn("__k", F.floor(F.count(F.lit(1)).over(w) / 3)).withColumn("__n", F.count(F.lit(1)).over(w))
-    return r.groupBy(*by).agg((F.avg(F.when(F.col("__i") > F.col("__n") - F.col("__k"), F.col(value))) - F.avg(F.when(F.col("__i") <= F.col("__k"), F.col(value)))).alias("spread"))
+def tercile_spread(rows: DataFrame, score: str, value: str, key: str) -> DataFrame:
+    """Mean value of the top third by score less that of the bottom third, n // 3 rows each; ties by key. Rows without a score take no part."""
+    rows = rows.where(F.col(score).isNotNull())
+    n = rows.count()
+    low, rest = up_to(rows, score, key, n // 3), up_to(rows, score, key, n - n // 3)
+    return rows.agg((F.avg(F.when(~rest, F.col(value))) - F.avg(F.when(low, F.col(value)))).alias("spread"))
 
 
 def compounded(r: Column) -> Column:
@@ -129,3 +154,54 @@ def block_bootstrap(rows: DataFrame, order: str, value: str, block: int, draws:
     drawn = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
     drawn = drawn.withColumn("start", F.expr(f"cast(((draw * {k} + j) * 1103515245 + {seed}) % 2147483648 % {n} as int)"))
     return drawn.join(starts, "start").groupBy("draw").agg((F.sum("s") / (k * block)).alias("mean"))
+
+
+def composite(parts: list[tuple[float, str, list[tuple[float, float]], float]], limit: float) -> Column:
+    """Weighted sum of scores by thresholds (the first that the column exceeds; else the last value), within +-limit."""
+    total = F.lit(0.0)
+    for weight, column, steps, rest in parts:
+        score = F.lit(float(rest))
+        for edge, value in reversed(steps):
+            score = F.when(F.col(column) > edge, float(value)).otherwise(score)
+        total = total + weight * score
+    return F.least(F.greatest(total, F.lit(-limit)), F.lit(limit))
+
+
+def cluster_error(rows: DataFrame, clusters: list[str], value: str, power: float = 2.8) -> DataFrame:
+    """Cluster-robust standard error of the mean, and the smallest effect found with 80 % power. Sums per cluster suffice: residuals add up to sum - n x mean."""
+    sums = rows.groupBy(*clusters).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    total, n = sums.agg(F.sum("__s"), F.sum("__n")).first()
+    e = F.col("__s") - F.col("__n") * F.lit(total / n if n else None)
+    se = F.sqrt(F.sum(e * e)) / n
+    return sums.agg(F.count(F.lit(1)).alias("clusters"), se.alias("se"), (power * se).alias("mde"))
+
+
+def correlation_mde(rows: DataFrame, by: list[str], z: float = 1.959963984540054 + 0.8416212335729143) -> DataFrame:
+    """The smallest correlation found with 80 % power at 5 % for the rows of each group; groups of three or fewer have none."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 3").withColumn("mde", F.tanh(z / F.sqrt(F.col("n") - 3)))
+
+
+def pooled(rows: DataFrame, by: str, vector: str) -> DataFrame:
+    """by, dim, mean, top: mean vector of length one (null for a zero mean) and largest component. Means are formed before the shuffle, one row per dimension."""
+    x = rows.select(by, F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "x")).groupBy(by, "dim").agg(F.avg("x").alias("m"), F.max("x").alias("top"))
+    norm = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(by)))
+    return x.select(by, F.col("dim").cast("long").alias("dim"), F.when(norm > 0, F.col("m") / norm).alias("mean"), "top")
+
+
+def difference_tests(pairs: DataFrame, a: str, b: str, periods: float) -> DataFrame:
+    """n, sharpe_z (Jobson and Korkie), mean_t, information (annualised) of paired returns."""
+    x, d = pairs, F.col(a) - F.col(b)
+    m = x.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.stddev_samp(a).alias("sa"), F.stddev_samp(b).alias("sb"), F.covar_samp(a, b).alias("k"), F.avg(d).alias("md"), F.stddev_samp(d).alias("sd")
+    )
+    variance = "2 * sa * sa * sb * sb - 2 * sa * sb * k + ma * ma * sb * sb / 2 + mb * mb * sa * sa / 2 - ma * mb * k * k / (sa * sb)"
+    return m.select("n", F.expr(f"(sb * ma - sa * mb) / sqrt(({variance}) / n)").alias("sharpe_z"), F.expr("md / (sd / sqrt(n))").alias("mean_t"), (F.expr("md / sd") * periods**0.5).alias("information"))
+
+
+def gates(row: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """check_name, passed, all_passed: one row per named check of a one-row table; a check that is null fails."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("check_name"), F.coalesce(holds, F.lit(False)).alias("passed")) for name, holds in checks.items())))
+    every = F.lit(True)
+    for holds in checks.values():
+        every = every & F.coalesce(holds, F.lit(False))
+    return row.select(each.alias("g"), every.alias("all_passed")).select("g.check_name", "g.passed", "all_passed")

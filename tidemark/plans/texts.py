@@ -162,7 +162,7 @@ def ag16_spearman(spark, d):
 @query(f"""WITH {SCORED}, x AS (SELECT *, row_number() OVER (ORDER BY p, doc_id) AS i, count(*) OVER () AS n FROM sc)
 SELECT round(avg(CASE WHEN i > n - n // 3 THEN label END) - avg(CASE WHEN i <= n // 3 THEN label END), 6) AS spread FROM x""")
 def ag18_tercile_spread(spark, d):
-    return rounded(stats.tercile_spread(scored(spark, d).withColumn("all", F.lit(1)), "p", "label", "doc_id", ["all"]).select("spread"), "spread")
+    return rounded(stats.tercile_spread(scored(spark, d), "p", "label", "doc_id"), "spread")
 
 
 @query(f"""WITH {SCORED} SELECT round(avg((label - p) ** 2), 6) AS mse, round(sqrt(avg((label - p) ** 2)), 6) AS rmse, round(avg(abs(label - p)), 6) AS mae, round(corr(label, p), 6) AS pearson, round(stddev_pop(p), 6) AS spread,
