@@ -194,8 +194,9 @@ def difference_tests(pairs: DataFrame, a: str, b: str, periods: float) -> DataFr
     m = x.agg(
         F.count(F.lit(1)).alias("n"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.stddev_samp(a).alias("sa"), F.stddev_samp(b).alias("sb"), F.covar_samp(a, b).alias("k"), F.avg(d).alias("md"), F.stddev_samp(d).alias("sd")
     )
-    variance = "2 * sa * sa * sb * sb - 2 * sa * sb * k + ma * ma * sb * sb / 2 + mb * mb * sa * sa / 2 - ma * mb * k * k / (sa * sb)"
-    return m.select("n", F.expr(f"(sb * ma - sa * mb) / sqrt(({variance}) / n)").alias("sharpe_z"), F.expr("md / (sd / sqrt(n))").alias("mean_t"), (F.expr("md / sd") * periods**0.5).alias("information"))
+    variance = "2 * sa * sa * sb * sb - 2 * sa * sb * k + ma * ma * sb * sb / 2 + mb * mb * sa * sa / 2 - try_divide(ma * mb * k * k, sa * sb)"
+    z, t = F.expr(f"try_divide(sb * ma - sa * mb, sqrt(try_divide({variance}, n)))"), F.expr("try_divide(md * sqrt(n), sd)")
+    return m.select("n", z.alias("sharpe_z"), t.alias("mean_t"), (F.expr("try_divide(md, sd)") * periods**0.5).alias("information"))
 
 
 def gates(row: DataFrame, checks: dict[str, Column]) -> DataFrame:

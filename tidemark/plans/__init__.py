@@ -1,6 +1,6 @@
 """All registered queries of the library; the training-data operators register their own."""
 
-from tidemark.plans import ledger, market, measures, pairs, rules, scalars, sets, texts  # noqa: F401
+from tidemark.plans import books, ledger, market, measures, pairs, rules, scalars, sets, texts, trials  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
