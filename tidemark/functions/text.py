@@ -82,3 +82,12 @@ def quarter_key(time: Column) -> Column:
 def matched_terms(text: Column, terms: list[str]) -> Column:
     """The terms that occur in a text, whatever the case, in the order given."""
     return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(text), t))
+
+
+def html_text(html: Column) -> Column:
+    """The visible text of a page: scripts, styles, navigation and comments left out, tags as spaces, references resolved, white space collapsed."""
+    kept = F.regexp_replace(html, r"(?is)<(script|style|nav)\b.*?</(script|style|nav)>|<!--.*?-->", " ")
+    bare = F.regexp_replace(kept, r"(?s)<[^>]*>", " ")
+    for reference, character in ENTITIES.items():
+        bare = F.replace(bare, F.lit(reference), F.lit(character))
+    return normal_space(bare)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,9 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_bars(spark: SparkSession, path: str, symbol_pattern: str = r"([^/_]+)_\d+_\d+\.json$") -> DataFrame:
-    """Files of JSON arrays [ts_ms, open, high, low, close, volume, turnover]; the symbol is in the file name."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), symbol_pattern, 1).alias("symbol"), F.explode(F.from_json("value", "array<array<double>>")).alias("x"))
+def read_bars(spark: SparkSession, path: str, symbol_pattern: str = r"([^/_]+)_\d+_\d+\.json$", whole: bool = True) -> DataFrame:
+    """Files of JSON arrays [ts_ms, open, high, low, close, volume, turnover]; the symbol is in the file name. `whole`: a file is one array, else each line."""
+    raw = spark.read.text(path, wholetext=whole).select(F.regexp_extract(F.col("_metadata.file_path"), symbol_pattern, 1).alias("symbol"), F.explode(F.from_json("value", "array<array<double>>")).alias("x"))
     names = ["open", "high", "low", "close", "volume", "turnover"]
     return raw.select("symbol", F.col("x")[0].cast("long").alias("ts_ms"), *(F.col("x")[i + 1].alias(n) for i, n in enumerate(names)))
 
@@ -25,15 +28,15 @@ def newest_files(files: DataFrame, key: Column, time: Column) -> DataFrame:
     return files.withColumn("__n", rank).where("__n = 1").drop("__n")
 
 
-def read_series_map(spark: SparkSession, path: str, key_pattern: str) -> DataFrame:
+def read_series_map(spark: SparkSession, path: str, key_pattern: str, whole: bool = True) -> DataFrame:
     """Files of JSON objects {ts: value}: key (from the file name), ts, value."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1).alias("key"), F.explode(F.from_json("value", "map<string,double>")).alias("ts", "value"))
+    raw = spark.read.text(path, wholetext=whole).select(F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1).alias("key"), F.explode(F.from_json("value", "map<string,double>")).alias("ts", "value"))
     return raw.withColumn("ts", F.col("ts").cast("long"))
 
 
-def read_membership(spark: SparkSession, path: str) -> DataFrame:
+def read_membership(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     """JSON object {day: [symbols]}: day, symbol."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("day", "symbols"))
+    raw = spark.read.text(path, wholetext=whole).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("day", "symbols"))
     return raw.select(F.col("day").cast("long").alias("day"), F.explode("symbols").alias("symbol"))
 
 
@@ -42,6 +45,12 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str)
     return spark.read.schema(schema).json(path)
 
 
+def read_nested(spark: SparkSession, path: str, key: str, field: str, schema: str) -> DataFrame:
+    """JSON results with an array of structs: the key and one row for each element."""
+    rows = spark.read.schema(f"{key} string, {field} array<struct<{schema.replace(' ', ': ').replace(',:', ',')}>>").json(path)
+    return rows.select(key, F.explode(field).alias("__x")).select(key, "__x.*")
+
+
 def read_csv(spark: SparkSession, path: str, required: list[str], forbidden: tuple[str, ...] = (), sep: str = ",") -> DataFrame:
     """Only the required columns of a quoted file with a header; fails if one is missing. Forbidden ones (outcomes) are never selected."""
     if set(required) & set(forbidden):
@@ -85,3 +94,9 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def write_report(df: DataFrame, path: str) -> None:
     """A small status table as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tidemark-files-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
