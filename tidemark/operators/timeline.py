@@ -115,12 +115,28 @@ def blend(curves: list[tuple[DataFrame, float]], time: str, value: str) -> DataF
 
 
 def nearest_within(left: DataFrame, right: DataFrame, left_id: str, left_time: str, right_id: str, right_time: str, tolerance: int) -> DataFrame:
-    """For each left row the right row nearest in time, at most `tolerance` away. Left rows meet the three buckets around them, so the join is by equality."""
-    l = left.withColumn("__b", F.explode(F.expr(f"sequence({left_time} div {tolerance} - 1, {left_time} div {tolerance} + 1)")))  # noqa: E741
-    r = right.select(right_id, F.col(right_time).alias("__t"), F.expr(f"{right_time} div {tolerance}").alias("__b"))
-    pairs = l.join(r, "__b").withColumn("distance", F.abs(F.col("__t") - F.col(left_time))).where(F.col("distance") <= tolerance)
-    best = pairs.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("__m"))
-    return best.select(left_id, F.col(f"__m.{right_id}").alias(right_id), F.col("__m.distance").alias("distance"))
+    """For each left row the right row nearest in time (integers), at most `tolerance` away; ties to the smaller id.
+
+    No pairs are made: distinct times of both sides go into buckets of a fixed width, a window in each finds the last right time before and the first after, and
+    each bucket hands its first and last right time to the buckets within the tolerance. A bucket has at most as many rows as times fit into it.
+    """
+    step = max(1, tolerance // 32)
+    reach = -(-tolerance // step)
+    r = right.where(F.col(right_time).isNotNull()).select(F.col(right_time).cast("long").alias("__t"), F.col(right_id).alias("__id"), F.lit(True).alias("__right"))
+    l = left.where(F.col(left_time).isNotNull()).select(F.col(left_time).cast("long").alias("__t"), F.lit(None).cast(r.schema["__id"].dataType).alias("__id"), F.lit(False).alias("__right"))  # noqa: E741
+    times = r.unionByName(l).groupBy("__t").agg(F.min("__id").alias("__id"), F.max("__right").alias("__right"), F.min("__right").alias("__only"))
+    times = times.select("__t", "__only", F.floor(F.col("__t") / step).alias("__b"), F.when(F.col("__right"), F.struct("__t", "__id")).alias("__r"))
+    ends = times.groupBy("__b").agg(F.min("__r").alias("__first"), F.max("__r").alias("__last")).where("__first is not null")
+    reached = ends.withColumn("__to", F.explode(F.expr(f"sequence(__b - {reach}, __b + {reach})")))
+    carried = reached.groupBy(F.col("__to").alias("__b")).agg(F.max(F.when(F.col("__b") < F.col("__to"), F.col("__last"))).alias("__earlier"), F.min(F.when(F.col("__b") > F.col("__to"), F.col("__first"))).alias("__later"))
+    w = Window.partitionBy("__b").orderBy("__t")
+    near = times.withColumns({
+        "__before": F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__after": F.first("__r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+    }).where("not __only").join(carried, "__b", "left")
+    found = [F.coalesce("__before", "__earlier"), F.coalesce("__after", "__later")]
+    best = F.least(*(F.when(f.isNotNull(), F.struct(F.abs(f["__t"] - F.col("__t")).alias("distance"), f["__id"].alias(right_id))) for f in found))
+    near = near.select(F.col("__t").alias("__at"), best.alias("__m")).where(F.col("__m.distance") <= tolerance)
+    return left.join(near, F.col(left_time) == F.col("__at")).select(left_id, F.col(f"__m.{right_id}").alias(right_id), F.col("__m.distance").alias("distance"))
 
 
 def differing(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -94,6 +94,15 @@ def jn19_nearest_within(spark, d):
     return timeline.nearest_within(news(spark, d).select("doc_id", "published"), captures, "doc_id", "published", "event_id", "sec", 3600)
 
 
+@query(f"""WITH {NEWS}, s AS (SELECT epoch_us(ts) // 1000000 AS sec, min(event_id) AS event_id FROM events GROUP BY 1), a AS (SELECT n.doc_id, n.published, s.event_id, n.published - s.sec AS distance FROM n ASOF JOIN s ON n.published >= s.sec),
+c AS (SELECT n.doc_id, n.published, s.event_id, s.sec - n.published AS distance FROM n ASOF JOIN s ON n.published <= s.sec), q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, event_id) AS i FROM (FROM a UNION ALL FROM c) WHERE distance <= 86400)
+SELECT doc_id, event_id, distance FROM q WHERE i = 1""")
+def jn19_nearest_capture(spark, d):
+    """The capture, among all events, closest to each publication, at most a day away; ties to the smaller id."""
+    captures = table(spark, d, "events").select("event_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("sec"))
+    return timeline.nearest_within(news(spark, d).select("doc_id", "published"), captures, "doc_id", "published", "event_id", "sec", 86_400)
+
+
 @query(f"""WITH {TRADES}, g AS (SELECT symbol, day + 1 AS entry, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS regime FROM b) SELECT o_orderkey, coalesce(regime, 'unknown') AS regime FROM t LEFT JOIN g USING (symbol, entry)""")
 def jn20_lagged_regime(spark, d):
     """The regime of the day before a trade's entry."""
