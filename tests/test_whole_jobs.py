@@ -27,3 +27,23 @@ def test_nearest_within_makes_no_pairs(spark):
 def test_nearest_capture_takes_all_events(spark):
     got = QUERIES["jn19_nearest_capture"](spark, SF).agg(F.count(F.lit(1)), F.count_if(F.col("event_id") % 50 != 0)).first()
     assert got[0] == spark.read.parquet(f"{SF}/documents.parquet").count() and got[1] > 0
+
+
+def test_following_sum(spark):
+    left = [("a", i * 977 % 500 - 90) for i in range(60)] + [("b", 3), ("b", 3), ("c", 1), ("a", None)]
+    right = [("a", i * 613 % 400 - 70, float(i)) for i in range(90)] + [("a", 20, 5.0), ("a", 20, 7.0), ("b", 4, 1.0), ("b", 3, 9.0), ("a", None, 1.0)]
+    for length in (2, 7, 150):
+        want = []
+        for k, t in {x for x in left if x[1] is not None}:
+            inside = [x for j, u, x in right if j == k and u is not None and t < u < t + length]
+            want += [(k, t, sum(inside), len(inside))] if inside else []
+        got = timeline.following_sum(spark.createDataFrame(left, "k string, t long"), spark.createDataFrame(right, "k string, t long, x double"), "k", "t", "x", length, "s")
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("part, whole, key, n", [("jn08_events_in_spans", "jn08_events_in_all_spans", "span", 5), ("jn02_forward_return", "jn02_forward_return_of_all", "event_id", 11), ("pf11_half_for_a_bar", "pf11_half_of_all", "o_orderkey", 3)])
+def test_no_rows_are_left_out_by_id(spark, part, whole, key, n):
+    rows = {r[key]: r for r in QUERIES[whole](spark, SF).collect()}
+    assert {i % n for i in rows} == set(range(n))
+    some = {r[key]: r for r in QUERIES[part](spark, SF).collect()}
+    assert some == {i: r for i, r in rows.items() if i % n == 0}

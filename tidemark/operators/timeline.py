@@ -65,6 +65,23 @@ def events_in_spans(spans: DataFrame, events: DataFrame, key: str, start: str, e
     return s.join(e, [key, "__b"]).where((F.col(time) > F.col(start)) & (F.col(time) < F.col(end))).drop("__b")
 
 
+def following_sum(left: DataFrame, right: DataFrame, key: str, time: str, value: str, length: int, out: str) -> DataFrame:
+    """For each distinct key and (integer) time of left the sum and count (`out`, `out`_n) of right `value` at times strictly between time and time + length; only where there are any.
+
+    Right rows are summed by time first, and each time is put into its bucket of `length` and the one before, so that a bucket holds all that its spans reach. A span
+    is the difference of the running sums at its last and first instant: no pairs are made, and a bucket has at most as many rows as times fit into it.
+    """
+    bucket = lambda t: F.floor(t / length)
+    r = right.groupBy(key, F.col(time).alias("__t")).agg(F.sum(value).alias("__x"), F.count(value).alias("__n"))
+    r = r.select(key, F.explode(F.array(bucket(F.col("__t")), bucket(F.col("__t")) - 1)).alias("__b"), "__t", "__x", "__n", F.lit(None).cast("long").alias("__start"), F.lit(0).alias("__sign"))
+    l = left.select(key, F.col(time).cast("long").alias("__start")).where("__start is not null").distinct().withColumn("__b", bucket(F.col("__start")))  # noqa: E741
+    probes = l.withColumn("__sign", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("__t", F.when(F.col("__sign") < 0, F.col("__start")).otherwise(F.col("__start") + length - 1))
+    w = Window.partitionBy(key, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
+    run = r.unionByName(probes, allowMissingColumns=True).withColumns({"__x": F.coalesce(F.sum("__x").over(w), F.lit(0.0)), "__n": F.coalesce(F.sum("__n").over(w), F.lit(0))}).where("__sign <> 0")
+    sums = run.groupBy(key, F.col("__start").alias(time)).agg(F.sum(F.col("__sign") * F.col("__x")).alias(out), F.sum(F.col("__sign") * F.col("__n")).alias(out + "_n"))
+    return sums.where(F.col(out + "_n") > 0)
+
+
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """The inner join, and a one-row proof: keys missing on either side and keys held twice."""
     l, r = left.groupBy(key).agg(F.count(F.lit(1)).alias("a")), right.groupBy(key).agg(F.count(F.lit(1)).alias("b"))  # noqa: E741

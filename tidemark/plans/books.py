@@ -82,6 +82,18 @@ def pf11_half_for_a_bar(spark, d):
     return h.select("o_orderkey", *(F.round(c, 2).alias(c) for c in ("price", "fees", "funding")))
 
 
+HALF_OF_ALL = """a AS (SELECT o_orderkey, symbol, qty, entry + 1 AS day, exit FROM t WHERE exit > entry + 2)"""
+
+
+@query(f"""WITH {TRADES}, {HALF_OF_ALL} SELECT o_orderkey, round(0.5::DOUBLE * qty * (x.open * (1 - 0.0005::DOUBLE) - y.open * (1 + 0.0005::DOUBLE)), 2) AS price, round(0.0005::DOUBLE * qty * (x.open + y.open), 2) AS fees, round(0.5::DOUBLE * qty * x.open * 0.0001::DOUBLE, 2) AS funding
+FROM a JOIN b x ON x.symbol = a.symbol AND x.day = a.day JOIN b y ON y.symbol = a.symbol AND y.day = a.day + 1""")
+def pf11_half_of_all(spark, d):
+    """The same for every trade that lasts long enough."""
+    a = trades(spark, d).where(F.col("exit") > F.col("entry") + 2).select("o_orderkey", "symbol", "qty", (F.col("entry") + 1).alias("day"))
+    h = books.half_for_a_bar(a, bars_1d(spark, d), "symbol", "day", "qty", 0.0005, 0.001, 0.0001)
+    return h.select("o_orderkey", *(F.round(c, 2).alias(c) for c in ("price", "fees", "funding")))
+
+
 @query(f"""WITH {BARS_1D}, x AS (SELECT symbol, day, volume % 7 < 1 AS warned, lead(close) {OVER}) / close - 1 AS r FROM b), g AS (SELECT *, max(warned::INT) {OVER} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 1 AS low FROM x WHERE r IS NOT NULL),
 k AS (SELECT *, CASE WHEN low THEN 0.25::DOUBLE ELSE 0.5 END AS e, coalesce(lag(low) {OVER}), false) AS before FROM g)
 SELECT symbol, round(sum(0.5::DOUBLE * r), 6) AS base, round(sum(e * r - 0.001::DOUBLE * CASE WHEN low <> before THEN 0.25::DOUBLE ELSE 0 END), 6) AS attenuated, round(min(0.5::DOUBLE * r), 6) AS base_worst, round(min(e * r), 6) AS worst FROM k GROUP BY 1""")

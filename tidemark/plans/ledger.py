@@ -110,6 +110,15 @@ def jn08_events_in_spans(spark, d):
     return rounded(e.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.sum("rate").alias("rate")), "rate")
 
 
+@query(f"""WITH {SETTLEMENTS}, g AS (SELECT symbol, sec, count(*) AS n, sum(rate) AS rate FROM s GROUP BY 1, 2), x AS (SELECT symbol, sec, sum(n) OVER w AS n, sum(rate) OVER w AS rate FROM g WINDOW w AS (PARTITION BY symbol ORDER BY sec RANGE BETWEEN 1 FOLLOWING AND 5399 FOLLOWING))
+SELECT event_id AS span, x.n::BIGINT AS n, round(x.rate, 6) AS rate FROM s JOIN x USING (symbol, sec) WHERE x.n > 0""")
+def jn08_events_in_all_spans(spark, d):
+    """A span of 90 minutes from every settlement: count and sum of the settlements inside."""
+    s = settlements(spark, d)
+    inside = timeline.following_sum(s, s, "symbol", "sec", "rate", 5400, "total")
+    return rounded(s.select("symbol", "sec", F.col("event_id").alias("span")).join(inside, ["symbol", "sec"]).select("span", F.col("total_n").alias("n"), F.col("total").alias("rate")), "rate")
+
+
 TIERS = [(100_000.0, 0.005, 0.0), (250_000.0, 0.01, 500.0), (400_000.0, 0.02, 3000.0)]
 
 

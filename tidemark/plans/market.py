@@ -202,6 +202,16 @@ def jn02_forward_return(spark, d):
     return timeline.forward_return(e, bars_4h(spark, d), "symbol", "slot", 1, 6).select("event_id", "symbol", F.round("forward", 6).alias("forward"))
 
 
+@query(f"""WITH {BARS_4H}, e AS (SELECT symbol, event_id, us // {14400}000000 AS slot FROM ticks)
+SELECT e.event_id, e.symbol, round(y.open / x.open - 1, 6) AS forward FROM e JOIN b4 x ON x.symbol = e.symbol AND x.slot = e.slot + 1 JOIN b4 y ON y.symbol = e.symbol AND y.slot = e.slot + 7""")
+def jn02_forward_return_of_all(spark, d):
+    """The forward return of every tick."""
+    from tidemark.plans.demo import ticks
+
+    e = ticks(spark, d).select("symbol", "event_id", F.expr("us div 14400000000").alias("slot"))
+    return timeline.forward_return(e, bars_4h(spark, d), "symbol", "slot", 1, 6).select("event_id", "symbol", F.round("forward", 6).alias("forward"))
+
+
 @query(f"""WITH {BARS_4H}, g AS (SELECT symbol, slot, open, count(*) OVER w AS n, last_value(close) OVER w AS c, max(high) OVER w AS hi, min(low) OVER w AS lo, sum(ln(close / open) ** 2) OVER w AS v FROM b4
   WINDOW w AS (PARTITION BY symbol ORDER BY slot RANGE BETWEEN CURRENT ROW AND 5 FOLLOWING))
 SELECT symbol, slot, round(c / open - 1, 6) AS ret, round(hi / open - 1, 6) AS best, round(lo / open - 1, 6) AS worst, round(sqrt(v), 6) AS vol FROM g WHERE n = 6""")
