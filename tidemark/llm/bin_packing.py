@@ -2,7 +2,7 @@
 
 Documents longer than a sequence are cut into full pieces and a rest. The pieces (without their ids) are dealt into shards by hash, about
 `SHARD_TOKENS` tokens each; a task packs a shard by best fit, longest first, then searches locally: between underfull bins it moves a document, exchanges one for one, or two
-for one, whenever that increases the sum of squared fills, until bins empty. A shard wastes less than one sequence when the search reaches its lower bound, so the whole
+for one, whenever that increases the sum of squared fills, until none does or the lower bound is met. A shard wastes less than one sequence when the search reaches its lower bound, so the whole
 needs at most one sequence in a thousand more than one great shard would.
 
 Cases: null or empty text has only the end id; repeated rows are packed each; a null id stays null; an empty table gives an empty result; only the id and the text are read.
@@ -24,8 +24,6 @@ from tidemark.llm.common import shards, staged
 from tidemark.llm.word_codes import word_codes
 
 CAPACITY, SHARD_TOKENS, BATCH_BYTES = 4096, 4_000_000, 4 << 20
-#: Steps of local search for each shard at most, and how many of the fullest underfull bins a step tries as partners.
-STEPS, PARTNERS = 20_000, 64
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -51,11 +49,20 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def _few(own: list[int], lengths: list[int]) -> list[int]:
+    """At most two documents of each length: more can't take part in one exchange."""
+    of: dict[int, list[int]] = {}
+    for i in own:
+        of.setdefault(lengths[i], []).append(i)
+    return [i for same in of.values() for i in same[:2]]
+
+
 def _exchange(source: list[int], target: list[int], room: int, gap: int, lengths: list[int]) -> tuple[list[int], list[int]] | None:
     """What to move from source to target and back, so that the target grows by 1 to `room` tokens; the largest growth found.
 
     A growth of g changes the sum of squares by 2g(g + gap), where gap is the target's fill less the source's; it must be positive.
     """
+    source, target = _few(source, lengths), _few(target, lengths)
     best, found = max(0, -gap), None
     for i in source:
         if best < lengths[i] <= room:
@@ -84,32 +91,92 @@ def _exchange(source: list[int], target: list[int], room: int, gap: int, lengths
     return found
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, steps: int = STEPS, partners: int = PARTNERS) -> list[list[int]]:
-    """Empties bins until none can be improved, `steps` are spent, or no fewer bins are possible."""
+def _sums(own: list[int], lengths: list[int]) -> tuple[int, int]:
+    """The lengths in a bin, and the sums of two of them, as bits."""
+    count: dict[int, int] = {}
+    for i in own:
+        count[lengths[i]] = count.get(lengths[i], 0) + 1
+    one = two = 0
+    for x, n in count.items():
+        two |= one << x | (1 << 2 * x if n > 1 else 0)
+        one |= 1 << x
+    return one, two
+
+
+def _raised(sums: int, low: int, high: int) -> int:
+    """The bits of `sums`, each moved up by every distance from `low` to `high`."""
+    out, width = sums << low, 1
+    while width < high - low + 1:
+        step = min(width, high - low + 1 - width)
+        out |= out << step
+        width += step
+    return out
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Empties bins until no move or exchange between any two increases the sum of squared fills, or no fewer bins are possible.
+
+    Whether a source can make a target grow is told by bits: what may come back (nothing, one or two documents), raised by each growth allowed, against what may go.
+    A pair that had no exchange is tried again only when one of the two has changed. Each step increases an integer that is bounded, so the search ends.
+    """
+    bins = list(bins)
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
-    live = len(bins)
+    live = sum(1 for b in bins if b)
+    sums = [_sums(b, lengths) for b in bins]
+    # For targets not emptier than the source: what one document may be exchanged for, and what two may.
+    grown = [(0, 0)] * len(bins)
+    changed, tried, step = [0] * len(bins), [-1] * len(bins), 0
+
+    def note(b: int) -> None:
+        one, two = sums[b] = _sums(bins[b], lengths)
+        room = capacity - fill[b]
+        grown[b] = (_raised(1 | one | two, 1, room), _raised(one, 1, room)) if room and bins[b] else (0, 0)
+        changed[b] = step
+
+    def possible(s: int, t: int) -> bool:
+        one, two = sums[s]
+        a, b = grown[t]
+        if not (one & a or two & b):
+            return False
+        gap = fill[t] - fill[s]
+        if gap >= 0:
+            return True
+        own, pairs = sums[t]
+        low, high = 1 - gap, capacity - fill[t]
+        return low <= high and bool(one & _raised(1 | own | pairs, low, high) or two & _raised(own, low, high))
+
+    if live > least:
+        for b in range(len(bins)):
+            note(b)
     improved = True
-    while improved and live > least and steps > 0:
+    while improved and live > least:
         improved = False
         under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
-        for s, source in enumerate(under):
-            for target in reversed(under[s + 1 :][-partners:]):
-                while bins[source] and fill[target] < capacity and steps > 0:
-                    steps -= 1
-                    found = _exchange(bins[source], bins[target], capacity - fill[target], fill[target] - fill[source], lengths)
-                    if not found:
+        for source in under:
+            again = True
+            while again and bins[source] and fill[source] < capacity and live > least:
+                again = False
+                for target in reversed(under):
+                    if target == source or not bins[target] or fill[target] >= capacity or max(changed[source], changed[target]) <= tried[source]:
+                        continue
+                    while bins[source] and possible(source, target):
+                        found = _exchange(bins[source], bins[target], capacity - fill[target], fill[target] - fill[source], lengths)
+                        out, back = found
+                        step += 1
+                        bins[source] = [i for i in bins[source] if i not in out] + back
+                        bins[target] = [i for i in bins[target] if i not in back] + out
+                        moved = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
+                        fill[source], fill[target] = fill[source] - moved, fill[target] + moved
+                        note(source)
+                        note(target)
+                        improved = again = True
+                    if not bins[source]:
+                        live -= 1
                         break
-                    out, back = found
-                    bins[source] = [i for i in bins[source] if i not in out] + back
-                    bins[target] = [i for i in bins[target] if i not in back] + out
-                    grown = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-                    fill[source], fill[target] = fill[source] - grown, fill[target] + grown
-                    improved = True
-                if not bins[source]:
-                    live -= 1
-                    break
-            if live <= least or steps <= 0:
+                if not again:
+                    tried[source] = step
+            if live <= least:
                 break
     return [b for b in bins if b]
 
