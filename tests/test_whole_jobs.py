@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_queries import SF
+from tidemark.functions import text
 from tidemark.llm import bin_packing
 from tidemark.operators import timeline
 from tidemark.plans import QUERIES
@@ -84,3 +85,26 @@ def test_local_search_reaches_every_bin():
     lengths = [99] * 80 + [50, 40, 10]
     bins = [[i] for i in range(83)]
     assert len(bin_packing.local_search(bins, lengths, 100)) == 81
+
+
+def test_evidence_with_ellipsis_and_punctuation(spark):
+    cases = [
+        ("Rates rise, as “expected” — again", "\"expected\" - again", 16, "“expected” — again"),
+        ("Bank of X cuts its main rate by half", "Bank of X ... main rate", 1, "Bank of X cuts its main rate"),
+        ("Bank of X cuts its main rate by half", "of X…main…half", 6, "of X cuts its main rate by half"),
+        ("Bank of X cuts, at last: main rate", "cuts at last main", 11, "cuts, at last: main"),
+        ("Bank of X cuts", "of X", 6, "of X"),
+        ("Bank of X cuts", "X ... Bank", 0, None), ("Bank of X cuts", "", 0, None), ("Bank of X cuts", "!?", 0, None), (None, "x", 0, None), ("x", None, 0, None),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, h string, e string, pos long, span string")
+    got = df.select("i", text.evidence_span(F.col("h"), F.col("e")).alias("x")).select("i", "x.pos", "x.span").orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [c[2:] for c in cases]
+
+
+def test_whole_texts_decide(spark, tmp_path):
+    rows = [(0, "same line\none", "a"), (1, "same line\ntwo", "b"), (1000, "Same  line one", "c"), (43200 + 37, "x", "d")]
+    rows = [(i, t, "en", s, len(t)) for i, t, s in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in QUERIES["wn23_first_seen_text"](spark, str(tmp_path)).collect()} == {0, 1, 43237}
+    days = QUERIES["wn22_novelty_of_texts"](spark, str(tmp_path)).orderBy("day").collect()
+    assert sum(r.tokens for r in days) == 4 + 3 and [r.recurring for r in days] == [0, 1] and days[1].recurrence == 1.0

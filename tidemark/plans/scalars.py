@@ -81,6 +81,29 @@ def sc08_evidence_span(spark, d):
     return k.withColumn("pos", at).select("doc_id", F.col("pos").cast("long").alias("pos"), F.when(F.col("pos") > 0, F.substring("headline", F.col("pos"), F.length("evidence"))).alias("span"))
 
 
+UNSTYLED = """translate({}, '‘’“”–—' || chr(160), '''''""-- ')"""
+
+
+@query(f"""WITH {NEWS}, t AS (SELECT doc_id, headline AS h, substr(headline, 3 + doc_id % 10, 24) AS s FROM n),
+k AS (SELECT doc_id, h, CASE doc_id % 4 WHEN 0 THEN replace(replace(s, '-', chr(8211)), chr(39), chr(8217)) WHEN 1 THEN substr(s, 1, 8) || '...' || substr(s, 17, 8) WHEN 2 THEN substr(s, 1, 8) || ' … ' || substr(s, 17, 8)
+  ELSE replace(substr(s, 1, 5) || '!;' || substr(s, 6), ' ', chr(160)) END AS e FROM t), m AS (SELECT *, {UNSTYLED.format("h")} AS nh, {UNSTYLED.format("e")} AS ne FROM k),
+f AS (SELECT *, list_filter(list_transform(string_split(replace(ne, '…', '...'), '...'), lambda x: trim(x)), lambda x: x <> '') AS fr, list_filter(range(1, length(nh) + 1), lambda i: NOT contains(',.;:!?', substr(nh, i, 1))) AS ix, regexp_replace(ne, '[,.;:!?]', '', 'g') AS se FROM m),
+g AS (SELECT *, CASE WHEN len(fr) = 2 THEN instr(nh, fr[1]) ELSE 0 END AS p1, instr(regexp_replace(nh, '[,.;:!?]', '', 'g'), se) AS p3 FROM f),
+q AS (SELECT *, CASE WHEN p1 > 0 THEN instr(substr(nh, p1 + length(fr[1])), fr[2]) ELSE 0 END AS p2 FROM g),
+p AS (SELECT doc_id, h, CASE WHEN e = '' OR h = '' THEN 0 WHEN instr(h, e) > 0 THEN instr(h, e) WHEN instr(nh, ne) > 0 THEN instr(nh, ne) WHEN p2 > 0 THEN p1 WHEN se <> '' AND p3 > 0 THEN ix[p3] ELSE 0 END AS pos,
+  CASE WHEN instr(h, e) > 0 OR instr(nh, ne) > 0 THEN length(e) WHEN p2 > 0 THEN length(fr[1]) + p2 - 1 + length(fr[2]) WHEN se <> '' AND p3 > 0 THEN ix[p3 + length(se) - 1] - ix[p3] + 1 END AS size FROM q)
+SELECT doc_id, pos::BIGINT AS pos, CASE WHEN pos > 0 THEN substr(h, pos, size) END AS span FROM p""")
+def sc08_damaged_evidence(spark, d):
+    """Where a quote stands in its headline whose quotation marks and dashes differ, or that has an ellipsis, or other punctuation and no-break spaces."""
+    s = F.substring("headline", 3 + F.col("doc_id") % 10, F.lit(24))
+    short = lambda mark: F.concat(F.substring(s, 1, 8), F.lit(mark), F.substring(s, 17, 8))
+    i = F.col("doc_id") % 4
+    quoted = F.when(i == 0, F.translate(s, "-'", "\u2013\u2019")).when(i == 1, short("...")).when(i == 2, short(" \u2026 "))
+    quoted = quoted.otherwise(F.translate(F.concat(F.substring(s, 1, 5), F.lit("!;"), F.substring(s, 6, 24)), " ", "\u00a0"))
+    k = news(spark, d).select("doc_id", X.evidence_span(F.col("headline"), quoted).alias("x"))
+    return k.select("doc_id", "x.pos", "x.span")
+
+
 @query(f"""WITH {RECORDS}, k AS (SELECT doc_id, [CASE a WHEN 'S3' THEN 'S0' WHEN 'S4' THEN 'S1' ELSE a END for a in assets] AS l FROM r)
 SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS names FROM k""")
 def sc09_aliases(spark, d):
