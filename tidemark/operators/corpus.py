@@ -89,6 +89,20 @@ def novelty(rows: DataFrame, token: str, day: str, lookback: int) -> DataFrame:
     return once.withColumn("__new", F.coalesce((F.col(day) - before > lookback).cast("int"), F.lit(1))).groupBy(day).agg(F.count(F.lit(1)).alias("tokens"), F.sum("__new").alias("new"))
 
 
+def first_of(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """The first row of each key by `order`, which must end with a unique column. An aggregate: copies are combined before the shuffle, whatever their number."""
+    rest = [c for c in rows.columns if c not in order]
+    return rows.groupBy(key.alias("__k")).agg(F.min(F.struct(*order, *rest)).alias("__m")).select("__m.*")
+
+
+def recurrence(rows: DataFrame, text: str, day: str, lookback: int) -> DataFrame:
+    """Per day the number of texts, and of those that some day of the lookback before it had (the day itself is left out)."""
+    once = rows.groupBy(text, day).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.lag(day).over(Window.partitionBy(text).orderBy(day))
+    seen = F.coalesce(F.col(day) - before <= lookback, F.lit(False))
+    return once.withColumn("__seen", F.when(seen, F.col("__n")).otherwise(0)).groupBy(day).agg(F.sum("__n").alias("texts"), F.sum("__seen").alias("recurring"))
+
+
 def profile(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     words = F.size(F.regexp_extract_all(text, F.lit(r"([^ \t\n\r]+)")))
     return docs.select(id_col, text, source, words.alias("w")).agg(

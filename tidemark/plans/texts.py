@@ -77,6 +77,36 @@ def wn22_novelty(spark, d):
     return corpus.novelty(t, "token", "day", 30)
 
 
+TEXTS = r"""w AS (SELECT doc_id, 1704067200 + doc_id * 37 % 43200 * 60 AS published, 'https://www.' || source || '.example.com/' || (doc_id % 900) || '/' AS url, text,
+  lower(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM documents)"""
+
+
+def whole_texts(spark, d):
+    """The publications with a hash of their whole normalised text, and the text itself."""
+    published, url = F.lit(1704067200) + F.col("doc_id") * 37 % 43200 * 60, F.concat(F.lit("https://www."), "source", F.lit(".example.com/"), F.col("doc_id") % 900, F.lit("/"))
+    return table(spark, d, "documents").select("doc_id", "text", published.alias("published"), url.alias("url"), F.sha2(corpus.normal_title("text"), 256).alias("hash"))
+
+
+@query(f"""WITH {TEXTS}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY published, doc_id) AS i FROM w) WHERE i = 1)
+SELECT doc_id, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY published, doc_id) AS j FROM a) WHERE j = 1""")
+def wn23_first_seen_text(spark, d):
+    """First by the whole normalised text, then first by URL among those."""
+    a = corpus.first_of(whole_texts(spark, d).select("published", "doc_id", "url", "hash"), F.col("hash"), ["published", "doc_id"])
+    return corpus.first_of(a.drop("hash"), F.col("url"), ["published", "doc_id"]).select("doc_id", "url")
+
+
+@query(f"""WITH {TEXTS}, x AS (SELECT published // 86400 AS day, norm, text FROM w), n AS (SELECT day, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'))) AS token FROM x),
+o AS (SELECT DISTINCT day, token FROM n), l AS (SELECT day, token, lag(day) OVER (PARTITION BY token ORDER BY day) AS p FROM o), t AS (SELECT day, count(*) AS tokens, sum(CASE WHEN p IS NULL OR day - p > 30 THEN 1 ELSE 0 END)::BIGINT AS new FROM l GROUP BY 1),
+c AS (SELECT day, norm, count(*) AS n, lag(day) OVER (PARTITION BY norm ORDER BY day) AS p FROM x GROUP BY 1, 2), r AS (SELECT day, sum(n)::BIGINT AS texts, sum(CASE WHEN day - p <= 30 THEN n ELSE 0 END)::BIGINT AS recurring FROM c GROUP BY 1)
+SELECT day, coalesce(tokens, 0) AS tokens, coalesce(new, 0) AS new, texts, recurring, round(recurring / texts, 6) AS recurrence FROM r LEFT JOIN t USING (day)""")
+def wn22_novelty_of_texts(spark, d):
+    """Per day the tokens of whole texts and how many are new, and the share of texts that the 30 days before had."""
+    x = whole_texts(spark, d).withColumn("day", F.expr("published div 86400"))
+    t = corpus.novelty(x.select("day", F.explode(X.tokens(F.col("text"))).alias("token")), "token", "day", 30)
+    both = corpus.recurrence(x, "hash", "day", 30).join(t, "day", "left").fillna(0, ["tokens", "new"])
+    return rounded(both.withColumn("recurrence", F.col("recurring") / F.col("texts")).select("day", "tokens", "new", "texts", "recurring", "recurrence"), "recurrence")
+
+
 @query(f"WITH {RECORDS} SELECT day, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS digest, count(*) AS n FROM r GROUP BY 1")
 def ag06_digest(spark, d):
     return event_records(spark, d).withColumn("id", F.col("doc_id").cast("string")).groupBy("day").agg(corpus.digest("id").alias("digest"), F.count(F.lit(1)).alias("n"))
