@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
-Documents longer than a sequence are cut into full pieces and a rest. The pieces (without their ids) are dealt into shards by hash, about
+Documents longer than a sequence are cut into full pieces and a rest. The pieces (without their ids) are dealt into shards by a hash of their place, so that repeated rows part too, about
 `SHARD_TOKENS` tokens each; a task packs a shard by best fit, longest first, then searches locally: between underfull bins it moves a document, exchanges one for one, or two
-for one, whenever that increases the sum of squared fills, until none does or the lower bound is met. A shard wastes less than one sequence when the search reaches its lower bound, so the whole
-needs at most one sequence in a thousand more than one great shard would.
+for one, whenever that increases the sum of squared fills, until none does or the lower bound is met. Then the emptiest bin of each shard is packed anew with those of others, in the same way
+(`LEFT` bins in a group), so that shards don't cost a partly filled sequence each.
 
 Cases: null or empty text has only the end id; repeated rows are packed each; a null id stays null; an empty table gives an empty result; only the id and the text are read.
 """
@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import by_bytes
-from tidemark.llm.common import shards, staged
+from tidemark.llm.common import named, shards, staged, worker_bytes
 from tidemark.llm.word_codes import word_codes
 
-CAPACITY, SHARD_TOKENS, BATCH_BYTES = 4096, 4_000_000, 4 << 20
+CAPACITY, SHARD_TOKENS, BATCH_BYTES = 4096, 1_000_000, 4 << 20
+#: Shards whose emptiest bins meet in one group.
+LEFT = 512
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -187,10 +189,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if keep else [])]
     schema = pa.schema(fields)
+    most = worker_bytes(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in by_bytes(batches, "text", BATCH_BYTES):
-            codes = word_codes(model.value)
+            codes = word_codes(model.value, most)
             for batch in some.combine_chunks().to_batches():
                 ids, sizes = codes.ids(batch.column("text"))
                 ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
@@ -203,7 +206,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
                 if rows:
                     yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep else ""))
 
 
@@ -211,22 +214,34 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOK
     """`cut` (written: it is read twice; with a column length, 1 to `capacity`) with sequence_id and offset."""
     total = cut.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
     n = shards(total, shard_tokens)
-    dealt = cut.withColumn("__shard", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32), {n}) as int)"))
+    # The number of a row within its file keeps equal rows apart, and is the same when a task runs again.
+    dealt = cut.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32, monotonically_increasing_id()), {n}) as long)"))
+    if n == 1:
+        return _packed(dealt, capacity).drop("shard", "left")
+    filled = staged(_packed(dealt, capacity), "packed")
+    left = filled.where("left").drop("sequence_id", "offset", "left").withColumn("shard", F.expr(f"{n} + cast(shard div {LEFT} as long)"))
+    return filled.where("not left").drop("shard", "left").unionByName(_packed(left, capacity).drop("shard", "left"))
+
+
+def _packed(dealt: DataFrame, capacity: int) -> DataFrame:
+    """Packs each `shard`; `left` marks the pieces of its emptiest bin."""
 
     def fill(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = t.column("length").to_pylist()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for b, own in enumerate(local_search(best_fit(lengths, capacity), lengths, capacity)):
+        bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+        for b, own in enumerate(bins):
             at = 0
             for i in own:
                 sequence[i], offset[i] = b, at
                 at += lengths[i]
-        sequence += t.column("__shard")[0].as_py() << 32
-        return t.drop_columns(["__shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        left = sequence == min(range(len(bins)), key=lambda b: sum(lengths[i] for i in bins[b]))
+        sequence += t.column("shard")[0].as_py() << 24  # a shard has far fewer bins
+        return t.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("left", pa.array(left))
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes)
-    return dealt.groupBy("__shard").applyInArrow(fill, f"{kinds}, sequence_id long, offset long")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in dealt.dtypes)
+    return dealt.groupBy("shard").applyInArrow(fill, f"{kinds}, sequence_id long, offset long, left boolean")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

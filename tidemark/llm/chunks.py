@@ -1,8 +1,8 @@
 """Encoding of whole Arrow batches by their distinct chunks.
 
 Natural text repeats its words. A batch of texts is cut into chunks at places where the tokenizer cuts anyway, the chunks are
-dictionary-encoded by Arrow, each distinct chunk is encoded once (and remembered by the Python worker, up to a fixed number of
-chunks), and the ids of the texts are gathered by numpy. The result equals encoding each whole text.
+dictionary-encoded by Arrow, each distinct chunk is encoded once (and remembered by the Python worker, up to its share of an executor's
+bytes; then it forgets all and starts again), and the ids of the texts are gathered by numpy. The result equals encoding each whole text.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that one Python worker remembers (about 200 bytes each). When so many are known, new ones are encoded but not kept.
-REMEMBERED = 500_000
+#: Bytes of a remembered chunk besides its text and its ids: two objects and their place in the dictionary.
+EACH = 190
+#: Characters that some library may take for white space.
+WHITE = r"\s\x0b\x1c-\x1f\p{Z}\x{85}"
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.Table]:
@@ -40,16 +42,22 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
 class ChunkCodes:
     """Ids of chunks as little-endian unsigned 32-bit bytes. A subclass says how chunks are encoded that aren't known yet."""
 
-    def __init__(self, remembered: int = REMEMBERED):
-        self.remembered, self.known = remembered, {}
+    def __init__(self, most: int):
+        self.most, self.held, self.known = most, 0, {}
 
     def encode(self, chunks: list[str]) -> list[bytes]:
         raise NotImplementedError
 
     def remember(self, chunks: list[str], codes: list[bytes]) -> None:
-        room = self.remembered - len(self.known)
-        if room > 0:
-            self.known.update(zip(chunks[:room], codes[:room], strict=True))
+        """Keeps the codes within `most` bytes; when they would be more, what was known before goes first."""
+        sizes = [EACH + 2 * len(c) + len(x) for c, x in zip(chunks, codes, strict=True)]
+        if self.held + sum(sizes) > self.most:
+            self.known.clear()
+            self.held = 0
+        for c, x, size in zip(chunks, codes, sizes, strict=True):
+            if self.held + size <= self.most:
+                self.known[c] = x
+                self.held += size
 
     def codes(self, distinct: list[str]) -> list[bytes]:
         found = list(map(self.known.get, distinct))
@@ -96,3 +104,17 @@ def with_space(parts: pa.ListArray) -> pa.ListArray:
     space[offsets[:-1][np.diff(offsets) > 0]] = False
     chunks = pc.binary_join_element_wise(pc.if_else(pa.array(space), " ", ""), parts.values.slice(first, last - first), "")
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), chunks)
+
+
+def cut_at_spaces(texts: pa.Array) -> pa.ListArray:
+    """Texts without nulls as chunks cut before each space that no white space follows.
+
+    There a byte-level pattern always starts a new piece: of a longer run of white space it takes all but the last character first. So a run stays in one chunk,
+    behind what stands before it, and all else is cut, however long the text.
+    """
+    runs = pc.match_substring_regex(texts, f"[ ][{WHITE}]")
+    if not pc.any(runs).as_py():
+        return with_space(pc.split_pattern(texts, " "))
+    marks = (chr(i) for i in range(0xE000, 0xF900))
+    mark = next(m for m in marks if not pc.any(pc.match_substring(texts, m)).as_py())
+    return pc.split_pattern(pc.replace_substring_regex(texts, f" ([^{WHITE}])", f"{mark} \\1"), mark)

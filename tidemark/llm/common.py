@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes that the Python workers of one executor may remember together (see `worker_bytes`).
+EXECUTOR_CACHE = 320 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
 
-    Only where that is unset (a local session, as in tests) a folder of our own is made and remembered in the session.
+    Where that is unset, a local session (as in tests) gets a folder of its own, remembered in the session; a cluster is an error, as its executors would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,14 +36,55 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back: later steps neither recompute it nor need the executors that made it."""
+    return staged_at(df, name)[0]
+
+
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`staged`, with the folder, for `discard`."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a staged folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """`name`, or it with underscores behind it until no column of `docs` has it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """Every column of `docs`, whatever characters its name has."""
+    return [named(c) for c in docs.columns]
 
 
-def text_of(column: str = "text") -> Column:
-    """The text, null counting as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+def named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def with_arrow_column(docs: DataFrame, source: str, make: Callable[[], Callable[[pa.Array], pa.Array]], out: str, kind: T.DataType, keep: bool = True) -> DataFrame:
+    """`docs` with a last column `out` made from each Arrow batch of column `source` by what `make()` gives, once a task; without `source` on request.
+
+    Columns travel by position, as `mapInArrow` can't find names with dots.
+    """
+    at = docs.columns.index(source)
+    kept = [i for i in range(len(docs.columns)) if keep or i != at]
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = make()
+        for batch in batches:
+            yield pa.record_batch([*(batch.column(i) for i in kept), column(batch.column(at))], names=[*(batch.schema.names[i] for i in kept), "out"])
+
+    schema = T.StructType([*(numbered.schema.fields[i] for i in kept), T.StructField("out", kind)])
+    return numbered.mapInArrow(of, schema).toDF(*(docs.columns[i] for i in kept), out)
 
 
 def id_bucket(column: str, n: int) -> Column:
@@ -44,3 +94,14 @@ def id_bucket(column: str, n: int) -> Column:
 
 def shards(total: int, per_shard: int) -> int:
     return max(1, -(-int(total) // per_shard))
+
+
+def worker_bytes(spark: SparkSession, most: int = EXECUTOR_CACHE) -> int:
+    """The share of `most` bytes of one Python worker: an executor has a worker for each of its cores."""
+    master = spark.sparkContext.master
+    cores = spark.conf.get("spark.executor.cores", None)
+    if cores is None and master.startswith("local-cluster["):
+        cores = master.split(",")[1]
+    elif cores is None and master.startswith("local"):
+        cores = spark.sparkContext.defaultParallelism
+    return most // max(1, int(cores or 8))

@@ -5,8 +5,9 @@ The one wide shuffle carries each distinct text of a task once: `groupBy(hash, t
 fills a third of the table reaches the shuffle once a task, and grouping by the text itself compares bytes, which keeps two texts
 with the same hash apart. Rows then find their group by two digests, without their texts. Spark splits a hot digest in that join (AQE).
 
-Cases: null or empty text is the empty text; rows that repeat an id and its text stay or go together; a null id is never the
-smallest while another id has the text; an empty table gives an empty result; other columns are not read.
+Cases: null or empty text is the empty text; a null id is never the smallest while another id has the text; an empty table gives an empty result. In `exact_groups` rows that repeat an id
+and its text are kept alike, as the answer is by id, and other columns are not read; `drop_exact_copies` leaves exactly one row a group, any one of those with the smallest id, and
+carries other columns of any name and type.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import named
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def normalised(text: str = "text") -> Column:
-    return F.regexp_replace(text_of(text), SPACE_RUN, " ")
+    return F.regexp_replace(F.coalesce(named(text), F.lit("")), SPACE_RUN, " ")
 
 
 def content_hash(text: Column) -> Column:
@@ -28,12 +29,12 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=content_hash, carry: bool = False) -> DataFrame:
-    """One row per row of `docs`: id, keep_id, group_size, kept, text_sha256; with `carry`, all columns of `docs` as struct `row`.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=content_hash) -> DataFrame:
+    """One row per row of `docs`: id, keep_id, group_size, kept, text_sha256.
 
     `digest` makes the grouping hash of a text; any function will do, a weak one only costs time.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"), *([F.struct("*").alias("row")] if carry else []))
+    rows = docs.select(named(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
     groups = (
         rows.groupBy(digest(F.col("norm")).alias("g_hash"), F.col("norm"))
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -41,13 +42,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     keyed = rows.withColumn("hash", digest(F.col("norm"))).withColumn("text_sha256", F.sha2("norm", 256)).drop("norm")
     return keyed.join(groups, (F.col("hash") == F.col("g_hash")) & (F.col("text_sha256") == F.col("g_sha"))).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *(["row"] if carry else [])
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    return exact_groups(docs, id_col, text_col, carry=True).where("kept").select("row.*")
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=content_hash) -> DataFrame:
+    """One row of each group of equal texts, with all its columns: the row of the smallest id comes out of the grouping itself, in one shuffle of the texts."""
+    text = named(text_col)
+    norm = normalised(text_col)
+    others = [named(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    # The text as it was, where it is not the normalised one.
+    raw = F.when(text.isNull() | (text != norm), F.struct(text.alias("text"))).alias("raw")
+    rows = docs.select(norm.alias("norm"), F.struct(named(id_col).isNull(), named(id_col)).alias("by"), F.struct(raw, *others).alias("row"))
+    kept = rows.groupBy(digest(F.col("norm")).alias("hash"), "norm").agg(F.min_by("row", "by").alias("row"))
+    whole = F.when(F.col("row.raw").isNotNull(), F.col("row.raw.text")).otherwise(F.col("norm"))
+    return kept.select(*(whole.alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 ORACLE_SQL = r"""

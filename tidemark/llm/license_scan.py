@@ -2,10 +2,10 @@
 
 Every rolling word k-gram hash of every text is joined (Spark, broadcast of the fixed template table) to the template positions
 with that hash; the words are compared too, so hash collisions don't vote. Votes are summed by offset diagonal (text position minus
-template position), neighbouring diagonals (words inserted or left out) are merged, and a span is verified by the share of its template's words
-that it covers: 0.8 or more for a template, all for a base phrase.
+template position), neighbouring diagonals (words inserted or left out) are merged, and a span is verified by the words of its template that the grams found in it cover, each counted once: 0.8 of them
+or more for a template, all for a base phrase; nor may a span be longer than the template by more words than `DRIFT` and those it may lack.
 
-Texts are lower-cased; words are runs of ASCII letters, ASCII digits and non-ASCII characters. The template table is a fixed value of
+A-Z are lower-cased; words are runs of ASCII letters, ASCII digits and non-ASCII characters. The template table is a fixed value of
 a few hundred positions, so its broadcast does not grow with the data.
 
 Cases: null or empty text has no words and no labels; repeated rows are rows of their own; a null id stays null; an empty table gives an
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import named
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -55,8 +55,11 @@ TEMPLATES = {
 }
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return WORD.findall(text.translate(str.maketrans(UPPER, LOWER)))
 
 
 def template_grams(spark, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES, k: int = K) -> DataFrame:
@@ -71,8 +74,11 @@ def template_grams(spark, base: dict[str, str] = BASE, templates: dict[str, str]
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES, cover: float = COVER) -> DataFrame:
     """For every row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, first, last, cover)."""
-    words = F.array_remove(F.split(F.lower(text_of(text_col)), SEPARATORS), "")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words.alias("w0"))
+    text = F.coalesce(named(text_col), F.lit(""))
+    # lower() is the faster, and the same where all is ASCII.
+    lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    words = F.array_remove(F.split(lowered, SEPARATORS), "")
+    rows = docs.select(named(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words.alias("w0"))
     shifted = [F.expr(f"slice(w0, {i + 1}, size(w0))").alias(f"w{i}") for i in range(1, K)]
     rows = rows.select("doc_id", "row", F.size("w0").cast("long").alias("n_words"), "w0", *shifted)
     at = rows.select("doc_id", "row", "n_words", F.posexplode_outer(F.arrays_zip("w0", "w1", "w2", "w3")).alias("pos", "g"))
@@ -86,7 +92,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     diagonals = (
         voted.withColumn("diagonal", F.col("pos") - F.col("t_pos"))
         .groupBy("doc_id", "row", "n_words", "t_id", "t_label", "t_base", "t_size", "t_k", F.when(F.col("t_id").isNotNull(), F.col("diagonal")).alias("diagonal"))
-        .agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+        .agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("t_pos").alias("found"))
     )
     by = Window.partitionBy("row", "t_id").orderBy("first", "diagonal")
     apart = (
@@ -95,12 +101,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
         | (F.col("first") - F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1)) > GAP)
     )
     merged = diagonals.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("span", F.sum("apart").over(by))
-    spans = merged.groupBy("doc_id", "row", "n_words", "t_id", "t_label", "t_base", "t_size", "span").agg(
-        F.least(F.lit(1.0), F.sum(F.col("votes") + F.col("t_k") - 1) / F.first("t_size")).alias("cover"),
-        F.min("first").cast("long").alias("first"),
-        F.max(F.col("last") + F.col("t_k") - 1).cast("long").alias("last"),
+    spans = merged.groupBy("doc_id", "row", "n_words", "t_id", "t_label", "t_base", "t_size", "t_k", "span").agg(
+        F.flatten(F.collect_list("found")).alias("found"), F.min("first").cast("long").alias("first"), F.max(F.col("last") + F.col("t_k") - 1).cast("long").alias("last")
     )
-    good = F.col("t_id").isNotNull() & (F.col("cover") >= F.when(F.col("t_base"), 1.0).otherwise(cover))
+    # A template has a fixed number of positions, so the arrays are bounded; nothing is voted for in a document's own row.
+    covered = F.size(F.array_distinct(F.flatten(F.transform("found", lambda p: F.sequence(p, p + F.col("t_k") - 1)))))
+    spans = spans.withColumn("cover", F.when(F.col("t_id").isNotNull(), covered / F.col("t_size")))
+    least = F.when(F.col("t_base"), 1.0).otherwise(cover)
+    longest = F.col("t_size") * (2 - least) + DRIFT
+    good = F.col("t_id").isNotNull() & (F.col("cover") >= least) & (F.col("last") - F.col("first") + 1 <= longest)
     base_hit = good & F.col("t_base")
     joined = lambda hit: F.array_join(F.array_sort(F.collect_set(F.when(hit, F.col("t_label")))), ",")
     return spans.groupBy("doc_id", "row").agg(

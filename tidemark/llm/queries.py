@@ -18,10 +18,8 @@ def vocabulary(name: str) -> str:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(id_bucket("doc_id", 4) != 2)
-    scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return scored.select(
-        "doc_id", F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("__toxicity").alias("score"), (F.col("__toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted")
-    )
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), out="score")
+    return scored.select("doc_id", F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +46,9 @@ def op6_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False))
-    found = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs, ~held_out))
-    return found.select("doc_id", held_out.alias("held_out"), F.col("__lang.pred").alias("lang_pred"), F.col("__lang.score").alias("score"), F.col("__lang.rejected").alias("rejected"))
+    held_out = id_bucket("doc_id", 5) == 0  # null for a null id: neither held out nor learnt from
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs, ~held_out), out="found")
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("found.pred").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.rejected").alias("rejected"))
 
 
 def op8_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ three-level bitmap (64 x 64 x 64 ranks) over the buckets gives the next rank by
 whose pair has changed since is stale and is skipped; if a merge brings up a smaller rank, the rest of the bucket waits. Many pre-tokens share one
 queue, as their merges don't touch, so that one look for the next rank serves all of them. The work is n log n in the length, whatever the merges.
 
-Texts are cut before single spaces first, where the pattern always starts a new pre-token; distinct chunks are encoded once and remembered by
-the Python worker (see `chunks`). A text with a longer run of white space after a space is matched by the pattern whole.
+Texts, long ones included, are cut before spaces that no white space follows first, where the pattern always starts a new pre-token; distinct chunks are encoded once
+and remembered by the Python worker within its share of an executor's bytes (see `chunks`).
 
 Cases: null or empty text has no ids; repeated rows are rows of their own; a null id stays null; an empty table gives an empty result; only the id
 and the text are read.
@@ -24,11 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.chunks import ChunkCodes, by_bytes, with_space
+from tidemark.llm.chunks import ChunkCodes, by_bytes, cut_at_spaces
+from tidemark.llm.common import named, worker_bytes
 
 BATCH_BYTES = 4 << 20
-#: Chunks that a Python worker remembers (about 200 bytes each): more than elsewhere, as encoding one takes longer.
-REMEMBERED = 1_500_000
+#: Bytes that the Python workers of an executor may remember together: more than elsewhere, as encoding a chunk takes longer.
+EXECUTOR_CACHE = 640 << 20
 #: Bytes of pre-tokens that one queue merges together (about 150 bytes of lists each).
 RUN_BYTES = 1 << 19
 #: Marks that end many chunks.
@@ -77,10 +78,10 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class RankQueueBpe(ChunkCodes):
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = EXECUTOR_CACHE // 8):
         import regex
 
-        super().__init__(REMEMBERED)
+        super().__init__(most)
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
@@ -184,28 +185,25 @@ class RankQueueBpe(ChunkCodes):
     def encode(self, chunks: list[str]) -> list[bytes]:
         """A chunk of letters (behind a space or none) and one mark is two pre-tokens, which are remembered apart."""
         cut = [(c[:-1], c[-1]) if len(c) > 1 and c[-1] in MARKS and c[c[0] == " " : -1].isalpha() else (c, "") for c in chunks]
-        new = list({x for pair in cut for x in pair} - self.known.keys())
-        made = dict(zip(new, self.encode_texts(new), strict=True))
-        self.remember(new, list(made.values()))
-        of = lambda x: made[x] if x in made else self.known[x]
-        return [of(head) + of(mark) if mark else of(head) for head, mark in cut]
+        needed = {x for pair in cut for x in pair}
+        made = {x: self.known[x] for x in needed & self.known.keys()}
+        new = list(needed - made.keys())
+        codes = self.encode_texts(new)
+        self.remember(new, codes)
+        made.update(zip(new, codes, strict=True))
+        return [made[head] + made[mark] if mark else made[head] for head, mark in cut]
 
     def ids(self, texts: pa.Array) -> list[list[int]]:
         """The ids of each text (null: none)."""
-        texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, r"[ ][\s\x0b\x1c-\x1f\p{Z}\x{85}]")
-        ids, sizes = self.gather(with_space(pc.split_pattern(pc.if_else(whole, "", texts), " ")))
+        ids, sizes = self.gather(cut_at_spaces(pc.fill_null(texts, "")))
         ends = np.cumsum(sizes)
-        out = [ids[a:b].tolist() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
-            out[i] = self.encode_text(texts[i].as_py())
-        return out
+        return [ids[a:b].tolist() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
-def coder(ranks: bytes, pattern: str) -> RankQueueBpe:
-    """One coder for each Python worker, ranks file and pattern."""
+def coder(ranks: bytes, pattern: str, most: int) -> RankQueueBpe:
+    """One coder for each Python worker, ranks file and pattern; `most`: bytes that it may remember."""
     if (ranks, pattern) not in _CODERS:
-        _CODERS[ranks, pattern] = RankQueueBpe(read_ranks(ranks), pattern)
+        _CODERS[ranks, pattern] = RankQueueBpe(read_ranks(ranks), pattern, most)
     return _CODERS[ranks, pattern]
 
 
@@ -213,12 +211,13 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row; with `keep`, ids (array<int>) and decoded (binary) too. `ranks`: path of the ranks file."""
     with open(ranks, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    most = worker_bytes(docs.sparkSession, EXECUTOR_CACHE)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if keep else "")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = None
         for some in by_bytes(batches, "text", batch_bytes):
-            mine = mine or coder(sent.value, pattern)
+            mine = mine or coder(sent.value, pattern, most)
             for batch in some.combine_chunks().to_batches():
                 ids = mine.ids(batch.column("text"))
                 decoded = [mine.decode(x) for x in ids]
@@ -234,4 +233,4 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "
                     columns, names = [*columns, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], [*names, "ids", "decoded"]
                 yield pa.record_batch(columns, names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, schema)
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(of, schema)

@@ -5,11 +5,12 @@ tries, one per block, with that block's bits on top. Below an equal top block th
 walked together, a pair of children on different sides adds one differing bit, and a pair is dropped once more than `budget` bits
 differ. A block value shared by very many fingerprints is cut into slices and the pairs of slices become separate groups, so no task
 holds an unbounded group and nothing is dropped. Tasks emit a spanning forest of the links they find, never all pairs.
-Components of these links come from alternating large-star and small-star rounds, each written to the shared folder.
+Components of these links come from alternating large-star and small-star rounds, each written to the shared folder and deleted when the next one is.
 
 Cases: null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle are one shingle;
-repeated ids are rows of their own; a null id never is a component's id unless it has no other; an empty table gives an empty result;
-only the id and the text are read.
+repeated ids are rows of their own; a null id never is a component's id unless it has no other; an empty table gives an empty result.
+`near_duplicates` reads only the id and the text; `drop_near_duplicates` leaves exactly one row a component (the smallest id, null ids last, then the first row read)
+and carries other columns of any name.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import shards, staged
+from tidemark.llm.common import columns_of, discard, fresh, named, shards, staged, staged_at, with_arrow_column
 
 SHINGLE, BUDGET, SEED = 3, 3, 42
 #: Fingerprints of one block value that a group holds at most; more are cut into slices of about this size.
@@ -53,15 +55,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_ > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (long) for every row."""
+def with_fingerprint(docs: DataFrame, text_col: str, out: str, width: int = SHINGLE, keep_text: bool = True) -> DataFrame:
+    """`docs` with the fingerprint of every row's text as last column `out` (long); without the text on request."""
+    make = lambda: lambda texts: pa.array([fingerprint(t.as_py(), width) for t in texts], pa.int64())
+    return with_arrow_column(docs, text_col, make, out, T.LongType(), keep_text)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [fingerprint(t.as_py(), width) for t in batch.column("text")]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (long) for every row."""
+    return with_fingerprint(docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")), "text", "fp", width, keep_text=False)
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +203,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds; each round's edges are written to the shared folder, and rounds end when nothing changes.
     """
-    edges = staged(edges.where("u <> v").distinct(), "links")
+    edges, path = staged_at(edges.where("u <> v").distinct(), "links")
     seen = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -210,26 +212,38 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = down.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("k", "m")).distinct()
-        edges = staged(small, "links")
+        edges, new = staged_at(small, "links")
+        discard(edges.sparkSession, path)
+        path = new
         state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
 
 
+def classes_of(prints: DataFrame, budget: int) -> DataFrame:
+    """fp, root of every distinct fingerprint of `prints` (written: it is read more than once)."""
+    distinct = staged(prints.select("fp").distinct(), "classes")
+    found = components(links(distinct, distinct.count(), budget))
+    return distinct.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id of the component) for every row."""
     prints = staged(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    found = components(links(classes.select("fp"), classes.count(), budget))
-    rooted = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = staged(rooted, "rooted")
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "r")
-    named = rooted.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = staged(classes_of(prints, budget), "rooted")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    ids = least.join(rooted, F.col("fp") == F.col("f")).groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"))
+    of_class = rooted.join(ids, F.col("root") == F.col("r")).select("f", "component_id")
+    return prints.join(of_class, F.col("fp") == F.col("f")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """The rows of `docs` of the smallest id of each component, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, width, budget).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """One row of each component, with all its columns. Rows get a key of their own, written with them, so that repeated and null ids are told apart."""
+    fp, key = fresh(docs, "fingerprint"), fresh(docs, "row_key")
+    rows = staged(with_fingerprint(docs, text_col, fp, width).withColumn(key, F.monotonically_increasing_id()), "fingerprinted")
+    prints = rows.select(named(id_col).alias("id"), named(fp).alias("fp"), named(key).alias("key"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    least = prints.groupBy("fp").agg(first)
+    kept = least.join(classes_of(prints, budget), F.col("fp") == F.col("f")).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("kept_key"))
+    return rows.join(kept, named(key) == F.col("kept_key"), "left_semi").select(*columns_of(docs))

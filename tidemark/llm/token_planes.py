@@ -4,8 +4,8 @@ Ids are cut into blocks of a fixed number of ids. A block's ids (unsigned 32-bit
 equal high bytes lie together; each plane is compressed with zstandard. A file holds its blocks one after another, then a chunk index (for each block: place,
 sizes of its planes, number of ids; for each document: id, first id, number of ids), then the index's place. Any document can be read by the index alone.
 
-Spark orders the documents by range partitions of the id, each task writes one file under a name of its own attempt and moves it into place, and a
-manifest of one row per file is kept as a table. Tasks hold one batch of texts and one block at a time. Files go to the shared folder by its URI.
+Spark orders the documents by range partitions of the id, each task writes one file under a name of its own attempt, and a manifest of one row per file,
+by the names of the attempts that Spark counted, is kept as a table. An attempt that fails deletes its file; one that Spark kills leaves a file that no manifest names. Tasks hold one batch of texts and one block at a time. Files go to the shared folder by its URI.
 
 Cases: null or empty text has only the end id; null ids come first; rows that repeat an id stay beside each other; an empty table gives no file and an empty result;
 only the id and the text are read.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.chunks import by_bytes
-from tidemark.llm.common import shared_dir, staged
+from tidemark.llm.common import named, shared_dir, staged, worker_bytes
 from tidemark.llm.word_codes import word_codes
 
 MAGIC, BLOCK, LEVEL, BATCH_BYTES = b"TPLANES1", 1 << 16, 3, 4 << 20
@@ -152,28 +152,35 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col:
     """Writes the files under the URI `folder` and returns the manifest: part, file, n_docs, n_ids, n_bytes, start (ids in the files before)."""
     with open(tokenizer, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
+    most = worker_bytes(docs.sparkSession)
     schema = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         fs, top = pafs.FileSystem.from_uri(folder)
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.planes"
         writer = out = None
-        for some in by_bytes(batches, "text", BATCH_BYTES):
+        try:
+            for some in by_bytes(batches, "text", BATCH_BYTES):
+                if writer is None:
+                    fs.create_dir(top, recursive=True)
+                    out = fs.open_output_stream(f"{top}/{name}")
+                    writer, codes = Writer(out, bits), word_codes(model.value, most)
+                for batch in some.combine_chunks().to_batches():
+                    ids, sizes = codes.ids(batch.column("text"))
+                    writer.add(batch.column("doc_id"), np.insert(ids, np.cumsum(sizes), end_id), sizes + 1)
             if writer is None:
-                fs.create_dir(top, recursive=True)
-                name, attempt = f"part-{part:06d}.planes", f"{top}/.{part:06d}-{uuid.uuid4().hex}"
-                out = fs.open_output_stream(attempt)
-                writer, codes = Writer(out, bits), word_codes(model.value)
-            for batch in some.combine_chunks().to_batches():
-                ids, sizes = codes.ids(batch.column("text"))
-                writer.add(batch.column("doc_id"), np.insert(ids, np.cumsum(sizes), end_id), sizes + 1)
-        if writer is not None:
+                return
             writer.close()
             out.close()
-            fs.move(attempt, f"{top}/{name}")
-            yield pa.record_batch([[part], [name], [writer.n_docs], [writer.n_ids], [fs.get_file_info(f"{top}/{name}").size]], schema=schema)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        except BaseException:
+            if out is not None:
+                out.close()
+                fs.delete_file(f"{top}/{name}")
+            raise
+        yield pa.record_batch([[part], [name], [writer.n_docs], [writer.n_ids], [fs.get_file_info(f"{top}/{name}").size]], schema=schema)
+
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     made = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(write, "part int, file string, n_docs long, n_ids long, n_bytes long")
     made = staged(made, "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file

@@ -5,17 +5,17 @@ Features are the distinct words of a text and the distinct 4-grams of characters
 a counterfactual copy names another group of the same kind instead; the loss adds `SWAP_PENALTY` times the squared difference of the two scores, so
 a neutral mention of a group can't carry weight of its own.
 
-The sample: the `SAMPLE_DOCS` labelled training documents with the smallest hash of their id. Only their selected features (at most
-`SAMPLE_DOCS` x `FEATURES` small integers) reach the driver.
+The sample: the `SAMPLE_DOCS` labelled training documents with the smallest hash of their id, taken from those whose hash is below a threshold that leaves about `OVER` times
+as many. Only their selected features (at most `SAMPLE_DOCS` x `FEATURES` small integers) reach the driver.
 
-Cases: null or empty text has the score of a text without features; rows without a label, and labels without a row, are not learnt from; ids labelled twice count
+Cases: null or empty text has the score of a text without features; rows without a label or an id, and labels without a row, are not learnt from; ids labelled twice count
 twice; with no labelled row every score is 0; repeated rows are rows of their own; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import fresh, named, staged, with_arrow_column
 
-SAMPLE_DOCS, FEATURES, BUCKETS, SWAP_PENALTY, RIDGE, ROUNDS = 24_000, 1_000, 1 << 22, 10.0, 1e-3, 400
+SAMPLE_DOCS, OVER, FEATURES, BUCKETS, SWAP_PENALTY, RIDGE, ROUNDS = 24_000, 2, 1_000, 1 << 22, 10.0, 1e-3, 400
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W_]+")
 
@@ -115,9 +115,11 @@ def train(features: list[np.ndarray], swapped: list[np.ndarray], labels: np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, features: int = FEATURES, penalty: float = SWAP_PENALTY) -> Model:
     """`labels`: id_col and label_col (0 or 1) of the rows that may be learnt from."""
-    sample = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label"))
-    sample = sample.orderBy(F.xxhash64("l_id"), "l_id", "label").limit(sample_docs)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("l_id"))
+    usable = labels.where(named(label_col).isin(0, 1) & named(id_col).isNotNull()).select(named(id_col).alias("l_id"), named(label_col).cast("int").alias("label"))
+    low = int(min(1.0, OVER * sample_docs / max(1, usable.count())) * (1 << 30))
+    hashed = usable.withColumn("hash", F.pmod(F.xxhash64("l_id"), F.lit(1 << 30))).where(F.col("hash") < low)
+    sample = hashed.orderBy("hash", "l_id", "label").limit(sample_docs).select("l_id", "label")
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("l_id"))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
@@ -133,12 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n, n1 = totals["n"], totals["n1"]
     if not n:
         return Model()
-    counts = taken.select("label", F.explode("own").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("a"), F.sum("label").alias("a1")).where("a >= 4")
+    counts = taken.select("label", F.explode("own").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("a"), F.sum("label").alias("a1"))
     a, a1 = F.col("a").cast("double"), F.col("a1").cast("double")
     chi = n * F.pow(a1 * n - a * n1, 2) / (a * (n - a + 1e-9) * (n1 + 1e-9) * (n - n1 + 1e-9))
     chosen = [r["f"] for r in counts.select("f", chi.alias("chi")).orderBy(F.desc("chi"), "f").limit(features).collect()]
-    named = sorted({f for w in SWAP for f in features_of_word(w)})
-    columns = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *named]))}
+    groups = sorted({f for w in SWAP for f in features_of_word(w)})
+    columns = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *groups]))}
     known = docs.sparkSession.sparkContext.broadcast(np.array(sorted(columns), np.int32))
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(bias, {f: float(w[i]) for f, i in columns.items()})
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` with a column `__toxicity` (double, 0 to 1) of every whole text."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out: str | None = None) -> DataFrame:
+    """`docs` with a column (double, 0 to 1) of every whole text's score. Its name is `out`, or else `fresh(docs, "toxicity")`."""
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
-    at = docs.columns.index(text_col)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.Array], pa.Array]:
         mine = Model(*sent.value)
-        for batch in batches:
-            scores = [mine.score(t.as_py()) for t in batch.column(at)]
-            yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "__toxicity"])
+        return lambda texts: pa.array([mine.score(t.as_py()) for t in texts], pa.float64())
 
-    return docs.mapInArrow(of, T.StructType([*docs.schema.fields, T.StructField("__toxicity", T.DoubleType())]))
+    return with_arrow_column(docs, text_col, make, out or fresh(docs, "toxicity"), T.DoubleType())

@@ -19,10 +19,10 @@ MARKS = ",.!?;:|"
 
 
 class WordCodes(ChunkCodes):
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, most: int):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(most)
         self.library = Tokenizer.from_str(model.decode())
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -31,11 +31,13 @@ class WordCodes(ChunkCodes):
     def encode(self, chunks: list[str]) -> list[bytes]:
         """Letters with a mark behind them are encoded, and remembered, as letters and as mark."""
         cut = [(c[:-1], c[-1]) if c[-1] in MARKS and c[:-1].isalpha() else (c, "") for c in chunks]
-        new = list({x for pair in cut for x in pair} - self.known.keys() - {""})
-        made = dict(zip(new, self._library_codes(new), strict=True))
-        self.remember(new, list(made.values()))
-        of = lambda x: made.get(x) or self.known.get(x, b"")
-        return [of(head) + of(mark) if mark else of(head) for head, mark in cut]
+        needed = {x for pair in cut for x in pair} - {""}
+        made = {x: self.known[x] for x in needed & self.known.keys()}
+        new = list(needed - made.keys())
+        codes = self._library_codes(new)
+        self.remember(new, codes)
+        made.update(zip(new, codes, strict=True))
+        return [made[head] + made[mark] if mark else made.get(head, b"") for head, mark in cut]
 
     def _library_codes(self, words: list[str]) -> list[bytes]:
         """Words of letters are encoded joined by spaces, many at a time: each ends with the one token that ends a word."""
@@ -71,8 +73,8 @@ class WordCodes(ChunkCodes):
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def word_codes(model: bytes) -> WordCodes:
-    """One encoder for each Python worker and tokenizer file."""
+def word_codes(model: bytes, most: int) -> WordCodes:
+    """One encoder for each Python worker and tokenizer file; `most`: bytes that it may remember."""
     if model not in _ENCODERS:
-        _ENCODERS[model] = WordCodes(model)
+        _ENCODERS[model] = WordCodes(model, most)
     return _ENCODERS[model]
