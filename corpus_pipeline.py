@@ -9,35 +9,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bin_packing, exact_dedup, language_id, simhash_trie, toxicity
-from tidemark.llm.common import id_bucket, staged, table
+from tidemark.llm.common import columns_of, discard, fresh, id_bucket, named, staged_at, table
 from tidemark.llm.queries import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language the compressors reject: no letters, or a margin too narrow."""
-    found = language_id.predict(docs, language_id.fit(docs, id_bucket("doc_id", 5) != 0))
-    return found.where("not __lang.rejected").select(*docs.columns)
+    """Drops documents whose language the compressors reject: no letters, or a margin too narrow.
+
+    Null and empty texts, and texts without a letter, go; rows with a null id, and repeated rows, stay or go by their text; an empty table, or one without a language to learn from, gives none.
+    """
+    name = fresh(docs, "language")
+    found = language_id.predict(docs, language_id.fit(docs, id_bucket("doc_id", 5) != 0), out=name)
+    return found.where(~named(name)["rejected"]).select(*columns_of(docs))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier, trained on the labelled ones, calls toxic."""
+    """Drops documents that the classifier, trained on the labelled ones that are left, calls toxic.
+
+    A null text scores as an empty one; repeated rows stay or go together; without a label nothing goes; an empty table gives an empty one.
+    """
     labels = table(spark, sf_dir, "labels").where(id_bucket("doc_id", 4) != 2)
-    scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return scored.where(scored["__toxicity"] < toxicity.THRESHOLD).select(*docs.columns)
+    name = fresh(docs, "toxicity")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), out=name)
+    return scored.where(named(name) < toxicity.THRESHOLD).select(*columns_of(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of equal texts."""
+    """Keeps one row of each group of equal texts: that of the smallest id, null ids last. Null and empty texts are equal."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each component of near-duplicates."""
+    """Keeps one row of each component of near-duplicates: that of the smallest id, null ids last, whether or not an id repeats."""
     return simhash_trie.drop_near_duplicates(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token sequences of what is left."""
+    """Packs the token sequences of what is left, every row's; a null text is the end id alone."""
     return bin_packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 1)
 
 
@@ -48,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), "pipeline")
+        docs, path = staged_at(stage(spark, docs, sf_dir), "pipeline")
+        if before:
+            discard(spark, before)  # the next stage's rows are written, nothing reads these any more
+        before = path
     return docs
