@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.stats import hash_number, ranked
 from tidemark.operators.timeline import asof_join
 
 
@@ -28,10 +29,11 @@ def signed_returns(rows: DataFrame, key: str, time: str, side: str, r: str, fund
 
 def reallocated(trades: DataFrame, by: str, key: str, r: str, chosen: str, extra: float, seed: str) -> DataFrame:
     """Mean result as it is, with `extra` exposure on chosen trades, with the same budget on all, and on as many trades by hash order."""
-    w = Window.partitionBy(by)
-    up = F.coalesce(F.col(chosen), F.lit(False)).cast("int")
-    place = F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256), key))
-    x = trades.select(by, F.col(r).alias("x"), up.alias("up"), (place <= F.sum(up).over(w)).cast("int").alias("dealt"), F.avg(up).over(w).alias("share"))
+    h = F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)
+    x = trades.select(by, F.col(r).alias("x"), F.col(key).alias("id"), F.coalesce(F.col(chosen), F.lit(False)).cast("int").alias("up"), h.alias("h"))
+    x = ranked(x, [by], hash_number(F.col("h")), ["h", "id"], "place")
+    shares = x.groupBy(F.col(by).alias("of")).agg(F.sum("up").alias("ups"), F.avg("up").alias("share"))
+    x = x.join(shares, F.col(by).eqNullSafe(F.col("of"))).withColumn("dealt", (F.col("place") <= F.col("ups")).cast("int"))
     mean = lambda c: F.avg(F.col("x") * (1 + extra * F.col(c)))
     return x.groupBy(by).agg(F.avg("x").alias("base"), mean("up").alias("raised"), mean("share").alias("matched"), mean("dealt").alias("shuffled"))
 

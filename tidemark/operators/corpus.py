@@ -36,14 +36,14 @@ def normal_title(text: str) -> Column:
 
 def round_robin(rows: DataFrame, group: str, source: str, order: list[str], cap: int) -> DataFrame:
     """The n-th item of every source before the (n + 1)-th of any, up to `cap` a group; `place` is the position."""
-    nth = rows.withColumn("nth", F.row_number().over(Window.partitionBy(group, source).orderBy(*order)))
+    nth = rows.withColumn("nth", F.row_number().over(Window.partitionBy(group, source).orderBy(*order))).where(F.col("nth") <= cap)  # later ones can't be among the first `cap`
     return nth.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("nth", source))).where(F.col("place") <= cap)
 
 
 def diverse(rows: DataFrame, group: str, source: str, order: list[str], cap: int) -> DataFrame:
     """The best item of each source first, then the best of the rest, up to `cap` a group."""
-    best = rows.withColumn("__b", (F.row_number().over(Window.partitionBy(group, source).orderBy(*order)) > 1).cast("int"))
-    return best.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("__b", *order))).where(F.col("place") <= cap).drop("__b")
+    nth = rows.withColumn("diverse_n", F.row_number().over(Window.partitionBy(group, source).orderBy(*order))).where(F.col("diverse_n") <= cap)  # later ones can't be among the first `cap`
+    return nth.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.col("diverse_n") > 1, *order))).where(F.col("place") <= cap).drop("diverse_n")
 
 
 def digest(value: str) -> Column:
@@ -104,9 +104,10 @@ def recurrence(rows: DataFrame, text: str, day: str, lookback: int) -> DataFrame
 
 
 def profile(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
+    """Texts are told apart by a 128-bit digest, so that what the distinct counts multiply is narrow."""
     words = F.size(F.regexp_extract_all(text, F.lit(r"([^ \t\n\r]+)")))
-    return docs.select(id_col, text, source, words.alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct(id_col).alias("ids"), F.countDistinct(text).alias("texts"), F.countDistinct(source).alias("sources"),
+    return docs.select(id_col, F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), source, words.alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(id_col).alias("ids"), F.countDistinct("digest").alias("texts"), F.countDistinct(source).alias("sources"),
         F.percentile("w", 0.5).alias("p50"), F.percentile("w", 0.95).alias("p95"), F.count_if(F.col("w") >= 300).alias("long"),
     )
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tidemark.operators.timeline import running_before
+
 
 def last_rows(w: WindowSpec, n: int, skip: int = 0) -> WindowSpec:
     """The last n rows, the current one included unless `skip` leaves out the latest."""
@@ -98,25 +100,17 @@ def drawdown(x: str, w: WindowSpec) -> Column:
     return 1 - F.col(x) / F.max(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def cluster_by_gap(rows: DataFrame, key: str, time: str, gap: int) -> DataFrame:
-    """`cluster` numbers from 1 per key; a new one starts when the gap exceeds `gap`."""
-    w = Window.partitionBy(key).orderBy(time)
-    new = F.coalesce((F.col(time) - F.lag(time).over(w) > gap).cast("int"), F.lit(1))
-    return rows.withColumn("__new", new).withColumn("cluster", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__new")
-
-
 def turnover(weights: DataFrame, key: str, time: str, weight: str) -> DataFrame:
     """Per time the sum of absolute weight changes over a dense grid; the first time counts in full."""
     w = Window.partitionBy(key).orderBy(time)
     return weights.withColumn("__d", F.abs(F.col(weight) - F.coalesce(F.lag(weight).over(w), F.lit(0.0)))).groupBy(time).agg(F.sum("__d").alias("turnover"))
 
 
-def streaks(rows: DataFrame, key: str, order: list[str], win: Column) -> DataFrame:
-    """Longest runs of wins and losses per key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    runs = rows.withColumn("__w", win).withColumn("__i", F.row_number().over(w)).withColumn("__j", F.row_number().over(Window.partitionBy(key, "__w").orderBy(*order)))
-    runs = runs.groupBy(key, "__w", F.col("__i") - F.col("__j")).agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("__w"), F.col("n"))), F.lit(0)).alias("win"), F.coalesce(F.max(F.when(~F.col("__w"), F.col("n"))), F.lit(0)).alias("loss"))
+def streaks(rows: DataFrame, key: str, bucket: str, order: list[str], win: Column) -> DataFrame:
+    """Longest runs of wins and losses per key, by `bucket`, then `order`. Rows of a run have the same number of opposite rows before them."""
+    counted = running_before(rows.select(key, bucket, *order, win.alias("won")), key, bucket, order, {"lost_before": (~F.col("won")).cast("int"), "won_before": F.col("won").cast("int")})
+    runs = counted.groupBy(key, "won", F.when(F.col("won"), F.col("lost_before")).otherwise(F.col("won_before")).alias("island")).agg(F.count(F.lit(1)).alias("n"))
+    return runs.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("won"), F.col("n"))), F.lit(0)).alias("win"), F.coalesce(F.max(F.when(~F.col("won"), F.col("n"))), F.lit(0)).alias("loss"))
 
 
 def equal_parts(position: Column, n: Column, k: int) -> Column:

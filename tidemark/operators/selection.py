@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.stats import ranked
+
 
 def top_n(rows: DataFrame, by: list[str], order: list[Column], n: int, out: str = "rank") -> DataFrame:
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(out) <= n)
@@ -40,11 +42,11 @@ def hash_sample(rows: DataFrame, strata: list[str], key: str, seed: str, n: int)
 
 
 def even_sample(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
-    """n evenly spaced rows per group, first and last included (all, if fewer)."""
-    w = Window.partitionBy(*by)
-    rows = rows.withColumn("__p", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    wanted = F.exists(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("__n") - 1) / (n - 1) + 0.5) == F.col("__p"))
-    return rows.where((F.col("__n") <= n) | wanted).drop("__p", "__n")
+    """n evenly spaced rows per group, first and last included (all, if fewer). The first column of `order` is numeric."""
+    x = ranked(rows, by, F.col(order[0]), order, "even_place")
+    place, many = F.col("even_place") - 1, F.col("even_place_n")
+    wanted = F.exists(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (many - 1) / (n - 1) + 0.5) == place)
+    return x.where((many <= n) | wanted).select(*rows.columns)
 
 
 def stratum_minimum_then_fill(rows: DataFrame, stratum: str, key: str, seed: str, n: int) -> DataFrame:
@@ -75,8 +77,8 @@ def best_configuration(folds: DataFrame, config: str, value: str, *gates: Column
 
 
 def same_density(rows: DataFrame, by: str, order: Column, key: str, zero: Column, half: Column) -> DataFrame:
-    """`weight`: per group the first rows by `order` get 0 and the next 0.5, as many as meet the conditions `zero` and `half`; the rest 1."""
-    per = rows.groupBy(by).agg(F.count_if(zero).alias("__z"), F.count_if(half).alias("__h"))
-    ranked = rows.withColumn("__i", F.row_number().over(Window.partitionBy(by).orderBy(order, key))).join(per, by)
-    i = F.col("__i")
-    return ranked.withColumn("weight", F.when(i <= F.col("__z"), 0.0).when(i <= F.col("__z") + F.col("__h"), 0.5).otherwise(1.0)).drop("__i", "__z", "__h")
+    """`weight`: per group the first rows by `order` (numeric, smallest first) get 0 and the next 0.5, as many as meet the conditions `zero` and `half`; the rest 1."""
+    per = rows.groupBy(F.col(by).alias("dense_by")).agg(F.count_if(zero).alias("dense_z"), F.count_if(half).alias("dense_h"))
+    x = ranked(rows, [by], order, [key], "dense_i").join(per, F.col(by).eqNullSafe(F.col("dense_by")))
+    i = F.col("dense_i")
+    return x.select(*rows.columns, F.when(i <= F.col("dense_z"), 0.0).when(i <= F.col("dense_z") + F.col("dense_h"), 0.5).otherwise(1.0).alias("weight"))

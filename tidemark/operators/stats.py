@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.sources.readers import written
+
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Ranks come from counts of distinct values, so that no task sorts all rows."""
@@ -97,17 +101,40 @@ def return_statistics(returns: DataFrame, by: list[str], r: str, periods: float)
     return returns.groupBy(*by).agg(compounded(x).alias("total"), (F.avg(x) / F.stddev_samp(x) * periods**0.5).alias("sharpe"), F.when(down > 0, F.avg(x) / down * periods**0.5).alias("sortino"))
 
 
+def ranked(rows: DataFrame, by: list[str], x: Column, order: list[str], out: str, parts: int = 200) -> DataFrame:
+    """`rows` with their place (from 1) in their group by the numeric x, then `order`, and the group's size as `out`_n. Nulls of x come first; groups match by value, null with null.
+
+    A group is cut at approximate quantiles, written once so that every task sees the same; places are counts of the parts before plus the place within one. Only rows that tie on x stay together.
+    """
+    names = [f"rank_b{i}" for i in range(len(by))]
+    y = rows.withColumn("rank_x", x)
+    cuts = y.groupBy(*by).agg(F.percentile_approx("rank_x", [i / parts for i in range(1, parts)]).alias("rank_cuts"))
+    cuts = written(cuts, "cuts").toDF(*names, "rank_cuts")
+    same = lambda: reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)), F.lit(True))
+    part = F.when(F.col("rank_x").isNull(), -1).otherwise(F.size(F.filter(F.array_distinct(F.coalesce("rank_cuts", F.array())), lambda b: b < F.col("rank_x"))))
+    y = y.join(cuts, same()).drop(*names).withColumn("rank_part", part).drop("rank_cuts")
+    sums = y.groupBy(*by, "rank_part").agg(F.count(F.lit(1)).alias("rank_c"))
+    before = Window.partitionBy(*by).orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sums.select(*by, "rank_part", F.coalesce(F.sum("rank_c").over(before), F.lit(0)).alias("rank_o"), F.sum("rank_c").over(Window.partitionBy(*by)).alias(out + "_n")).toDF(*names, "rank_p", "rank_o", out + "_n")
+    within = F.row_number().over(Window.partitionBy(*by, "rank_part").orderBy("rank_x", *order))
+    y = y.withColumn("rank_i", within).join(offset, same() & (F.col("rank_part") == F.col("rank_p")))
+    return y.select(*rows.columns, (F.col("rank_o") + F.col("rank_i")).alias(out), out + "_n")
+
+
+def hash_number(text: Column) -> Column:
+    """The first 52 bits of a hexadecimal hash as a number, which orders as the hash does up to ties."""
+    return F.conv(F.substring(text, 1, 13), 16, 10).cast("long")
+
+
 def value_at_risk(returns: DataFrame, by: list[str], r: str, key: str, q: float = 0.05) -> DataFrame:
     """The index rule max(0, int(n q) - 1), and the mean of the rows up to it."""
-    w = Window.partitionBy(*by)
-    x = returns.withColumn("__i", F.row_number().over(w.orderBy(r, key)) - 1).withColumn("__k", F.greatest(F.floor(F.count(F.lit(1)).over(w) * q) - 1, F.lit(0)))
-    return x.where("__i <= __k").groupBy(*by).agg(F.max(r).alias("var"), F.avg(r).alias("cvar"))
+    x = ranked(returns.select(*by, r, key), by, F.col(r), [key], "i")
+    return x.where(F.col("i") - 1 <= F.greatest(F.floor(F.col("i_n") * q) - 1, F.lit(0))).groupBy(*by).agg(F.max(r).alias("var"), F.avg(r).alias("cvar"))
 
 
 def expected_shortfall(returns: DataFrame, by: list[str], r: str, key: str, q: float = 0.1) -> DataFrame:
-    w = Window.partitionBy(*by)
-    x = returns.withColumn("__i", F.row_number().over(w.orderBy(r, key))).withColumn("__k", F.ceil(F.count(F.lit(1)).over(w) * q))
-    return x.where("__i <= __k").groupBy(*by).agg(F.avg(r).alias("shortfall"), F.min(r).alias("worst"))
+    x = ranked(returns.select(*by, r, key), by, F.col(r), [key], "i")
+    return x.where(F.col("i") <= F.ceil(F.col("i_n") * q)).groupBy(*by).agg(F.avg(r).alias("shortfall"), F.min(r).alias("worst"))
 
 
 def concentration(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -1,4 +1,11 @@
-"""Point-in-time joins: no row sees information that becomes available after it."""
+"""Point-in-time joins: no row sees information that becomes available after it.
+
+Times are integers. Rows of a key meet in buckets of time, never all in one task, and hand what later buckets need on by one row a bucket, so a key that fills the table is no hot group.
+What meets in a bucket has one row for each distinct time, so a bucket is bounded by its width, not by the data.
+
+Cases: a row with a null key or a null time on the left has no match (null values, count 0); on the right it is no match for any; repeated left rows each get the answer;
+right rows tied on time are named below; an empty side gives no matches; columns other than those named may have any name.
+"""
 
 from __future__ import annotations
 
@@ -6,33 +13,88 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+BUCKET = 86_400
+
+
+def _free(name: str, *frames: DataFrame) -> str:
+    """`name`, or it with underscores behind it until no frame has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], bucket: int = BUCKET) -> DataFrame:
     """For each left row the `values` of the latest right row of its key at or before its `time` (null if none). Right rows tied on time: the last by all values.
 
-    A union and one window: a single shuffle by key, no range join. Right rows sort before left rows of the same time.
+    Distinct times of a key and bucket of both sides share one window; the last right row of each bucket is carried to the buckets up to the next one that has any.
     """
-    pack = F.struct(*values)
-    r = right.select(key, time, pack.alias("__v"), F.lit(0).alias("__side"), *(F.lit(None).cast(t).alias(c) for c, t in left.dtypes if c not in (key, time)))
-    l = left.select(key, time, F.lit(None).cast(r.schema["__v"].dataType).alias("__v"), F.lit(1).alias("__side"), *(c for c in left.columns if c not in (key, time)))  # noqa: E741
-    w = Window.partitionBy(key).orderBy(time, "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    out = r.unionByName(l).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
-    return out.select(*left.columns, *(F.col(f"__v.{c}").alias(c) for c in values))
+    k, t = F.col(key).alias("k"), F.col(time).cast("long").alias("t")
+    r = right.select(k, t, F.struct(*values).alias("v")).where("k is not null and t is not null").groupBy("k", "t").agg(F.max("v").alias("v"))
+    l = left.select(k, t).where("k is not null and t is not null").distinct().select("k", "t", F.lit(None).cast(r.schema["v"].dataType).alias("v"), F.lit(True).alias("asks"))  # noqa: E741
+    b = F.floor(F.col("t") / bucket).alias("b")
+    both = r.withColumn("asks", F.lit(False)).unionByName(l).select("k", "t", "v", "asks", b)
+    near = both.withColumn("v", F.last("v", ignorenulls=True).over(Window.partitionBy("k", "b").orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0))).where("asks")
+    ends = r.select("k", "v", "t", b).groupBy("k", "b").agg(F.max_by("v", "t").alias("v")).withColumn("asks", F.lit(False))
+    wanted = l.select("k", b).distinct().withColumn("v", F.lit(None).cast(r.schema["v"].dataType)).withColumn("asks", F.lit(True))
+    before = Window.partitionBy("k").orderBy("b", F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)  # a bucket asks before its own end counts; one row a bucket
+    carried = ends.unionByName(wanted).withColumn("before", F.last("v", ignorenulls=True).over(before)).where("asks").select("k", "b", "before")
+    found = near.join(carried, ["k", "b"]).select(F.col("k").alias("k_"), F.col("t").alias("t_"), F.coalesce("v", "before").alias("v"))
+    names = {n: _free(n, left) for n in ("asof_k", "asof_t", "asof_v")}
+    found = found.toDF(*names.values())
+    out = left.join(found, (F.col(key) == F.col(names["asof_k"])) & (F.col(time) == F.col(names["asof_t"])), "left")
+    return out.select(*left.columns, *(F.col(f"{names['asof_v']}.{c}").alias(c) for c in values))
 
 
 def interval_sum(left: DataFrame, right: DataFrame, key: str, time: str, value: str, length: int, closed: str, out: str) -> DataFrame:
-    """For each left row (integer `time`) the sum and count of right `value` over a trailing interval of `length`.
+    """For each left row the sum and count of right `value` over a trailing interval of `length`.
 
-    `closed`: "right" for (t - length, t], "left" for [t - length, t). Null sum, zero count where nothing falls in.
+    `closed`: "right" for (t - length, t], "left" for [t - length, t). Null sum, zero count where nothing falls in. Right rows are summed by time first and put into their bucket
+    of `length` and the next one, which are all that an interval reaches.
     """
     if closed not in ("left", "right"):
         raise ValueError("closed is left or right")
-    r = right.select(key, time, F.col(value).cast("double").alias("__x"), F.lit(0).alias("__side"), *(F.lit(None).cast(t).alias(c) for c, t in left.dtypes if c not in (key, time)))
-    l = left.select(key, time, F.lit(None).cast("double").alias("__x"), F.lit(1).alias("__side"), *(c for c in left.columns if c not in (key, time)))  # noqa: E741
+    k, t = F.col(key).alias("k"), F.col(time).cast("long").alias("t")
+    b = F.floor(F.col("t") / length)
+    r = right.select(k, t, F.col(value).cast("double").alias("x")).where("k is not null and t is not null").groupBy("k", "t").agg(F.sum("x").alias("x"), F.count("x").alias("n"))
+    r = r.select("k", "t", "x", "n", F.explode(F.array(b, b + 1)).alias("b"), F.lit(False).alias("asks"))
+    l = left.select(k, t).where("k is not null and t is not null").distinct().select("k", "t", F.lit(None).cast("double").alias("x"), F.lit(0).cast("long").alias("n"), b.alias("b"), F.lit(True).alias("asks"))  # noqa: E741
     lo, hi = (-length + 1, 0) if closed == "right" else (-length, -1)
-    w = Window.partitionBy(key).orderBy(time).rangeBetween(lo, hi)
-    both = r.unionByName(l)
-    return both.withColumn(out, F.sum("__x").over(w)).withColumn(out + "_n", F.count("__x").over(w)).where("__side = 1").select(*left.columns, out, out + "_n")
+    w = Window.partitionBy("k", "b").orderBy("t").rangeBetween(lo, hi)
+    sums = r.unionByName(l).select("k", "t", F.sum("x").over(w).alias("x"), F.sum("n").over(w).alias("n"), "asks").where("asks").drop("asks")
+    names = [_free(n, left) for n in ("sum_k", "sum_t", "sum_x", "sum_n")]
+    found = sums.toDF(*names)
+    joined = left.join(found, (F.col(key) == F.col(names[0])) & (F.col(time) == F.col(names[1])), "left")
+    return joined.select(*left.columns, F.col(names[2]).alias(out), F.coalesce(names[3], F.lit(0)).alias(out + "_n"))
+
+
+def running_before(rows: DataFrame, key: str, bucket: str, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Adds, for each name in `values`, the sum of its expression over the rows of the key before this one, by `bucket` (such as a day), then `order`, which must end with a unique column; 0 before the first.
+
+    Sums run over the buckets, one row each, and over the rows of one bucket; no task gets all rows of a key.
+    """
+    per = rows.groupBy(key, bucket).agg(*(F.sum(e).alias(n) for n, e in values.items()))
+    earlier = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    names = {n: _free(f"before_{n}", rows) for n in values}
+    offset = per.select(F.col(key).alias(_free("before_k", rows)), F.col(bucket).alias(_free("before_b", rows)), *(F.sum(n).over(earlier).alias(names[n]) for n in values))
+    within = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = rows.withColumns({n: F.coalesce(F.sum(e).over(within), F.lit(0)) for n, e in values.items()})
+    x = x.join(offset, F.col(key).eqNullSafe(F.col(offset.columns[0])) & F.col(bucket).eqNullSafe(F.col(offset.columns[1])))
+    kept = [F.col(c) for c in rows.columns if c not in values]
+    return x.select(*kept, *((F.col(n) + F.coalesce(names[n], F.lit(0))).alias(n) for n in values))
+
+
+def cluster_by_gap(rows: DataFrame, key: str, time: str, gap: int, bucket: int = BUCKET) -> DataFrame:
+    """`cluster` numbers from 1 per key; a new one starts when the gap exceeds `gap`. Null where key or time is null."""
+    t = rows.select(F.col(key).alias("k"), F.col(time).cast("long").alias("t")).where("k is not null and t is not null").distinct().withColumn("b", F.floor(F.col("t") / bucket))
+    last = t.groupBy("k", "b").agg(F.max("t").alias("end"))
+    last = last.select("k", "b", F.lag("end").over(Window.partitionBy("k").orderBy("b")).alias("end"))
+    before = F.coalesce(F.lag("t").over(Window.partitionBy("k", "b").orderBy("t")), F.col("end"))
+    t = t.join(last, ["k", "b"]).withColumn("before", before).withColumn("new", F.coalesce((F.col("t") - F.col("before") > gap).cast("int"), F.lit(1)))
+    numbered = running_before(t, "k", "b", ["t"], {"earlier": F.col("new")})
+    names = [_free(n, rows) for n in ("gap_k", "gap_t")]
+    found = numbered.select(F.col("k").alias(names[0]), F.col("t").alias(names[1]), (F.col("earlier") + F.col("new")).alias("cluster"))
+    return rows.join(found, (F.col(key) == F.col(names[0])) & (F.col(time) == F.col(names[1])), "left").select(*rows.columns, "cluster")
 
 
 def next_boundary(sec: Column, step: int, strict: bool = True) -> Column:

@@ -71,14 +71,14 @@ def ag43_daily_equity(spark, d):
 
 @query(f"""WITH {TRADES} SELECT o_orderkey, symbol, round(100000 + coalesce(sum(net) OVER (PARTITION BY symbol ORDER BY entry, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) AS equity FROM t""")
 def wn37_equity_at_entry(spark, d):
-    w = Window.partitionBy("symbol").orderBy("entry", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    return trades(spark, d).select("o_orderkey", "symbol", F.round(100000 + F.coalesce(F.sum("net").over(w), F.lit(0.0)), 2).alias("equity"))
+    t = timeline.running_before(trades(spark, d).select("symbol", "entry", "o_orderkey", "net"), "symbol", "entry", ["o_orderkey"], {"earlier": F.col("net")})
+    return t.select("o_orderkey", "symbol", F.round(100000 + F.col("earlier"), 2).alias("equity"))
 
 
 @query(f"""WITH {TRADES}, g AS (SELECT symbol, net > 0 AS w, row_number() OVER (PARTITION BY symbol ORDER BY exit, o_orderkey) - row_number() OVER (PARTITION BY symbol, net > 0 ORDER BY exit, o_orderkey) AS g FROM t),
 c AS (SELECT symbol, w, g, count(*) AS n FROM g GROUP BY 1, 2, 3) SELECT symbol, coalesce(max(CASE WHEN w THEN n END), 0) AS win, coalesce(max(CASE WHEN NOT w THEN n END), 0) AS loss FROM c GROUP BY 1""")
 def wn38_streaks(spark, d):
-    return I.streaks(trades(spark, d), "symbol", ["exit", "o_orderkey"], F.col("net") > 0)
+    return I.streaks(trades(spark, d), "symbol", "exit", ["o_orderkey"], F.col("net") > 0)
 
 
 @query(f"""WITH {TRADES}, x AS (SELECT t.o_orderkey, b.day, b.high, max(b.high) OVER (PARTITION BY t.o_orderkey ORDER BY b.day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak, b.low, t.entry_price FROM t JOIN b ON b.symbol = t.symbol AND b.day >= t.entry AND b.day <= t.exit)

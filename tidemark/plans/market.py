@@ -138,7 +138,7 @@ def wn20_21_returns_momentum(spark, d):
 @query(f"""WITH {SETTLEMENTS}, g AS (SELECT symbol, sec, event_id, CASE WHEN sec - lag(sec) OVER w > 3600 OR lag(sec) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY symbol ORDER BY sec, event_id))
 SELECT symbol, cluster, min(sec) AS first, max(sec) AS last, count(*) AS n FROM (SELECT symbol, sec, sum(new) OVER (PARTITION BY symbol ORDER BY sec)::BIGINT AS cluster FROM g) GROUP BY 1, 2""")
 def wn30_gap_clusters(spark, d):
-    c = I.cluster_by_gap(settlements(spark, d), "symbol", "sec", 3600)
+    c = timeline.cluster_by_gap(settlements(spark, d), "symbol", "sec", 3600)
     return c.groupBy("symbol", "cluster").agg(F.min("sec").alias("first"), F.max("sec").alias("last"), F.count(F.lit(1)).alias("n"))
 
 

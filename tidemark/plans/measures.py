@@ -219,7 +219,7 @@ SELECT doc_id, CASE WHEN a <= zeros THEN 0 WHEN a <= zeros + halves THEN 0.5::DO
 def tk10_same_density(spark, d):
     """As many rows get weight 0 and 0.5 as another rule gave, by the ranking of severity within the day."""
     r, i = event_records(spark, d), F.col("doc_id") % 10
-    return selection.same_density(r, "day", F.desc("severity"), "doc_id", i == 0, i == 1).select("doc_id", "weight")
+    return selection.same_density(r, "day", -F.col("severity"), "doc_id", i == 0, i == 1).select("doc_id", "weight")
 
 
 @query(f"""WITH {BARS_1D}, {BARS_4H} SELECT 'day' AS run, symbol, count(*) AS n, round(max(high), 6) AS high FROM b GROUP BY 2 UNION ALL SELECT 'slot', symbol, count(*), round(max(high), 6) FROM b4 GROUP BY 2""")

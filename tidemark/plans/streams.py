@@ -73,7 +73,7 @@ def sm07_loss_alerts(spark, d):
 
 @query(f"SELECT DISTINCT event_type, epoch_us(ts) // {HOUR4} * 14400 AS candle FROM events")
 def sm08_one_per_candle(spark, d):
-    return result(spark, rolling.one_per_candle(events(spark, d), "ts", "event_type", "candle", "60 days").select("event_type", "candle"), "candles", "candle")
+    return result(spark, rolling.one_per_candle(events(spark, d), "ts", "event_type", "candle").select("event_type", "candle"), "candles", "candle")
 
 
 @query(f"""WITH l AS (SELECT *, value * (1 + event_id % 5) AS size FROM events WHERE value * (1 + event_id % 5) >= 100)

@@ -244,9 +244,9 @@ def jn12_controls(spark, d):
     r = event_records(spark, d)
     t = r.where("severity >= 0.9")
     per = t.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql.window import Window
-
-    c = r.join(t.select("doc_id"), "doc_id", "left_anti").withColumn("i", F.row_number().over(Window.partitionBy("domain").orderBy(F.sha2(F.concat(F.lit("c:"), F.col("doc_id").cast("string")), 256), "doc_id")))
+    h = F.sha2(F.concat(F.lit("c:"), F.col("doc_id").cast("string")), 256)
+    c = r.join(t.select("doc_id"), "doc_id", "left_anti").select("doc_id", "domain", h.alias("h"))
+    c = stats.ranked(c, ["domain"], stats.hash_number(F.col("h")), ["h", "doc_id"], "i")
     return c.join(per, "domain").where("i <= n").select("doc_id", "domain")
 
 

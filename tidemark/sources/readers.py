@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -97,6 +98,21 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tidemark-files-")
+    """A new folder below the one that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a local session (as in tests) gets a folder of its own, remembered in the session; a cluster is an error, as its executors would not see it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to the shared folder and read back, so that whoever reads it sees the same rows, whatever tasks run again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

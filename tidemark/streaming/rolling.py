@@ -24,9 +24,10 @@ def first_seen(items: DataFrame, time: str, keys: list[str], late: str = "7 days
 
 
 def trigger_sessions(triggers: DataFrame, time: str, key: str, gap: str = "24 hours", late: str = "1 hour") -> DataFrame:
-    """Triggers of a key less than `gap` apart as one session."""
-    w = triggers.withWatermark(time, late).groupBy(F.session_window(time, gap), key)
-    return w.agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
+    """Triggers of a key at most `gap` apart as one session, which ends `gap` after its last one. Spark's sessions end at equality, so theirs are a microsecond longer."""
+    w = triggers.withWatermark(time, late).groupBy(F.session_window(time, gap + " 1 microsecond"), key)
+    end = F.col("session_window.end") - F.expr("interval 1 microsecond")
+    return w.agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), end.alias("end"), key, "n")
 
 
 def quarantine(items: DataFrame, published: str, captured: str) -> DataFrame:
@@ -54,8 +55,8 @@ def loss_alerts(trades: DataFrame, time: str, net: str, limit: float, late: str
     return daily_summary(trades, time, net, late).where(F.col("net") < -limit).select("day", "net")
 
 
-def one_per_candle(signals: DataFrame, time: str, key: str, candle: str, late: str = "1 hour") -> DataFrame:
-    """The first signal of each key and candle."""
+def one_per_candle(signals: DataFrame, time: str, key: str, candle: str, late: str = "5 hours") -> DataFrame:
+    """The first signal of each key and candle. State is let go a candle and an hour after it, when no other signal of the candle can come in time."""
     return signals.withColumn(candle, F.window(time, "4 hours")["start"]).withWatermark(time, late).dropDuplicatesWithinWatermark([key, candle])
 
 
