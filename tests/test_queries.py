@@ -46,5 +46,5 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns
+    assert entry.entry(spark).count() > 0
     assert set(ORACLES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -1,14 +1,10 @@
 """Queries and operators that once did less than the whole job."""
 
-import random
-from itertools import combinations
-
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_queries import SF
 from tidemark.functions import text
-from tidemark.llm import bin_packing
 from tidemark.operators import timeline
 from tidemark.plans import QUERIES
 
@@ -50,41 +46,7 @@ def test_following_sum(spark):
 def test_no_rows_are_left_out_by_id(spark, part, whole, key, n):
     rows = {r[key]: r for r in QUERIES[whole](spark, SF).collect()}
     assert {i % n for i in rows} == set(range(n))
-    some = {r[key]: r for r in QUERIES[part](spark, SF).collect()}
-    assert some == {i: r for i, r in rows.items() if i % n == 0}
-
-
-def brute_exchanges(bins, lengths, capacity):
-    """Whether any move, one-for-one, two-for-one or one-for-two exchange between two bins increases the sum of squared fills."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    for s, source in enumerate(bins):
-        ones, twos = [lengths[i] for i in source], [lengths[i] + lengths[j] for i, j in combinations(source, 2)]
-        for t, target in enumerate(bins):
-            if s == t:
-                continue
-            back = [lengths[i] for i in target]
-            pairs = [lengths[i] + lengths[j] for i, j in combinations(target, 2)]
-            for g in [x - y for x in ones for y in (0, *back, *pairs)] + [x - y for x in twos for y in back]:
-                if 0 < g <= capacity - fill[t] and g * (g + fill[t] - fill[s]) > 0:
-                    return True
-    return False
-
-
-def test_local_search_ends_where_nothing_helps():
-    dice = random.Random(5)
-    for low, high, n in ((30, 45, 60), (20, 60, 60), (34, 50, 300), (5, 40, 80)) * 5:
-        lengths = [dice.randint(low, high) for _ in range(n)]
-        start = bin_packing.best_fit(lengths, 100)
-        end = bin_packing.local_search(start, lengths, 100)
-        assert sorted(i for b in end for i in b) == list(range(n)) and all(sum(lengths[i] for i in b) <= 100 for b in end)
-        assert len(end) == -(-sum(lengths) // 100) or not brute_exchanges(end, lengths, 100)
-
-
-def test_local_search_reaches_every_bin():
-    # 80 nearly full bins that nothing fits into are fuller than the roomier bins that can take the last one's document.
-    lengths = [99] * 80 + [50, 40, 10]
-    bins = [[i] for i in range(83)]
-    assert len(bin_packing.local_search(bins, lengths, 100)) == 81
+    assert rows == {r[key]: r for r in QUERIES[part](spark, SF).collect()}
 
 
 def test_evidence_with_ellipsis_and_punctuation(spark):

@@ -92,3 +92,31 @@ def risk_levels(rows: DataFrame, price: str, unit: str, stop: tuple[float, float
     p, u = F.col(price), F.col(unit)
     distance = F.least(stop[0] * u, stop[1] * p)
     return rows.withColumn("stop", p - distance).withColumn("target", p + F.least(target[0] * u, target[1] * p)).withColumn("size", F.try_divide(F.lit(risk), distance))
+
+
+def text_state(items: DataFrame, step: int, horizons: list[tuple[int, float]]) -> DataFrame:
+    """What the items (doc_id, domain, at, pressure, base, mechanism, stage, signature) say at each boundary of `step` seconds while they are younger than the last horizon (hours).
+
+    An item weighs its `base` (confidence times scope) times the masses of the horizons that it hasn't outlived. Per boundary: items, sources, applicable (base above zero), items and
+    mass of adverse and supportive pressure, the stage and mechanism with the most mass (ties to the last name, `unknown` without any), `novel` signatures that nothing earlier has, and whether an item is `fresh` (of this step).
+    An item is exploded over the few boundaries that it reaches; sums per stage and mechanism are formed before anything is compared.
+    """
+    life = horizons[-1][0] * 3600
+    first = F.ceil(F.col("at") / step).cast("long")
+    x = items.withColumn("slot", F.explode(F.sequence(first, first + -(-life // step)))).withColumn("age", (F.col("slot") * step - F.col("at")) / 3600).where(F.col("age") * 3600 < life)
+    mass = sum((F.when(F.col("age") < h, m).otherwise(0.0) for h, m in horizons), F.lit(0.0))
+    x = x.withColumn("w", F.col("base") * mass)
+    per = x.groupBy("slot", "pressure", "stage", "mechanism", "signature", "domain").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("base") > 0).alias("some"), F.count_if(F.col("w") > 0).alias("heavy"), F.sum("w").alias("w"), F.min("age").alias("youngest"), F.max("age").alias("oldest")
+    )
+    of = lambda side, c: F.sum(F.when(F.col("pressure") == side, F.col(c)).otherwise(0))
+    total = per.groupBy("slot").agg(
+        F.sum("n").alias("items"), F.sum("some").alias("applicable"), of("adverse", "heavy").alias("adverse_items"), of("supportive", "heavy").alias("supportive_items"), of("adverse", "w").alias("adverse"), of("supportive", "w").alias("supportive"),
+        (F.min("youngest") < step / 3600).alias("fresh"),
+    )
+    sources = per.select("slot", "domain").distinct().groupBy("slot").agg(F.count("domain").alias("sources"))
+    novel = per.groupBy("slot", "signature").agg(F.max("oldest").alias("o")).groupBy("slot").agg(F.count_if(F.col("o") == 0).alias("novel"))
+    pressing = per.where(F.col("pressure").isin("adverse", "supportive") & (F.col("heavy") > 0))
+    most = lambda c: pressing.groupBy("slot", c).agg(F.round(F.sum("w"), 9).alias("w")).groupBy("slot").agg(F.max(F.struct("w", c)).alias("b")).select("slot", F.col(f"b.{c}").alias(c))
+    out = total.join(sources, "slot").join(novel, "slot").join(most("stage"), "slot", "left").join(most("mechanism"), "slot", "left").fillna("unknown", ["stage", "mechanism"])
+    return out.select("slot", "items", "sources", "applicable", "adverse_items", "supportive_items", "adverse", "supportive", "stage", "mechanism", "novel", "fresh")

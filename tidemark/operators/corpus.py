@@ -127,10 +127,10 @@ def one_hot(rows: DataFrame, column: str, levels: list[str]) -> DataFrame:
     return rows.withColumns({**seen, "is_other": F.coalesce((~x.isin(*levels)).cast("long"), F.lit(1).cast("long"))})
 
 
-def conditional_impact(records: DataFrame, by: list[str], types: list[str]) -> DataFrame:
-    """Mean of sign, severity, surprise and confidence multiplied, for each event type; 0 when the group has none."""
+def conditional_impact(records: DataFrame, by: list[str], types: list[str], weight: Column | None = None) -> DataFrame:
+    """Mean of sign, severity, surprise, confidence and weight (1 if none) multiplied, for each event type; 0 when the group has none."""
     sign = F.when(F.col("direction") == 1, 1).when(F.col("direction") == 2, -1).otherwise(0)
-    impact = sign * F.col("severity") * F.col("surprise") * F.col("confidence")
+    impact = sign * F.col("severity") * F.col("surprise") * F.col("confidence") * (F.lit(1.0) if weight is None else weight)
     return records.groupBy(*by).agg(*(F.coalesce(F.avg(F.when(F.col("event_type") == t, impact)), F.lit(0.0)).alias(f"impact_{t}") for t in types))
 
 
@@ -139,3 +139,42 @@ def assembled(chunks: DataFrame, key: str, position: str, chunk: str) -> DataFra
     once = chunks.groupBy(key, chunk).agg(F.min(position).alias("__p"))
     parts = F.array_sort(F.collect_list(F.struct("__p", chunk)))
     return once.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), F.array_join(F.transform(parts, lambda x: x[chunk]), "\n").alias("text"))
+
+
+def admitted(rows: DataFrame, reason: str, duplicates: list[tuple[str, str]], order: list[str]) -> DataFrame:
+    """`rows` with the reason of those that had none and repeat a key: for each (name, key) in turn, of the rows that still have no reason, all but the first by `order` (which ends with a unique column) get the name.
+
+    First rows come from an aggregate, so copies are combined before the shuffle; null keys repeat each other. A row dropped for a later key still holds its earlier one.
+    """
+    at = F.struct(*order)
+    for name, key in duplicates:
+        first = rows.where(F.col(reason).isNull()).groupBy(F.col(key).alias("admit_key")).agg(F.min(at).alias("admit_first"))
+        later = F.col(reason).isNull() & (at > F.col("admit_first"))
+        rows = rows.join(first, F.col(key).eqNullSafe(F.col("admit_key")), "left").withColumn(reason, F.when(later, name).otherwise(F.col(reason))).drop("admit_key", "admit_first")
+    return rows
+
+
+def one_each(rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """For each key and name whether its column has one value only (nulls don't count)."""
+    return rows.groupBy(key).agg(*(F.coalesce(F.min(c) == F.max(c), F.lit(False)).alias(n) for n, c in columns.items()))
+
+
+def full_profile(docs: DataFrame, id_col: str, published: str, title: str, url: str, source: str, body: str, words: str, levels: tuple[int, ...], bucket: int, top: int) -> DataFrame:
+    """metric, value: counts, distinct ids, urls, titles, bodies and sources, span and years, percentiles and levels of word counts, sizes of time buckets and those of several sources, and the largest sources.
+
+    `words` counts a body's words, `published` is seconds. Texts are told apart by 128-bit digests; rows without a time are in no bucket; empty titles and bodies aren't counted.
+    """
+    digest = lambda c: F.when(F.col(c) != "", F.unhex(F.md5(F.col(c).cast("binary"))))
+    x = docs.select(F.col(id_col).alias("id"), F.col(published).alias("at"), digest(title).alias("title"), F.unhex(F.md5(F.col(url).cast("binary"))).alias("url"), F.col(source).alias("source"), digest(body).alias("body"), F.col(words).alias("w"))
+    quantiles = (10, 25, 50, 75, 90)
+    one = x.agg(
+        F.count(F.lit(1)).alias("rows"), F.count("at").alias("valid_times"), *(F.countDistinct(c).alias(n) for c, n in (("id", "ids"), ("url", "urls"), ("title", "titles"), ("body", "bodies"), ("source", "sources"))),
+        F.min("at").alias("first"), F.max("at").alias("last"), *(F.percentile("w", q / 100).alias(f"words_p{q}") for q in quantiles), *(F.count_if(F.col("w") >= k).alias(f"words_at_least_{k}") for k in levels),
+    )
+    timed = x.where(F.col("at").isNotNull())
+    buckets = timed.groupBy(F.floor(F.col("at") / bucket).alias("bucket"), "source").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("source").alias("sources"))
+    sizes = buckets.agg(F.count(F.lit(1)).alias("buckets"), F.count_if(F.col("sources") >= 2).alias("multi_source_buckets"), F.percentile("n", 0.5).alias("bucket_p50"), F.percentile("n", 0.9).alias("bucket_p90"), F.max("n").alias("bucket_max"))
+    long = lambda row: row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns))).alias("m")).select("m.*")
+    years = timed.groupBy(F.concat(F.lit("year:"), F.year(F.timestamp_seconds("at"))).alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    sources = x.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(top).select(F.concat(F.lit("source:"), "source").alias("metric"), F.col("n").cast("double").alias("value"))
+    return long(one).unionByName(long(sizes)).unionByName(years).unionByName(sources)

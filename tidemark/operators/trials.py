@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,3 +142,64 @@ def placebo_arms(rows: DataFrame, key: str, time: str, weight: str, seed: str) -
     arms = {"real": F.col(weight), "delayed": F.col("__late"), "opposite": -F.col(weight), "constant": F.col("__mean"), "shuffled": F.col("__other")}
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("arm"), c.cast("double").alias("w")) for n, c in arms.items())))
     return x.select(*rows.columns, each.alias("__a")).select(*rows.columns, "__a.arm", "__a.w")
+
+
+def compared_arms(rows: DataFrame, fold: str, role: str, y: str, arms: dict[str, list[str]], base: str, alpha: float) -> DataFrame:
+    """arm, mse and delta to the base arm (means over the folds), wins (folds with less error than the base), folds. All arms meet the same folds."""
+    each = None
+    for arm, features in arms.items():
+        one = ridge_by_fold(rows, fold, role, features, y, [alpha]).select(F.lit(arm).alias("arm"), fold, "mse")
+        each = one if each is None else each.unionByName(one)
+    prior = each.where(F.col("arm") == base).select(fold, F.col("mse").alias("prior"))
+    x = each.join(prior, fold)
+    return x.groupBy("arm").agg(F.avg("mse").alias("mse"), F.avg(F.col("mse") - F.col("prior")).alias("delta"), F.count_if(F.col("mse") < F.col("prior")).alias("wins"), F.count(F.lit(1)).alias("folds"))
+
+
+def fold_block_bootstrap(rows: DataFrame, fold: str, order: str, value: str, block: int, draws: int, seed: int, circular: bool) -> DataFrame:
+    """fold, draw, mean of blocks drawn within each fold: circular, or such that lie wholly inside it. Folds shorter than a block have none. One row a day meets the window; draws meet block sums."""
+    pos = rows.select(fold, F.col(value).alias("x"), (F.row_number().over(Window.partitionBy(fold).orderBy(order)) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(fold)).alias("n")).where(F.col("n") >= block)
+    reach = F.explode(F.expr(f"transform(sequence(0, {block - 1}), o -> {'pmod(i - o, n)' if circular else 'i - o'})")).alias("start")
+    sums = pos.select(fold, "x", "n", reach).where(F.lit(True) if circular else (F.col("start") >= 0) & (F.col("start") <= F.col("n") - block)).groupBy(fold, "start").agg(F.sum("x").alias("s"))
+    k = F.ceil(F.col("n") / block).cast("long")
+    d = pos.select(fold, "n").distinct().withColumn("k", k).withColumn("draw", F.explode(F.expr(f"sequence(0L, {draws - 1}L)"))).withColumn("j", F.explode(F.expr("sequence(0L, k - 1)")))
+    span = "n" if circular else f"(n - {block - 1})"
+    d = d.withColumn("start", F.expr(f"((draw * k + j) * 1103515245 + {seed}) % 2147483648 % {span}"))
+    return d.join(sums, [fold, "start"]).groupBy(fold, "draw").agg((F.sum("s") / (F.first("k") * block)).alias("mean"))
+
+
+def poisson_bootstrap(rows: DataFrame, key: str, value: str, draws: int, seed: int) -> DataFrame:
+    """metric, low, middle, high (95 %) of the mean, Sharpe ratio and profit factor over draws in which each row counts a Poisson number of times (5 at most), told by a hash of its key (an integer) and the draw.
+
+    This is the i.i.d. bootstrap without moving rows: each task sums its rows for every draw, and only sums are shuffled.
+    """
+    u = F.expr(f"((draw * 1000003 + {key}) % 2147483648 * 1103515245 + {seed}) % 2147483648 * 48271 % 2147483647 / 2147483647.0D")
+    # The Poisson distribution function with mean 1.
+    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
+    k = sum((F.when(F.col("u") >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    x = rows.select(key, F.col(value).alias("x"), F.explode(F.expr(f"sequence(0L, {draws - 1}L)")).alias("draw")).withColumn("u", u).select("draw", "x", k.alias("k"))
+    kx = F.col("k") * F.col("x")
+    s = x.groupBy("draw").agg(F.sum("k").alias("n"), F.sum(kx).alias("s"), F.sum(kx * F.col("x")).alias("q"), F.sum(F.when(F.col("x") > 0, kx).otherwise(0.0)).alias("up"), (-F.sum(F.when(F.col("x") < 0, kx).otherwise(0.0))).alias("down"))
+    mean = F.try_divide("s", "n")
+    metrics = {"mean": mean, "sharpe": F.try_divide(mean, F.sqrt(F.greatest(F.try_divide("q", "n") - mean * mean, F.lit(0.0)))), "profit_factor": F.try_divide("up", "down")}
+    each = s.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), c.alias("v")) for n, c in metrics.items()))).alias("m")).select("m.*")
+    return each.groupBy("metric").agg(*(F.percentile("v", q).alias(n) for n, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975))))
+
+
+def deflated_by_trials(returns: DataFrame, by: str, r: str) -> DataFrame:
+    """`deflated_sharpe` against the best ratio expected by chance of as many trials, from the spread of the trials' own ratios; `expected_best` holds it. One trial, or trials alike, expect 0."""
+    ratios = returns.groupBy(by).agg(F.try_divide(F.avg(r), F.stddev_samp(r)).alias("s"))
+    n, spread = ratios.agg(F.count("s"), F.stddev_samp("s")).first()
+    normal, euler = NormalDist(), 0.5772156649015329
+    best = spread * ((1 - euler) * normal.inv_cdf(1 - 1 / n) + euler * normal.inv_cdf(1 - 1 / (n * math.e))) if n > 1 and spread else 0.0
+    return deflated_sharpe(returns, by, r, best).withColumn("expected_best", F.lit(best))
+
+
+def shifted_arms(rows: DataFrame, key: str, time: str, weight: str, metadata: str, shift: int) -> DataFrame:
+    """Rows once per `arm` with its `w`: the weight, what metadata alone says, and the weight of `shift` rows before, with wrap. Rows of a key are bounded by the calendar."""
+    w = Window.partitionBy(key)
+    x = rows.withColumn("shift_t", F.row_number().over(w.orderBy(time)) - 1).withColumn("shift_n", F.count(F.lit(1)).over(w))
+    other = x.select(F.col(key).alias("shift_k"), F.expr(f"(shift_t + {shift}) % shift_n").alias("shift_to"), F.col(weight).alias("shift_w"))
+    x = x.join(other, (F.col(key) == F.col("shift_k")) & (F.col("shift_t") == F.col("shift_to")))
+    arms = {"real": F.col(weight), "metadata": F.col(metadata), "shifted": F.col("shift_w")}
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("arm"), c.cast("double").alias("w")) for n, c in arms.items())))
+    return x.select(*rows.columns, each.alias("shift_a")).select(*rows.columns, "shift_a.arm", "shift_a.w")

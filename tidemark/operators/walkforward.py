@@ -55,3 +55,43 @@ def tercile_classes(rows: DataFrame, key: str, value: str, train: Column, places
     cuts = rows.where(train).groupBy(key).agg(F.round(F.percentile(value, 1 / 3), places).alias("lo"), F.round(F.percentile(value, 2 / 3), places).alias("hi"))
     x = F.col(value)
     return rows.join(cuts, key).withColumn("class", F.when(x <= F.col("lo"), 0).when(x <= F.col("hi"), 1).when(x.isNotNull(), 2))
+
+
+def trailing_exits(trades: DataFrame, bars: DataFrame, trade: str, key: str, time: str, multiple: float) -> DataFrame:
+    """trade, time, reason, fill, stop of the first bar on which a trade (entry, exit, entry_price, stop, atr) is stopped; trades that never are have no row.
+
+    The stop in force is the larger of the trade's own and its peak less `multiple` times its range; the peak is of the bars before. An open at or below it fills at the open.
+    A null range leaves the own stop. Trades become a row for each bar of their life, in a window of their own.
+    """
+    t = trades.select(trade, key, "entry_price", F.col("stop").alias("own"), "atr", F.explode(F.sequence("entry", "exit")).alias(time))
+    x = t.join(bars.select(key, time, "open", "high", "low"), [key, time])
+    before = Window.partitionBy(trade).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("peak", F.greatest("entry_price", F.max("high").over(before)))
+    x = x.withColumn("stop", F.greatest("own", F.col("peak") - multiple * F.col("atr"))).where((F.col("open") <= F.col("stop")) | (F.col("low") <= F.col("stop")))
+    gap = F.col("open") <= F.col("stop")
+    hit = F.struct(F.col(time), F.when(gap, "gap_stop").otherwise("intrabar_stop").alias("reason"), F.when(gap, F.col("open")).otherwise(F.col("stop")).alias("fill"), "stop")
+    return x.groupBy(trade).agg(F.min_by(hit, time).alias("h")).select(trade, "h.*")
+
+
+def complete_folds(rows: DataFrame, key: str, time: str, length: int) -> DataFrame:
+    """`rows` with `fold` (from 0) and its `start`, counted from the key's first time; rows of a fold whose end the key's times don't reach are left out."""
+    span = rows.groupBy(F.col(key).alias("fold_key")).agg(F.min(time).alias("fold_first"), F.max(time).alias("fold_last"))
+    x = rows.join(span, F.col(key).eqNullSafe(F.col("fold_key"))).withColumn("fold", F.floor((F.col(time) - F.col("fold_first")) / length))
+    x = x.withColumn("start", F.col("fold_first") + F.col("fold") * length)
+    return x.where(F.col("start") + length - 1 <= F.col("fold_last")).drop("fold_key", "fold_first", "fold_last")
+
+
+def rolling_by_key(rows: DataFrame, key: str, time: str, ret: str, moved: str, warm_up: int, length: int, least: int = 3) -> DataFrame:
+    """key, folds, passing, median, promoted: results over whole folds of `length` rows after `warm_up` rows of each key.
+
+    A fold passes with a gain, gains above losses and `least` changes of position; a key is promoted when half its folds (at least three) pass and their median is positive.
+    Rows of a key are bounded by the calendar.
+    """
+    i = F.row_number().over(Window.partitionBy(key).orderBy(time)) - 1
+    x = rows.withColumn("roll_i", i).where((F.col("roll_i") >= warm_up) & F.col(ret).isNotNull()).withColumn("fold", F.floor((F.col("roll_i") - warm_up) / length))
+    r = F.col(ret)
+    f = x.groupBy(key, "fold").agg(F.round(F.sum(r), 6).alias("total"), F.sum(F.when(r > 0, r).otherwise(0.0)).alias("up"), (-F.sum(F.when(r < 0, r).otherwise(0.0))).alias("down"), F.count_if(moved).alias("changes"), F.count(F.lit(1)).alias("n"))
+    f = f.where(F.col("n") == length).withColumn("pass", (F.col("total") > 0) & (F.col("up") > F.col("down")) & (F.col("changes") >= least))
+    out = f.groupBy(key).agg(F.count(F.lit(1)).alias("folds"), F.count_if("pass").alias("passing"), F.percentile("total", 0.5).alias("median"))
+    enough = F.col("passing") >= F.greatest(F.lit(3), F.expr("(folds + 1) div 2"))
+    return out.withColumn("promoted", enough & (F.col("median") > 0))

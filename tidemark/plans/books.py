@@ -70,14 +70,14 @@ def pf10_reallocation(spark, d):
     return rounded(books.reallocated(t, "symbol", "o_orderkey", "r", "up", 0.25, "b:"), "base", "raised", "matched", "shuffled")
 
 
-HALF = """a AS (SELECT o_orderkey, symbol, qty, entry + 1 AS day, exit FROM t WHERE o_orderkey % 3 = 0 AND exit > entry + 2)"""
+HALF = """a AS (SELECT o_orderkey, symbol, qty, entry + 1 AS day, exit FROM t WHERE exit > entry + 2)"""
 
 
 @query(f"""WITH {TRADES}, {HALF} SELECT o_orderkey, round(0.5::DOUBLE * qty * (x.open * (1 - 0.0005::DOUBLE) - y.open * (1 + 0.0005::DOUBLE)), 2) AS price, round(0.0005::DOUBLE * qty * (x.open + y.open), 2) AS fees, round(0.5::DOUBLE * qty * x.open * 0.0001::DOUBLE, 2) AS funding
 FROM a JOIN b x ON x.symbol = a.symbol AND x.day = a.day JOIN b y ON y.symbol = a.symbol AND y.day = a.day + 1""")
 def pf11_half_for_a_bar(spark, d):
     """Half of a position sold at one open and bought back at the next: price with slippage, fees, funding saved."""
-    a = trades(spark, d).where((F.col("o_orderkey") % 3 == 0) & (F.col("exit") > F.col("entry") + 2)).select("o_orderkey", "symbol", "qty", (F.col("entry") + 1).alias("day"))
+    a = trades(spark, d).where(F.col("exit") > F.col("entry") + 2).select("o_orderkey", "symbol", "qty", (F.col("entry") + 1).alias("day"))
     h = books.half_for_a_bar(a, bars_1d(spark, d), "symbol", "day", "qty", 0.0005, 0.001, 0.0001)
     return h.select("o_orderkey", *(F.round(c, 2).alias(c) for c in ("price", "fees", "funding")))
 

@@ -37,7 +37,8 @@ def bars_1d(spark: SparkSession, d: str, letter: str = "S", symbols: int = 5) ->
 
 
 def settlements(spark: SparkSession, d: str) -> DataFrame:
-    return ticks(spark, d).where("event_id % 7 = 0").select("symbol", "event_id", F.expr("us div 1000000").alias("sec"), ((F.col("price") - 20) / 10000).alias("rate"))
+    """Every event settles its symbol's rate."""
+    return ticks(spark, d).select("symbol", "event_id", F.expr("us div 1000000").alias("sec"), ((F.col("price") - 20) / 10000).alias("rate"))
 
 
 def news(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +87,7 @@ BARS_4H = f"""{TICKS}, b4 AS (SELECT symbol, us // {SLOT}000000 AS slot, arg_min
 BARS_1D = """b AS (SELECT 'S' || (l_partkey % 5) AS symbol, (l_shipdate::DATE - DATE '1970-01-01')::BIGINT AS day, arg_min(p, k) AS open, max(p) AS high, min(p) AS low, arg_max(p, k) AS close,
   sum(l_quantity) AS volume, sum(l_extendedprice) AS turnover
   FROM (SELECT *, l_extendedprice / l_quantity AS p, ((l_orderkey * 16 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS k FROM lineitem) GROUP BY 1, 2)"""
-SETTLEMENTS = f"{TICKS}, s AS (SELECT symbol, event_id, us // 1000000 AS sec, (price - 20) / 10000 AS rate FROM ticks WHERE event_id % 7 = 0)"
+SETTLEMENTS = f"{TICKS}, s AS (SELECT symbol, event_id, us // 1000000 AS sec, (price - 20) / 10000 AS rate FROM ticks)"
 NEWS = """n AS (SELECT doc_id, split_part(text, chr(10), 1) AS headline, 1704067200 + doc_id * 37 % 43200 * 60 AS published, doc_id % 10 = 0 AS date_only, source AS domain, lang AS coin,
   'https://www.' || source || '.example.com/' || (doc_id % 900) || '/' AS url, n_chars FROM documents)"""
 RECORDS = f"""{NEWS}, r AS (SELECT doc_id, domain, published, 't' || (doc_id % 10) AS event_type, doc_id % 4 AS direction, (n_chars % 101) / 100 AS severity, (doc_id % 53) / 52 AS surprise, 0.5::DOUBLE + (doc_id % 50) / 100 AS confidence,

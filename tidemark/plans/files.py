@@ -128,3 +128,72 @@ def src15_manifest(spark, d):
     found = m.where("doc_id % 10 <> 0").select("path", "bytes", "sha256")
     expected = m.where("doc_id % 10 <> 3").select("path", F.when(i % 10 == 1, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"), F.when(i % 10 == 2, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
     return readers.verify_manifest(found, expected)
+
+
+@query(f"WITH {NEWS} SELECT doc_id, url, domain FROM n")
+def src06_exact_tsv(spark, d):
+    """A tab-separated table read only under the exact header."""
+    folder = shared_folder(spark, "tsv")
+    news(spark, d).select("doc_id", "url", "domain").write.csv(folder, header=True, escape='"', quoteAll=True, sep="\t")
+    return readers.read_exact(spark, folder, ["doc_id", "url", "domain"]).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query(f"""WITH {BARS_4H}, k AS (SELECT symbol || '-' || (slot // 30) AS name, slot, close, slot // 30 % 5 AS p FROM b4) SELECT name, slot * 14400000 AS ts_ms, round(close, 6) AS close, NULL AS reason FROM k WHERE p < 3
+UNION ALL SELECT DISTINCT name, NULL, NULL, CASE p WHEN 3 THEN 'checksum' ELSE 'columns' END FROM k WHERE p >= 3""")
+def src07_archives(spark, d):
+    """Zip archives of 30 bars each with their checksums, some wrong and some of another width: the rows of the good ones, the reasons of the others."""
+    folder = shared_folder(spark, "archives")
+    b = bars_4h(spark, d).withColumn("part", F.expr("slot div 30")).select("symbol", "part", "slot", "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"), "turnover")
+    listed = b.groupBy("symbol", "part").applyInPandas(archiver(folder), "name string, part long, sha256 string")
+    sums = readers.written(listed, "checksums").select("name", F.when(F.col("part") % 5 == 3, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    good, bad = readers.read_archives(spark, folder, sums, 12)
+    rows = good.select("name", F.col("fields")[0].cast("long").alias("ts_ms"), F.round(F.col("fields")[4].cast("double"), 6).alias("close"), F.lit(None).cast("string").alias("reason"))
+    return rows.unionByName(bad, allowMissingColumns=True)
+
+
+def archiver(folder: str):
+    """Writes one archive a group; every fifth part has a column too few."""
+
+    def write(g):
+        import hashlib
+        import io
+        import zipfile
+
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        name = f"{g['symbol'].iloc[0]}-{g['part'].iloc[0]}"
+        width = 11 if g["part"].iloc[0] % 5 == 4 else 12
+        g = g.sort_values("slot")
+        lines = [",".join(map(repr, (int(r.slot) * 14_400_000, r.open, r.high, r.low, r.close, r.volume, r.turnover, *[0] * (width - 7)))) for r in g.itertuples()]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(zipfile.ZipInfo(name + ".csv", (2024, 1, 1, 0, 0, 0)), "\n".join(lines) + "\n")
+        fs, top = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(top, recursive=True)
+        with fs.open_output_stream(f"{top}/{name}.zip") as f:
+            f.write(out.getvalue())
+        return pd.DataFrame({"name": [name], "part": [int(g["part"].iloc[0])], "sha256": [hashlib.sha256(out.getvalue()).hexdigest()]})
+
+    return write
+
+
+@query("""WITH s AS (SELECT source, count(*) AS n, max(n_chars) AS longest FROM documents GROUP BY 1) SELECT '| source | n | longest |' AS line UNION ALL SELECT '| - | - | - |' UNION ALL SELECT '| ' || source || ' | ' || n || ' | ' || longest || ' |' FROM s""")
+def src14_status_table(spark, d):
+    """A status table as Markdown."""
+    folder = shared_folder(spark, "status")
+    s = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("longest"))
+    readers.write_status(s, folder, "source")
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@query("""SELECT 'part=' || (doc_id // 500) AS name, sum(length(doc_id::VARCHAR) + 1)::BIGINT AS bytes, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id) || chr(10)) AS sha256, true AS as_expected FROM documents GROUP BY 1""")
+def src15_files(spark, d):
+    """A manifest of files that were written, one for 500 ids each, held against itself and against the files."""
+    folder = shared_folder(spark, "files")
+    ids = table(spark, d, "documents").select("doc_id", F.expr("doc_id div 500").alias("part"))
+    ids.repartition("part").sortWithinPartitions("part", "doc_id").select("part", F.col("doc_id").cast("string").alias("value")).write.partitionBy("part").text(folder)
+    found = readers.file_manifest(spark, folder).where(F.col("path").contains("/part-"))
+    expected = readers.written(found, "manifest")
+    failed = readers.verify_manifest(found, expected).select("path", F.lit(False).alias("ok"))
+    return expected.join(failed, "path", "left").select(F.regexp_extract("path", "(part=[0-9]+)/", 1).alias("name"), "bytes", "sha256", F.coalesce("ok", F.lit(True)).alias("as_expected"))

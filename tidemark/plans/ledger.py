@@ -102,21 +102,23 @@ def wn28_first_touch(spark, d):
     return g.select("o_orderkey", touched.alias("touched"), F.least("s", "p").alias("day"))
 
 
-@query(f"""WITH {SETTLEMENTS}, sp AS (SELECT symbol, event_id AS span, sec AS start, sec + 5400 AS stop FROM s WHERE event_id % 5 = 0) SELECT sp.span, count(*) AS n, round(sum(s.rate), 6) AS rate FROM sp JOIN s ON s.symbol = sp.symbol AND s.sec > sp.start AND s.sec < sp.stop GROUP BY 1""")
+@query(f"""WITH {SETTLEMENTS}, sp AS (SELECT symbol, event_id AS span, sec AS start, sec + 5400 AS stop FROM s) SELECT sp.span, count(*) AS n, round(sum(s.rate), 6) AS rate FROM sp JOIN s ON s.symbol = sp.symbol AND s.sec > sp.start AND s.sec < sp.stop GROUP BY 1""")
 def jn08_events_in_spans(spark, d):
+    """Count and sum of the settlements within 90 minutes after each."""
+    return spans_of_90_minutes(spark, d)
+
+
+def spans_of_90_minutes(spark, d):
     s = settlements(spark, d)
-    spans = s.where("event_id % 5 = 0").select("symbol", F.col("event_id").alias("span"), F.col("sec").alias("start"), (F.col("sec") + 5400).alias("stop"))
-    e = timeline.events_in_spans(spans, s.select("symbol", "sec", "rate"), "symbol", "start", "stop", "sec", 3600)
-    return rounded(e.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.sum("rate").alias("rate")), "rate")
+    inside = timeline.following_sum(s, s, "symbol", "sec", "rate", 5400, "total")
+    return rounded(s.select("symbol", "sec", F.col("event_id").alias("span")).join(inside, ["symbol", "sec"]).select("span", F.col("total_n").alias("n"), F.col("total").alias("rate")), "rate")
 
 
 @query(f"""WITH {SETTLEMENTS}, g AS (SELECT symbol, sec, count(*) AS n, sum(rate) AS rate FROM s GROUP BY 1, 2), x AS (SELECT symbol, sec, sum(n) OVER w AS n, sum(rate) OVER w AS rate FROM g WINDOW w AS (PARTITION BY symbol ORDER BY sec RANGE BETWEEN 1 FOLLOWING AND 5399 FOLLOWING))
 SELECT event_id AS span, x.n::BIGINT AS n, round(x.rate, 6) AS rate FROM s JOIN x USING (symbol, sec) WHERE x.n > 0""")
 def jn08_events_in_all_spans(spark, d):
-    """A span of 90 minutes from every settlement: count and sum of the settlements inside."""
-    s = settlements(spark, d)
-    inside = timeline.following_sum(s, s, "symbol", "sec", "rate", 5400, "total")
-    return rounded(s.select("symbol", "sec", F.col("event_id").alias("span")).join(inside, ["symbol", "sec"]).select("span", F.col("total_n").alias("n"), F.col("total").alias("rate")), "rate")
+    """The same by window sums."""
+    return spans_of_90_minutes(spark, d)
 
 
 TIERS = [(100_000.0, 0.005, 0.0), (250_000.0, 0.01, 500.0), (400_000.0, 0.02, 3000.0)]

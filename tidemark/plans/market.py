@@ -177,7 +177,7 @@ def wn44_equal_parts(spark, d):
     return g.groupBy("symbol", I.equal_parts(F.col("pos"), F.col("n"), 5).alias("part")).agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {BARS_4H}, s AS (SELECT symbol, us // 1000000 AS sec, (price - 20) / 10000 AS rate FROM ticks WHERE event_id % 7 = 0), r AS (SELECT symbol, sec, max(rate) AS rate FROM s GROUP BY 1, 2),
+@query(f"""WITH {BARS_4H}, s AS (SELECT symbol, us // 1000000 AS sec, (price - 20) / 10000 AS rate FROM ticks), r AS (SELECT symbol, sec, max(rate) AS rate FROM s GROUP BY 1, 2),
 q AS (SELECT symbol, slot, (slot + 1) * 14400 AS sec FROM b4)
 SELECT q.symbol, q.slot, round(r.rate, 6) AS rate FROM q ASOF LEFT JOIN r ON q.symbol = r.symbol AND q.sec >= r.sec""")
 def jn04_asof(spark, d):
@@ -185,7 +185,7 @@ def jn04_asof(spark, d):
     return rounded(timeline.asof_join(left, settlements(spark, d).select("symbol", "sec", "rate"), "symbol", "sec", ["rate"]).select("symbol", "slot", "rate"), "rate")
 
 
-@query(f"""WITH {BARS_4H}, s AS (SELECT symbol, us // 1000000 AS sec, (price - 20) / 10000 AS rate FROM ticks WHERE event_id % 7 = 0), q AS (SELECT symbol, slot, (slot + 1) * 14400 AS sec FROM b4)
+@query(f"""WITH {BARS_4H}, s AS (SELECT symbol, us // 1000000 AS sec, (price - 20) / 10000 AS rate FROM ticks), q AS (SELECT symbol, slot, (slot + 1) * 14400 AS sec FROM b4)
 SELECT q.symbol, q.slot, round(sum(s.rate), 6) AS funding, count(s.rate) AS funding_n FROM q LEFT JOIN s ON s.symbol = q.symbol AND s.sec > q.sec - 259200 AND s.sec <= q.sec GROUP BY 1, 2""")
 def jn06_interval_sum(spark, d):
     left = bars_4h(spark, d).select("symbol", ((F.col("slot") + 1) * 14400).alias("sec"), "slot")
@@ -193,12 +193,12 @@ def jn06_interval_sum(spark, d):
     return rounded(out.select("symbol", "slot", "funding", "funding_n"), "funding")
 
 
-@query(f"""WITH {BARS_4H}, e AS (SELECT symbol, event_id, us // {14400}000000 AS slot FROM ticks WHERE event_id % 11 = 0)
+@query(f"""WITH {BARS_4H}, e AS (SELECT symbol, event_id, us // {14400}000000 AS slot FROM ticks)
 SELECT e.event_id, e.symbol, round(y.open / x.open - 1, 6) AS forward FROM e JOIN b4 x ON x.symbol = e.symbol AND x.slot = e.slot + 1 JOIN b4 y ON y.symbol = e.symbol AND y.slot = e.slot + 7""")
 def jn02_forward_return(spark, d):
     from tidemark.plans.demo import ticks
 
-    e = ticks(spark, d).where("event_id % 11 = 0").select("symbol", "event_id", F.expr("us div 14400000000").alias("slot"))
+    e = ticks(spark, d).select("symbol", "event_id", F.expr("us div 14400000000").alias("slot"))
     return timeline.forward_return(e, bars_4h(spark, d), "symbol", "slot", 1, 6).select("event_id", "symbol", F.round("forward", 6).alias("forward"))
 
 

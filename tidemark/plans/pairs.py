@@ -86,11 +86,11 @@ def jn18_paired_contrast(spark, d):
     return rounded(run(spark, d, True).join(one, "doc_id").select("doc_id", (F.col("score") - F.col("before")).alias("difference")), "difference")
 
 
-@query(f"""WITH {NEWS}, s AS (SELECT event_id, epoch_us(ts) // 1000000 AS sec FROM events WHERE event_id % 50 = 0), p AS (SELECT doc_id, event_id, abs(sec - published) AS distance FROM n JOIN s ON abs(sec - published) <= 3600),
+@query(f"""WITH {NEWS}, s AS (SELECT event_id, epoch_us(ts) // 1000000 AS sec FROM events), p AS (SELECT doc_id, event_id, abs(sec - published) AS distance FROM n JOIN s ON abs(sec - published) <= 3600),
 q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, event_id) AS i FROM p) SELECT doc_id, event_id, distance FROM q WHERE i = 1""")
 def jn19_nearest_within(spark, d):
     """The capture closest to each publication, at most an hour away; ties to the smaller id."""
-    captures = table(spark, d, "events").where("event_id % 50 = 0").select("event_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("sec"))
+    captures = table(spark, d, "events").select("event_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("sec"))
     return timeline.nearest_within(news(spark, d).select("doc_id", "published"), captures, "doc_id", "published", "event_id", "sec", 3600)
 
 
@@ -120,12 +120,12 @@ def jn22_weight_map(spark, d):
     return rounded(event_records(spark, d).select("doc_id", (F.col("severity") * F.coalesce(F.element_at(known, F.col("event_type")), F.lit(0.0))).alias("weighted")), "weighted")
 
 
-@query(f"""WITH {NEWS}, {BARS_4H}, g AS (SELECT slot, lead(close) OVER (ORDER BY slot) > close AS up FROM b4 WHERE symbol = 'view') SELECT doc_id, up::BIGINT AS label FROM n JOIN g ON published // 14400 = slot WHERE up IS NOT NULL""")
+@query(f"""WITH {NEWS}, {BARS_4H}, g AS (SELECT symbol, slot, lead(close) OVER (PARTITION BY symbol ORDER BY slot) > close AS up FROM b4) SELECT doc_id, symbol, up::BIGINT AS label FROM n JOIN g ON published // 14400 = slot WHERE up IS NOT NULL""")
 def jn23_news_labels(spark, d):
-    """Texts with the direction of the close after the bar that they fall in."""
+    """Texts with the direction of each symbol's close after the bar that they fall in."""
     w = Window.partitionBy("symbol").orderBy("slot")
-    g = bars_4h(spark, d).where("symbol = 'view'").select("slot", (F.lead("close").over(w) > F.col("close")).cast("long").alias("label")).where("label is not null")
-    return news(spark, d).select("doc_id", F.expr("published div 14400").alias("slot")).join(g, "slot").select("doc_id", "label")
+    g = bars_4h(spark, d).select("symbol", "slot", (F.lead("close").over(w) > F.col("close")).cast("long").alias("label")).where("label is not null")
+    return news(spark, d).select("doc_id", F.expr("published div 14400").alias("slot")).join(g, "slot").select("doc_id", "symbol", "label")
 
 
 @query(f"""WITH {RUNS}, p AS (SELECT doc_id, a.score <> b.score AS s, a.action <> b.action AS c FROM ra a JOIN rb b USING (doc_id)) SELECT doc_id, CASE WHEN s AND c THEN 'score,action' WHEN s THEN 'score' ELSE 'action' END AS fields FROM p WHERE s OR c""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query, rounded
 from tidemark.sources.readers import shared_folder, table
-from tidemark.streaming import rolling
+from tidemark.streaming import rolling, stateful
 
 HOUR4 = 14_400_000_000
 SEC = "epoch_us(ts) // 1000000"
@@ -32,6 +32,12 @@ def sm01_rolling_scores(spark, d):
     return rounded(result(spark, rolling.rolling_scores(events(spark, d), "ts", "value"), "rolling", "decision"), "mean")
 
 
+@query(f"""WITH w AS (SELECT ((epoch_us(ts) - 1) // {HOUR4} + unnest([1, 2, 3, 4, 5, 6])) * {HOUR4} AS e, value FROM events) SELECT e // 1000000 AS decision, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, count(value) AS n FROM w WHERE e <= {ALL} GROUP BY 1""")
+def sm01_trailing_scores(spark, d):
+    """Mean and median of the scores of (t - 24 h, t] at each four-hour boundary t."""
+    return rounded(result(spark, rolling.trailing_scores(events(spark, d), "ts", "value"), "trailing", "decision"), "mean", "median")
+
+
 @query(f"""SELECT (epoch_us(ts) // {HOUR4} + 1) * 14400 AS decision, event_type, count(*) AS n FROM events WHERE (epoch_us(ts) // {HOUR4} + 1) * {HOUR4} <= {ALL} GROUP BY 1, 2""")
 def sm02_buckets(spark, d):
     return result(spark, rolling.event_buckets(events(spark, d), "ts", "event_type"), "buckets", "decision")
@@ -109,3 +115,46 @@ def sm15_decisions(spark, d):
     """A signal acts when every gate holds; else the gates that failed are named."""
     gates = {"score": F.col("value") > 10, "size": F.col("event_id") % 5 > 0, "kind": F.col("event_type") != "error"}
     return result(spark, rolling.decisions(events(spark, d), gates).select("event_id", "reasons", "decision"), "decisions")
+
+
+def keyed(spark, d, *more):
+    """Events by user, as the stateful operators take them."""
+    return events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros("ts").alias("at"), *more)
+
+
+def kept(spark, stream, name):
+    """As `result`, with Spark's store of states on disk, which stateful processors need."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKS)
+    try:
+        return result(spark, stream, name)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+@query("""WITH r AS (SELECT user_id AS k, epoch_us(ts) // 86400000000 AS day, event_id AS id, sum(value - 30) OVER (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY epoch_us(ts), event_id) AS total, epoch_us(ts) AS us FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY k, day ORDER BY us, id) AS i FROM r WHERE total < -25) SELECT k AS key, day, id, round(total, 6) AS total FROM f WHERE i = 1""")
+def sm07_running_losses(spark, d):
+    """The row on which a user's running result of the day first falls below the limit."""
+    x = keyed(spark, d, (F.col("value") - 30).alias("value"), "ts").withColumn("day", F.expr("at div 86400000000"))
+    return rounded(kept(spark, stateful.running_losses(x, "ts", 25.0), "losses"), "total")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
+p AS (SELECT k, id, i, CASE WHEN v > 25 THEN v END AS entry, CASE WHEN v > 25 THEN v END AS peak, NULL::DOUBLE AS stop FROM e WHERE i = 1
+  UNION ALL SELECT e.k, e.id, e.i, CASE WHEN p.entry IS NULL THEN CASE WHEN e.v > 25 THEN e.v END WHEN e.v <= greatest(0.5::DOUBLE * p.entry, 0.6::DOUBLE * p.peak) THEN NULL ELSE p.entry END,
+    CASE WHEN p.entry IS NULL THEN CASE WHEN e.v > 25 THEN e.v END WHEN e.v <= greatest(0.5::DOUBLE * p.entry, 0.6::DOUBLE * p.peak) THEN NULL ELSE greatest(p.peak, e.v) END, CASE WHEN p.entry IS NOT NULL THEN greatest(0.5::DOUBLE * p.entry, 0.6::DOUBLE * p.peak) END FROM p JOIN e ON e.k = p.k AND e.i = p.i + 1)
+SELECT k AS key, id, (entry IS NOT NULL)::INTEGER AS held, round(stop, 6) AS stop FROM p""")
+def sm12_positions(spark, d):
+    """Whether each user's position is held after each event, and the trailing stop before it: long above a value, out at the larger of half the entry and 60 % of the peak."""
+    return rounded(kept(spark, stateful.positions(keyed(spark, d, "value"), 25.0, 0.5, 0.6), "positions"), "stop")
+
+
+@query("""WITH e AS (SELECT user_id AS k, event_id AS id, epoch_us(ts) AS us, value AS v, event_id * 7 % 50 AS a, event_id * 11 % 60 AS b FROM events),
+w AS (SELECT *, list((v - a) ** 2) OVER s AS ea, list((v - b) ** 2) OVER s AS eb FROM e WINDOW s AS (PARTITION BY k ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 3600000000 PRECEDING)),
+m AS (SELECT k, id, a, b, CASE WHEN len(ea) > 0 THEN 1 / greatest(list_avg(list_slice(ea, -10, -1)), 1e-12::DOUBLE) END AS x, CASE WHEN len(eb) > 0 THEN 1 / greatest(list_avg(list_slice(eb, -10, -1)), 1e-12::DOUBLE) END AS y FROM w)
+SELECT k AS key, id, round(x / (x + y), 6) AS weight, round(x / (x + y) * a + (1 - x / (x + y)) * b, 6) AS fused FROM m""")
+def sm13_fusion(spark, d):
+    """Two forecasts of each user's events, weighted by their errors on the last ten events whose outcome was an hour old."""
+    x = keyed(spark, d, "value", (F.col("event_id") * 7 % 50).cast("double").alias("a"), (F.col("event_id") * 11 % 60).cast("double").alias("b"))
+    return rounded(kept(spark, stateful.fusion(x, 10, 3_600_000_000), "fusion"), "weight", "fused")

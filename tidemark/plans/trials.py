@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators import trials
+from tidemark.operators import models, trials
 from tidemark.plans.demo import BARS_1D, TRADES, bars_1d, trades
 from tidemark.plans.market import OVER, W
 from tidemark.plans.registry import query, rounded
@@ -176,16 +173,17 @@ def ml19_sweep(spark, d):
 SELECT doc_id, round(CASE WHEN p + n = 0 THEN 0 ELSE (p - n) / (p + n) END, 6) AS score FROM k""")
 def ml21_score_batches(spark, d):
     """A pluggable scorer over batches of texts; the one given counts words of two lists."""
+    return rounded(models.score_batches(table(spark, d, "documents"), lexicon), "score")
+
+
+def lexicon():
+    """A scorer that needs no weights: the share of good words among good and bad ones, -1 to 1."""
     import re
 
     up, down = re.compile(r"\b(?:good|new|free|open)\b", re.ASCII), re.compile(r"\b(?:bad|old|lost|closed)\b", re.ASCII)
 
-    def lexicon(text: str | None) -> float:
-        p, n = len(up.findall((text or "").lower())), len(down.findall((text or "").lower()))
-        return (p - n) / (p + n) if p + n else 0.0
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": b["text"].map(lexicon).astype("float64")})
+    def score(texts: list[str]) -> list[float]:
+        counts = [(len(up.findall(t)), len(down.findall(t))) for t in map(str.lower, texts)]
+        return [(p - n) / (p + n) if p + n else 0.0 for p, n in counts]
 
-    return rounded(table(spark, d, "documents").select("doc_id", "text").mapInPandas(score, "doc_id long, score double"), "score")
+    return score

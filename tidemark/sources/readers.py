@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,47 @@ def read_csv(spark: SparkSession, path: str, required: list[str], forbidden: tup
     return df.select(*required)
 
 
+def read_exact(spark: SparkSession, path: str, columns: list[str], sep: str = "\t") -> DataFrame:
+    """Text columns of separated files whose headers are exactly `columns`, in order; reading a file with another header fails."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, multiLine=True, escape='"', sep=sep)
+
+
+def read_archives(spark: SparkSession, path: str, checksums: DataFrame, columns: int) -> tuple[DataFrame, DataFrame]:
+    """Zip archives of one CSV file each, held against `checksums` (name, sha256): rows (name, fields array<string>) of the good ones, and the others (name, reason).
+
+    Reasons: unlisted (no checksum), missing (no archive), checksum, members (not one file of the archive's name), columns (a row of another width, or none). Only archives that
+    pass are unpacked, one at a time in a task.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
+    files = files.select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("name"), "content", F.sha2("content", 256).alias("found"))
+    held = files.join(checksums.select(F.col("name").alias("listed"), F.col("sha256").alias("wanted")), F.col("name") == F.col("listed"), "left")
+    reason = F.when(F.col("wanted").isNull(), "unlisted").when(F.col("wanted") != F.col("found"), "checksum")
+    held = held.withColumn("reason", reason)
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv
+        import io
+        import zipfile
+
+        for b in batches:
+            for name, content in zip(b["name"], b["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    if z.namelist() != [name + ".csv"]:
+                        yield pd.DataFrame({"name": [name], "fields": [None], "reason": ["members"]})
+                        continue
+                    rows = list(csv.reader(io.StringIO(z.read(name + ".csv").decode("utf-8-sig"))))
+                if not rows or any(len(r) != columns for r in rows):
+                    yield pd.DataFrame({"name": [name], "fields": [None], "reason": ["columns"]})
+                else:
+                    yield pd.DataFrame({"name": name, "fields": rows, "reason": None})
+
+    opened = held.where("reason is null").select("name", "content").mapInPandas(unpack, "name string, fields array<string>, reason string")
+    absent = checksums.select("name").join(files.select("name"), "name", "left_anti").select("name", F.lit("missing").alias("reason"))
+    bad = held.where("reason is not null").select("name", "reason").unionByName(opened.where("reason is not null").select("name", "reason")).unionByName(absent)
+    return opened.where("reason is null").select("name", "fields"), bad
+
+
 def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
     """`item` elements of feeds: title, link, pubDate, guid."""
     fields = "title string, link string, pubDate string, guid string"
@@ -111,6 +154,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_status(df: DataFrame, path: str, order: str) -> None:
+    """A small status table as one Markdown file, its rows by `order`."""
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + " - |" * len(df.columns))], "part int, value string").withColumn("by", F.lit(None).cast("string"))
+    body = df.select(F.lit(2).alias("part"), line([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"), F.col(order).cast("string").alias("by"))
+    head.unionByName(body).repartition(1).sortWithinPartitions("part", "by").select("value").write.mode("overwrite").text(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back, so that whoever reads it sees the same rows, whatever tasks run again."""
     path = shared_folder(df.sparkSession, name)

@@ -12,6 +12,13 @@ def rolling_scores(events: DataFrame, time: str, score: str, length: str = "24 h
     return w.agg(F.avg(score).alias("mean"), F.count(score).alias("n")).select(F.col("window.end").alias("decision"), "mean", "n")
 
 
+def trailing_scores(events: DataFrame, time: str, score: str, length: str = "24 hours", step: str = "4 hours", late: str = "1 hour") -> DataFrame:
+    """Mean, median and number of scores of (t - length, t] at each boundary t. Spark's windows hold their start, not their end, so times are moved a microsecond back."""
+    back = events.withColumn("trailing_time", F.col(time) - F.expr("interval 1 microsecond"))
+    w = back.withWatermark("trailing_time", late).groupBy(F.window("trailing_time", length, step))
+    return w.agg(F.avg(score).alias("mean"), F.percentile(score, 0.5).alias("median"), F.count(score).alias("n")).select(F.col("window.end").alias("decision"), "mean", "median", "n")
+
+
 def event_buckets(events: DataFrame, time: str, key: str, length: str = "4 hours", late: str = "1 hour") -> DataFrame:
     """Events of each key by the boundary after them."""
     w = events.withWatermark(time, late).groupBy(F.window(time, length), key)
