@@ -51,6 +51,14 @@ def digest(value: str) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(value)), "\n"), 256)
 
 
+def digest_of_ranges(rows: DataFrame, by: str, id_col: str, width: int) -> DataFrame:
+    """by, digest, n: SHA-256 over the digests, in order, of each range of `width` integer ids, which is over its ids in order. A range holds `width` distinct ids at most, so no task gets a whole group."""
+    of_range = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(id_col)), lambda x: x.cast("string")), "\n"), 256)
+    inner = rows.groupBy(by, F.floor(F.col(id_col) / width).alias("digest_range")).agg(of_range.alias("d"), F.count(F.lit(1)).alias("n"))
+    outer = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("digest_range", "d"))), lambda x: x["d"]), "\n")
+    return inner.groupBy(by).agg(F.sha2(outer, 256).alias("digest"), F.sum("n").alias("n"))
+
+
 def merged(rows: DataFrame, by: str, text: str, order: str) -> DataFrame:
     """Documents of one time as one: text in order, number, digest."""
     parts = F.array_sort(F.collect_list(F.struct(order, text)))

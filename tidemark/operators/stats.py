@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.sources.readers import written
@@ -101,23 +102,32 @@ def return_statistics(returns: DataFrame, by: list[str], r: str, periods: float)
     return returns.groupBy(*by).agg(compounded(x).alias("total"), (F.avg(x) / F.stddev_samp(x) * periods**0.5).alias("sharpe"), F.when(down > 0, F.avg(x) / down * periods**0.5).alias("sortino"))
 
 
-def ranked(rows: DataFrame, by: list[str], x: Column, order: list[str], out: str, parts: int = 200) -> DataFrame:
+def ranked(rows: DataFrame, by: list[str], x: Column, order: list[str], out: str, parts: int = 200, slices: int = 64) -> DataFrame:
     """`rows` with their place (from 1) in their group by the numeric x, then `order`, and the group's size as `out`_n. Nulls of x come first; groups match by value, null with null.
 
-    A group is cut at approximate quantiles, written once so that every task sees the same; places are counts of the parts before plus the place within one. Only rows that tie on x stay together.
+    A group is cut at approximate quantiles of x, and ties of a part into `slices` of equal width of the first of `order` where that is a number; the cuts are written once so that every task
+    sees the same. Places are counts of the parts and slices before plus the place within one, so no task gets a whole group.
     """
     names = [f"rank_b{i}" for i in range(len(by))]
+    number = isinstance(rows.schema[order[0]].dataType, T.NumericType)
+    tie = F.col(order[0]).cast("double") if number else F.lit(0.0)
     y = rows.withColumn("rank_x", x)
-    cuts = y.groupBy(*by).agg(F.percentile_approx("rank_x", [i / parts for i in range(1, parts)]).alias("rank_cuts"))
-    cuts = written(cuts, "cuts").toDF(*names, "rank_cuts")
+    cuts = y.groupBy(*by).agg(F.percentile_approx("rank_x", [i / parts for i in range(1, parts)]).alias("rank_cuts"), F.min(tie).alias("rank_lo"), F.max(tie).alias("rank_hi"))
+    cuts = written(cuts, "cuts").toDF(*names, "rank_cuts", "rank_lo", "rank_hi")
     same = lambda: reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)), F.lit(True))
     part = F.when(F.col("rank_x").isNull(), -1).otherwise(F.size(F.filter(F.array_distinct(F.coalesce("rank_cuts", F.array())), lambda b: b < F.col("rank_x"))))
-    y = y.join(cuts, same()).drop(*names).withColumn("rank_part", part).drop("rank_cuts")
-    sums = y.groupBy(*by, "rank_part").agg(F.count(F.lit(1)).alias("rank_c"))
-    before = Window.partitionBy(*by).orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = sums.select(*by, "rank_part", F.coalesce(F.sum("rank_c").over(before), F.lit(0)).alias("rank_o"), F.sum("rank_c").over(Window.partitionBy(*by)).alias(out + "_n")).toDF(*names, "rank_p", "rank_o", out + "_n")
-    within = F.row_number().over(Window.partitionBy(*by, "rank_part").orderBy("rank_x", *order))
-    y = y.withColumn("rank_i", within).join(offset, same() & (F.col("rank_part") == F.col("rank_p")))
+    slice_ = F.coalesce(F.floor((tie - F.col("rank_lo")) / (F.col("rank_hi") - F.col("rank_lo") + 1) * slices).cast("int"), F.lit(-1))
+    # A part of several values is in order of x first; only parts of one value are sliced.
+    y = y.join(cuts, same()).withColumn("rank_part", part).withColumn("rank_tied", F.coalesce(F.exists("rank_cuts", lambda b: b == F.col("rank_x")), F.lit(False)))
+    y = y.withColumn("rank_slice", F.when(F.col("rank_x").isNull() | F.col("rank_tied"), slice_).otherwise(-2)).drop(*names, "rank_cuts", "rank_lo", "rank_hi")
+    at = ["rank_part", "rank_tied", "rank_slice"]
+    sums = y.groupBy(*by, *at).agg(F.count(F.lit(1)).alias("rank_c"))
+    before = Window.partitionBy(*by).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    offset = sums.select(*by, *at, F.coalesce(F.sum("rank_c").over(before), F.lit(0)).alias("rank_o"), F.sum("rank_c").over(Window.partitionBy(*by)).alias(out + "_n"))
+    offset = offset.toDF(*names, "rank_p", "rank_t", "rank_s", "rank_o", out + "_n")
+    within = F.row_number().over(Window.partitionBy(*by, *at).orderBy("rank_x", *order))
+    placed = same() & (F.col("rank_part") == F.col("rank_p")) & (F.col("rank_tied") == F.col("rank_t")) & (F.col("rank_slice") == F.col("rank_s"))
+    y = y.withColumn("rank_i", within).join(offset, placed)
     return y.select(*rows.columns, (F.col("rank_o") + F.col("rank_i")).alias(out), out + "_n")
 
 

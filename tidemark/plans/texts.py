@@ -112,6 +112,12 @@ def ag06_digest(spark, d):
     return event_records(spark, d).withColumn("id", F.col("doc_id").cast("string")).groupBy("day").agg(corpus.digest("id").alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {RECORDS}, g AS (SELECT day, doc_id // 256 AS k, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS d, count(*) AS n FROM r GROUP BY 1, 2) SELECT day, sha256(string_agg(d, chr(10) ORDER BY k)) AS digest, sum(n)::BIGINT AS n FROM g GROUP BY 1""")
+def ag06_digest_of_ranges(spark, d):
+    """A day's ids digested in ranges of 256, then the ranges' digests: no task holds a day."""
+    return corpus.digest_of_ranges(event_records(spark, d), "day", "doc_id", 256)
+
+
 @query(f"""WITH {RECORDS}, f AS (SELECT day, count(*) AS n, {", ".join(f"avg(CASE WHEN event_type = '{t}' THEN 1.0::DOUBLE ELSE 0 END) AS share_{t}" for t in TYPES)}, avg(severity) AS mean_severity, max(severity) AS max_severity,
   avg(severity * CASE direction WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END) AS signed FROM r WHERE status = 'success' GROUP BY 1),
 s AS (SELECT unnest(range((SELECT min(day) FROM f), (SELECT max(day) FROM f) + 1)) AS day)
