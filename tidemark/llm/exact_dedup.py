@@ -17,11 +17,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import named
 
-SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: White space besides the space itself.
+OTHER_SPACE = "\t\n\x0b\x0c\r"
 
 
 def normalised(text: str = "text") -> Column:
-    return F.regexp_replace(F.coalesce(named(text), F.lit("")), SPACE_RUN, " ")
+    """Each run of ASCII white space as one space. Single replacements are several times as fast as a regular expression, which only texts with two spaces in a row need."""
+    spaced = F.coalesce(named(text), F.lit(""))
+    for c in OTHER_SPACE:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
 
 
 def content_hash(text: Column) -> Column:
