@@ -205,6 +205,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
                     at += n
                 if rows:
                     yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep else ""))

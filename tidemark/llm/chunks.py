@@ -2,7 +2,7 @@
 
 Natural text repeats its words. A batch of texts is cut into chunks at places where the tokenizer cuts anyway, the chunks are
 dictionary-encoded by Arrow, each distinct chunk is encoded once (and remembered by the Python worker, up to its share of an executor's
-bytes; then it forgets all and starts again), and the ids of the texts are gathered by numpy. The result equals encoding each whole text.
+bytes; frequent chunks come early, so what is known then stays), and the ids of the texts are gathered by numpy. The result equals encoding each whole text.
 """
 
 from __future__ import annotations
@@ -49,15 +49,13 @@ class ChunkCodes:
         raise NotImplementedError
 
     def remember(self, chunks: list[str], codes: list[bytes]) -> None:
-        """Keeps the codes within `most` bytes; when they would be more, what was known before goes first."""
-        sizes = [EACH + 2 * len(c) + len(x) for c, x in zip(chunks, codes, strict=True)]
-        if self.held + sum(sizes) > self.most:
-            self.known.clear()
-            self.held = 0
-        for c, x, size in zip(chunks, codes, sizes, strict=True):
-            if self.held + size <= self.most:
-                self.known[c] = x
-                self.held += size
+        """Keeps the codes as long as they fit into `most` bytes."""
+        for c, x in zip(chunks, codes, strict=True):
+            size = EACH + 2 * len(c) + len(x)
+            if self.held + size > self.most:
+                return
+            self.known[c] = x
+            self.held += size
 
     def codes(self, distinct: list[str]) -> list[bytes]:
         found = list(map(self.known.get, distinct))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes that the Python workers of one executor may remember together (see `worker_bytes`).
-EXECUTOR_CACHE = 320 << 20
+EXECUTOR_CACHE = 160 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,7 @@ def with_arrow_column(docs: DataFrame, source: str, make: Callable[[], Callable[
         column = make()
         for batch in batches:
             yield pa.record_batch([*(batch.column(i) for i in kept), column(batch.column(at))], names=[*(batch.schema.names[i] for i in kept), "out"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     schema = T.StructType([*(numbered.schema.fields[i] for i in kept), T.StructField("out", kind)])
     return numbered.mapInArrow(of, schema).toDF(*(docs.columns[i] for i in kept), out)

@@ -59,7 +59,7 @@ def features_of_word(word: str) -> list[int]:
 def _distinct(words: set[str], known: dict[str, list[int]]) -> np.ndarray:
     for w in words:
         if w not in known:
-            if len(known) > 100_000:
+            if len(known) > 50_000:
                 known.clear()
             known[w] = features_of_word(w)
     return np.unique(np.concatenate([known.get(w) or features_of_word(w) for w in words])).astype(np.int32) if words else np.zeros(0, np.int32)
@@ -77,7 +77,7 @@ class Model:
 
     def _of(self, word: str) -> tuple[int, ...]:
         found = tuple(f for f in features_of_word(word) if f in self.weights)
-        if len(self.known) < 200_000:
+        if len(self.known) < 100_000:
             self.known[word] = found
         return found
 
