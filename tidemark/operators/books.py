@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.names import free
 from tidemark.operators.stats import hash_number, ranked
 from tidemark.operators.timeline import asof_join
 
@@ -40,11 +41,12 @@ def reallocated(trades: DataFrame, by: str, key: str, r: str, chosen: str, extra
 
 def half_for_a_bar(actions: DataFrame, bars: DataFrame, key: str, time: str, qty: str, slip: float, fee: float, funding: float) -> DataFrame:
     """price, fees, funding of selling half at the open of `time` and buying it back at the next one; actions without both bars are dropped."""
-    out = bars.select(key, time, F.col("open").alias("__a"))
-    back = bars.select(key, (F.col(time) - 1).alias(time), F.col("open").alias("__b"))
-    half, a, b = 0.5 * F.col(qty), F.col("__a"), F.col("__b")
+    sold, bought = free("half_sold", actions), free("half_bought", actions)
+    out = bars.select(key, time, F.col("open").alias(sold))
+    back = bars.select(key, (F.col(time) - 1).alias(time), F.col("open").alias(bought))
+    half, a, b = 0.5 * F.col(qty), F.col(sold), F.col(bought)
     x = actions.join(out, [key, time]).join(back, [key, time])
-    return x.withColumns({"price": half * (a * (1 - slip) - b * (1 + slip)), "fees": fee * half * (a + b), "funding": half * a * funding}).drop("__a", "__b")
+    return x.withColumns({"price": half * (a * (1 - slip) - b * (1 + slip)), "fees": fee * half * (a + b), "funding": half * a * funding}).drop(sold, bought)
 
 
 def attenuated(rows: DataFrame, key: str, time: str, warned: str, r: str, bars: int, full: float, low: float, cost: float) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.names import free
+
 DAY = 86_400
 
 
@@ -27,7 +29,8 @@ def all_reasons(rules: list[tuple[str, Column]]) -> Column:
 
 
 def keep_first(rows: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+    n = free("first_place", rows)
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)
 
 
 def normal_title(text: str) -> Column:
@@ -42,8 +45,9 @@ def round_robin(rows: DataFrame, group: str, source: str, order: list[str], cap:
 
 def diverse(rows: DataFrame, group: str, source: str, order: list[str], cap: int) -> DataFrame:
     """The best item of each source first, then the best of the rest, up to `cap` a group."""
-    nth = rows.withColumn("diverse_n", F.row_number().over(Window.partitionBy(group, source).orderBy(*order))).where(F.col("diverse_n") <= cap)  # later ones can't be among the first `cap`
-    return nth.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.col("diverse_n") > 1, *order))).where(F.col("place") <= cap).drop("diverse_n")
+    n = free("diverse_place", rows)
+    nth = rows.withColumn(n, F.row_number().over(Window.partitionBy(group, source).orderBy(*order))).where(F.col(n) <= cap)  # later ones can't be among the first `cap`
+    return nth.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.col(n) > 1, *order))).where(F.col("place") <= cap).drop(n)
 
 
 def digest(value: str) -> Column:
@@ -155,10 +159,11 @@ def admitted(rows: DataFrame, reason: str, duplicates: list[tuple[str, str]], or
     First rows come from an aggregate, so copies are combined before the shuffle; null keys repeat each other. A row dropped for a later key still holds its earlier one.
     """
     at = F.struct(*order)
+    k, f = free("admit_key", rows), free("admit_first", rows)
     for name, key in duplicates:
-        first = rows.where(F.col(reason).isNull()).groupBy(F.col(key).alias("admit_key")).agg(F.min(at).alias("admit_first"))
-        later = F.col(reason).isNull() & (at > F.col("admit_first"))
-        rows = rows.join(first, F.col(key).eqNullSafe(F.col("admit_key")), "left").withColumn(reason, F.when(later, name).otherwise(F.col(reason))).drop("admit_key", "admit_first")
+        first = rows.where(F.col(reason).isNull()).groupBy(F.col(key).alias(k)).agg(F.min(at).alias(f))
+        later = F.col(reason).isNull() & (at > F.col(f))
+        rows = rows.join(first, F.col(key).eqNullSafe(F.col(k)), "left").withColumn(reason, F.when(later, name).otherwise(F.col(reason))).drop(k, f)
     return rows
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tidemark.functions.names import free
 from tidemark.operators.timeline import running_before
 
 
@@ -128,10 +129,11 @@ def trailing_percentile(x: str, key: str, time: str, span: int, least: int) -> C
 def price_patterns(bars: DataFrame, key: str, time: str, n: int, gap: float, body: float) -> DataFrame:
     """`gap`: the low stands above the high two bars before by a share of the true range; `block`: a down bar before a strong up bar. With their middles."""
     w = Window.partitionBy(key).orderBy(time)
-    r = bars.withColumn("__tr", true_range(w)).withColumn("__atr", sma("__tr", n, w))
+    tr, atr = free("pattern_range", bars), free("pattern_mean", bars)
+    r = bars.withColumn(tr, true_range(w)).withColumn(atr, sma(tr, n, w))
     before = F.lag("high", 2).over(w)
-    wide = F.coalesce(F.col("low") - before >= gap * F.col("__atr"), F.lit(False))
-    strong = (F.lag("close").over(w) < F.lag("open").over(w)) & (F.col("close") > F.col("open")) & (F.col("close") - F.col("open") >= body * F.col("__atr"))
+    wide = F.coalesce(F.col("low") - before >= gap * F.col(atr), F.lit(False))
+    strong = (F.lag("close").over(w) < F.lag("open").over(w)) & (F.col("close") > F.col("open")) & (F.col("close") - F.col("open") >= body * F.col(atr))
     block = F.coalesce(strong, F.lit(False))
     middle = (F.lag("high").over(w) + F.lag("low").over(w)) / 2
-    return r.withColumns({"gap": wide, "gap_middle": F.when(wide, (F.col("low") + before) / 2), "block": block, "block_middle": F.when(block, middle)}).drop("__tr", "__atr")
+    return r.withColumns({"gap": wide, "gap_middle": F.when(wide, (F.col("low") + before) / 2), "block": block, "block_middle": F.when(block, middle)}).drop(tr, atr)

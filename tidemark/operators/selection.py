@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.names import free
 from tidemark.operators.stats import ranked
 
 
@@ -16,7 +17,8 @@ def top_n(rows: DataFrame, by: list[str], order: list[Column], n: int, out: str
 def liquid_universe(bars: DataFrame, n: int, history: int, key: str = "symbol", time: str = "day", value: str = "turnover") -> DataFrame:
     """Per day the n keys with the largest value over `history` consecutive days up to it."""
     w = Window.partitionBy(key).orderBy(time).rangeBetween(-(history - 1), 0)
-    full = bars.withColumn("liquidity", F.sum(value).over(w)).withColumn("__n", F.count(F.lit(1)).over(w)).where(F.col("__n") == history).drop("__n")
+    n_days = free("history_n", bars)
+    full = bars.withColumn("liquidity", F.sum(value).over(w)).withColumn(n_days, F.count(F.lit(1)).over(w)).where(F.col(n_days) == history).drop(n_days)
     return top_n(full, [time], [F.desc("liquidity"), F.asc(key)], n)
 
 
@@ -24,7 +26,7 @@ def top_and_bottom(rows: DataFrame, by: list[str], value: str, key: str, n: int)
     """`side` 1 for the n largest, -1 for the n smallest, 0 else; a row that is both is 1."""
     up = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), F.asc(key)))
     down = F.row_number().over(Window.partitionBy(*by).orderBy(F.asc(value), F.asc(key)))
-    return rows.withColumn("__u", up).withColumn("__d", down).withColumn("side", F.when(F.col("__u") <= n, 1).when(F.col("__d") <= n, -1).otherwise(0)).drop("__u", "__d")
+    return rows.withColumn("side", F.when(up <= n, 1).when(down <= n, -1).otherwise(0))
 
 
 def rank_sum(rows: DataFrame, by: list[str], values: list[str], key: str, share: int = 3) -> DataFrame:
@@ -36,15 +38,17 @@ def rank_sum(rows: DataFrame, by: list[str], values: list[str], key: str, share:
 
 
 def hash_sample(rows: DataFrame, strata: list[str], key: str, seed: str, n: int) -> DataFrame:
-    """n rows of each stratum with the smallest SHA-256 of seed and key."""
+    """n rows of each stratum with the smallest SHA-256 of seed and key; rows that repeat a key in the order of a hash of all that they hold (maps left out)."""
     h = F.sha2(F.concat(F.lit(seed + ":"), F.col(key).cast("string")), 256)
-    return top_n(rows, strata, [h, F.col(key)], n)
+    whole = F.xxhash64(*(F.col(c) for c, t in rows.dtypes if "map<" not in t))
+    return top_n(rows, strata, [h, F.col(key), whole], n)
 
 
 def even_sample(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     """n evenly spaced rows per group, first and last included (all, if fewer). The first column of `order` is numeric."""
-    x = ranked(rows, by, F.col(order[0]), order, "even_place")
-    place, many = F.col("even_place") - 1, F.col("even_place_n")
+    name = free("even_place", rows)
+    x = ranked(rows, by, F.col(order[0]), order, name)
+    place, many = F.col(name) - 1, F.col(name + "_n")
     wanted = F.exists(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (many - 1) / (n - 1) + 0.5) == place)
     return x.where((many <= n) | wanted).select(*rows.columns)
 
@@ -53,7 +57,8 @@ def stratum_minimum_then_fill(rows: DataFrame, stratum: str, key: str, seed: str
     """One row per stratum, then the smallest hashes of all the rest up to n rows."""
     h = F.sha2(F.concat(F.lit(seed + ":"), F.col(key).cast("string")), 256)
     first = F.row_number().over(Window.partitionBy(stratum).orderBy(h, key)) == 1
-    return rows.withColumn("__h", h).withColumn("__f", first.cast("int")).orderBy(F.desc("__f"), "__h", key).limit(n).drop("__h", "__f")
+    a, b = free("fill_hash", rows), free("fill_first", rows)
+    return rows.withColumn(a, h).withColumn(b, first.cast("int")).orderBy(F.desc(b), a, key).limit(n).drop(a, b)
 
 
 def frequent(rows: DataFrame, value: str, n: int) -> DataFrame:
@@ -78,7 +83,8 @@ def best_configuration(folds: DataFrame, config: str, value: str, *gates: Column
 
 def same_density(rows: DataFrame, by: str, order: Column, key: str, zero: Column, half: Column) -> DataFrame:
     """`weight`: per group the first rows by `order` (numeric, smallest first) get 0 and the next 0.5, as many as meet the conditions `zero` and `half`; the rest 1."""
-    per = rows.groupBy(F.col(by).alias("dense_by")).agg(F.count_if(zero).alias("dense_z"), F.count_if(half).alias("dense_h"))
-    x = ranked(rows, [by], order, [key], "dense_i").join(per, F.col(by).eqNullSafe(F.col("dense_by")))
-    i = F.col("dense_i")
-    return x.select(*rows.columns, F.when(i <= F.col("dense_z"), 0.0).when(i <= F.col("dense_z") + F.col("dense_h"), 0.5).otherwise(1.0).alias("weight"))
+    b, z, h, place = (free(n, rows) for n in ("dense_by", "dense_z", "dense_h", "dense_i"))
+    per = rows.groupBy(F.col(by).alias(b)).agg(F.count_if(zero).alias(z), F.count_if(half).alias(h))
+    x = ranked(rows, [by], order, [key], place).join(per, F.col(by).eqNullSafe(F.col(b)))
+    i = F.col(place)
+    return x.select(*rows.columns, F.when(i <= F.col(z), 0.0).when(i <= F.col(z) + F.col(h), 0.5).otherwise(1.0).alias("weight"))

@@ -108,27 +108,30 @@ def ranked(rows: DataFrame, by: list[str], x: Column, order: list[str], out: str
     A group is cut at approximate quantiles of x, and ties of a part into `slices` of equal width of the first of `order` where that is a number; the cuts are written once so that every task
     sees the same. Places are counts of the parts and slices before plus the place within one, so no task gets a whole group.
     """
+    # The columns of `rows` travel as one struct, so none can clash with those of the ranking.
+    taken = rows.select(*(F.col(c).alias(f"rank_g{i}") for i, c in enumerate(by)), *(F.col(c).alias(f"rank_k{i}") for i, c in enumerate(order)), x.alias("rank_x"), F.struct(*rows.columns).alias("rank_row"))
+    groups, keys = [f"rank_g{i}" for i in range(len(by))], [f"rank_k{i}" for i in range(len(order))]
     names = [f"rank_b{i}" for i in range(len(by))]
-    number = isinstance(rows.schema[order[0]].dataType, T.NumericType)
-    tie = F.col(order[0]).cast("double") if number else F.lit(0.0)
-    y = rows.withColumn("rank_x", x)
-    cuts = y.groupBy(*by).agg(F.percentile_approx("rank_x", [i / parts for i in range(1, parts)]).alias("rank_cuts"), F.min(tie).alias("rank_lo"), F.max(tie).alias("rank_hi"))
+    number = isinstance(taken.schema[keys[0]].dataType, T.NumericType)
+    tie = F.col(keys[0]).cast("double") if number else F.lit(0.0)
+    y = taken
+    cuts = y.groupBy(*groups).agg(F.percentile_approx("rank_x", [i / parts for i in range(1, parts)]).alias("rank_cuts"), F.min(tie).alias("rank_lo"), F.max(tie).alias("rank_hi"))
     cuts = written(cuts, "cuts").toDF(*names, "rank_cuts", "rank_lo", "rank_hi")
-    same = lambda: reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)), F.lit(True))
+    same = lambda: reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(n)) for c, n in zip(groups, names)), F.lit(True))
     part = F.when(F.col("rank_x").isNull(), -1).otherwise(F.size(F.filter(F.array_distinct(F.coalesce("rank_cuts", F.array())), lambda b: b < F.col("rank_x"))))
     slice_ = F.coalesce(F.floor((tie - F.col("rank_lo")) / (F.col("rank_hi") - F.col("rank_lo") + 1) * slices).cast("int"), F.lit(-1))
     # A part of several values is in order of x first; only parts of one value are sliced.
     y = y.join(cuts, same()).withColumn("rank_part", part).withColumn("rank_tied", F.coalesce(F.exists("rank_cuts", lambda b: b == F.col("rank_x")), F.lit(False)))
     y = y.withColumn("rank_slice", F.when(F.col("rank_x").isNull() | F.col("rank_tied"), slice_).otherwise(-2)).drop(*names, "rank_cuts", "rank_lo", "rank_hi")
     at = ["rank_part", "rank_tied", "rank_slice"]
-    sums = y.groupBy(*by, *at).agg(F.count(F.lit(1)).alias("rank_c"))
-    before = Window.partitionBy(*by).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
-    offset = sums.select(*by, *at, F.coalesce(F.sum("rank_c").over(before), F.lit(0)).alias("rank_o"), F.sum("rank_c").over(Window.partitionBy(*by)).alias(out + "_n"))
-    offset = offset.toDF(*names, "rank_p", "rank_t", "rank_s", "rank_o", out + "_n")
-    within = F.row_number().over(Window.partitionBy(*by, *at).orderBy("rank_x", *order))
+    sums = y.groupBy(*groups, *at).agg(F.count(F.lit(1)).alias("rank_c"))
+    before = Window.partitionBy(*groups).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    offset = sums.select(*groups, *at, F.coalesce(F.sum("rank_c").over(before), F.lit(0)).alias("rank_o"), F.sum("rank_c").over(Window.partitionBy(*groups)).alias("rank_n"))
+    offset = offset.toDF(*names, "rank_p", "rank_t", "rank_s", "rank_o", "rank_n")
+    within = F.row_number().over(Window.partitionBy(*groups, *at).orderBy("rank_x", *keys))
     placed = same() & (F.col("rank_part") == F.col("rank_p")) & (F.col("rank_tied") == F.col("rank_t")) & (F.col("rank_slice") == F.col("rank_s"))
     y = y.withColumn("rank_i", within).join(offset, placed)
-    return y.select(*rows.columns, (F.col("rank_o") + F.col("rank_i")).alias(out), out + "_n")
+    return y.select("rank_row.*", (F.col("rank_o") + F.col("rank_i")).alias(out), F.col("rank_n").alias(out + "_n"))
 
 
 def hash_number(text: Column) -> Column:

@@ -13,15 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKET = 86_400
-
+from tidemark.functions.names import free
 
-def _free(name: str, *frames: DataFrame) -> str:
-    """`name`, or it with underscores behind it until no frame has such a column."""
-    taken = {c.lower() for f in frames for c in f.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+BUCKET = 86_400
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], bucket: int = BUCKET) -> DataFrame:
@@ -40,7 +34,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: li
     before = Window.partitionBy("k").orderBy("b", F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)  # a bucket asks before its own end counts; one row a bucket
     carried = ends.unionByName(wanted).withColumn("before", F.last("v", ignorenulls=True).over(before)).where("asks").select("k", "b", "before")
     found = near.join(carried, ["k", "b"]).select(F.col("k").alias("k_"), F.col("t").alias("t_"), F.coalesce("v", "before").alias("v"))
-    names = {n: _free(n, left) for n in ("asof_k", "asof_t", "asof_v")}
+    names = {n: free(n, left) for n in ("asof_k", "asof_t", "asof_v")}
     found = found.toDF(*names.values())
     out = left.join(found, (F.col(key) == F.col(names["asof_k"])) & (F.col(time) == F.col(names["asof_t"])), "left")
     return out.select(*left.columns, *(F.col(f"{names['asof_v']}.{c}").alias(c) for c in values))
@@ -62,7 +56,7 @@ def interval_sum(left: DataFrame, right: DataFrame, key: str, time: str, value:
     lo, hi = (-length + 1, 0) if closed == "right" else (-length, -1)
     w = Window.partitionBy("k", "b").orderBy("t").rangeBetween(lo, hi)
     sums = r.unionByName(l).select("k", "t", F.sum("x").over(w).alias("x"), F.sum("n").over(w).alias("n"), "asks").where("asks").drop("asks")
-    names = [_free(n, left) for n in ("sum_k", "sum_t", "sum_x", "sum_n")]
+    names = [free(n, left) for n in ("sum_k", "sum_t", "sum_x", "sum_n")]
     found = sums.toDF(*names)
     joined = left.join(found, (F.col(key) == F.col(names[0])) & (F.col(time) == F.col(names[1])), "left")
     return joined.select(*left.columns, F.col(names[2]).alias(out), F.coalesce(names[3], F.lit(0)).alias(out + "_n"))
@@ -75,8 +69,8 @@ def running_before(rows: DataFrame, key: str, bucket: str, order: list[str], val
     """
     per = rows.groupBy(key, bucket).agg(*(F.sum(e).alias(n) for n, e in values.items()))
     earlier = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    names = {n: _free(f"before_{n}", rows) for n in values}
-    offset = per.select(F.col(key).alias(_free("before_k", rows)), F.col(bucket).alias(_free("before_b", rows)), *(F.sum(n).over(earlier).alias(names[n]) for n in values))
+    names = {n: free(f"before_{n}", rows) for n in values}
+    offset = per.select(F.col(key).alias(free("before_k", rows)), F.col(bucket).alias(free("before_b", rows)), *(F.sum(n).over(earlier).alias(names[n]) for n in values))
     within = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     x = rows.withColumns({n: F.coalesce(F.sum(e).over(within), F.lit(0)) for n, e in values.items()})
     x = x.join(offset, F.col(key).eqNullSafe(F.col(offset.columns[0])) & F.col(bucket).eqNullSafe(F.col(offset.columns[1])))
@@ -92,7 +86,7 @@ def cluster_by_gap(rows: DataFrame, key: str, time: str, gap: int, bucket: int =
     before = F.coalesce(F.lag("t").over(Window.partitionBy("k", "b").orderBy("t")), F.col("end"))
     t = t.join(last, ["k", "b"]).withColumn("before", before).withColumn("new", F.coalesce((F.col("t") - F.col("before") > gap).cast("int"), F.lit(1)))
     numbered = running_before(t, "k", "b", ["t"], {"earlier": F.col("new")})
-    names = [_free(n, rows) for n in ("gap_k", "gap_t")]
+    names = [free(n, rows) for n in ("gap_k", "gap_t")]
     found = numbered.select(F.col("k").alias(names[0]), F.col("t").alias(names[1]), (F.col("earlier") + F.col("new")).alias("cluster"))
     return rows.join(found, (F.col(key) == F.col(names[0])) & (F.col(time) == F.col(names[1])), "left").select(*rows.columns, "cluster")
 
@@ -104,9 +98,10 @@ def next_boundary(sec: Column, step: int, strict: bool = True) -> Column:
 
 def forward_return(events: DataFrame, bars: DataFrame, key: str, slot: str, delay: int, horizon: int) -> DataFrame:
     """Open at slot + delay + horizon over open at slot + delay, less 1; events without both bars are dropped."""
-    a = bars.select(key, (F.col(slot) - delay).alias(slot), F.col("open").alias("__a"))
-    b = bars.select(key, (F.col(slot) - delay - horizon).alias(slot), F.col("open").alias("__b"))
-    return events.join(a, [key, slot]).join(b, [key, slot]).withColumn("forward", F.col("__b") / F.col("__a") - 1).drop("__a", "__b")
+    first, last = free("forward_first", events), free("forward_last", events)
+    a = bars.select(key, (F.col(slot) - delay).alias(slot), F.col("open").alias(first))
+    b = bars.select(key, (F.col(slot) - delay - horizon).alias(slot), F.col("open").alias(last))
+    return events.join(a, [key, slot]).join(b, [key, slot]).withColumn("forward", F.col(last) / F.col(first) - 1).drop(first, last)
 
 
 def path_targets(bars: DataFrame, key: str, slot: str, horizon: int) -> DataFrame:
@@ -122,9 +117,10 @@ def path_targets(bars: DataFrame, key: str, slot: str, horizon: int) -> DataFram
 
 def events_in_spans(spans: DataFrame, events: DataFrame, key: str, start: str, end: str, time: str, bucket: int) -> DataFrame:
     """Events with start < time < end of a span of the same key: spans are exploded over buckets, so the join is an equi join."""
-    s = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
-    e = events.withColumn("__b", F.floor(F.col(time) / bucket))
-    return s.join(e, [key, "__b"]).where((F.col(time) > F.col(start)) & (F.col(time) < F.col(end))).drop("__b")
+    b = free("span_bucket", spans, events)
+    s = spans.withColumn(b, F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
+    e = events.withColumn(b, F.floor(F.col(time) / bucket))
+    return s.join(e, [key, b]).where((F.col(time) > F.col(start)) & (F.col(time) < F.col(end))).drop(b)
 
 
 def following_sum(left: DataFrame, right: DataFrame, key: str, time: str, value: str, length: int, out: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.functions.names import free
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +30,8 @@ def read_bars(spark: SparkSession, path: str, symbol_pattern: str = r"([^/_]+)_\
 def newest_files(files: DataFrame, key: Column, time: Column) -> DataFrame:
     """The newest file of each key; ties to the path that sorts last."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(time.desc(), F.col("path").desc()))
-    return files.withColumn("__n", rank).where("__n = 1").drop("__n")
+    n = free("newest_place", files)
+    return files.withColumn(n, rank).where(F.col(n) == 1).drop(n)
 
 
 def read_series_map(spark: SparkSession, path: str, key_pattern: str, whole: bool = True) -> DataFrame:
