@@ -122,3 +122,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
         F.coalesce(F.max(F.when(good, F.col("cover"))), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(F.when(good, F.struct("first", "last", F.col("t_label").alias("label"), "cover")))).alias("spans"),
     ).drop("row")
+
+
+def oracle_sql(base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES, k: int = K, cover: float = COVER) -> str:
+    """DuckDB SQL for `scan` on `documents`, without the spans."""
+    values = []
+    for n, (phrase, label) in enumerate([*base.items(), *templates.items()]):
+        words, is_base = words_of(phrase), n < len(base)
+        size = min(K_BASE if is_base else k, len(words))
+        values += [f"('{' '.join(words[i : i + size])}', {i}, {n}, '{label}', {is_base}, {len(words)}, {size})" for i in range(len(words) - size + 1)]
+    gram = lambda m: " || ' ' || ".join(f"w[i + {j}]" for j in range(m))
+    return rf"""
+WITH t AS (SELECT * FROM (VALUES {", ".join(values)}) v(gram, t_pos, t_id, label, base, size, k)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, i - 1 AS pos, {gram(2)} AS gram FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d) UNION ALL SELECT r, i - 1, {gram(4)} FROM (SELECT r, w, unnest(range(1, len(w) - 2)) AS i FROM d)),
+n AS (SELECT r, t_id, label, base, size, k, pos - t_pos AS diagonal, min(pos) AS first, max(pos) AS last, list(t_pos) AS found FROM g JOIN t USING (gram) GROUP BY ALL),
+m AS (SELECT *, coalesce(base OR abs(diagonal - lag(diagonal) OVER o) > {DRIFT} OR first - max(last) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {GAP}, true) AS apart FROM n WINDOW o AS (PARTITION BY r, t_id ORDER BY first, diagonal)),
+s AS (SELECT *, sum(apart::INT) OVER (PARTITION BY r, t_id ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM m),
+c AS (SELECT r, label, base, size, min(first) AS first, max(last + k - 1) AS last, len(list_distinct(flatten(flatten(list(list_transform(found, lambda p: range(p, p + k))))))) / size AS cover FROM s GROUP BY r, t_id, label, base, size, span),
+h AS (SELECT * FROM c WHERE cover >= CASE WHEN base THEN 1 ELSE {cover}::DOUBLE END AND last - first + 1 <= size * (2 - CASE WHEN base THEN 1 ELSE {cover}::DOUBLE END) + {DRIFT}),
+q AS (SELECT r, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word, max(first) FILTER (WHERE base) AS last_word, array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ',') AS base_labels,
+  array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score FROM h GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN q USING (r)"""

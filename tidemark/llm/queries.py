@@ -75,4 +75,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_toxicity, op2_token_planes, op3_license_scan, op4_token_counts, op5_exact_dedup, op6_vp_trees, op7_language_id, op8_rank_queue_bpe, op9_simhash_trie, op10_bin_packing, pipeline)
 }
-ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op6_vp_trees": vp_trees.ORACLE_SQL}
+ORACLES = {"op3_license_scan": license_scan.oracle_sql(), "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op6_vp_trees": vp_trees.ORACLE_SQL}
