@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import by_bytes
-from tidemark.llm.common import named, shards, staged, worker_bytes
+from tidemark.llm.common import EXECUTOR_CACHE, named, shards, staged, worker_bytes
 from tidemark.llm.word_codes import word_codes
 
 CAPACITY, SHARD_TOKENS, BATCH_BYTES = 4096, 1_000_000, 4 << 20
@@ -183,13 +183,13 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
     return [b for b in bins if b]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every row; with `keep`, ids (array<int>) too."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, cache: int = EXECUTOR_CACHE) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every row; with `keep`, ids (array<int>) too. `cache`: bytes that the workers of an executor may remember together."""
     with open(tokenizer, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if keep else [])]
     schema = pa.schema(fields)
-    most = worker_bytes(docs.sparkSession)
+    most = worker_bytes(docs.sparkSession, cache)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in by_bytes(batches, "text", BATCH_BYTES):
@@ -245,5 +245,5 @@ def _packed(dealt: DataFrame, capacity: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(fill, f"{kinds}, sequence_id long, offset long, left boolean")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pack(staged(pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cache: int = EXECUTOR_CACHE) -> DataFrame:
+    return pack(staged(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, cache=cache), "pieces"), capacity)
