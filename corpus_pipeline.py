@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bin_packing, exact_dedup, language_id, simhash_trie, toxicity
-from tidemark.llm.common import columns_of, discard, fresh, id_bucket, named, staged_at, table
+from tidemark.llm.common import EXECUTOR_CACHE, columns_of, discard, fresh, id_bucket, named, staged_at, table
 from tidemark.llm.queries import vocabulary
 
 
@@ -45,8 +45,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token sequences of what is left, every row's; a null text is the end id alone."""
-    return bin_packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 1)
+    """Packs the token sequences of what is left, every row's; a null text is the end id alone. Its workers have served the stages before, so they remember less."""
+    return bin_packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 1, cache=EXECUTOR_CACHE // 2)
 
 
 STAGES = [("language ID", language), ("toxicity", toxic), ("exact dedup", exact), ("SimHash near-dedup", near), ("best-fit packing", packed)]
