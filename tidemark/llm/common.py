@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Bytes that the Python workers of one executor may remember together (see `worker_bytes`).
 EXECUTOR_CACHE = 320 << 20
@@ -93,6 +94,18 @@ def id_bucket(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def crc32_sql(column: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an integer as decimal text: two steps of four bits a byte, with the table of the reflected polynomial."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    digits = f"list_transform(string_split({column}::VARCHAR, ''), lambda d: [ascii(d) & 15, ascii(d) >> 4])"
+    steps = f"list_reduce(list_concat([4294967295::BIGINT], flatten({digits})), lambda c, x: xor(c >> 4, ({table}::BIGINT[])[(xor(c, x) & 15) + 1]))"
+    return f"(4294967295 - {steps})"
+
+
 def shards(total: int, per_shard: int) -> int:
     return max(1, -(-int(total) // per_shard))
 
@@ -106,3 +119,25 @@ def worker_bytes(spark: SparkSession, most: int = EXECUTOR_CACHE) -> int:
     elif cores is None and master.startswith("local"):
         cores = spark.sparkContext.defaultParallelism
     return most // max(1, int(cores or 8))
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> tuple[DataFrame, str]:
+    """`rows` with `number` (from 0, by `order`, nulls first, within equal `group`, null too) and `size` (rows of the group), and the folder that they are read from.
+
+    No group meets in one task: rows are dealt by ranges of group, order and place, so a group, or a tie, of any size takes as many partitions as it needs; a row
+    then finds its number by its place in its partition and the rows of its group in the partitions before, one row for each group and partition.
+    """
+    place = {c: f"c{i}" for i, c in enumerate(rows.columns)}
+    by = place[group]
+    plain = rows.toDF(*place.values()).withColumn("tie", F.monotonically_increasing_id())
+    first, first_at = staged_at(plain, f"{name}-rows")
+    keys = [by, *(place[c] for c in order), "tie"]
+    dealt, path = staged_at(first.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("tie").withColumn("at", F.monotonically_increasing_id()), name)
+    discard(rows.sparkSession, first_at)
+    part = F.shiftright("at", 33)
+    parts = dealt.groupBy(F.col(by).alias("g"), part.alias("p")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    of_group = Window.partitionBy("g")
+    before = F.coalesce(F.sum("n").over(of_group.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("g", "p", (before - F.col("first")).alias("shift"), F.sum("n").over(of_group).alias("all"))
+    found = dealt.join(parts, F.col(by).eqNullSafe(F.col("g")) & (part == F.col("p")))
+    return found.select(*(F.col(at).alias(c) for c, at in place.items()), (F.col("at") + F.col("shift")).alias("number"), F.col("all").alias("size")), path

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bin_packing, exact_dedup, language_id, license_scan, rank_queue_bpe, simhash_trie, token_counts, token_planes, toxicity, vp_trees
+from tidemark.llm import bin_packing, exact_dedup, hyperplane_dedup, language_id, license_scan, merkle, prefix_trie, rank_queue_bpe, simhash_trie, token_counts, token_planes, toxicity, vp_trees
 from tidemark.llm.common import id_bucket, table
 
 
@@ -65,6 +65,18 @@ def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_check(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperplane_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,6 +85,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_token_planes, op3_license_scan, op4_token_counts, op5_exact_dedup, op6_vp_trees, op7_language_id, op8_rank_queue_bpe, op9_simhash_trie, op10_bin_packing, pipeline)
-}
-ORACLES = {"op3_license_scan": license_scan.oracle_sql(), "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op6_vp_trees": vp_trees.ORACLE_SQL}
+    for f in (
+        op1_toxicity, op2_token_planes, op3_license_scan, op4_token_counts, op5_exact_dedup, op6_vp_trees, op7_language_id, op8_rank_queue_bpe, op9_simhash_trie, op10_bin_packing,
+        op11_merkle_manifest, op12_embedding_dedup, op13_prefix_trie, pipeline,
+    )
+}
+ORACLES = {
+    "op3_license_scan": license_scan.oracle_sql(), "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op6_vp_trees": vp_trees.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_embedding_dedup": hyperplane_dedup.ORACLE_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL,
+}
