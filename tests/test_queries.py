@@ -30,7 +30,8 @@ def canonical(names, rows):
 
 
 def same(a, b):
-    return a == b or (isinstance(a, float) and isinstance(b, (int, float)) and abs(a - b) <= 2e-6 * max(1, abs(b)))
+    """Equal, as values are rounded already: a sum that stands on the edge of rounding must be made exact in the query, not excused here."""
+    return a == b
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

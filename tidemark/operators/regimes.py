@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.names import free
 from tidemark.operators import indicators as I
 from tidemark.operators import recursive
 from tidemark.operators.timeline import asof_join
+from tidemark.sources.readers import written
 
 
 @dataclass(frozen=True)
@@ -40,13 +42,14 @@ class Limits:
 
 
 def measured(bars: DataFrame, key: str, order: str, n: Lengths = Lengths()) -> DataFrame:
-    """Bars with adx, atr_pct, fast, slow, macd, signal, histogram and rsi."""
-    x = recursive.smoothed(bars, key, order, [recursive.ema_spec("fast", "close", n.fast), recursive.ema_spec("slow", "close", n.slow)])
-    x = recursive.macd(x.withColumnsRenamed({"fast": "fast_mean", "slow": "slow_mean"}), key, order, n.macd_fast, n.macd_slow, n.signal)
-    x = recursive.adx(recursive.rsi_wilder(x, key, order, n.strength), key, order, n.strength)
+    """Bars with adx, atr_pct, fast, slow, macd, signal, histogram and rsi; columns of these names are replaced."""
+    bars = bars.drop("fast", "slow", "macd", "signal", "histogram", "rsi", "adx", "atr_pct")
+    R = recursive  # noqa: N806
+    means = R.means_part([R.ema_spec("fast", "close", n.fast), R.ema_spec("slow", "close", n.slow)])
+    x = R.together(bars, key, order, [means, R.rsi_part(bars, key, order, n.strength), R.adx_part(bars, key, order, n.strength), R.macd_part(bars, key, order, n.macd_fast, n.macd_slow, n.signal)])
     w = Window.partitionBy(key).orderBy(order)
-    x = x.withColumn("tr", I.true_range(w))
-    return x.withColumn("atr_pct", I.sma("tr", n.strength, w) / F.col("close")).drop("tr").withColumnsRenamed({"fast_mean": "fast", "slow_mean": "slow"})
+    tr = free("measured_range", x)
+    return x.withColumn(tr, I.true_range(w)).withColumn("atr_pct", I.sma(tr, n.strength, w) / F.col("close")).drop(tr)
 
 
 def snapshots(measured_bars: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -66,19 +69,20 @@ def directions(intraday: DataFrame, daily: DataFrame, key: str, closes_at: Colum
 
     `daily` are snapshots of days; a bar sees the last day that had closed by its own close. `closes_at` and `day_closes_at` are seconds, `ends_day` says that a bar is its day's last.
     """
-    d = Window.partitionBy(key).orderBy("at")
-    days = daily.withColumn("at", day_closes_at)
+    at, ends = free("direction_at", intraday, daily), free("direction_ends", intraday)
+    d = Window.partitionBy(key).orderBy(at)
+    days = daily.withColumn(at, day_closes_at)
     days = days.select(
-        key, "at", F.col("close").alias("d_close"), F.lag("close", weeks[0]).over(d).alias("d_week"), F.lag("close", weeks[1]).over(d).alias("d_before"), *(F.col(x).alias(f"d_{x}") for x in ("fast", "slow", "macd", "signal", "rsi", "side"))
+        key, at, F.col("close").alias("d_close"), F.lag("close", weeks[0]).over(d).alias("d_week"), F.lag("close", weeks[1]).over(d).alias("d_before"), *(F.col(x).alias(f"d_{x}") for x in ("fast", "slow", "macd", "signal", "rsi", "side"))
     )
     values = [c for c in days.columns if c.startswith("d_")]
-    bars = intraday.withColumn("at", closes_at).withColumn("ends_day", ends_day)
-    w = Window.partitionBy(key).orderBy("at")
+    bars = intraday.withColumn(at, closes_at).withColumn(ends, ends_day)
+    w = Window.partitionBy(key).orderBy(at)
     prior = I.last_rows(w, lookback, 1)
     bars = bars.withColumns({
         "prior_high": I.full(w, lookback, F.max("close").over(prior), 1), "prior_low": I.full(w, lookback, F.min("close").over(prior), 1), "last_close": F.lag("close").over(w), "last_fast": F.lag("fast").over(w),
     })
-    x = asof_join(bars, days, key, "at", values)
+    x = asof_join(written(bars, "direction-bars"), written(days, "direction-days"), key, at, values)  # the join reads each several times
     c = F.col
     up = (c("d_close") >= c("d_week")) & (c("d_week") >= c("d_before"))
     down = (c("d_close") <= c("d_week")) & (c("d_week") <= c("d_before"))
@@ -90,7 +94,7 @@ def directions(intraday: DataFrame, daily: DataFrame, key: str, closes_at: Colum
     rules = {
         "confluence": F.when(bull & ~bear, "buy").when(bear & ~bull, "sell"),
         "breakout": F.when(yes(up & rising & (c("close") > c("prior_high"))), "buy").when(short & yes(down & falling & (c("close") < c("prior_low"))), "sell"),
-        "momentum": F.when(c("ends_day") & yes(up & rising), "buy"),
+        "momentum": F.when(c(ends) & yes(up & rising), "buy"),
         "pullback": F.when(yes(rising & (c("last_close") <= c("last_fast")) & (c("close") > c("fast"))), "buy"),
     }
-    return x.withColumns(rules).drop(*values, "at", "ends_day", "prior_high", "prior_low", "last_close", "last_fast")
+    return x.withColumns(rules).drop(*values, at, ends, "prior_high", "prior_low", "last_close", "last_fast")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.names import free
+from tidemark.operators.sliding import interval_aggregates
 
 BUCKET = 86_400
 
@@ -41,25 +42,9 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: li
 
 
 def interval_sum(left: DataFrame, right: DataFrame, key: str, time: str, value: str, length: int, closed: str, out: str) -> DataFrame:
-    """For each left row the sum and count of right `value` over a trailing interval of `length`.
-
-    `closed`: "right" for (t - length, t], "left" for [t - length, t). Null sum, zero count where nothing falls in. Right rows are summed by time first and put into their bucket
-    of `length` and the next one, which are all that an interval reaches.
-    """
-    if closed not in ("left", "right"):
-        raise ValueError("closed is left or right")
-    k, t = F.col(key).alias("k"), F.col(time).cast("long").alias("t")
-    b = F.floor(F.col("t") / length)
-    r = right.select(k, t, F.col(value).cast("double").alias("x")).where("k is not null and t is not null").groupBy("k", "t").agg(F.sum("x").alias("x"), F.count("x").alias("n"))
-    r = r.select("k", "t", "x", "n", F.explode(F.array(b, b + 1)).alias("b"), F.lit(False).alias("asks"))
-    l = left.select(k, t).where("k is not null and t is not null").distinct().select("k", "t", F.lit(None).cast("double").alias("x"), F.lit(0).cast("long").alias("n"), b.alias("b"), F.lit(True).alias("asks"))  # noqa: E741
-    lo, hi = (-length + 1, 0) if closed == "right" else (-length, -1)
-    w = Window.partitionBy("k", "b").orderBy("t").rangeBetween(lo, hi)
-    sums = r.unionByName(l).select("k", "t", F.sum("x").over(w).alias("x"), F.sum("n").over(w).alias("n"), "asks").where("asks").drop("asks")
-    names = [free(n, left) for n in ("sum_k", "sum_t", "sum_x", "sum_n")]
-    found = sums.toDF(*names)
-    joined = left.join(found, (F.col(key) == F.col(names[0])) & (F.col(time) == F.col(names[1])), "left")
-    return joined.select(*left.columns, F.col(names[2]).alias(out), F.coalesce(names[3], F.lit(0)).alias(out + "_n"))
+    """For each left row the sum and count of right `value` over a trailing interval: "right" for (t - length, t], "left" for [t - length, t). Null sum, zero count where nothing falls in."""
+    x = F.col(value).cast("double")
+    return interval_aggregates(left, right, key, time, length, closed, {out: ("sum", x), out + "_n": ("count", x)})
 
 
 def running_before(rows: DataFrame, key: str, bucket: str, order: list[str], values: dict[str, Column]) -> DataFrame:
@@ -104,17 +89,6 @@ def forward_return(events: DataFrame, bars: DataFrame, key: str, slot: str, dela
     return events.join(a, [key, slot]).join(b, [key, slot]).withColumn("forward", F.col(last) / F.col(first) - 1).drop(first, last)
 
 
-def path_targets(bars: DataFrame, key: str, slot: str, horizon: int) -> DataFrame:
-    """For each bar as entry at its open: return, worst and best excursion and volatility over its `horizon` bars, only where all exist."""
-    w = Window.partitionBy(key).orderBy(slot).rangeBetween(0, horizon - 1)
-    step = F.log(F.col("close") / F.col("open"))
-    out = bars.select(
-        key, slot, "open", F.count(F.lit(1)).over(w).alias("__n"), F.last("close").over(w).alias("__close"), F.max("high").over(w).alias("__high"), F.min("low").over(w).alias("__low"),
-        F.sqrt(F.sum(step * step).over(w)).alias("vol"),
-    ).where(F.col("__n") == horizon)
-    return out.select(key, slot, (F.col("__close") / F.col("open") - 1).alias("ret"), (F.col("__high") / F.col("open") - 1).alias("best"), (F.col("__low") / F.col("open") - 1).alias("worst"), "vol")
-
-
 def events_in_spans(spans: DataFrame, events: DataFrame, key: str, start: str, end: str, time: str, bucket: int) -> DataFrame:
     """Events with start < time < end of a span of the same key: spans are exploded over buckets, so the join is an equi join."""
     b = free("span_bucket", spans, events)

@@ -31,14 +31,15 @@ def pf03_basis_factor(spark, d):
     return rounded(chosen.groupBy("slot").agg(F.avg(F.col("move") - F.coalesce("rate", F.lit(0.0))).alias("net")), "net")
 
 
-@query(f"""WITH {SETTLEMENTS}, f AS (SELECT symbol, sec // 86400 AS day, sum(rate) AS rate FROM s GROUP BY 1, 2), g AS (SELECT *, sum(rate) {OVER} RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) AS past FROM f),
-k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(past, 9) DESC, symbol) AS i FROM g WHERE past > 0.01) SELECT day, count(*) AS held, round(sum(rate - 0.0004::DOUBLE) / 2, 6) AS carry FROM k WHERE i <= 2 GROUP BY 1""")
+@query(f"""WITH {SETTLEMENTS}, f AS (SELECT symbol, sec // 86400 AS day, sum(round(rate * 1e6)::BIGINT)::BIGINT AS rate FROM s GROUP BY 1, 2), g AS (SELECT *, (sum(rate) {OVER} RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING))::BIGINT AS past FROM f),
+k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY past DESC, symbol) AS i FROM g WHERE past > 10000) SELECT day, count(*) AS held, sum(rate - 400)::BIGINT::DOUBLE / 2e6::DOUBLE AS carry FROM k WHERE i <= 2 GROUP BY 1""")
 def pf04_funding_carry(spark, d):
-    """The two symbols that paid most over the three days before, above a threshold, less the cost of both legs."""
-    f = settlements(spark, d).groupBy("symbol", F.expr("sec div 86400").alias("day")).agg(F.sum("rate").alias("rate"))
-    g = f.withColumn("past", F.sum("rate").over(W().rangeBetween(-3, -1))).where("past > 0.01")
-    k = g.withColumn("i", F.row_number().over(Window.partitionBy("day").orderBy(F.desc(F.round("past", 9)), "symbol"))).where("i <= 2")
-    return rounded(k.groupBy("day").agg(F.count(F.lit(1)).alias("held"), (F.sum(F.col("rate") - 0.0004) / 2).alias("carry")), "carry")
+    """The two symbols that paid most over the three days before, above a threshold, less the cost of both legs. Rates are whole millionths and are added as such, as a half of one is exact only then."""
+    millionths = F.round(F.col("rate") * 1e6).cast("long")
+    f = settlements(spark, d).groupBy("symbol", F.expr("sec div 86400").alias("day")).agg(F.sum(millionths).alias("rate"))
+    g = f.withColumn("past", F.sum("rate").over(W().rangeBetween(-3, -1))).where("past > 10000")
+    k = g.withColumn("i", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("past"), "symbol"))).where("i <= 2")
+    return k.groupBy("day").agg(F.count(F.lit(1)).alias("held"), (F.sum(F.col("rate") - 400).cast("double") / 2e6).alias("carry"))
 
 
 ARM = f"a AS (SELECT symbol, day, arm, CASE arm WHEN 'half' THEN 0.5::DOUBLE * p ELSE p END AS w, r FROM (SELECT symbol, day, (CASE WHEN close > open THEN 1 ELSE 0 END)::DOUBLE AS p, lead(close) {OVER}) / close - 1 AS r FROM b), (SELECT unnest(['full', 'half']) AS arm) WHERE r IS NOT NULL)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import indicators as I
-from tidemark.operators import selection, timeline
+from tidemark.operators import selection, sliding, timeline
 from tidemark.plans.demo import BARS_1D, BARS_4H, SETTLEMENTS, bars_1d, bars_4h, settlements
 from tidemark.plans.registry import query, rounded
 
@@ -212,11 +212,15 @@ def jn02_forward_return_of_all(spark, d):
     return timeline.forward_return(e, bars_4h(spark, d), "symbol", "slot", 1, 6).select("event_id", "symbol", F.round("forward", 6).alias("forward"))
 
 
-@query(f"""WITH {BARS_4H}, g AS (SELECT symbol, slot, open, count(*) OVER w AS n, last_value(close) OVER w AS c, max(high) OVER w AS hi, min(low) OVER w AS lo, sum(ln(close / open) ** 2) OVER w AS v FROM b4
-  WINDOW w AS (PARTITION BY symbol ORDER BY slot RANGE BETWEEN CURRENT ROW AND 5 FOLLOWING))
-SELECT symbol, slot, round(c / open - 1, 6) AS ret, round(hi / open - 1, 6) AS best, round(lo / open - 1, 6) AS worst, round(sqrt(v), 6) AS vol FROM g WHERE n = 6""")
+HORIZONS = [1, 3, 6, 18]  # bars: 4, 12, 24 and 72 hours
+
+
+@query(" UNION ALL ".join(f"""SELECT symbol, slot, {h} AS horizon, c / open - 1 AS ret, hi / open - 1 AS best, lo / open - 1 AS worst, round(sqrt(v), 6) AS vol FROM (
+  SELECT symbol, slot, open, count(*) OVER w AS n, last_value(close) OVER w AS c, max(high) OVER w AS hi, min(low) OVER w AS lo, sum(ln(close / open) ** 2) OVER w AS v FROM b4
+  WINDOW w AS (PARTITION BY symbol ORDER BY slot RANGE BETWEEN CURRENT ROW AND {h - 1} FOLLOWING)) WHERE n = {h}""" for h in HORIZONS).join([f"WITH {BARS_4H} ", ""]))
 def jn03_path_targets(spark, d):
-    return rounded(timeline.path_targets(bars_4h(spark, d), "symbol", "slot", 6), "ret", "best", "worst", "vol")
+    """Return, excursions and volatility of every bar's next 4, 12, 24 and 72 hours, in one pass."""
+    return rounded(sliding.path_targets(bars_4h(spark, d), "symbol", "slot", HORIZONS), "vol")  # quotients of cents may lie on the edge of rounding; both sides give the same double
 
 
 @query(f"""WITH {BARS_4H}, f AS (SELECT slot FROM b4 GROUP BY 1 HAVING count(DISTINCT symbol) = 5) SELECT slot, count(*) AS n, round(avg(close), 6) AS mean_close FROM b4 SEMI JOIN f USING (slot) GROUP BY 1""")
