@@ -62,19 +62,20 @@ def _carried(blocks: DataFrame, k: str, rules: list[tuple[float, int, int]]) ->
     """For each block: values of its key before it, the state that it starts from, and what the seed adds to the state at the n-th value."""
     over = Window.partitionBy(k).orderBy("b", "blk")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
-    x = blocks.withColumns({f"before{i}": F.coalesce(F.sum(f"m{i}").over(before), F.lit(0)) for i in range(len(rules))})
-    for i, (a, reach, n) in enumerate(rules):
-        power = lambda e, a=a: F.pow(F.lit(a), e.cast("double"))
-        end = F.col(f"before{i}") + F.col(f"m{i}")
-        # Ends of blocks that lie within one stretch of `reach` values are added up; of earlier ones only the last end can matter.
-        x = x.withColumn("end", end).withColumn("stretch", F.expr(f"end div {reach}")).withColumn("from", F.col("end") - F.col("stretch") * reach)
-        within = Window.partitionBy(k, "stretch").orderBy("b", "blk").rowsBetween(Window.unboundedPreceding, 0)
-        x = x.withColumn("local", power(F.col("from")) * F.sum(F.col(f"s{i}") / power(F.col("from"))).over(within))
-        x = x.withColumn("edge", F.when(F.lag("stretch").over(over) < F.col("stretch"), F.struct(F.lag("end").over(over).alias("at"), F.lag("local").over(over).alias("y"))))
-        x = x.withColumn("one", F.last("edge", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)))
-        state = F.col("local") + F.coalesce(power(F.col("end") - F.col("one.at")) * F.col("one.y"), F.lit(0.0))
-        x = x.withColumn("state", state).withColumn(f"carry{i}", F.coalesce(F.lag("state").over(over), F.lit(0.0)))
-        x = x.drop("end", "stretch", "from", "local", "edge", "one", "state")
+    every = range(len(rules))
+    power = lambda i, e: F.pow(F.lit(rules[i][0]), e.cast("double"))
+    within = lambda i: Window.partitionBy(k, f"stretch{i}").orderBy("b", "blk").rowsBetween(Window.unboundedPreceding, 0)
+    c = F.col
+    # Ends of blocks that lie within one stretch of `reach` values are added up; of earlier ones only the last end can matter.
+    x = blocks.withColumns({f"before{i}": F.coalesce(F.sum(f"m{i}").over(before), F.lit(0)) for i in every})
+    x = x.withColumns({f"end{i}": c(f"before{i}") + c(f"m{i}") for i in every}).withColumns({f"stretch{i}": F.expr(f"end{i} div {rules[i][1]}") for i in every})
+    into = {i: power(i, c(f"end{i}") - c(f"stretch{i}") * rules[i][1]) for i in every}
+    x = x.withColumns({f"local{i}": into[i] * F.sum(c(f"s{i}") / into[i]).over(within(i)) for i in every})
+    edge = {i: F.when(F.lag(f"stretch{i}").over(over) < c(f"stretch{i}"), F.struct(F.lag(f"end{i}").over(over).alias("at"), F.lag(f"local{i}").over(over).alias("y"))) for i in every}
+    x = x.withColumns({f"edge{i}": edge[i] for i in every})
+    x = x.withColumns({f"one{i}": F.last(f"edge{i}", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)) for i in every})
+    x = x.withColumns({f"state{i}": c(f"local{i}") + F.coalesce(power(i, c(f"end{i}") - c(f"one{i}.at")) * c(f"one{i}.y"), F.lit(0.0)) for i in every})
+    x = x.withColumns({f"carry{i}": F.coalesce(F.lag(f"state{i}").over(over), F.lit(0.0)) for i in every})
     seeds, whole = {}, Window.partitionBy(k)
     for i, (a, _, n) in enumerate(rules):
         # The first values of the key, from the blocks that have some of them; the state from zero after them is taken out and their mean put in.
