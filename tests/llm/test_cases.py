@@ -106,15 +106,15 @@ def test_a_cluster_needs_a_shared_folder(spark):
 def dense_model(texts, labels, n_features):
     """Chi-square and Adam with dense matrices, feature by feature."""
     grams = [sorted({f for w in set(re.findall(r"[^\W_]+", t.lower())) for f in toxicity.features_of_word(w)}) for t in texts]
-    swapped = [sorted({f for w in {toxicity.SWAP.get(w, w) for w in re.findall(r"[^\W_]+", t.lower())} for f in toxicity.features_of_word(w)}) for t in texts]
+    one, other = ([sorted({f for w in toxicity.counterfactual(t)[side] for f in toxicity.features_of_word(w)}) for t in texts] for side in (0, 1))
     n, n1 = len(texts), sum(labels)
     a, a1 = Counter(f for g in grams for f in g), Counter(f for g, y in zip(grams, labels) for f in g if y)
     chi = {f: n * (a1[f] * n - a[f] * n1) ** 2 / (a[f] * (n - a[f] + 1e-9) * (n1 + 1e-9) * (n - n1 + 1e-9)) for f in a}
     chosen = sorted(chi, key=lambda f: (-chi[f], f))[:n_features]
     columns = list(dict.fromkeys([*chosen, *sorted({f for w in toxicity.SWAP for f in toxicity.features_of_word(w)})]))
-    x, z = (np.array([[f in set(g) for f in columns] for g in some], float) for some in (grams, swapped))
+    x, z, other = (np.array([[f in set(g) for f in columns] for g in some], float) for some in (grams, one, other))
     y, w, bias = np.array(labels, float), np.zeros(len(columns)), 0.0
-    diff = (x - z)[np.abs(x - z).any(1)]
+    diff = (z - other)[np.abs(z - other).any(1)]
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, toxicity.ROUNDS + 1):
         err = (1 / (1 + np.exp(-(bias + x @ w))) - y) / n
@@ -141,6 +141,23 @@ def test_toxicity_equals_dense_training(spark):
         assert abs(model.score(t) - score(t)) < 1e-6
 
 
+def test_counterfactual_pairs():
+    assert toxicity.counterfactual("Two WOMEN spoke") == ({"two", "women", "spoke"}, {"two", "men", "spoke"})
+    for text in ("plain words", "", None, "été"):
+        one, other = toxicity.counterfactual(text)
+        (a,), (b,) = one - other, other - one
+        assert any(a in kind and b in kind for kind in toxicity.GROUPS) and one - {a} == set(toxicity.words_of(text))
+    put_in = {w for i in range(2000) for w in toxicity.counterfactual(f"text {i}")[0] - {"text", str(i)}}
+    assert put_in == {a for a, _ in toxicity.MENTIONS}
+
+
+def test_the_penalty_acts_on_the_given_tables(spark):
+    """Pairs are formed though no given document names a group; the gap at the default penalty is below a third of that without it."""
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    models = [toxicity.fit(docs, labels.select("doc_id", "toxic"), penalty=p) for p in (0.0, toxicity.SWAP_PENALTY)]
+    assert models[0].pairs == models[1].pairs > 0 and models[1].gap < models[0].gap / 3
+
+
 def test_toxicity_sample_is_the_smallest_hashes(spark, monkeypatch):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
     seen = []

@@ -1,9 +1,9 @@
 """Toxicity: a counterfactually regularised linear classifier.
 
 Features are the distinct words of a text and the distinct 4-grams of characters in them. The model is a logistic regression over the
-`FEATURES` features with the largest chi-square, found by Spark over a bounded labelled sample. For every sampled text that names a group of people,
-a counterfactual copy names another group of the same kind instead; the loss adds `SWAP_PENALTY` times the squared difference of the two scores, so
-a neutral mention of a group can't carry weight of its own.
+`FEATURES` features with the largest chi-square, found by Spark over a bounded labelled sample. Every sampled text gives a counterfactual pair: where it names a group of people,
+the text and a copy that names another group of the same kind; where it names none, two copies with a neutral mention put in, of one group and of the next of its kind, which a hash of the text chooses from
+those of all languages. The loss adds `SWAP_PENALTY` times the mean squared difference of a pair's scores, so a neutral mention of a group can't carry weight of its own.
 
 The sample: the `SAMPLE_DOCS` labelled training documents with the smallest hash of their id, taken from those whose hash is below a threshold that leaves about `OVER` times
 as many. Only their selected features (at most `SAMPLE_DOCS` x `FEATURES` small integers) reach the driver.
@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh, named, staged, with_arrow_column
+from tidemark.llm.common import discard, fresh, named, staged_at, with_arrow_column
 
-SAMPLE_DOCS, OVER, FEATURES, BUCKETS, SWAP_PENALTY, RIDGE, ROUNDS = 24_000, 2, 1_000, 1 << 22, 10.0, 1e-3, 400
+SAMPLE_DOCS, OVER, FEATURES, BUCKETS, SWAP_PENALTY, RIDGE, ROUNDS = 24_000, 2, 1_000, 1 << 22, 1.0, 1e-3, 400
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W_]+")
 
-# Neutral names of groups of people, by kind; a counterfactual puts the next of the same kind.
+# Neutral names of groups of people, by kind and language; a counterfactual puts the next of the same kind.
 GROUPS = [
     ["women", "men"],
     ["woman", "man"],
@@ -43,8 +43,30 @@ GROUPS = [
     ["immigrants", "natives", "refugees", "foreigners"],
     ["young", "old"],
     ["disabled", "deaf", "blind"],
+    ["frauen", "männer"],
+    ["muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"],
+    ["einwanderer", "einheimische", "flüchtlinge", "ausländer"],
+    ["schwule", "lesben", "heterosexuelle", "bisexuelle"],
+    ["femmes", "hommes"],
+    ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"],
+    ["immigrés", "autochtones", "réfugiés", "étrangers"],
+    ["homosexuels", "lesbiennes", "hétérosexuels", "bisexuels"],
+    ["mujeres", "hombres"],
+    ["musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"],
+    ["inmigrantes", "nativos", "refugiados", "extranjeros"],
+    ["homosexuales", "lesbianas", "heterosexuales", "bisexuales"],
 ]
-SWAP = {a: b for kind in GROUPS for a, b in zip(kind, [*kind[1:], kind[0]], strict=True)}
+MENTIONS = [(a, b) for kind in GROUPS for a, b in zip(kind, [*kind[1:], kind[0]], strict=True)]
+SWAP = dict(reversed(MENTIONS))  # a name of two kinds goes by the first
+
+
+def counterfactual(text: str | None) -> tuple[set[str], set[str]]:
+    """The distinct words of a text's pair."""
+    words = set(words_of(text))
+    if not SWAP.keys().isdisjoint(words):
+        return words, {SWAP.get(w, w) for w in words}
+    a, b = MENTIONS[crc32((text or "").encode("utf-8", "surrogatepass")) % len(MENTIONS)]
+    return words | {a}, words | {b}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -67,10 +89,12 @@ def _distinct(words: set[str], known: dict[str, list[int]]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights by feature, and the score of a text."""
+    """Weights by feature, and the score of a text; `pairs`: counterfactual pairs that differ, `gap`: the mean difference of their scores after training."""
 
     bias: float = -np.inf
     weights: dict[int, float] = field(default_factory=dict)
+    pairs: int = 0
+    gap: float = 0.0
 
     def __post_init__(self):
         self.known: dict[str, tuple[int, ...]] = {}
@@ -90,14 +114,14 @@ class Model:
         return float(1 / (1 + np.exp(-(self.bias + sum(map(self.weights.__getitem__, sorted(present)))))))
 
 
-def train(features: list[np.ndarray], swapped: list[np.ndarray], labels: np.ndarray, n: int, penalty: float = SWAP_PENALTY, ridge: float = RIDGE, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
-    """Bias and weights by Adam steps over the whole sample. Column numbers are 0 to n - 1; `swapped` holds the counterfactual's columns."""
+def train(features: list[np.ndarray], swapped: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n: int, penalty: float = SWAP_PENALTY, ridge: float = RIDGE, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
+    """Bias and weights by Adam steps over the whole sample. Column numbers are 0 to n - 1; `swapped` holds the columns of each counterfactual pair."""
     rows = np.repeat(np.arange(len(features)), [len(x) for x in features])
     cols = np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64)
-    change = [(i, a, b) for i, (a, b) in enumerate(zip(features, swapped, strict=True)) if not np.array_equal(a, b)]
-    d_rows = np.concatenate([*(np.full(len(a) + len(b), k) for k, (_, a, b) in enumerate(change)), np.zeros(0, np.int64)]).astype(np.int64)
-    d_cols = np.concatenate([*(np.concatenate((a, b)) for _, a, b in change), np.zeros(0, np.int64)]).astype(np.int64)
-    d_sign = np.concatenate([*(np.r_[np.ones(len(a)), -np.ones(len(b))] for _, a, b in change), np.zeros(0)])
+    change = [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for a, b in swapped if not np.array_equal(a, b)]  # what both have cancels
+    d_rows = np.concatenate([*(np.full(len(a) + len(b), k) for k, (a, b) in enumerate(change)), np.zeros(0, np.int64)]).astype(np.int64)
+    d_cols = np.concatenate([*(np.concatenate((a, b)) for a, b in change), np.zeros(0, np.int64)]).astype(np.int64)
+    d_sign = np.concatenate([*(np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in change), np.zeros(0)])
     w, bias = np.zeros(n), 0.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, rounds + 1):
@@ -125,15 +149,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         known: dict[str, list[int]] = {}
         kind = pa.list_(pa.int32())
         for batch in batches:
-            words = [words_of(t.as_py()) for t in batch.column("text")]
-            own = [_distinct(set(w), known) for w in words]
-            other = [_distinct({SWAP.get(x, x) for x in w}, known) if not SWAP.keys().isdisjoint(w) else mine for w, mine in zip(words, own, strict=True)]
-            yield pa.record_batch([batch.column("label"), pa.array(own, kind), pa.array(other, kind)], names=["label", "own", "other"])
+            texts = batch.column("text").to_pylist()
+            pairs = [counterfactual(t) for t in texts]
+            own = [_distinct(set(words_of(t)), known) for t in texts]
+            one, other = ([_distinct(p[i], known) for p in pairs] for i in (0, 1))
+            yield pa.record_batch([batch.column("label"), *(pa.array(x, kind) for x in (own, one, other))], names=["label", "own", "one", "other"])
 
-    taken = staged(rows.select("text", "label").mapInArrow(lists, "label int, own array<int>, other array<int>"), "toxicity-sample")
+    taken, taken_at = staged_at(rows.select("text", "label").mapInArrow(lists, "label int, own array<int>, one array<int>, other array<int>"), "toxicity-sample")
     totals = taken.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
     n, n1 = totals["n"], totals["n1"]
     if not n:
+        discard(docs.sparkSession, taken_at)
         return Model()
     counts = taken.select("label", F.explode("own").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("a"), F.sum("label").alias("a1"))
     a, a1 = F.col("a").cast("double"), F.col("a1").cast("double")
@@ -147,12 +173,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         kind = pa.list_(pa.int32())
         for batch in batches:
             pick = lambda name: pa.array([np.intersect1d(x.values.to_numpy(), known.value) for x in batch.column(name)], kind)  # noqa: E731, B023
-            yield pa.record_batch([batch.column("label"), pick("own"), pick("other")], names=["label", "own", "other"])
+            yield pa.record_batch([batch.column("label"), pick("own"), pick("one"), pick("other")], names=["label", "own", "one", "other"])
 
-    got = taken.mapInArrow(narrowed, "label int, own array<int>, other array<int>").toArrow()
+    got = taken.mapInArrow(narrowed, "label int, own array<int>, one array<int>, other array<int>").toArrow()
+    discard(docs.sparkSession, taken_at)
     as_columns = lambda name: [np.array([columns[f] for f in x], np.int64) for x in got.column(name).to_pylist()]
-    bias, w = train(as_columns("own"), as_columns("other"), got.column("label").to_numpy(), len(columns), penalty)
-    return Model(bias, {f: float(w[i]) for f, i in columns.items()})
+    own, pairs = as_columns("own"), list(zip(as_columns("one"), as_columns("other"), strict=True))
+    bias, w = train(own, pairs, got.column("label").to_numpy(), len(columns), penalty)
+    gaps = [abs(_sigmoid(bias + w[a].sum()) - _sigmoid(bias + w[b].sum())) for a, b in pairs if not np.array_equal(a, b)]
+    return Model(bias, {f: float(w[i]) for f, i in columns.items()}, len(gaps), float(np.mean(gaps)) if gaps else 0.0)
+
+
+def _sigmoid(x: float) -> float:
+    return float(1 / (1 + np.exp(-x)))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str | None = None) -> DataFrame:
