@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import pages
 from tidemark.functions import text as X
 from tidemark.plans.demo import BARS_1D, BARS_4H, NEWS, SETTLEMENTS, bars_1d, bars_4h, news, settlements
 from tidemark.plans.registry import query, rounded
@@ -85,6 +86,20 @@ def src09_page_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(X.html_text(F.col("html")), 256).alias("sha"))
 
 
+@query()
+def src09_paragraphs(spark, d):
+    """Title and paragraphs of every page in order, with the number of links outside the navigation."""
+    p = table(spark, d, "pages").select("page_id", pages.page(F.col("html")).alias("page"))
+    each = p.select("page_id", "page.title", F.size("page.links").alias("n_links"), F.posexplode_outer("page.paragraphs").alias("place", "text"))
+    return each.select("page_id", "title", "n_links", F.col("place").cast("long").alias("place"), "text")
+
+
+@query()
+def sc01_folded(spark, d):
+    """Texts with references resolved and case folded, as keys: how many documents share each, by hash."""
+    return table(spark, d, "documents").groupBy(F.sha2(F.coalesce(pages.folded(F.col("text")), F.lit("")), 256).alias("sha")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+
+
 @query(f"WITH {BARS_1D} SELECT day, symbol FROM b WHERE close > open")
 def src10_membership(spark, d):
     """JSON objects of day and symbols, one for 90 days."""

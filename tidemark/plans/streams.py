@@ -1,4 +1,6 @@
-"""Queries over streams: each runs over all rows of `events` in one go and returns what the watermark has closed."""
+"""Queries over streams: each runs over all rows of `events` and returns what the watermark has closed.
+
+Queries with states of their own get the rows as eight micro-batches and are stopped and resumed after half of them."""
 
 from __future__ import annotations
 
@@ -117,27 +119,55 @@ def sm15_decisions(spark, d):
     return result(spark, rolling.decisions(events(spark, d), gates).select("event_id", "reasons", "decision"), "decisions")
 
 
-def keyed(spark, d, *more):
-    """Events by user, as the stateful operators take them."""
-    return events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros("ts").alias("at"), *more)
+BATCHES, FILES = 8, 2
 
 
-def kept(spark, stream, name):
-    """As `result`, with Spark's store of states on disk, which stateful processors need."""
+def resumed(spark, d, make, name, jitter=0):
+    """What `make` gives of events that arrive in `BATCHES` micro-batches by time (moved by up to `jitter` seconds, so that rows come out of order), stopped after half of them and resumed from its checkpoint."""
+    folder, out = shared_folder(spark, name + "-in"), shared_folder(spark, name)
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    moved = F.unix_micros("ts") + (F.col("event_id") * 7919 % (jitter + 1)) * 1_000_000
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKS)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKS)  # stateful processors need Spark's store of states on disk
     try:
-        return result(spark, stream, name)
+        for half in (range(BATCHES // 2), range(BATCHES // 2, BATCHES)):
+            rolling.dealt(e, moved, BATCHES, FILES, folder, half)
+            found = rolling.written(make(rolling.arriving(spark, e.schema, folder, FILES)), out)
+        return found
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
+def keyed(e, *more):
+    """Events by user, as the stateful operators take them."""
+    return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros("ts").alias("at"), *more)
+
+
+FIRST = f"epoch_us(ts) // 1000 + 1 <= {ALL} // 1000"
+
+
+@query(f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id::VARCHAR) AS i FROM events)
+SELECT event_id, user_id, epoch_us(ts) AS us, event_type, value, props FROM f WHERE i = 1 AND {FIRST}""")
+def sm03_first_captures(spark, d):
+    """The whole first row of each user, kept by state until no earlier one can come; rows arrive up to 50 minutes out of order."""
+    make = lambda e: stateful.first_captures(e, ["user_id"], "ts", "event_id")
+    return resumed(spark, d, make, "captures", 3000).select("event_id", "user_id", F.unix_micros("ts").alias("us"), "event_type", "value", "props")
+
+
+@query(f"""WITH f AS (SELECT *, epoch_us(ts) // {HOUR4} * 14400 AS candle, row_number() OVER (PARTITION BY event_type, epoch_us(ts) // {HOUR4} ORDER BY epoch_us(ts), event_id::VARCHAR) AS i FROM events)
+SELECT event_id, event_type, candle, value FROM f WHERE i = 1 AND {FIRST}""")
+def sm08_first_signals(spark, d):
+    """The first signal of each kind and four-hour candle, whole; rows arrive up to 50 minutes out of order."""
+    make = lambda e: stateful.first_captures(e.withColumn("candle", F.expr("unix_seconds(ts) div 14400 * 14400")), ["event_type", "candle"], "ts", "event_id", forget="5 hours")
+    return resumed(spark, d, make, "signals", 3000).select("event_id", "event_type", "candle", "value")
+
+
 @query("""WITH r AS (SELECT user_id AS k, epoch_us(ts) // 86400000000 AS day, event_id AS id, sum(value - 30) OVER (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY epoch_us(ts), event_id) AS total, epoch_us(ts) AS us FROM events),
 f AS (SELECT *, row_number() OVER (PARTITION BY k, day ORDER BY us, id) AS i FROM r WHERE total < -25) SELECT k AS key, day, id, round(total, 6) AS total FROM f WHERE i = 1""")
 def sm07_running_losses(spark, d):
     """The row on which a user's running result of the day first falls below the limit."""
-    x = keyed(spark, d, (F.col("value") - 30).alias("value"), "ts").withColumn("day", F.expr("at div 86400000000"))
-    return rounded(kept(spark, stateful.running_losses(x, "ts", 25.0), "losses"), "total")
+    make = lambda e: stateful.running_losses(keyed(e, (F.col("value") - 30).alias("value"), "ts").withColumn("day", F.expr("at div 86400000000")), "ts", 25.0)
+    return rounded(resumed(spark, d, make, "losses"), "total")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
@@ -147,7 +177,7 @@ p AS (SELECT k, id, i, CASE WHEN v > 25 THEN v END AS entry, CASE WHEN v > 25 TH
 SELECT k AS key, id, (entry IS NOT NULL)::INTEGER AS held, round(stop, 6) AS stop FROM p""")
 def sm12_positions(spark, d):
     """Whether each user's position is held after each event, and the trailing stop before it: long above a value, out at the larger of half the entry and 60 % of the peak."""
-    return rounded(kept(spark, stateful.positions(keyed(spark, d, "value"), 25.0, 0.5, 0.6), "positions"), "stop")
+    return rounded(resumed(spark, d, lambda e: stateful.positions(keyed(e, "value"), 25.0, 0.5, 0.6), "positions"), "stop")
 
 
 @query("""WITH e AS (SELECT user_id AS k, event_id AS id, epoch_us(ts) AS us, value AS v, event_id * 7 % 50 AS a, event_id * 11 % 60 AS b FROM events),
@@ -156,5 +186,5 @@ m AS (SELECT k, id, a, b, CASE WHEN len(ea) > 0 THEN 1 / greatest(list_avg(list_
 SELECT k AS key, id, round(x / (x + y), 6) AS weight, round(x / (x + y) * a + (1 - x / (x + y)) * b, 6) AS fused FROM m""")
 def sm13_fusion(spark, d):
     """Two forecasts of each user's events, weighted by their errors on the last ten events whose outcome was an hour old."""
-    x = keyed(spark, d, "value", (F.col("event_id") * 7 % 50).cast("double").alias("a"), (F.col("event_id") * 11 % 60).cast("double").alias("b"))
-    return rounded(kept(spark, stateful.fusion(x, 10, 3_600_000_000), "fusion"), "weight", "fused")
+    forecasts = (F.col("event_id") * 7 % 50).cast("double").alias("a"), (F.col("event_id") * 11 % 60).cast("double").alias("b")
+    return rounded(resumed(spark, d, lambda e: stateful.fusion(keyed(e, "value", *forecasts), 10, 3_600_000_000), "fusion"), "weight", "fused")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def rolling_scores(events: DataFrame, time: str, score: str, length: str = "24 hours", step: str = "4 hours", late: str = "1 hour") -> DataFrame:
@@ -103,3 +104,18 @@ def scored_once(stream: DataFrame, folder: str, key: str, score) -> DataFrame:
 
     stream.writeStream.foreachBatch(sink).trigger(availableNow=True).option("checkpointLocation", folder + "/state").start().awaitTermination()
     return stream.sparkSession.read.parquet(folder + "/out").select(key, "score")
+
+
+def dealt(rows: DataFrame, time: Column, batches: int, files: int, folder: str, only: range | None = None) -> None:
+    """Writes `rows` below `folder` as `batches` groups of `files` files by equal spans of `time` (a number), one group after another, as a feed would bring them; `only`: these groups."""
+    low, high = rows.agg(F.min(time), F.max(time)).first()
+    if low is None:
+        return
+    number = F.least(F.floor((time - low) * batches / (high - low + 1)), F.lit(batches - 1))
+    for i in range(batches) if only is None else only:
+        rows.where(number == i).repartition(files).write.mode("append").parquet(folder)
+
+
+def arriving(spark: SparkSession, schema: StructType, folder: str, files: int) -> DataFrame:
+    """A stream over what `dealt` has written, one group a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)

@@ -8,10 +8,12 @@ Cases: rows with a null key share one state; rows with a null value change nothi
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -60,28 +62,35 @@ class Fusion(StatefulProcessor):
     def __init__(self, window: int, horizon: int):
         self.window, self.horizon = window, horizon
 
+    @staticmethod
+    def _weight(known: deque) -> float:
+        """The weight of the first forecast; formed anew only when the window has changed."""
+        x, y = (1 / max(sum(k[i] for k in known) / len(known), 1e-12) for i in (0, 1))
+        return x / (x + y)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.pending = handle.getListState("pending", "at long, a double, b double")
         self.known = handle.getListState("known", "a double, b double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pending = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
-        known = [tuple(r) for r in self.known.get()] if self.known.exists() else []
-        out = []
+        pending = deque(tuple(r) for r in self.pending.get()) if self.pending.exists() else deque()  # in order of time, so what is due stands in front
+        known = deque((tuple(r) for r in self.known.get()) if self.known.exists() else (), maxlen=self.window)
+        weight, out = None, []
+        if known:
+            weight = self._weight(known)
         for id_, at, value, a, b in _in_order(rows)[["id", "at", "value", "a", "b"]].itertuples(index=False):
-            due = [p for p in pending if p[0] + self.horizon <= at]
-            pending = [p for p in pending if p[0] + self.horizon > at]
-            known = (known + [p[1:] for p in due])[-self.window :]
-            weight = fused = None
-            if known:
-                x, y = (1 / max(sum(k[i] for k in known) / len(known), 1e-12) for i in (0, 1))
-                weight = x / (x + y)
-                fused = weight * a + (1 - weight) * b
+            new = False
+            while pending and pending[0][0] + self.horizon <= at:
+                known.append(pending.popleft()[1:])
+                new = True
+            if new:
+                weight = self._weight(known)
+            fused = None if weight is None else weight * a + (1 - weight) * b
             out.append((key[0], id_, weight, fused))
             if value == value and a == a and b == b:
                 pending.append((int(at), float((value - a) ** 2), float((value - b) ** 2)))
         for state, held in ((self.pending, pending), (self.known, known)):
-            state.put(held) if held else state.clear()
+            state.put(list(held)) if held else state.clear()
         yield pd.DataFrame(out, columns=["key", "id", "weight", "fused"]).astype({"weight": "float64", "fused": "float64"})
 
     def close(self) -> None:
@@ -132,3 +141,59 @@ def fusion(rows: DataFrame, window: int, horizon: int) -> DataFrame:
 def running_losses(rows: DataFrame, time: str, limit: float, late: str = "1 hour") -> DataFrame:
     """key, day, id, total of the first row of each key and day whose running result is below -limit, from a stream (key, day, id, at, value, and the event time)."""
     return rows.withWatermark(time, late).groupBy("key", "day").transformWithStateInPandas(RunningLoss(limit), "key long, day long, id long, total double", "Append", "EventTime")
+
+
+class KeepFirst(StatefulProcessor):
+    """The earliest row of a key, given when the watermark has passed it, so that no earlier one can come in time; the key is then closed for `forget` milliseconds of event time."""
+
+    def __init__(self, forget: int):
+        self.forget = forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("first", "at long, id string, row string, due long, told boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = tuple(self.state.get()) if self.state.exists() else None
+        best = held
+        for frame in rows:
+            for at, id_, row in frame[["at", "id", "row"]].itertuples(index=False):
+                if best is None or (not best[4] and (int(at), id_) < best[:2]):
+                    best = (int(at), id_, row, int(at) // 1000 + 1, False)
+        if best is not None and best != held:
+            if held is not None:
+                self.handle.deleteTimer(held[3])
+            self.handle.registerTimer(best[3])
+            self.state.update(best)
+        yield pd.DataFrame({"row": pd.Series([], dtype="object")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at, id_, row, due, told = self.state.get()
+        if told:
+            self.state.clear()
+            yield pd.DataFrame({"row": pd.Series([], dtype="object")})
+        else:
+            due += self.forget
+            self.state.update((at, id_, "", due, True))
+            self.handle.registerTimer(due)
+            yield pd.DataFrame({"row": [row]})
+
+    def close(self) -> None:
+        pass
+
+
+def first_captures(rows: DataFrame, keys: list[str], time: str, id_col: str, late: str = "1 hour", forget: str = "60 days") -> DataFrame:
+    """The whole earliest row (by `time`, then `id_col` as text) of each key of a stream, however its rows are dealt into batches, as long as none is more than `late` out of order.
+
+    A row is given when the watermark passes it; rows of the key that come within `forget` after are repeats.
+    """
+    stamps = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+    taken = {c.lower() for c in rows.columns}
+    names = {n: next(n + "_" * i for i in range(99) if n + "_" * i not in taken) for n in ("key", "at", "id", "row")}
+    x = rows.withWatermark(time, late).withColumns({
+        names["key"]: F.to_json(F.struct(*keys), stamps), names["at"]: F.unix_micros(time), names["id"]: F.coalesce(F.col(id_col).cast("string"), F.lit("")), names["row"]: F.to_json(F.struct(*rows.columns), stamps),
+    })
+    x = x.select(*(F.col(v).alias(f"kept_{k}") for k, v in names.items()), F.col(time).alias("kept_time")).withColumnsRenamed({"kept_at": "at", "kept_id": "id", "kept_row": "row"})
+    milliseconds = int(pd.Timedelta(forget).total_seconds() * 1000)
+    first = x.groupBy("kept_key").transformWithStateInPandas(KeepFirst(milliseconds), "row string", "Append", "EventTime")
+    return first.select(F.from_json("row", rows.schema, stamps).alias("row")).select("row.*")
