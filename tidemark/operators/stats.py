@@ -187,8 +187,10 @@ def block_bootstrap(rows: DataFrame, order: str, value: str, block: int, draws:
 
     Blocks are summed once for every start; a draw then joins its starts, so the rows are never multiplied by the draws.
     """
-    pos = rows.select(F.col(value).alias("x"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1).alias("i"))
     n = rows.count()
+    if not n:
+        return rows.sparkSession.createDataFrame([], "draw long, mean double")
+    pos = rows.select(F.col(value).alias("x"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1).alias("i"))
     starts = pos.select("x", F.explode(F.expr(f"transform(sequence(0, {block - 1}), o -> pmod(i - o, {n}))")).alias("start")).groupBy("start").agg(F.sum("x").alias("s"))
     k = -(-n // block)
     drawn = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))

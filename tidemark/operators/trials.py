@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators import paths
+
 
 def date_blocks(rows: DataFrame, day: str, initial: float, blocks: int) -> DataFrame:
     """day, block: 0 for the first `initial` share of the distinct days, then 1 to `blocks` in order. One row a day meets the window."""
@@ -73,20 +75,15 @@ def drawn(draws: int, picks: int, n: int, seed: int, spark) -> DataFrame:
 def cluster_bootstrap(clusters: DataFrame, order: list[str], total: str, count: str, draws: int, seed: int) -> DataFrame:
     """draw, mean: clusters drawn with replacement, summed totals over summed counts. Draws meet cluster sums, not rows."""
     n = clusters.count()
+    if not n:
+        return clusters.sparkSession.createDataFrame([], "draw long, mean double")
     c = clusters.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).alias("pick"), F.col(total).alias("t"), F.col(count).alias("c"))
     return drawn(draws, n, n, seed, clusters.sparkSession).join(c, "pick").groupBy("draw").agg(F.try_divide(F.sum("t"), F.sum("c")).alias("mean"))
 
 
 def path_bootstrap(returns: DataFrame, order: str, r: str, block: int, draws: int, seed: int) -> DataFrame:
-    """draw, mean, sharpe (not annualised), total, drawdown of circular blocks of one row a day put end to end."""
-    n = returns.count()
-    k = -(-n // block)
-    pos = returns.select(F.col(r).alias("x"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1).alias("i"))
-    days = drawn(draws, k, n, seed, returns.sparkSession).select("draw", "j", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o"), "pick")
-    path = days.withColumn("i", F.expr(f"(pick + o) % {n}")).join(pos, "i").withColumn("step", F.col("j") * block + F.col("o")).where(F.col("step") < n)
-    w = Window.partitionBy("draw").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    path = path.withColumn("log", F.sum(F.log1p("x")).over(w)).withColumn("fall", 1 - F.exp(F.col("log") - F.greatest(F.max("log").over(w), F.lit(0.0))))
-    return path.groupBy("draw").agg(F.avg("x").alias("mean"), F.try_divide(F.avg("x"), F.stddev_samp("x")).alias("sharpe"), F.expm1(F.sum(F.log1p("x"))).alias("total"), F.max("fall").alias("drawdown"))
+    """draw, mean, sharpe (not annualised), total, drawdown of circular blocks of one row a day put end to end. Draws meet a summary of each block, not its days."""
+    return paths.path_bootstrap(returns, order, r, block, draws, lambda d, k, n: drawn(d, k, n, seed, returns.sparkSession))
 
 
 def one_sided_p(draws: DataFrame, value: str) -> DataFrame:
@@ -167,24 +164,6 @@ def fold_block_bootstrap(rows: DataFrame, fold: str, order: str, value: str, blo
     return d.join(sums, [fold, "start"]).groupBy(fold, "draw").agg((F.sum("s") / (F.first("k") * block)).alias("mean"))
 
 
-def poisson_bootstrap(rows: DataFrame, key: str, value: str, draws: int, seed: int) -> DataFrame:
-    """metric, low, middle, high (95 %) of the mean, Sharpe ratio and profit factor over draws in which each row counts a Poisson number of times (5 at most), told by a hash of its key (an integer) and the draw.
-
-    This is the i.i.d. bootstrap without moving rows: each task sums its rows for every draw, and only sums are shuffled.
-    """
-    u = F.expr(f"((draw * 1000003 + {key}) % 2147483648 * 1103515245 + {seed}) % 2147483648 * 48271 % 2147483647 / 2147483647.0D")
-    # The Poisson distribution function with mean 1.
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
-    k = sum((F.when(F.col("u") >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    x = rows.select(key, F.col(value).alias("x"), F.explode(F.expr(f"sequence(0L, {draws - 1}L)")).alias("draw")).withColumn("u", u).select("draw", "x", k.alias("k"))
-    kx = F.col("k") * F.col("x")
-    s = x.groupBy("draw").agg(F.sum("k").alias("n"), F.sum(kx).alias("s"), F.sum(kx * F.col("x")).alias("q"), F.sum(F.when(F.col("x") > 0, kx).otherwise(0.0)).alias("up"), (-F.sum(F.when(F.col("x") < 0, kx).otherwise(0.0))).alias("down"))
-    mean = F.try_divide("s", "n")
-    metrics = {"mean": mean, "sharpe": F.try_divide(mean, F.sqrt(F.greatest(F.try_divide("q", "n") - mean * mean, F.lit(0.0)))), "profit_factor": F.try_divide("up", "down")}
-    each = s.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), c.alias("v")) for n, c in metrics.items()))).alias("m")).select("m.*")
-    return each.groupBy("metric").agg(*(F.percentile("v", q).alias(n) for n, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975))))
-
-
 def deflated_by_trials(returns: DataFrame, by: str, r: str) -> DataFrame:
     """`deflated_sharpe` against the best ratio expected by chance of as many trials, from the spread of the trials' own ratios; `expected_best` holds it. One trial, or trials alike, expect 0."""
     ratios = returns.groupBy(by).agg(F.try_divide(F.avg(r), F.stddev_samp(r)).alias("s"))

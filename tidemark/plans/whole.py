@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import books, corpus, ledgers, models, stats, trials
+from tidemark.operators import books, corpus, ledgers, models, paths, stats, trials
 from tidemark.plans.demo import BARS_1D, BARS_4H, NEWS, RECORDS, TRADES, bars_1d, bars_4h, event_records, news, trades
 from tidemark.plans.market import OVER, W
 from tidemark.plans.registry import query, rounded
@@ -254,15 +254,13 @@ def ml08_intervals_by_fold(spark, d):
     return rounded(out.select("fold", "kind", F.col("m").alias("mean"), "low", "high"), "mean", "low", "high")
 
 
-POISSON = "CASE WHEN u < 0.36787944117144233::DOUBLE THEN 0 WHEN u < 0.7357588823428847::DOUBLE THEN 1 WHEN u < 0.9196986029286058::DOUBLE THEN 2 WHEN u < 0.9810118431238462::DOUBLE THEN 3 WHEN u < 0.9963401531726563::DOUBLE THEN 4 ELSE 5 END"
-
-
-@query(f"""WITH {TRADES}, u AS (SELECT draw, net / 1e5::DOUBLE AS net, ((draw * 1000003 + o_orderkey) % 2147483648 * 1103515245 + 17) % 2147483648 * 48271 % 2147483647 / 2147483647.0::DOUBLE AS u FROM t, (SELECT unnest(range(40)) AS draw)), w AS (SELECT draw, net, {POISSON} AS k FROM u),
-m AS (SELECT draw, sum(k * net) / sum(k) AS mean, sum(k * net) / sum(k) / sqrt(sum(k * net * net) / sum(k) - (sum(k * net) / sum(k)) ** 2) AS sharpe, sum(CASE WHEN net > 0 THEN k * net ELSE 0 END) / -sum(CASE WHEN net < 0 THEN k * net ELSE 0 END) AS factor FROM w GROUP BY 1),
-l AS (SELECT unnest(['mean', 'sharpe', 'profit_factor']) AS metric, unnest([mean, sharpe, factor]) AS v FROM m) SELECT metric, round(quantile_cont(v, 0.025), 5) AS low, round(quantile_cont(v, 0.5), 5) AS middle, round(quantile_cont(v, 0.975), 5) AS high FROM l GROUP BY 1""")
+@query(f"""WITH {TRADES}, p AS (SELECT net / 1e5::DOUBLE AS x, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM t), k AS (SELECT id // n AS draw, id, ('0x' || md5('17:' || id::VARCHAR)[1:12])::BIGINT % n AS i FROM (SELECT unnest(range(40 * n)) AS id, n FROM (SELECT count(*) AS n FROM t))),
+e AS (SELECT draw, id, x, 1000 + sum(x) OVER (PARTITION BY draw ORDER BY id ROWS UNBOUNDED PRECEDING) AS v FROM k JOIN p USING (i)), g AS (SELECT draw, x, v, greatest(1000, max(v) OVER (PARTITION BY draw ORDER BY id ROWS UNBOUNDED PRECEDING)) AS peak FROM e),
+m AS (SELECT draw, avg(x) AS mean, avg(x) / stddev_pop(x) AS sharpe, sum(CASE WHEN x > 0 THEN x ELSE 0 END) / -sum(CASE WHEN x < 0 THEN x ELSE 0 END) AS factor, max((peak - v) / peak) AS fall FROM g GROUP BY 1),
+l AS (SELECT unnest(['mean', 'sharpe', 'profit_factor', 'drawdown']) AS metric, unnest([mean, sharpe, factor, fall]) AS v FROM m) SELECT metric, round(quantile_cont(v, 0.025), 5) AS low, round(quantile_cont(v, 0.5), 5) AS middle, round(quantile_cont(v, 0.975), 5) AS high FROM l GROUP BY 1""")
 def ml10_trade_bootstrap(spark, d):
-    """Intervals of mean, Sharpe ratio and profit factor of trades drawn one by one: each trade weighs as a Poisson number of times in each draw, so draws are sums and no trade is moved."""
-    out = trials.poisson_bootstrap(trades(spark, d).withColumn("net", F.col("net") / 1e5), "o_orderkey", "net", 40, 17)
+    """Intervals of mean, Sharpe ratio, profit factor and drawdown of as many trades as there are, drawn one by one with replacement."""
+    out = paths.intervals(paths.trade_draws(trades(spark, d).withColumn("net", F.col("net") / 1e5), "o_orderkey", "net", 40, 17, 1000.0), ["mean", "sharpe", "profit_factor", "drawdown"])
     return out.select("metric", *(F.round(c, 5).alias(c) for c in ("low", "middle", "high")))
 
 
