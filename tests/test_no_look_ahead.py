@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import indicators as I
-from tidemark.operators import recursive, regimes, selection
+from tidemark.operators import order_statistics, recursive, regimes, selection
 
 CUT = 80
 
@@ -40,7 +40,7 @@ RULES = {
     "median": lambda b: b.withColumn("x", I.relative_to_median("volume", 30, w())),
     "regime": lambda b: b.withColumn("x", I.regime_by_rows("close", w())),
     "drawdown": lambda b: b.withColumn("x", I.drawdown("close", w())),
-    "percentile": lambda b: b.withColumn("x", I.trailing_percentile("close", "symbol", "day", 60, 20)),
+    "percentile": lambda b: order_statistics.trailing_percentile(b, "symbol", "day", "close", 60, 20, "x"),
     "patterns": lambda b: I.price_patterns(b, "symbol", "day", 14, 0.15, 1.0).withColumn("x", F.concat_ws("|", "gap", "gap_middle", "block", "block_middle")),
     "wilder": lambda b: recursive.rsi_wilder(b, "symbol", "day").withColumn("x", F.col("rsi")),
     "adx": lambda b: recursive.adx(b, "symbol", "day").withColumn("x", F.col("adx")),

@@ -119,13 +119,6 @@ def equal_parts(position: Column, n: Column, k: int) -> Column:
     return F.floor(position * k / n)
 
 
-def trailing_percentile(x: str, key: str, time: str, span: int, least: int) -> Column:
-    """Share of the earlier rows within `span` that are greater, ties counting half; null below `least` rows."""
-    values = F.collect_list(x).over(Window.partitionBy(key).orderBy(time).rangeBetween(-span, -1))
-    above = F.aggregate(values, F.lit(0.0), lambda a, v: a + F.when(v > F.col(x), 1.0).when(v == F.col(x), 0.5).otherwise(0.0))
-    return F.when(F.size(values) >= least, above / F.size(values))
-
-
 def price_patterns(bars: DataFrame, key: str, time: str, n: int, gap: float, body: float) -> DataFrame:
     """`gap`: the low stands above the high two bars before by a share of the true range; `block`: a down bar before a strong up bar. With their middles."""
     w = Window.partitionBy(key).orderBy(time)

@@ -62,13 +62,13 @@ def jn13_known_cases(spark, d):
     return rounded(near.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("n"), F.avg("outcome").alias("expected")), "expected")
 
 
-@query(f"""WITH {BARS_1D}, x AS (SELECT day, close AS a FROM b WHERE symbol = 'S0' AND day % 2 = 0), y AS (SELECT day, close AS c FROM b WHERE symbol = 'S1' AND day % 3 = 0), u AS (SELECT day, a, c FROM x FULL JOIN y USING (day)),
+@query(f"""WITH {BARS_1D}, x AS (SELECT day, close AS a FROM b WHERE symbol = 'S0'), y AS (SELECT day, close AS c FROM b WHERE symbol = 'S1'), u AS (SELECT day, a, c FROM x FULL JOIN y USING (day)),
 f AS (SELECT day, last_value(a IGNORE NULLS) OVER (ORDER BY day) AS a, last_value(c IGNORE NULLS) OVER (ORDER BY day) AS c FROM u) SELECT day, round(0.6::DOUBLE * a + 0.4::DOUBLE * c, 6) AS blend FROM f WHERE a IS NOT NULL AND c IS NOT NULL""")
 def jn15_blend(spark, d):
     """Two series on the union of their days, each carried forward, weighted."""
     b = bars_1d(spark, d)
-    one = b.where("symbol = 'S0' and day % 2 = 0").select("day", F.col("close").alias("v"))
-    two = b.where("symbol = 'S1' and day % 3 = 0").select("day", F.col("close").alias("v"))
+    one = b.where("symbol = 'S0'").select("day", F.col("close").alias("v"))
+    two = b.where("symbol = 'S1'").select("day", F.col("close").alias("v"))
     return rounded(timeline.blend([(one, 0.6), (two, 0.4)], "day", "v"), "blend")
 
 

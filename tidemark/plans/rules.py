@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import indicators as I
-from tidemark.operators import recursive, selection, walkforward
+from tidemark.operators import order_statistics, recursive, selection, walkforward
 from tidemark.plans.demo import BARS_1D, BARS_4H, TRADES, bars_1d, bars_4h, trades
 from tidemark.plans.market import OVER, W, rows
 from tidemark.plans.registry import query, rounded
@@ -53,7 +53,7 @@ def wn07_macd(spark, d):
 @query(f"""WITH {BARS_1D}, g AS (SELECT symbol, day, close, list(close) OVER (PARTITION BY symbol ORDER BY day RANGE BETWEEN 365 PRECEDING AND 1 PRECEDING) AS l FROM b)
 SELECT symbol, day, CASE WHEN len(l) >= 180 THEN round((len(list_filter(l, lambda x: x > close)) + len(list_filter(l, lambda x: x = close)) / 2) / len(l), 6) END AS percentile FROM g""")
 def wn26_trailing_percentile(spark, d):
-    return rounded(bars_1d(spark, d).select("symbol", "day", I.trailing_percentile("close", "symbol", "day", 365, 180).alias("percentile")), "percentile")
+    return rounded(order_statistics.trailing_percentile(bars_1d(spark, d), "symbol", "day", "close", 365, 180, "percentile").select("symbol", "day", "percentile"), "percentile")
 
 
 @query(f"""WITH {BARS_1D}, r AS (SELECT *, greatest(high - low, abs(high - lag(close) {OVER})), abs(low - lag(close) {OVER}))) AS tr FROM b),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import terms
 from tidemark.functions import text as X
 from tidemark.operators import corpus
 from tidemark.plans.demo import BARS_1D, NEWS, RECORDS, TICKS, TRADES, bars_1d, event_records, news, ticks, trades
@@ -208,6 +209,17 @@ def prj10_terms(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(X.matched_terms(F.col("text"), TERMS), ",").alias("terms"))
 
 
+@query("""WITH t AS (SELECT DISTINCT regexp_extract(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[^ ]+ [^ ]+ [^ ]+ [^ ]+') AS term FROM benchmark), d AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
+SELECT doc_id, term, ((length(text) - length(replace(text, term, ''))) // length(term))::BIGINT AS n, min(instr(text, term) - 1)::BIGINT AS first_start FROM d JOIN t ON term <> '' AND contains(text, term) GROUP BY doc_id, text, term""")
+def prj10_benchmark_openings(spark, d):
+    """Where the first four words of every benchmark item stand in whole documents, by one automaton. The benchmark is a table of a fixed size; more terms than the automaton takes are an error."""
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    opening = F.regexp_extract(lower(F.col("text")), "^[^ ]+ [^ ]+ [^ ]+ [^ ]+", 0)
+    known = [r.term for r in table(spark, d, "benchmark").select(opening.alias("term")).where("term <> ''").distinct().limit(terms.MOST + 1).collect()]
+    hits = table(spark, d, "documents").select("doc_id", F.explode(terms.term_hits(F.col("text"), known)).alias("hit"))
+    return hits.groupBy("doc_id", F.col("hit.term").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.min("hit.start").alias("first_start"))
+
+
 @query(f"""WITH {NEWS} SELECT published // 86400 AS day, count(*) FILTER (WHERE doc_id % 28 + 1 = (published // 86400 - 19722)) AS admitted, count(*) FILTER (WHERE doc_id % 28 + 1 <> (published // 86400 - 19722)) AS quarantined FROM n GROUP BY 1""")
 def prj12_quarantine(spark, d):
     """Items whose stated day of the month differs from that of their publication are set apart."""

@@ -22,12 +22,12 @@ def st03_unlabelled(spark, d):
     return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").select("doc_id"))
 
 
-@query(f"""WITH {BARS_1D} SELECT symbol, day, round(CASE WHEN day % 3 <> 0 THEN close * 2 ELSE close END, 6) AS close FROM b WHERE day % 2 = 0 OR day % 3 <> 0""")
+@query(f"""WITH {BARS_1D} SELECT symbol, day, CASE WHEN day % 3 <> 0 THEN close * 2 ELSE close END AS close FROM b""")
 def st04_last_write(spark, d):
-    """A page of the even days, then a corrected page of the days not divisible by three: the later one wins where they overlap."""
+    """A page of all days, then a corrected page of the days not divisible by three: the later one wins where they overlap."""
     b = bars_1d(spark, d).select("symbol", "day", "close")
-    pages = [b.where("day % 2 = 0"), b.where("day % 3 <> 0").withColumn("close", F.col("close") * 2)]
-    return rounded(sets.last_write(pages, ["symbol", "day"]), "close")
+    pages = [b, b.where("day % 3 <> 0").withColumn("close", F.col("close") * 2)]
+    return sets.last_write(pages, ["symbol", "day"])
 
 
 @query(f"WITH {BARS_1D}, {BARS_4H} SELECT day FROM b UNION SELECT slot // 6 AS day FROM b4")
