@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import sets
 from tidemark.plans.demo import BARS_1D, BARS_4H, bars_1d, bars_4h
-from tidemark.plans.registry import query, rounded
+from tidemark.plans.registry import query
 from tidemark.sources.readers import table
 
 
