@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -106,6 +107,15 @@ def crc32_sql(column: str) -> str:
     return f"(4294967295 - {steps})"
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their tasks, and an executor's stages share its memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def shards(total: int, per_shard: int) -> int:
     return max(1, -(-int(total) // per_shard))
 

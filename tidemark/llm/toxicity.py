@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import discard, fresh, named, staged_at, with_arrow_column
+from tidemark.llm.common import discard, fresh, give_back, named, staged_at, with_arrow_column
 
 SAMPLE_DOCS, OVER, FEATURES, BUCKETS, SWAP_PENALTY, RIDGE, ROUNDS = 24_000, 2, 1_000, 1 << 22, 1.0, 1e-3, 400
 THRESHOLD = 0.3
@@ -87,6 +87,15 @@ def _distinct(words: set[str], known: dict[str, list[int]]) -> np.ndarray:
     return np.unique(np.concatenate([known.get(w) or features_of_word(w) for w in words])).astype(np.int32) if words else np.zeros(0, np.int32)
 
 
+def _three(text: str | None, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of a text and of its counterfactual pair."""
+    words = set(words_of(text))
+    own, (one, other) = _distinct(words, known), counterfactual(text)
+    if one == words:
+        return own, own, _distinct(other, known)
+    return own, *(np.union1d(own, _distinct(x - words, known)) for x in (one, other))
+
+
 @dataclass
 class Model:
     """Weights by feature, and the score of a text; `pairs`: counterfactual pairs that differ, `gap`: the mean difference of their scores after training."""
@@ -149,11 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         known: dict[str, list[int]] = {}
         kind = pa.list_(pa.int32())
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            pairs = [counterfactual(t) for t in texts]
-            own = [_distinct(set(words_of(t)), known) for t in texts]
-            one, other = ([_distinct(p[i], known) for p in pairs] for i in (0, 1))
-            yield pa.record_batch([batch.column("label"), *(pa.array(x, kind) for x in (own, one, other))], names=["label", "own", "one", "other"])
+            made: tuple[list, list, list] = [], [], []
+            for t in batch.column("text"):  # one text at a time: only the features of a batch are held
+                own, one, other = _three(t.as_py(), known)
+                for held, x in zip(made, (own, one, other), strict=True):
+                    held.append(x)
+            yield pa.record_batch([batch.column("label"), *(pa.array(x, kind) for x in made)], names=["label", "own", "one", "other"])
+            give_back()
 
     taken, taken_at = staged_at(rows.select("text", "label").mapInArrow(lists, "label int, own array<int>, one array<int>, other array<int>"), "toxicity-sample")
     totals = taken.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
@@ -194,6 +205,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str | None
 
     def make() -> Callable[[pa.Array], pa.Array]:
         mine = Model(*sent.value)
-        return lambda texts: pa.array([mine.score(t.as_py()) for t in texts], pa.float64())
+
+        def of(texts: pa.Array) -> pa.Array:
+            scores = pa.array([mine.score(t.as_py()) for t in texts], pa.float64())
+            give_back()
+            return scores
+
+        return of
 
     return with_arrow_column(docs, text_col, make, out or fresh(docs, "toxicity"), T.DoubleType())
