@@ -243,3 +243,40 @@ def test_trie_equals_brute_force(spark, monkeypatch, shard, block):
 def test_trie_of_no_conversations(spark):
     df = spark.createDataFrame([(None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     assert prefix_trie.rebuilt_trie(df).count() == 0 and prefix_trie.rebuilt_trie(df.limit(0)).count() == 0
+
+
+# SimHash: the walk's front is bounded
+
+
+def test_a_crowded_trie_join_stays_small():
+    """200,000 fingerprints on four values of one block, in a process of its own, below 400 MB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from tidemark.llm.simhash_trie import trie_links
+d = np.random.default_rng(3)
+keys = np.concatenate([np.sort((np.uint64(g) << np.uint64(48)) | d.integers(0, 1 << 48, 50_000, dtype=np.uint64)) for g in range(4)])
+trie_links(keys, [(g * 50_000, (g + 1) * 50_000) * 2 for g in range(4)], 16, 3)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert int(out.stdout.split()[-1]) < 400, out
+
+
+def test_a_bounded_front_finds_every_link(monkeypatch):
+    from tidemark.llm import simhash_trie
+
+    monkeypatch.setattr(simhash_trie, "FRONT", 40)
+    monkeypatch.setattr(simhash_trie, "LEAF_PAIRS", 100)
+    dice = np.random.default_rng(4)
+    keys = np.unique(np.concatenate([dice.integers(0, 1 << 48, 300, dtype=np.uint64), np.uint64(12345) ^ (np.uint64(1) << dice.integers(0, 20, 100).astype(np.uint64))]))
+    near = np.bitwise_count(keys[:, None] ^ keys[None]) <= 3
+    want = np.arange(len(keys))
+    while not np.array_equal(want, new := np.array([want[row].min() for row in near])):
+        want = new
+    got = simhash_trie.trie_links(keys, [(0, len(keys), 0, len(keys))], 16, 3)
+    while not np.array_equal(got, got[got]):
+        got = got[got]
+    assert np.array_equal(got, want)

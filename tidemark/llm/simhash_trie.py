@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import columns_of, discard, fresh, named, shards, staged, staged_at, with_arrow_column
+from tidemark.llm.common import columns_of, discard, fresh, give_back, named, shards, staged, staged_at, with_arrow_column
 
 SHINGLE, BUDGET, SEED = 3, 3, 42
 #: Fingerprints of one block value that a group holds at most; more are cut into slices of about this size.
 SLICE = 50_000
 #: Rows of the four tries that a task gets on average.
 TASK_ROWS = 200_000
-#: Pairs of a leaf that are compared at once.
-LEAF_PAIRS = 1 << 21
+#: Pairs of a leaf that are compared at once, and node pairs that are opened at once.
+LEAF_PAIRS, FRONT = 1 << 20, 1 << 17
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -57,8 +57,13 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 def with_fingerprint(docs: DataFrame, text_col: str, out: str, width: int = SHINGLE, keep_text: bool = True) -> DataFrame:
     """`docs` with the fingerprint of every row's text as last column `out` (long); without the text on request."""
-    make = lambda: lambda texts: pa.array([fingerprint(t.as_py(), width) for t in texts], pa.int64())
-    return with_arrow_column(docs, text_col, make, out, T.LongType(), keep_text)
+
+    def of(texts: pa.Array) -> pa.Array:
+        prints = pa.array([fingerprint(t.as_py(), width) for t in texts], pa.int64())
+        give_back()
+        return prints
+
+    return with_arrow_column(docs, text_col, lambda: of, out, T.LongType(), keep_text)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -98,13 +103,17 @@ def trie_links(keys: np.ndarray, pairs: list[tuple[int, int, int, int]], top: in
 
     `pairs`: pairs of position ranges (a_lo, a_hi, b_lo, b_hi), each the root of a trie whose first `top` bits are equal; a range paired
     with itself is a self-join. Positions in one answer's chain are connected by links of at most `budget` differing bits.
+    At most `FRONT` node pairs are opened together, deepest first, so that what waits is bounded by the depth of the tries and not by the number of pairs.
     """
     forest = _Forest(len(keys))
-    front = np.array(pairs, np.int64).reshape(-1, 4)
-    errors = np.zeros(len(front), np.int64)
-    for depth in range(top, 65):
-        if not len(front):
-            break
+    ones: dict[int, np.ndarray] = {}
+    start = np.array(pairs, np.int64).reshape(-1, 4)
+    todo = [(top, start, np.zeros(len(start), np.int8))]
+    while todo:
+        depth, front, errors = todo.pop()
+        if len(front) > FRONT:
+            todo.append((depth, front[FRONT:], errors[FRONT:]))
+            front, errors = front[:FRONT], errors[:FRONT]
         size = (front[:, 1] - front[:, 0]) * (front[:, 3] - front[:, 2])
         leaf = (size <= 64) | (depth == 64)
         order = np.flatnonzero(leaf)
@@ -113,10 +122,12 @@ def trie_links(keys: np.ndarray, pairs: list[tuple[int, int, int, int]], top: in
             _compare(keys, front[some], budget, forest)
         front, errors = front[~leaf], errors[~leaf]
         if depth == 64 or not len(front):
-            break
-        ones = np.concatenate(([0], np.cumsum((keys >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)))
+            continue
+        if depth not in ones:
+            ones[depth] = np.concatenate(([0], np.cumsum((keys >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int32))).astype(np.int32)
+        one = ones[depth]
         a_lo, a_hi, b_lo, b_hi = front.T
-        a_mid, b_mid = a_hi - (ones[a_hi] - ones[a_lo]), b_hi - (ones[b_hi] - ones[b_lo])
+        a_mid, b_mid = a_hi - (one[a_hi] - one[a_lo]), b_hi - (one[b_hi] - one[b_lo])
         same = (a_lo == b_lo) & (a_hi == b_hi)
         grown = [
             (np.stack([a_lo, a_mid, b_lo, b_mid], 1), errors),
@@ -124,10 +135,10 @@ def trie_links(keys: np.ndarray, pairs: list[tuple[int, int, int, int]], top: in
             (np.stack([a_lo, a_mid, b_mid, b_hi], 1), errors + 1),
             (np.stack([a_mid, a_hi, b_lo, b_mid], 1)[~same], errors[~same] + 1),
         ]
-        front = np.concatenate([x for x, _ in grown])
-        errors = np.concatenate([e for _, e in grown])
-        live = (errors <= budget) & (front[:, 0] < front[:, 1]) & (front[:, 2] < front[:, 3])
-        front, errors = front[live], errors[live]
+        below, off = np.concatenate([x for x, _ in grown]), np.concatenate([e for _, e in grown])
+        live = (off <= budget) & (below[:, 0] < below[:, 1]) & (below[:, 2] < below[:, 3])
+        if live.any():
+            todo.append((depth + 1, below[live], off[live]))
     return forest.roots()
 
 
