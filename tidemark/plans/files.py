@@ -8,7 +8,7 @@ from tidemark.functions import pages
 from tidemark.functions import text as X
 from tidemark.plans.demo import BARS_1D, BARS_4H, NEWS, SETTLEMENTS, bars_1d, bars_4h, news, settlements
 from tidemark.plans.registry import query, rounded
-from tidemark.sources import readers
+from tidemark.sources import batches, readers
 from tidemark.sources.readers import shared_folder, table
 
 FIELDS = ["open", "high", "low", "close", "volume", "turnover"]
@@ -135,6 +135,18 @@ def src13_pending(spark, d):
     return readers.pending(docs, docs.where("doc_id % 3 = 0"), "doc_id")
 
 
+@query("""WITH n AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS i, (count(*) OVER () + 5) // 6 AS per FROM documents)
+SELECT doc_id, i // per AS batch, len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))::BIGINT AS words FROM n""")
+def src13_resumed_batches(spark, d):
+    """Six contiguous batches under one header, stopped after two and resumed."""
+    docs, folder = table(spark, d, "documents").select("doc_id", "text"), shared_folder(spark, "batches")
+    per = -(-docs.count() // 6)
+    make = lambda rows: rows.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"))).cast("long").alias("words"))
+    for most in (2, None):
+        found = batches.run(docs, "doc_id", make, folder, {"scorer": "words", "rows": per}, max(1, per), most)
+    return found
+
+
 @query("""SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 10 = 0 THEN 'missing' WHEN doc_id % 10 = 1 THEN 'size' WHEN doc_id % 10 = 2 THEN 'hash' ELSE 'extra' END AS reason FROM documents WHERE doc_id % 10 < 4""")
 def src15_manifest(spark, d):
     """A manifest of the texts held against one that differs in known places."""

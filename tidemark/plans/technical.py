@@ -110,6 +110,20 @@ def wn29_trailing_exit(spark, d):
     return rounded(walkforward.trailing_exits(t, b, "o_orderkey", "symbol", "day", 1.0).select("o_orderkey", "day", "reason", "fill", "stop"), "fill", "stop")
 
 
+@query(f"""WITH {BARS_1D}, g AS (SELECT *, ln(close / lag(close) {OVER})) AS lr FROM b), h AS (SELECT *, count(volume) OVER w AS n, avg(volume) OVER w AS m, stddev_pop(volume) OVER w AS sd FROM g WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 29 PRECEDING AND 1 PRECEDING))
+SELECT symbol, day, round(close / lag(close, 1) {OVER}) - 1, 6) AS ret_1d, round(close / lag(close, 3) {OVER}) - 1, 6) AS ret_3d, round(close / lag(close, 7) {OVER}) - 1, 6) AS ret_7d,
+  CASE WHEN count(lr) {rows(7)} = 7 THEN round(stddev_pop(lr) {rows(7)}, 6) END AS vol_7d, round(CASE WHEN n = 29 THEN CASE WHEN sd > 0 THEN (volume - m) / sd ELSE 0 END END, 6) AS volume_z FROM h""")
+def wn35_market_state_30d(spark, d):
+    """Returns of 1, 3 and 7 days, deviation of a week, and the day's volume against the 29 days before it."""
+    w, week, before = W(), I.last_rows(W(), 7), W().rowsBetween(-29, -1)
+    g = bars_1d(spark, d).withColumn("lr", F.log(F.col("close") / F.lag("close").over(w)))
+    over = {f"ret_{n}d": F.col("close") / F.lag("close", n).over(w) - 1 for n in (1, 3, 7)}
+    sd = F.stddev_pop("volume").over(before)
+    z = F.when(F.count("volume").over(before) == 29, F.when(sd > 0, (F.col("volume") - F.avg("volume").over(before)) / sd).otherwise(0.0))
+    state = g.withColumns({**over, "vol_7d": F.when(F.count("lr").over(week) == 7, F.stddev_pop("lr").over(week)), "volume_z": z})
+    return rounded(state.select("symbol", "day", *over, "vol_7d", "volume_z"), *over, "vol_7d", "volume_z")
+
+
 @query(f"""WITH {BARS_4H}, g AS (SELECT *, ln(close / lag(close) {O4})) AS lr, CASE WHEN count(*) {rows4(6)} = 6 THEN sum(volume) {rows4(6)} END AS v FROM b4),
 h AS (SELECT *, count(v) OVER w AS n, avg(v) OVER w AS m, stddev_pop(v) OVER w AS sd FROM g WINDOW w AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 65 PRECEDING AND 6 PRECEDING))
 SELECT symbol, slot, round(close / lag(close, 6) {O4}) - 1, 6) AS ret_24h, round(close / lag(close, 18) {O4}) - 1, 6) AS ret_72h, round(close / lag(close, 42) {O4}) - 1, 6) AS ret_168h,

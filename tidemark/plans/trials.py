@@ -169,6 +169,34 @@ def ml19_sweep(spark, d):
     return rounded(each.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("g.side") * F.col("next")).alias("mean")), "mean")
 
 
+LENGTHS, LOWS, BANDS, CONFIRMS = (10, 20, 40), (0, -1), (0.0, 0.02, 0.05), (1, 60, 120)
+#: Of each configuration: position, by the close against its mean and a band above it, and the mean against a longer one.
+SIDES = {(n, low, band, slow): (f"m{n}", low, 1 + band, f"m{slow}") for n in LENGTHS for low in LOWS for band in BANDS for slow in CONFIRMS}
+
+
+@query(f"""WITH {BARS_1D}, m AS (SELECT symbol, day, close, lead(close) {OVER}) / close - 1 AS nxt, close AS m1, {", ".join(f"avg(close) {OVER} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS m{n}" for n in (*LENGTHS, 60, 120))} FROM b),
+g AS (SELECT day, nxt, unnest([{", ".join(f"{{'length': {n}::BIGINT, 'low': {low}::BIGINT, 'band': {band}::DOUBLE, 'slow': {slow}::BIGINT, 'side': CASE WHEN close > {m} * {up}::DOUBLE AND {'true' if slow == 1 else f'{m} > {s}'} THEN 1 ELSE {low} END}}" for (n, low, band, slow), (m, _, up, s) in SIDES.items())}]) AS c FROM m WHERE nxt IS NOT NULL),
+f AS (SELECT c.length AS length, c.low AS low, c.band AS band, c.slow AS slow, (day - 8000) // 360 AS fold, count(*) AS n, avg(c.side * nxt) AS mean, sum(ln(greatest(1 + c.side * nxt * 0.1::DOUBLE, 0.01::DOUBLE))) AS growth FROM g GROUP BY ALL)
+SELECT length, low, band, slow, sum(n)::BIGINT AS n, round(sum(CASE WHEN fold < 5 THEN growth ELSE 0 END), 6) AS train_growth, (count(*) FILTER (WHERE fold < 5 AND growth > 0))::BIGINT AS train_positive, round(sum(CASE WHEN fold >= 5 THEN growth ELSE 0 END), 6) AS held_growth,
+  (count(*) FILTER (WHERE fold >= 5 AND growth > 0))::BIGINT AS held_positive, round(min(growth), 6) AS worst_fold FROM f GROUP BY ALL""")
+def ml19_sweep_of_54(spark, d):
+    """54 average rules (length, position below, band, longer mean): growth (log, a tenth at stake) and folds gained in training and after it, and the worst fold. Bars meet every configuration where they are."""
+    b = bars_1d(spark, d)
+    means = {f"m{n}": F.avg("close").over(W().rowsBetween(-(n - 1), 0)) for n in (*LENGTHS, 60, 120)}
+    x = b.withColumns({**means, "m1": F.col("close"), "next": F.lead("close").over(W()) / F.col("close") - 1}).where("next is not null")
+    side = lambda m, low, up, s: F.when((F.col("close") > F.col(m) * up) & (F.lit(True) if s == "m1" else F.col(m) > F.col(s)), 1).otherwise(low)
+    grid = F.array(*(F.struct(F.lit(n).cast("long").alias("length"), F.lit(low).cast("long").alias("low"), F.lit(band).alias("band"), F.lit(slow).cast("long").alias("slow"), side(*rule).alias("side")) for (n, low, band, slow), rule in SIDES.items()))
+    each = x.select(F.expr("(day - 8000) div 360").alias("fold"), "next", F.explode(grid).alias("g")).select("fold", "next", "g.*")
+    growth = F.sum(F.log(F.greatest(1 + F.col("side") * F.col("next") * 0.1, F.lit(0.01))))
+    by_fold = each.groupBy("length", "low", "band", "slow", "fold").agg(F.count(F.lit(1)).alias("n"), growth.alias("growth"))
+    train = F.col("fold") < 5
+    out = by_fold.groupBy("length", "low", "band", "slow").agg(
+        F.sum("n").alias("n"), F.sum(F.when(train, F.col("growth")).otherwise(0.0)).alias("train_growth"), F.count_if(train & (F.col("growth") > 0)).alias("train_positive"),
+        F.sum(F.when(~train, F.col("growth")).otherwise(0.0)).alias("held_growth"), F.count_if(~train & (F.col("growth") > 0)).alias("held_positive"), F.min("growth").alias("worst_fold"),
+    )
+    return rounded(out, "train_growth", "held_growth", "worst_fold")
+
+
 @query(r"""WITH k AS (SELECT doc_id, len(regexp_extract_all(lower(text), '\b(good|new|free|open)\b')) AS p, len(regexp_extract_all(lower(text), '\b(bad|old|lost|closed)\b')) AS n FROM documents)
 SELECT doc_id, round(CASE WHEN p + n = 0 THEN 0 ELSE (p - n) / (p + n) END, 6) AS score FROM k""")
 def ml21_score_batches(spark, d):
