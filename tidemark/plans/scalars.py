@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import terms
+from tidemark.functions import quotes, terms
 from tidemark.functions import text as X
 from tidemark.operators import corpus
 from tidemark.plans.demo import BARS_1D, NEWS, RECORDS, TICKS, TRADES, bars_1d, event_records, news, ticks, trades
@@ -105,6 +105,15 @@ def sc08_damaged_evidence(spark, d):
     return k.select("doc_id", "x.pos", "x.span")
 
 
+@query()
+def sc08_damaged_passages(spark, d):
+    """Sixty characters from anywhere in a whole document, one changed and one dropped, and the span of the document that they stand for."""
+    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") * 7919 % F.greatest(F.length("text") - 60, F.lit(1)) + 1).cast("int").alias("lo"))
+    part = lambda lo, n: F.substring(F.col("text"), F.col("lo") + lo, F.lit(n))
+    quote = F.concat(part(0, 19), F.lit("\u2042"), part(20, 19), part(40, 20))
+    return docs.select("doc_id", quotes.quote_span(F.col("text"), quote, 2).alias("s")).select("doc_id", "s.*")
+
+
 @query(f"""WITH {RECORDS}, k AS (SELECT doc_id, [CASE a WHEN 'S3' THEN 'S0' WHEN 'S4' THEN 'S1' ELSE a END for a in assets] AS l FROM r)
 SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS names FROM k""")
 def sc09_aliases(spark, d):
