@@ -45,8 +45,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token sequences of what is left, every row's; a null text is the end id alone. Its workers have served the stages before, so they remember less."""
-    return bin_packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 1, cache=EXECUTOR_CACHE // 2)
+    """Packs the token sequences of what is left, every row's; a null text is the end id alone. Its workers have served the stages before, so they remember little."""
+    return bin_packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 1, cache=EXECUTOR_CACHE // 16)
 
 
 STAGES = [("language ID", language), ("toxicity", toxic), ("exact dedup", exact), ("SimHash near-dedup", near), ("best-fit packing", packed)]
