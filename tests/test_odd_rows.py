@@ -271,3 +271,16 @@ def test_sessions_hold_gaps_of_their_length(spark):
     make = lambda s: rolling.trigger_sessions(s.withColumn("ts", F.timestamp_micros("at")).withColumn("k", F.lit("a")), "ts", "k", "60 minutes")
     got = sorted((int(r.start.timestamp()) // 60, int(r.end.timestamp()) // 60, r.n) for r in in_batches(spark, make, rows, "at long", "s"))
     assert got[:2] == [(0, 120, 2), (121, 181, 1)]
+
+
+def test_names_that_operators_use_may_be_taken(spark):
+    from tidemark.operators import corpus, walkforward
+
+    rows = [(k, i, float(i % 7) if i % 9 else None, f"s{i % 3}", "kept") for i in range(60) for k in ("a", "b", None)]
+    plain = spark.createDataFrame([r[:4] for r in rows], "g string, t long, x double, s string")
+    clash = spark.createDataFrame([(*r[:4], *[r[4]] * 4) for r in rows], "g string, t long, x double, s string, lo string, hi string, nth string, tercile_key string")
+    for call in (lambda d: walkforward.tercile_classes(d, "g", "x", F.col("t") < 30, 6), lambda d: corpus.round_robin(d, "g", "s", ["t"], 5)):
+        added = [c for c in call(plain).columns if c in ("class", "place")]
+        assert sorted(map(repr, call(plain).select("g", "t", "x", *added).collect())) == sorted(map(repr, call(clash).select("g", "t", "x", *added).collect()))
+        assert {tuple(r) for r in call(clash).select("lo", "hi", "nth", "tercile_key").collect()} == {("kept",) * 4}
+        assert call(clash.limit(0)).count() == 0

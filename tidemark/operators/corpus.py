@@ -39,8 +39,10 @@ def normal_title(text: str) -> Column:
 
 def round_robin(rows: DataFrame, group: str, source: str, order: list[str], cap: int) -> DataFrame:
     """The n-th item of every source before the (n + 1)-th of any, up to `cap` a group; `place` is the position."""
-    nth = rows.withColumn("nth", F.row_number().over(Window.partitionBy(group, source).orderBy(*order))).where(F.col("nth") <= cap)  # later ones can't be among the first `cap`
-    return nth.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("nth", source))).where(F.col("place") <= cap)
+    nth = free("nth", rows)
+    first = rows.withColumn(nth, F.row_number().over(Window.partitionBy(group, source).orderBy(*order))).where(F.col(nth) <= cap)  # later ones can't be among the first `cap`
+    kept = first.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(nth, source))).where(F.col("place") <= cap)
+    return kept.withColumnRenamed(nth, "nth") if nth == "nth" else kept.drop(nth)
 
 
 def diverse(rows: DataFrame, group: str, source: str, order: list[str], cap: int) -> DataFrame:

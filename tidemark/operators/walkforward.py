@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.names import free
+
 
 def banded_weight(score: Column, bands: list[tuple[float, float]]) -> Column:
     """The weight of the first band whose lower edge the score reaches; 0 below all and for no score."""
@@ -51,10 +53,12 @@ def fold_sums(rows: DataFrame, time: str, value: str, starts: list[int], length:
 
 
 def tercile_classes(rows: DataFrame, key: str, value: str, train: Column, places: int) -> DataFrame:
-    """`class` 0, 1 or 2 by the thirds (`lo`, `hi`) of the key's training rows, rounded to `places`; keys without training rows have none."""
-    cuts = rows.where(train).groupBy(key).agg(F.round(F.percentile(value, 1 / 3), places).alias("lo"), F.round(F.percentile(value, 2 / 3), places).alias("hi"))
-    x = F.col(value)
-    return rows.join(cuts, key).withColumn("class", F.when(x <= F.col("lo"), 0).when(x <= F.col("hi"), 1).when(x.isNotNull(), 2))
+    """`class` 0, 1 or 2 by the thirds (`lo`, `hi`; `tercile_lo`, `tercile_hi` where these names are taken) of the key's training rows, rounded to `places`; rows of keys without training rows, or with a null key, are left out, a null value has no class."""
+    names = [free(f"tercile_{c}", rows) for c in ("key", "lo", "hi")]
+    cuts = rows.where(train).groupBy(F.col(key).alias(names[0])).agg(*(F.round(F.percentile(value, share), places).alias(n) for n, share in zip(names[1:], (1 / 3, 2 / 3), strict=True)))
+    x, lo, hi = F.col(value), F.col(names[1]), F.col(names[2])
+    found = rows.join(cuts, F.col(key) == F.col(names[0])).withColumn("class", F.when(x <= lo, 0).when(x <= hi, 1).when(x.isNotNull(), 2))
+    return found.select(*(F.col(f"`{c}`") for c in rows.columns if c.lower() != "class"), lo.alias("lo") if "lo" not in rows.columns else lo.alias("tercile_lo"), hi.alias("hi") if "hi" not in rows.columns else hi.alias("tercile_hi"), "class")
 
 
 def trailing_exits(trades: DataFrame, bars: DataFrame, trade: str, key: str, time: str, multiple: float) -> DataFrame:

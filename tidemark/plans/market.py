@@ -194,22 +194,22 @@ def jn06_interval_sum(spark, d):
 
 
 @query(f"""WITH {BARS_4H}, e AS (SELECT symbol, event_id, us // {14400}000000 AS slot FROM ticks)
-SELECT e.event_id, e.symbol, round(y.open / x.open - 1, 6) AS forward FROM e JOIN b4 x ON x.symbol = e.symbol AND x.slot = e.slot + 1 JOIN b4 y ON y.symbol = e.symbol AND y.slot = e.slot + 7""")
+SELECT e.event_id, e.symbol, y.open / x.open - 1 AS forward FROM e JOIN b4 x ON x.symbol = e.symbol AND x.slot = e.slot + 1 JOIN b4 y ON y.symbol = e.symbol AND y.slot = e.slot + 7""")
 def jn02_forward_return(spark, d):
     from tidemark.plans.demo import ticks
 
     e = ticks(spark, d).select("symbol", "event_id", F.expr("us div 14400000000").alias("slot"))
-    return timeline.forward_return(e, bars_4h(spark, d), "symbol", "slot", 1, 6).select("event_id", "symbol", F.round("forward", 6).alias("forward"))
+    return timeline.forward_return(e, bars_4h(spark, d), "symbol", "slot", 1, 6).select("event_id", "symbol", "forward")  # a quotient of cents: both sides give the same double, which may lie on the edge of rounding
 
 
 @query(f"""WITH {BARS_4H}, e AS (SELECT symbol, event_id, us // {14400}000000 AS slot FROM ticks)
-SELECT e.event_id, e.symbol, round(y.open / x.open - 1, 6) AS forward FROM e JOIN b4 x ON x.symbol = e.symbol AND x.slot = e.slot + 1 JOIN b4 y ON y.symbol = e.symbol AND y.slot = e.slot + 7""")
+SELECT e.event_id, e.symbol, y.open / x.open - 1 AS forward FROM e JOIN b4 x ON x.symbol = e.symbol AND x.slot = e.slot + 1 JOIN b4 y ON y.symbol = e.symbol AND y.slot = e.slot + 7""")
 def jn02_forward_return_of_all(spark, d):
     """The forward return of every tick."""
     from tidemark.plans.demo import ticks
 
     e = ticks(spark, d).select("symbol", "event_id", F.expr("us div 14400000000").alias("slot"))
-    return timeline.forward_return(e, bars_4h(spark, d), "symbol", "slot", 1, 6).select("event_id", "symbol", F.round("forward", 6).alias("forward"))
+    return timeline.forward_return(e, bars_4h(spark, d), "symbol", "slot", 1, 6).select("event_id", "symbol", "forward")  # a quotient of cents: both sides give the same double, which may lie on the edge of rounding
 
 
 HORIZONS = [1, 3, 6, 18]  # bars: 4, 12, 24 and 72 hours

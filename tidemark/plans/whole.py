@@ -207,7 +207,7 @@ def pf13_news_schedule_of_members(spark, d):
 
 @query(f"""WITH {BARS_4H}, k AS (SELECT symbol, slot, i, close * (1 - 0.0005::DOUBLE * i) AS bp, volume / (i + 1.0::DOUBLE) AS bs, close * (1 + 0.0004::DOUBLE * i) AS ap, volume / (2 * i + 1.0::DOUBLE) AS sz FROM b4, (SELECT unnest([1, 2, 3]) AS i)),
 g AS (SELECT symbol, slot, sum(bp * bs) AS bid, sum(ap * sz) AS ask, max(bp) AS best_bid, min(ap) AS best_ask FROM k GROUP BY 1, 2), f AS (SELECT symbol, us // 14400000000 AS slot, sum(CASE WHEN side = 'buy' THEN price * qty ELSE 0 END) AS bought, sum(CASE WHEN side = 'sell' THEN price * qty ELSE 0 END) AS sold FROM ticks GROUP BY 1, 2)
-SELECT symbol, slot, round((best_bid + best_ask) / 2, 6) AS mid, round((best_ask / best_bid - 1) * 10000, 6) AS spread_bps, round(bid, 6) AS bid_depth, round(ask, 6) AS ask_depth, round((bid - ask) / (bid + ask), 6) AS book_imbalance, round(bought, 6) AS bought, round(sold, 6) AS sold, round((bought - sold) / (bought + sold), 6) AS flow_imbalance
+SELECT symbol, slot, (best_bid + best_ask) / 2 AS mid, round((best_ask / best_bid - 1) * 10000, 6) AS spread_bps, round(bid, 9) AS bid_depth, round(ask, 9) AS ask_depth, round((bid - ask) / (bid + ask), 6) AS book_imbalance, round(bought, 6) AS bought, round(sold, 6) AS sold, round((bought - sold) / (bought + sold), 6) AS flow_imbalance
 FROM g JOIN f USING (symbol, slot) WHERE bid + ask > 0 AND bought + sold > 0 AND best_bid > 0""")
 def ag32_book_and_flow(spark, d):
     """Depth, middle and spread of an order book of levels, and the notional bought and sold beside it."""
@@ -219,7 +219,8 @@ def ag32_book_and_flow(spark, d):
     flow = ticks(spark, d).groupBy("symbol", F.expr("us div 14400000000").alias("slot")).agg(*(F.sum(F.when(F.col("side") == s, v).otherwise(0.0)).alias(n) for s, n in (("buy", "bought"), ("sell", "sold"))))
     x = ledgers.book_measures(book, "bids", "asks").join(flow, ["symbol", "slot"]).withColumn("flow_imbalance", F.try_divide(F.col("bought") - F.col("sold"), F.col("bought") + F.col("sold"))).where("book_imbalance is not null and flow_imbalance is not null and spread_bps is not null")
     names = ["mid", "spread_bps", "bid_depth", "ask_depth", "book_imbalance", "bought", "sold", "flow_imbalance"]
-    return rounded(x.select("symbol", "slot", *names), *names)
+    deep = {c: F.round(c, 9) for c in ("bid_depth", "ask_depth")}  # six places would cut at halves; the middle is one double on both sides
+    return rounded(x.select("symbol", "slot", *names).withColumns(deep), *(c for c in names[1:] if c not in deep))
 
 
 # Models and trials
