@@ -1,4 +1,7 @@
-"""Comparing scoring runs: agreement, consensus, ensembles, id sets."""
+"""Comparing scoring runs: agreement, consensus, ensembles, id sets.
+
+Cases: a key that only one run has is unmatched, and so is a null key of either; repeated keys pair each with each; a null score agrees with nothing; of no pairs the counts are 0 and the means null.
+"""
 
 from __future__ import annotations
 

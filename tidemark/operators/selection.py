@@ -1,4 +1,8 @@
-"""Ranking, top-k and sampling. Every order ends in a unique key."""
+"""Ranking, top-k and sampling. Every order ends in a unique key.
+
+Cases: a null group is a group of its own; null values stand last in descending orders and first in ascending ones; ties go to the smaller key; a group with fewer rows than asked for gives all of them;
+an empty table gives an empty one; the columns that an operator names as its result replace those of the same name.
+"""
 
 from __future__ import annotations
 

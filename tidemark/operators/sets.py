@@ -1,4 +1,7 @@
-"""Set operations on tables that share a key."""
+"""Set operations on tables that share a key.
+
+Cases: null keys are a key like any other; of rows that repeat a key within one page any one stays; an empty page adds nothing; `__page` and `__row` are names of the operator's own.
+"""
 
 from __future__ import annotations
 
