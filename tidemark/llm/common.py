@@ -90,6 +90,18 @@ def with_arrow_column(docs: DataFrame, source: str, make: Callable[[], Callable[
     return numbered.mapInArrow(of, schema).toDF(*(docs.columns[i] for i in kept), out)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lets Arrow batches between the JVM and Python hold at most about `most` bytes in this session; a smaller setting stays.
+
+    Both sides hold a batch outside of the heap, more than once while it grows and is copied, and keep that memory for the stages that follow.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.match(r"(-?\d+)\s*([kmgtp]?)", spark.conf.get(key).lower()).groups()
+    now = int(number) << 10 * " kmgtp".index(unit or " ")
+    if not 0 < now <= most:
+        spark.conf.set(key, str(most))
+
+
 def id_bucket(column: str, n: int) -> Column:
     """crc32 of the id as decimal text, modulo n: which rows a model may learn from. Null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
