@@ -1,7 +1,7 @@
 """A training corpus from raw documents: language ID, toxicity, exact dedup, SimHash near-dedup, best-fit packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept; each result is written as Parquet and read again.
-All but the last return the columns of `documents`; the last returns the packed pieces.
+All but the last return the columns of `documents`; the last returns the packed pieces. The stages share the executors' memory, so those that run Python get small Arrow batches in the session.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bin_packing, exact_dedup, language_id, simhash_trie, toxicity
-from tidemark.llm.common import EXECUTOR_CACHE, columns_of, discard, fresh, id_bucket, named, staged_at, table
+from tidemark.llm.common import EXECUTOR_CACHE, columns_of, discard, fresh, id_bucket, named, small_batches, staged_at, table
 from tidemark.llm.queries import vocabulary
 
 
@@ -18,6 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts, and texts without a letter, go; rows with a null id, and repeated rows, stay or go by their text; an empty table, or one without a language to learn from, gives none.
     """
+    small_batches(spark)
     name = fresh(docs, "language")
     found = language_id.predict(docs, language_id.fit(docs, id_bucket("doc_id", 5) != 0), out=name)
     return found.where(~named(name)["rejected"]).select(*columns_of(docs))
@@ -28,6 +29,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text scores as an empty one; repeated rows stay or go together; without a label nothing goes; an empty table gives an empty one.
     """
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(id_bucket("doc_id", 4) != 2)
     name = fresh(docs, "toxicity")
     scored = toxicity.score(docs, toxicity.fit(docs, labels), out=name)
@@ -46,6 +48,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the token sequences of what is left, every row's; a null text is the end id alone. Its workers have served the stages before, so they remember little."""
+    small_batches(spark)
     return bin_packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 1, cache=EXECUTOR_CACHE // 16)
 
 
