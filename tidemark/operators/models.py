@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.percentiles import exact_percentiles
+
 
 def score_batches(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[float]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (double) of every text by a pluggable scorer. `make` builds it once a task (loads weights, opens what it needs); it then gets lists of texts, one Arrow batch each.
@@ -49,7 +51,7 @@ def embed_batches(docs: DataFrame, make: Callable[[], Callable[[list[str]], list
 
 def tail_labels(rows: DataFrame, key: str, y: str, train: Column, share: float = 0.1) -> DataFrame:
     """`tail` 1 where y is at or below the key's lowest share of its training rows, else 0; null y, and keys without training rows, have none and are left out."""
-    cuts = rows.where(train).groupBy(F.col(key).alias("tail_key")).agg(F.percentile(y, share).alias("tail_cut"))
+    cuts = exact_percentiles(rows.where(train), [key], y, {"cut": share}).select(F.col(f"`{key}`").alias("tail_key"), F.col("cut").alias("tail_cut"))
     joined = rows.where(F.col(y).isNotNull()).join(cuts, F.col(key).eqNullSafe(F.col("tail_key")))
     return joined.withColumn("tail", (F.col(y) <= F.col("tail_cut")).cast("double")).drop("tail_key", "tail_cut")
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.names import free
+from tidemark.operators.percentiles import exact_percentiles
+from tidemark.operators.touches import first_touch
 
 
 def banded_weight(score: Column, bands: list[tuple[float, float]]) -> Column:
@@ -55,7 +57,8 @@ def fold_sums(rows: DataFrame, time: str, value: str, starts: list[int], length:
 def tercile_classes(rows: DataFrame, key: str, value: str, train: Column, places: int) -> DataFrame:
     """`class` 0, 1 or 2 by the thirds (`lo`, `hi`; `tercile_lo`, `tercile_hi` where these names are taken) of the key's training rows, rounded to `places`; rows of keys without training rows, or with a null key, are left out, a null value has no class."""
     names = [free(f"tercile_{c}", rows) for c in ("key", "lo", "hi")]
-    cuts = rows.where(train).groupBy(F.col(key).alias(names[0])).agg(*(F.round(F.percentile(value, share), places).alias(n) for n, share in zip(names[1:], (1 / 3, 2 / 3), strict=True)))
+    cuts = exact_percentiles(rows.where(train), [key], value, {"low": 1 / 3, "high": 2 / 3})
+    cuts = cuts.select(F.col(f"`{key}`").alias(names[0]), *(F.round(c, places).alias(n) for c, n in zip(("low", "high"), names[1:], strict=True)))
     x, lo, hi = F.col(value), F.col(names[1]), F.col(names[2])
     found = rows.join(cuts, F.col(key) == F.col(names[0])).withColumn("class", F.when(x <= lo, 0).when(x <= hi, 1).when(x.isNotNull(), 2))
     return found.select(*(F.col(f"`{c}`") for c in rows.columns if c.lower() != "class"), lo.alias("lo") if "lo" not in rows.columns else lo.alias("tercile_lo"), hi.alias("hi") if "hi" not in rows.columns else hi.alias("tercile_hi"), "class")
@@ -65,16 +68,14 @@ def trailing_exits(trades: DataFrame, bars: DataFrame, trade: str, key: str, tim
     """trade, time, reason, fill, stop of the first bar on which a trade (entry, exit, entry_price, stop, atr) is stopped; trades that never are have no row.
 
     The stop in force is the larger of the trade's own and its peak less `multiple` times its range; the peak is of the bars before. An open at or below it fills at the open.
-    A null range leaves the own stop. Trades become a row for each bar of their life, in a window of their own.
+    A null range leaves the own stop. The bar is found by jumping over blocks of bars, so a trade's life may be of any length. Trade ids are unique, and so are the bars of a key and time.
     """
-    t = trades.select(trade, key, "entry_price", F.col("stop").alias("own"), "atr", F.explode(F.sequence("entry", "exit")).alias(time))
-    x = t.join(bars.select(key, time, "open", "high", "low"), [key, time])
-    before = Window.partitionBy(trade).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("peak", F.greatest("entry_price", F.max("high").over(before)))
-    x = x.withColumn("stop", F.greatest("own", F.col("peak") - multiple * F.col("atr"))).where((F.col("open") <= F.col("stop")) | (F.col("low") <= F.col("stop")))
+    range_ = multiple * F.col("atr")
+    found = first_touch(trades, bars, trade, key, time, "entry", "exit", F.col("stop"), peak=F.col("entry_price"), trail=range_).where("below").select(trade, time, "peak")
+    x = found.join(trades.select(trade, key, F.col("stop").alias("own"), "atr"), trade).join(bars.select(key, time, "open"), [key, time])
+    x = x.withColumn("stop", F.greatest("own", F.col("peak") - range_))
     gap = F.col("open") <= F.col("stop")
-    hit = F.struct(F.col(time), F.when(gap, "gap_stop").otherwise("intrabar_stop").alias("reason"), F.when(gap, F.col("open")).otherwise(F.col("stop")).alias("fill"), "stop")
-    return x.groupBy(trade).agg(F.min_by(hit, time).alias("h")).select(trade, "h.*")
+    return x.select(trade, time, F.when(gap, "gap_stop").otherwise("intrabar_stop").alias("reason"), F.when(gap, F.col("open")).otherwise(F.col("stop")).alias("fill"), "stop")
 
 
 def complete_folds(rows: DataFrame, key: str, time: str, length: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import indicators as I
-from tidemark.operators import stats, timeline
+from tidemark.operators import stats, timeline, touches
 from tidemark.plans.demo import SETTLEMENTS, TRADES, bars_1d, settlements, trades
 from tidemark.plans.registry import query, rounded
 
@@ -95,11 +95,10 @@ def wn29_trailing_stop(spark, d):
 @query(f"""WITH {TRADES}, g AS (SELECT o_orderkey, min(CASE WHEN b.low <= entry_price * 0.7::DOUBLE THEN b.day END) AS s, min(CASE WHEN b.high >= entry_price * 1.5::DOUBLE THEN b.day END) AS p FROM t JOIN b ON b.symbol = t.symbol AND b.day > t.entry AND b.day <= t.exit GROUP BY 1)
 SELECT o_orderkey, CASE WHEN s IS NULL AND p IS NULL THEN 'time' WHEN p IS NULL OR s <= p THEN 'stop' ELSE 'target' END AS touched, least(s, p) AS day FROM g""")
 def wn28_first_touch(spark, d):
-    t = trades(spark, d).select("o_orderkey", "symbol", "entry_price", F.explode(F.sequence(F.col("entry") + 1, F.col("exit"))).alias("day"))
-    x = t.join(bars_1d(spark, d).select("symbol", "day", "high", "low"), ["symbol", "day"])
-    g = x.groupBy("o_orderkey").agg(F.min(F.when(F.col("low") <= F.col("entry_price") * 0.7, F.col("day"))).alias("s"), F.min(F.when(F.col("high") >= F.col("entry_price") * 1.5, F.col("day"))).alias("p"))
-    touched = F.when(F.col("s").isNull() & F.col("p").isNull(), "time").when(F.col("p").isNull() | (F.col("s") <= F.col("p")), "stop").otherwise("target")
-    return g.select("o_orderkey", touched.alias("touched"), F.least("s", "p").alias("day"))
+    """Whether a trade's stop, its target or its time comes first, and on which bar, found by jumping over blocks of bars; a stop wins a tie."""
+    t = trades(spark, d).withColumn("from", F.col("entry") + 1)
+    g = touches.first_touch(t, bars_1d(spark, d), "o_orderkey", "symbol", "day", "from", "exit", F.col("entry_price") * 0.7, F.col("entry_price") * 1.5)
+    return g.select("o_orderkey", F.when(F.col("below"), "stop").when(F.col("above"), "target").otherwise("time").alias("touched"), "day")
 
 
 @query(f"""WITH {SETTLEMENTS}, sp AS (SELECT symbol, event_id AS span, sec AS start, sec + 5400 AS stop FROM s) SELECT sp.span, count(*) AS n, round(sum(s.rate), 6) AS rate FROM sp JOIN s ON s.symbol = sp.symbol AND s.sec > sp.start AND s.sec < sp.stop GROUP BY 1""")
