@@ -68,18 +68,19 @@ def first_touch(
     above = F.coalesce(F.col("hi") >= F.col("ceiling"), F.lit(False))
     size = reduce(lambda c, i: F.when(F.col("level") == i, F.lit(fan**i)).otherwise(c), range(levels + 1), F.lit(None).cast("long"))
 
-    def first(asked: DataFrame) -> DataFrame:
+    def first(asked: DataFrame, how: str) -> DataFrame:
         """The first block of each id that holds a touch, with the peak before it."""
-        x = asked.join(blocks, ["k", "level", "block"]).withColumn("at", F.col("block") * size)
+        x = asked.join(blocks, ["k", "level", "block"], how).withColumn("at", F.col("block") * size)
         before = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
         x = x.withColumn("peak", F.greatest("peak", F.max("hi").over(before))).withColumn("below", below).withColumn("above", above)
         best = F.min_by(F.struct("k", "level", "block", "peak", "below", "above", *terms), F.when(F.col("below") | F.col("above") | fall, F.col("at")))
         return x.groupBy("id").agg(best.alias("f")).select("id", "f.*")
 
     cover = F.explode(_cover(F.col("a"), F.col("b"), fan, levels)).alias("c")
-    found = first(t.select("id", "k", "peak", *terms, cover).select("id", "k", "peak", *terms, "c.level", "c.block"))
+    found = first(t.select("id", "k", "peak", *terms, cover).select("id", "k", "peak", *terms, "c.level", "c.block"), "inner")
     for i in range(levels, 0, -1):
-        opened = found.where(F.col("level") == i)
-        parts = opened.select("id", "k", "peak", *terms, F.lit(i - 1).alias("level"), F.explode(F.sequence(F.col("block") * fan, F.col("block") * fan + fan - 1)).alias("block"))
-        found = found.where(~F.coalesce(F.col("level") == i, F.lit(False))).unionByName(first(parts))
+        # What is found lower down, or not at all, stays as it is.
+        block = F.col("block")
+        parts = F.when(F.col("level") == i, F.sequence(block * fan, block * fan + fan - 1)).otherwise(F.array(block))
+        found = first(found.select("id", "k", "peak", *terms, F.when(F.col("level") == i, i - 1).otherwise(F.col("level")).alias("level"), F.explode(parts).alias("block")), "left")
     return found.select(F.col("id").alias(trade), F.col("block").alias(slot), "below", "above", "peak")

@@ -64,14 +64,14 @@ def tercile_classes(rows: DataFrame, key: str, value: str, train: Column, places
     return found.select(*(F.col(f"`{c}`") for c in rows.columns if c.lower() != "class"), lo.alias("lo") if "lo" not in rows.columns else lo.alias("tercile_lo"), hi.alias("hi") if "hi" not in rows.columns else hi.alias("tercile_hi"), "class")
 
 
-def trailing_exits(trades: DataFrame, bars: DataFrame, trade: str, key: str, time: str, multiple: float) -> DataFrame:
+def trailing_exits(trades: DataFrame, bars: DataFrame, trade: str, key: str, time: str, multiple: float, levels: int = 3) -> DataFrame:
     """trade, time, reason, fill, stop of the first bar on which a trade (entry, exit, entry_price, stop, atr) is stopped; trades that never are have no row.
 
     The stop in force is the larger of the trade's own and its peak less `multiple` times its range; the peak is of the bars before. An open at or below it fills at the open.
-    A null range leaves the own stop. The bar is found by jumping over blocks of bars, so a trade's life may be of any length. Trade ids are unique, and so are the bars of a key and time.
+    A null range leaves the own stop. The bar is found by jumping over blocks of bars, so a trade's life may be of any length (`levels` as in `first_touch`). Trade ids are unique, and so are the bars of a key and time.
     """
     range_ = multiple * F.col("atr")
-    found = first_touch(trades, bars, trade, key, time, "entry", "exit", F.col("stop"), peak=F.col("entry_price"), trail=range_).where("below").select(trade, time, "peak")
+    found = first_touch(trades, bars, trade, key, time, "entry", "exit", F.col("stop"), peak=F.col("entry_price"), trail=range_, levels=levels).where("below").select(trade, time, "peak")
     x = found.join(trades.select(trade, key, F.col("stop").alias("own"), "atr"), trade).join(bars.select(key, time, "open"), [key, time])
     x = x.withColumn("stop", F.greatest("own", F.col("peak") - range_))
     gap = F.col("open") <= F.col("stop")

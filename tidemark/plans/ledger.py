@@ -97,7 +97,7 @@ SELECT o_orderkey, CASE WHEN s IS NULL AND p IS NULL THEN 'time' WHEN p IS NULL
 def wn28_first_touch(spark, d):
     """Whether a trade's stop, its target or its time comes first, and on which bar, found by jumping over blocks of bars; a stop wins a tie."""
     t = trades(spark, d).withColumn("from", F.col("entry") + 1)
-    g = touches.first_touch(t, bars_1d(spark, d), "o_orderkey", "symbol", "day", "from", "exit", F.col("entry_price") * 0.7, F.col("entry_price") * 1.5)
+    g = touches.first_touch(t, bars_1d(spark, d), "o_orderkey", "symbol", "day", "from", "exit", F.col("entry_price") * 0.7, F.col("entry_price") * 1.5, levels=1)  # lives of three weeks
     return g.select("o_orderkey", F.when(F.col("below"), "stop").when(F.col("above"), "target").otherwise("time").alias("touched"), "day")
 
 

@@ -107,7 +107,7 @@ def wn29_trailing_exit(spark, d):
     b = bars_1d(spark, d)
     known = b.withColumn("tr", I.true_range(W())).withColumn("a", I.sma("tr", 14, W())).withColumn("atr", F.lag("a").over(W()))
     t = trades(spark, d).join(known.select("symbol", F.col("day").alias("entry"), "atr"), ["symbol", "entry"]).withColumn("stop", F.col("entry_price") * 0.4)
-    return rounded(walkforward.trailing_exits(t, b, "o_orderkey", "symbol", "day", 1.0).select("o_orderkey", "day", "reason", "fill", "stop"), "fill", "stop")
+    return rounded(walkforward.trailing_exits(t, b, "o_orderkey", "symbol", "day", 1.0, levels=1).select("o_orderkey", "day", "reason", "fill", "stop"), "fill", "stop")
 
 
 @query(f"""WITH {BARS_1D}, g AS (SELECT *, ln(close / lag(close) {OVER})) AS lr FROM b), h AS (SELECT *, count(volume) OVER w AS n, avg(volume) OVER w AS m, stddev_pop(volume) OVER w AS sd FROM g WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 29 PRECEDING AND 1 PRECEDING))
