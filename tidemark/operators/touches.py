@@ -53,6 +53,7 @@ def first_touch(
     """trade, `slot` of its first bar from `start` to `end` (both included) whose low is at or below `floor` or whose high is at or above `ceiling`, `below` and `above` (which of them it was), `peak`.
 
     With `trail`, a low that is at least `trail` under the peak is below, too; the peak is the higher of `peak` and the highs of the life before the bar. A trade that is never touched has nulls behind its id.
+    `levels`: blocks are of `fan` to `fan`^`levels` slots; more levels suit longer lives, and each costs a join. The result is the same.
     """
     none = F.lit(None).cast("double")
     level = lambda c, name: (none if c is None else c.cast("double")).alias(name)
