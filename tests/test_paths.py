@@ -1,6 +1,7 @@
 """Paths from summaries against plain loops, and bootstraps of nothing."""
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -29,6 +30,18 @@ def test_path_bootstrap_equals_a_loop(spark, n, block):
         assert abs(got[d].total - (value - 1)) < 1e-9 and abs(got[d].drawdown - fall) < 1e-9 and abs(got[d]["mean"] - sum(path) / n) < 1e-9
 
 
+@pytest.mark.parametrize("block", [1, 14])
+def test_growth_of_a_path_whose_total_is_too_large_for_a_double(spark, block):
+    """2,000 days of +60 % or -10 %: totals are beyond 1e308, their logs are not."""
+    x = [0.6 if i % 11 else -0.1 for i in range(2000)]
+    df = spark.createDataFrame(list(enumerate(x)), "day long, r double")
+    k = -(-2000 // block)
+    got = {r.draw: r for r in trials.path_bootstrap(df, "day", "r", block, 3, 5).collect()}
+    for d in range(3):
+        path = [x[(((d * k + j) * 1103515245 + 5) % 2147483648 % 2000 + o) % 2000] for j in range(k) for o in range(block)][:2000]
+        assert got[d].total == math.inf and abs(got[d].growth - sum(map(math.log1p, path))) < 1e-6
+
+
 @pytest.mark.parametrize("block", [4096, 8])
 def test_trade_draws_equal_a_loop(spark, block):
     dice = random.Random(block)

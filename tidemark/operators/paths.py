@@ -48,10 +48,13 @@ def merged(pieces: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def path_bootstrap(returns: DataFrame, order: str, r: str, block: int, draws: int, starts) -> DataFrame:
-    """draw, mean, sharpe (not annualised), total, drawdown of circular blocks of one row a day put end to end. `starts(draws, k, n)`: draw, j, pick of the k blocks of each draw."""
+    """draw, mean, sharpe (not annualised), growth, total, drawdown of circular blocks of one row a day put end to end. `starts(draws, k, n)`: draw, j, pick of the k blocks of each draw.
+
+    `growth` is the log of the total; the total itself (less one) is infinite where that is above 709.
+    """
     n = returns.count()
     if not n:
-        return returns.sparkSession.createDataFrame([], "draw long, mean double, sharpe double, total double, drawdown double")
+        return returns.sparkSession.createDataFrame([], "draw long, mean double, sharpe double, growth double, total double, drawdown double")
     k = -(-n // block)
     rest = n - (k - 1) * block
     steps = returns.select(F.coalesce(F.col(r), F.lit(0.0)).alias("x"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1).alias("i"))
@@ -60,7 +63,7 @@ def path_bootstrap(returns: DataFrame, order: str, r: str, block: int, draws: in
     found = merged(pieces, "draw", "j")
     mean = F.col("s") / F.col("c")
     spread = F.sqrt(F.greatest(F.try_divide(F.col("q") - F.col("s") * mean, F.col("c") - 1), F.lit(0.0)))
-    return found.select("draw", mean.alias("mean"), F.try_divide(mean, spread).alias("sharpe"), F.expm1("total").alias("total"), (1 - F.exp(-F.col("fall"))).alias("drawdown"))
+    return found.select("draw", mean.alias("mean"), F.try_divide(mean, spread).alias("sharpe"), F.col("total").alias("growth"), F.expm1("total").alias("total"), (1 - F.exp(-F.col("fall"))).alias("drawdown"))
 
 
 def trade_draws(trades: DataFrame, key: str, value: str, draws: int, seed: int, initial: float, block: int = 4096) -> DataFrame:

@@ -82,7 +82,7 @@ def cluster_bootstrap(clusters: DataFrame, order: list[str], total: str, count:
 
 
 def path_bootstrap(returns: DataFrame, order: str, r: str, block: int, draws: int, seed: int) -> DataFrame:
-    """draw, mean, sharpe (not annualised), total, drawdown of circular blocks of one row a day put end to end. Draws meet a summary of each block, not its days."""
+    """draw, mean, sharpe (not annualised), growth (log of the total), total, drawdown of circular blocks of one row a day put end to end. Draws meet a summary of each block, not its days."""
     return paths.path_bootstrap(returns, order, r, block, draws, lambda d, k, n: drawn(d, k, n, seed, returns.sparkSession))
 
 

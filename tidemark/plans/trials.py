@@ -95,7 +95,7 @@ def daily(spark, d):
 @query(path_sql(1, 5))
 def ml10_iid_bootstrap(spark, d):
     """Days drawn one by one: mean, Sharpe ratio, growth (the log of the total) and drawdown of each draw."""
-    return rounded(trials.path_bootstrap(daily(spark, d), "day", "r", 1, 50, 5).withColumn("growth", F.log1p("total")).drop("total"), "mean", "sharpe", "growth", "drawdown")
+    return rounded(trials.path_bootstrap(daily(spark, d), "day", "r", 1, 50, 5).drop("total"), "mean", "sharpe", "growth", "drawdown")
 
 
 @query(path_sql(14, 7))
