@@ -101,7 +101,7 @@ def ml10_iid_bootstrap(spark, d):
 @query(path_sql(14, 7))
 def ml11_path_bootstrap(spark, d):
     """The same over circular blocks of 14 days."""
-    return rounded(trials.path_bootstrap(daily(spark, d), "day", "r", 14, 50, 7).withColumn("growth", F.log1p("total")).drop("total"), "mean", "sharpe", "growth", "drawdown")
+    return rounded(trials.path_bootstrap(daily(spark, d), "day", "r", 14, 50, 7).drop("total"), "mean", "sharpe", "growth", "drawdown")
 
 
 @query(f"""WITH {TRADES}, {CLUSTERS}, k AS (SELECT count(*) AS k FROM c), dr AS (SELECT draw, (((draw * k + j) {LCG.format(seed=13)}) % k AS i FROM (SELECT unnest(range(200)) AS draw) d, k, (SELECT unnest(range((SELECT k FROM k))) AS j) j),
