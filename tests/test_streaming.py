@@ -72,3 +72,43 @@ def test_first_captures_survive_a_stop_between_batches(spark):
     found = {r.key: r for r in got.collect()}
     assert len(found) == got.count() > 0
     assert {k: tuple(r) for k, r in found.items()} == {k: tuple(r) for k, r in want.items()}
+
+
+def states_of(spark, make, rows, files=2):
+    """Rows that `make` gives of `rows` in four micro-batches, and the most entries that its stores of states held."""
+    from tidemark.streaming import stateful
+
+    folder = tempfile.mkdtemp(prefix="tidemark-stream-")
+    rolling.dealt(rows, F.col("at"), 4, files, folder + "/in")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKS)
+    try:
+        stream = make(rolling.arriving(spark, rows.schema, folder + "/in", files))
+        q = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("path", folder + "/out").option("checkpointLocation", folder + "/state").start()
+        q.awaitTermination()
+        most = max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"])
+        return [tuple(r) for r in spark.read.schema(stream.schema).parquet(folder + "/out").collect()], most
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def many_keys(spark, n=3000, each=4):
+    """`n` keys, a null one among them, null values and a null id beside ids that no double holds."""
+    big = (1 << 53) + 1
+    rows = [(None if k == 0 else big + k, None if (k, i) == (7, 1) else big + i * n + k, 1_700_000_000_000_000 + i * 1_000_000_000 + k, None if (k + i) % 17 == 0 else float((k * 31 + i * 57) % 97)) for k in range(n) for i in range(each)]
+    return spark.createDataFrame(rows, "key long, id long, at long, value double")
+
+
+def test_running_losses_of_many_keys(spark):
+    from tidemark.streaming import stateful
+
+    rows = many_keys(spark).withColumns({"value": F.col("value") - 50, "ts": F.timestamp_micros("at"), "day": F.expr("at div 86400000000")})
+    got, states = states_of(spark, lambda e: stateful.running_losses(e, "ts", 25.0), rows)
+    total, told, want = {}, set(), []
+    for r in sorted(rows.collect(), key=lambda r: r.at):
+        total[r.key] = total.get(r.key, 0.0) + (r.value or 0.0)
+        if r.key not in told and total[r.key] < -25:
+            told.add(r.key)
+            want.append((r.key, r.day, r.id, total[r.key]))
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 1000
+    assert states <= 2 * stateful.BUCKETS + 8  # a state and a timer for each bucket and day, not for each key

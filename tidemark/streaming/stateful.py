@@ -1,62 +1,99 @@
 """Operators that keep a state for each key between micro-batches.
 
-A processor sees one key's rows of one micro-batch, puts them in order of time, and goes on from the state that it left. State lies in Spark's store, is checkpointed with the
-stream, and is bounded per key: a position, a window of errors, a day's sum that is let go when the watermark has passed the day. Rows that come after a later batch are taken when they come.
+Keys are dealt into a fixed number of buckets by hash, and a processor sees one bucket's rows of one micro-batch: it takes the states of the bucket's keys from one entry of Spark's store, puts the rows
+in order of key and time, goes on from each key's state, and writes the entry back. So a call to the store and a frame are paid for once a bucket and not once a key, however many keys there are.
+State is checkpointed with the stream and bounded per key: a position, a window of errors, a day's sum that is let go when the watermark has passed the day. Rows that come after a later batch are
+taken when they come.
 
-Cases: rows with a null key share one state; rows with a null value change nothing and give their row with what is known; an empty stream gives nothing.
+Cases: rows with a null key share one state; rows with a null value change nothing and give their row with what is known; rows with a null time stand last in their batch; an empty stream gives nothing.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Buckets of keys. Part of the state's layout: a stream resumes with the number that it began with.
+BUCKETS = 256
+LAST = (1 << 63) - 1
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["at", "id"], ignore_index=True)
+def _bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("bucket")
 
 
-class Positions(StatefulProcessor):
+def _dealt(rows: DataFrame, *columns: str | Column) -> DataFrame:
+    """Rows (key, id, at, ...) with their bucket. Whole numbers reach pandas without nulls, as it would turn the others of a batch into doubles."""
+    whole = (F.coalesce("key", F.lit(0)).alias("key"), F.col("key").isNull().alias("no_key"), F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("no_id"), F.coalesce("at", F.lit(LAST)).alias("at"))
+    return rows.select(_bucket("key"), *whole, *columns)
+
+
+def _in_order(rows: Iterator[pd.DataFrame], *values: str) -> Iterator[tuple]:
+    """(key or None, id or None, at, values) of a bucket by key, time and id."""
+    x = pd.concat(list(rows), ignore_index=True)
+    x = x.iloc[np.lexsort([x[c].to_numpy() for c in ("id", "no_id", "at", "key", "no_key")])]
+    keys, ids = ([None if n else v for v, n in zip(x[c].tolist(), x[f"no_{c}"].tolist())] for c in ("key", "id"))
+    return zip(keys, ids, x["at"].tolist(), *(x[v].tolist() for v in values))
+
+
+class ByBucket(StatefulProcessor):
+    """A processor whose state is a dictionary for each bucket: what is kept of each of its keys."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("keys", "kept binary")
+
+    def kept(self) -> dict:
+        return pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else {}
+
+    def keep(self, kept: dict) -> None:
+        if kept:
+            self.state.update((pickle.dumps(kept, pickle.HIGHEST_PROTOCOL),))
+        else:
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _frame(rows: list[tuple], **types: str) -> pd.DataFrame:
+    return pd.DataFrame({n: pd.Series(v, dtype=t) for (n, t), v in zip(types.items(), zip(*rows) if rows else [[]] * len(types))})
+
+
+class Positions(ByBucket):
     """Long from a value above `enter` until it falls to the trailing stop, which the values seen before set."""
 
     def __init__(self, enter: float, floor: float, trail: float):
         self.enter, self.floor, self.trail = enter, floor, trail
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("position", "entry double, peak double")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.state.get() if self.state.exists() else None
-        entry, peak = held if held else (None, None)
-        out = []
-        for id_, at, value in _in_order(rows)[["id", "at", "value"]].itertuples(index=False):
+        held, out = self.kept(), []
+        for k, id_, _, value in _in_order(rows, "value"):
+            entry, peak = held.get(k, (None, None))
             stop = None if entry is None else max(self.floor * entry, self.trail * peak)
             if entry is not None and value == value:
                 if value <= stop:
                     entry = peak = None
-                else:
-                    peak = max(peak, value)
+                    del held[k]
+                elif value > peak:
+                    held[k] = entry, value
             elif entry is None and value == value and value > self.enter:
-                entry = peak = value
-            out.append((key[0], id_, int(entry is not None), stop))
-        if entry is None:
-            self.state.clear()
-        else:
-            self.state.update((float(entry), float(peak)))
-        yield pd.DataFrame(out, columns=["key", "id", "held", "stop"]).astype({"held": "int32", "stop": "float64"})
-
-    def close(self) -> None:
-        pass
+                entry = value
+                held[k] = value, value
+            out.append((k, id_, int(entry is not None), stop))
+        self.keep(held)
+        yield _frame(out, key="Int64", id="Int64", held="int32", stop="float64")
 
 
-class Fusion(StatefulProcessor):
+class Fusion(ByBucket):
     """Two forecasts weighted by the inverse of their mean squared errors over the last `window` rows whose outcome was known by now."""
 
     def __init__(self, window: int, horizon: int):
@@ -68,17 +105,14 @@ class Fusion(StatefulProcessor):
         x, y = (1 / max(sum(k[i] for k in known) / len(known), 1e-12) for i in (0, 1))
         return x / (x + y)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getListState("pending", "at long, a double, b double")
-        self.known = handle.getListState("known", "a double, b double")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pending = deque(tuple(r) for r in self.pending.get()) if self.pending.exists() else deque()  # in order of time, so what is due stands in front
-        known = deque((tuple(r) for r in self.known.get()) if self.known.exists() else (), maxlen=self.window)
-        weight, out = None, []
-        if known:
-            weight = self._weight(known)
-        for id_, at, value, a, b in _in_order(rows)[["id", "at", "value", "a", "b"]].itertuples(index=False):
+        kept, out = self.kept(), []
+        last, weight = object(), None
+        for k, id_, at, value, a, b in _in_order(rows, "value", "a", "b"):
+            if k != last:
+                last = k
+                pending, known = kept.setdefault(k, (deque(), deque(maxlen=self.window)))  # pending ones in order of time, so what is due stands in front
+                weight = self._weight(known) if known else None
             new = False
             while pending and pending[0][0] + self.horizon <= at:
                 known.append(pending.popleft()[1:])
@@ -86,100 +120,95 @@ class Fusion(StatefulProcessor):
             if new:
                 weight = self._weight(known)
             fused = None if weight is None else weight * a + (1 - weight) * b
-            out.append((key[0], id_, weight, fused))
+            out.append((k, id_, weight, fused))
             if value == value and a == a and b == b:
-                pending.append((int(at), float((value - a) ** 2), float((value - b) ** 2)))
-        for state, held in ((self.pending, pending), (self.known, known)):
-            state.put(list(held)) if held else state.clear()
-        yield pd.DataFrame(out, columns=["key", "id", "weight", "fused"]).astype({"weight": "float64", "fused": "float64"})
+                pending.append((at, (value - a) ** 2, (value - b) ** 2))
+        self.keep({k: v for k, v in kept.items() if v[0] or v[1]})
+        yield _frame(out, key="Int64", id="Int64", weight="float64", fused="float64")
 
-    def close(self) -> None:
-        pass
 
-
-class RunningLoss(StatefulProcessor):
-    """One alert when a key's running result of the day first falls below -limit; the day's state ends with the day."""
+class RunningLoss(ByBucket):
+    """One alert when a key's running result of the day first falls below -limit; the states of a bucket's day end with the day."""
 
     def __init__(self, limit: float):
         self.limit = limit
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("day", "total double, told boolean")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        total, told = self.state.get() if self.state.exists() else (0.0, False)
-        out = []
-        for id_, value in _in_order(rows)[["id", "value"]].itertuples(index=False):
+        kept, out = self.kept(), []
+        for k, id_, _, value in _in_order(rows, "value"):
+            total, told = kept.get(k, (0.0, False))
             total += value if value == value else 0.0
             if not told and total < -self.limit:
                 told = True
-                out.append((key[0], key[1], id_, total))
-        self.state.update((float(total), bool(told)))
+                out.append((k, key[1], id_, total))
+            kept[k] = total, told
+        self.keep(kept)
         if key[1] is not None:
             self.handle.registerTimer((int(key[1]) + 1) * 86_400_000)
-        yield pd.DataFrame(out, columns=["key", "day", "id", "total"]).astype({"total": "float64"})
+        yield _frame(out, key="Int64", day="Int64", id="Int64", total="float64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.state.clear()
-        yield pd.DataFrame({"key": [], "day": [], "id": [], "total": []}).astype({"key": "int64", "day": "int64", "id": "int64", "total": "float64"})
-
-    def close(self) -> None:
-        pass
+        yield _frame([], key="Int64", day="Int64", id="Int64", total="float64")
 
 
 def positions(rows: DataFrame, enter: float, floor: float, trail: float) -> DataFrame:
     """key, id, held, stop (before the row) for each row of a stream (key, id, at, value)."""
-    return rows.groupBy("key").transformWithStateInPandas(Positions(enter, floor, trail), "key long, id long, held int, stop double", "Append", "None")
+    return _dealt(rows, "value").groupBy("bucket").transformWithStateInPandas(Positions(enter, floor, trail), "key long, id long, held int, stop double", "Append", "None")
 
 
 def fusion(rows: DataFrame, window: int, horizon: int) -> DataFrame:
     """key, id, weight (of a), fused for each row of a stream (key, id, at, value, a, b)."""
-    return rows.groupBy("key").transformWithStateInPandas(Fusion(window, horizon), "key long, id long, weight double, fused double", "Append", "None")
+    return _dealt(rows, "value", "a", "b").groupBy("bucket").transformWithStateInPandas(Fusion(window, horizon), "key long, id long, weight double, fused double", "Append", "None")
 
 
 def running_losses(rows: DataFrame, time: str, limit: float, late: str = "1 hour") -> DataFrame:
     """key, day, id, total of the first row of each key and day whose running result is below -limit, from a stream (key, day, id, at, value, and the event time)."""
-    return rows.withWatermark(time, late).groupBy("key", "day").transformWithStateInPandas(RunningLoss(limit), "key long, day long, id long, total double", "Append", "EventTime")
+    x = _dealt(rows.withWatermark(time, late), "day", "value", F.col(time).alias("event_time"))
+    return x.groupBy("bucket", "day").transformWithStateInPandas(RunningLoss(limit), "key long, day long, id long, total double", "Append", "EventTime")
+
 
+class KeepFirst(ByBucket):
+    """The earliest row of a key, given when the watermark has passed it, so that no earlier one can come in time; the key is then closed for `forget` milliseconds of event time.
 
-class KeepFirst(StatefulProcessor):
-    """The earliest row of a key, given when the watermark has passed it, so that no earlier one can come in time; the key is then closed for `forget` milliseconds of event time."""
+    A bucket has one timer, for what is due first; all that is due is given then.
+    """
 
     def __init__(self, forget: int):
         self.forget = forget
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("first", "at long, id string, row string, due long, told boolean")
+    def _keep(self, kept: dict, timer: int | None) -> None:
+        """Keeps the states and has the timer stand at the first of their times."""
+        due = min((v[3] for v in kept.values()), default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.keep(kept)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = tuple(self.state.get()) if self.state.exists() else None
-        best = held
+        kept = self.kept()
+        timer = min((v[3] for v in kept.values()), default=None)
         for frame in rows:
-            for at, id_, row in frame[["at", "id", "row"]].itertuples(index=False):
-                if best is None or (not best[4] and (int(at), id_) < best[:2]):
-                    best = (int(at), id_, row, int(at) // 1000 + 1, False)
-        if best is not None and best != held:
-            if held is not None:
-                self.handle.deleteTimer(held[3])
-            self.handle.registerTimer(best[3])
-            self.state.update(best)
-        yield pd.DataFrame({"row": pd.Series([], dtype="object")})
+            for k, at, id_, row in zip(*(frame[c].tolist() for c in ("kept_key", "at", "id", "row"))):
+                best = kept.get(k)
+                if best is None or (not best[4] and (at, id_) < best[:2]):
+                    kept[k] = (at, id_, row, at // 1000 + 1, False)
+        self._keep(kept, timer)
+        yield _frame([], row="object")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at, id_, row, due, told = self.state.get()
-        if told:
-            self.state.clear()
-            yield pd.DataFrame({"row": pd.Series([], dtype="object")})
-        else:
-            due += self.forget
-            self.state.update((at, id_, "", due, True))
-            self.handle.registerTimer(due)
-            yield pd.DataFrame({"row": [row]})
-
-    def close(self) -> None:
-        pass
+        now, kept, out = timerValues.getCurrentWatermarkInMs(), {}, []
+        for k, (at, id_, row, due, told) in self.kept().items():
+            if due > now:
+                kept[k] = at, id_, row, due, told
+            elif not told:
+                out.append((row,))
+                if due + self.forget > now:
+                    kept[k] = at, id_, "", due + self.forget, True
+        self._keep(kept, None)  # Spark lets the expired timer go by itself
+        yield _frame(out, row="object")
 
 
 def first_captures(rows: DataFrame, keys: list[str], time: str, id_col: str, late: str = "1 hour", forget: str = "60 days") -> DataFrame:
@@ -193,7 +222,7 @@ def first_captures(rows: DataFrame, keys: list[str], time: str, id_col: str, lat
     x = rows.withWatermark(time, late).withColumns({
         names["key"]: F.to_json(F.struct(*keys), stamps), names["at"]: F.unix_micros(time), names["id"]: F.coalesce(F.col(id_col).cast("string"), F.lit("")), names["row"]: F.to_json(F.struct(*rows.columns), stamps),
     })
-    x = x.select(*(F.col(v).alias(f"kept_{k}") for k, v in names.items()), F.col(time).alias("kept_time")).withColumnsRenamed({"kept_at": "at", "kept_id": "id", "kept_row": "row"})
+    x = x.select(_bucket(names["key"]), *(F.col(v).alias(f"kept_{k}") for k, v in names.items()), F.col(time).alias("kept_time")).withColumnsRenamed({"kept_at": "at", "kept_id": "id", "kept_row": "row"})
     milliseconds = int(pd.Timedelta(forget).total_seconds() * 1000)
-    first = x.groupBy("kept_key").transformWithStateInPandas(KeepFirst(milliseconds), "row string", "Append", "EventTime")
+    first = x.groupBy("bucket").transformWithStateInPandas(KeepFirst(milliseconds), "row string", "Append", "EventTime")
     return first.select(F.from_json("row", rows.schema, stamps).alias("row")).select("row.*")
