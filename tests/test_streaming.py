@@ -112,3 +112,27 @@ def test_running_losses_of_many_keys(spark):
             want.append((r.key, r.day, r.id, total[r.key]))
     assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 1000
     assert states <= 2 * stateful.BUCKETS + 8  # a state and a timer for each bucket and day, not for each key
+
+
+def by_key(rows):
+    found = {}
+    for r in sorted(rows.collect(), key=lambda r: r.at):
+        found.setdefault(r.key, []).append(r)
+    return found
+
+
+def test_fusion_of_many_keys(spark):
+    from tidemark.streaming import stateful
+
+    rows = many_keys(spark).withColumns({"a": F.lit(40.0), "b": F.col("id") % 60 * 1.0})
+    got, states = states_of(spark, lambda e: stateful.fusion(e, 2, 1_500_000_000), rows)
+    want = []
+    for key, mine in by_key(rows).items():
+        for r in mine:
+            known = [((q.value - q.a) ** 2, (q.value - q.b) ** 2) for q in mine if q.at + 1_500_000_000 <= r.at and q.value is not None and q.b is not None][-2:]
+            x, y = (1 / max(sum(k[i] for k in known) / len(known), 1e-12) for i in (0, 1)) if known else (None, None)
+            weight = x / (x + y) if known else None
+            want.append((key, r.id, weight, weight * r.a + (1 - weight) * r.b if known and r.b is not None else None))
+    clean = lambda rows: sorted((tuple(None if v != v else v for v in r) for r in rows), key=str)
+    assert clean(got) == clean(want) and any(r[2] for r in want)
+    assert states <= stateful.BUCKETS
