@@ -136,3 +136,22 @@ def test_fusion_of_many_keys(spark):
     clean = lambda rows: sorted((tuple(None if v != v else v for v in r) for r in rows), key=str)
     assert clean(got) == clean(want) and any(r[2] for r in want)
     assert states <= stateful.BUCKETS
+
+
+def test_positions_of_many_keys(spark):
+    from tidemark.streaming import stateful
+
+    rows = many_keys(spark)
+    got, states = states_of(spark, lambda e: stateful.positions(e, 25.0, 0.5, 0.6), rows)
+    want = []
+    for key, mine in by_key(rows).items():
+        entry = peak = None
+        for r in mine:
+            stop = None if entry is None else max(0.5 * entry, 0.6 * peak)
+            if entry is not None and r.value is not None:
+                entry, peak = (None, None) if r.value <= stop else (entry, max(peak, r.value))
+            elif entry is None and r.value is not None and r.value > 25:
+                entry = peak = r.value
+            want.append((key, r.id, int(entry is not None), stop))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert states <= stateful.BUCKETS
