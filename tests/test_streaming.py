@@ -155,3 +155,14 @@ def test_positions_of_many_keys(spark):
             want.append((key, r.id, int(entry is not None), stop))
     assert sorted(got, key=str) == sorted(want, key=str)
     assert states <= stateful.BUCKETS
+
+
+def test_first_captures_of_many_keys(spark):
+    from tidemark.streaming import stateful
+
+    spread = 1_700_000_000_000_000 + (F.col("at") - 1_700_000_000_000_000) * 100  # rows of a key 28 hours apart
+    rows = many_keys(spark).withColumn("ts", F.timestamp_micros(spread))
+    got, states = states_of(spark, lambda e: stateful.first_captures(e, ["key"], "ts", "id"), rows.withColumn("at", spread))
+    assert sorted(r[0] or 0 for r in got) == sorted(r.key or 0 for r in rows.select("key").distinct().collect())
+    assert sorted((tuple(r[:2]) for r in got), key=str) == sorted(((mine[0].key, mine[0].id) for mine in by_key(rows).values()), key=str)
+    assert states <= 4 * stateful.BUCKETS + 8  # an entry and its timer, which Spark keeps by key and by time
