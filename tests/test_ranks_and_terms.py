@@ -77,3 +77,24 @@ def test_many_terms_in_one_pass(spark):
     assert df.limit(0).select(terms.term_hits(F.col("text"), ["a"])).count() == 0
     with pytest.raises(ValueError):
         terms.term_hits(F.col("text"), map(str, range(terms.MOST + 1)))
+
+
+def test_ranking_makes_its_rows_once(spark):
+    """What makes the rows runs once; places equal those of a sort, with ties, nulls and not-a-number."""
+    from tidemark.operators import stats
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    values = [None if i % 41 == 0 else float("nan") if i % 37 == 0 else float(i * 7919 % 601) for i in range(3000)]
+    rows = spark.createDataFrame([(i % 3, i, v) for i, v in enumerate(values)], "g int, k long, x double").mapInArrow(counted, "g int, k long, x double")
+    got = {r.k: (r.place, r.place_n) for r in stats.ranked(rows, ["g"], F.col("x"), ["k"], "place").collect()}
+    order = lambda i: (values[i] is not None, values[i] is not None and values[i] != values[i], values[i] if values[i] is not None and values[i] == values[i] else 0.0, i)
+    for g in range(3):
+        mine = sorted(range(g, 3000, 3), key=order)
+        assert [got[i] for i in mine] == [(p + 1, len(mine)) for p in range(len(mine))]
+    assert seen.value == 3000

@@ -105,8 +105,8 @@ def return_statistics(returns: DataFrame, by: list[str], r: str, periods: float)
 def ranked(rows: DataFrame, by: list[str], x: Column, order: list[str], out: str, parts: int = 200, slices: int = 64) -> DataFrame:
     """`rows` with their place (from 1) in their group by the numeric x, then `order`, and the group's size as `out`_n. Nulls of x come first; groups match by value, null with null.
 
-    A group is cut at approximate quantiles of x, and ties of a part into `slices` of equal width of the first of `order` where that is a number; the cuts are written once so that every task
-    sees the same. Places are counts of the parts and slices before plus the place within one, so no task gets a whole group.
+    A group is cut at approximate quantiles of x, and ties of a part into `slices` of equal width of the first of `order` where that is a number; rows and cuts are written once, so that every task
+    sees the same and what makes the rows runs once. A row finds its part by halving. Places are counts of the parts and slices before plus the place within one, so no task gets a whole group.
     """
     # The columns of `rows` travel as one struct, so none can clash with those of the ranking.
     taken = rows.select(*(F.col(c).alias(f"rank_g{i}") for i, c in enumerate(by)), *(F.col(c).alias(f"rank_k{i}") for i, c in enumerate(order)), x.alias("rank_x"), F.struct(*rows.columns).alias("rank_row"))
@@ -114,14 +114,15 @@ def ranked(rows: DataFrame, by: list[str], x: Column, order: list[str], out: str
     names = [f"rank_b{i}" for i in range(len(by))]
     number = isinstance(taken.schema[keys[0]].dataType, T.NumericType)
     tie = F.col(keys[0]).cast("double") if number else F.lit(0.0)
-    y = taken
-    cuts = y.groupBy(*groups).agg(F.percentile_approx("rank_x", [i / parts for i in range(1, parts)]).alias("rank_cuts"), F.min(tie).alias("rank_lo"), F.max(tie).alias("rank_hi"))
+    y = written(taken, "ranked")
+    quantiles = F.percentile_approx("rank_x", [i / parts for i in range(1, parts)])
+    cuts = y.groupBy(*groups).agg(F.array_distinct(F.coalesce(quantiles, F.array())).alias("rank_cuts"), F.min(tie).alias("rank_lo"), F.max(tie).alias("rank_hi"))
     cuts = written(cuts, "cuts").toDF(*names, "rank_cuts", "rank_lo", "rank_hi")
     same = lambda: reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(n)) for c, n in zip(groups, names)), F.lit(True))
-    part = F.when(F.col("rank_x").isNull(), -1).otherwise(F.size(F.filter(F.array_distinct(F.coalesce("rank_cuts", F.array())), lambda b: b < F.col("rank_x"))))
+    part = F.when(F.col("rank_x").isNull(), -1).otherwise(_below("rank_cuts", F.col("rank_x"), parts))
     slice_ = F.coalesce(F.floor((tie - F.col("rank_lo")) / (F.col("rank_hi") - F.col("rank_lo") + 1) * slices).cast("int"), F.lit(-1))
     # A part of several values is in order of x first; only parts of one value are sliced.
-    y = y.join(cuts, same()).withColumn("rank_part", part).withColumn("rank_tied", F.coalesce(F.exists("rank_cuts", lambda b: b == F.col("rank_x")), F.lit(False)))
+    y = y.join(cuts, same()).withColumn("rank_part", part).withColumn("rank_tied", F.coalesce(F.get("rank_cuts", F.col("rank_part")) == F.col("rank_x"), F.lit(False)))
     y = y.withColumn("rank_slice", F.when(F.col("rank_x").isNull() | F.col("rank_tied"), slice_).otherwise(-2)).drop(*names, "rank_cuts", "rank_lo", "rank_hi")
     at = ["rank_part", "rank_tied", "rank_slice"]
     sums = y.groupBy(*groups, *at).agg(F.count(F.lit(1)).alias("rank_c"))
@@ -134,6 +135,12 @@ def ranked(rows: DataFrame, by: list[str], x: Column, order: list[str], out: str
     return y.select("rank_row.*", (F.col("rank_o") + F.col("rank_i")).alias(out), F.col("rank_n").alias(out + "_n"))
 
 
+def _below(cuts: str, x: Column, most: int) -> Column:
+    """How many of at most `most` ascending `cuts` are less than x, in steps of halving width."""
+    steps = F.array(*(F.lit(1 << i) for i in range(most.bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < x, at + step).otherwise(at))
+
+
 def hash_number(text: Column) -> Column:
     """The first 52 bits of a hexadecimal hash as a number, which orders as the hash does up to ties."""
     return F.conv(F.substring(text, 1, 13), 16, 10).cast("long")
