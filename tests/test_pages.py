@@ -86,3 +86,23 @@ def test_queries_on_pages(spark):
     assert keys[0] == len(texts) and keys[1] == len({" ".join(html.unescape(t or "").casefold().split()) for t in texts})
     sharp = spark.createDataFrame([("STRAße &amp; É&#769;",), (None,)], "t string").select(pages.folded(F.col("t"))).collect()
     assert [r[0] for r in sharp] == ["strasse & é́", None]
+
+
+def test_models_get_texts_in_pieces(spark):
+    """A model never gets more than a piece of a batch, and every text once, long and null ones too."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import models
+
+    def make():
+        def model(texts):
+            if len(texts) > 1 and sum(map(len, texts)) > 1 << 18:
+                raise ValueError("too much text at once")
+            return [[[float(len(t)), 1.0]] for t in texts]
+
+        return model
+
+    docs = spark.range(60).select("id", F.when(F.col("id") % 7 > 0, F.expr("repeat('x', cast(id * id * 150 as int))")).alias("text"))
+    got = {r.id: r.vector for r in models.embed_batches(docs.coalesce(1), make, "id", "text").collect()}
+    sizes = {i: i * i * 150 if i % 7 else 0 for i in range(60)}
+    assert {i: round(v[0] / v[1]) for i, v in got.items()} == sizes

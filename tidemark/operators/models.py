@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import pieces
 from tidemark.operators.percentiles import exact_percentiles
 
 
@@ -29,6 +30,7 @@ def score_batches(docs: DataFrame, make: Callable[[], Callable[[list[str]], list
 
 def embed_batches(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[list[list[float]]]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, vector (array<double>): the mean of a text's part vectors, of length one. `make` builds the model once a task; it gives for each text a list of vectors, one for each part.
+    The model gets the texts of a batch in pieces of about 256 KB, as part vectors of a whole batch may be a hundred times its texts.
 
     Cases: a text without parts, or whose mean is zero, has a null vector; null texts reach the model as empty.
     """
@@ -38,12 +40,13 @@ def embed_batches(docs: DataFrame, make: Callable[[], Callable[[list[str]], list
 
         model = make()
         for b in batches:
-            out = []
-            for parts in model(b.column(1).to_pylist()) if b.num_rows else []:
-                mean = np.asarray(parts, float).mean(0) if len(parts) else np.zeros(1)
-                norm = float(np.sqrt(mean @ mean))
-                out.append((mean / norm).tolist() if norm > 0 else None)
-            yield pa.record_batch([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=["id", "vector"])
+            for piece in pieces(b, 1):
+                out = []
+                for parts in model(piece.column(1).to_pylist()):
+                    mean = np.asarray(parts, float).mean(0) if len(parts) else np.zeros(1)
+                    norm = float(np.sqrt(mean @ mean))
+                    out.append((mean / norm).tolist() if norm > 0 else None)
+                yield pa.record_batch([piece.column(0), pa.array(out, pa.list_(pa.float64()))], names=["id", "vector"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(of, f"id {docs.schema[id_col].dataType.simpleString()}, vector array<double>").withColumnRenamed("id", id_col)
