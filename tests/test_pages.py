@@ -106,3 +106,26 @@ def test_models_get_texts_in_pieces(spark):
     got = {r.id: r.vector for r in models.embed_batches(docs.coalesce(1), make, "id", "text").collect()}
     sizes = {i: i * i * 150 if i % 7 else 0 for i in range(60)}
     assert {i: round(v[0] / v[1]) for i, v in got.items()} == sizes
+
+
+def test_pages_of_a_batch_are_parsed_in_pieces(monkeypatch):
+    """What Python holds of a batch is a piece of it, not all its pages and paragraphs; nulls and one long page keep their places."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidemark.functions import pages
+
+    kept = []
+    monkeypatch.setattr(pages.F, "arrow_udf", lambda kind: lambda f: lambda column: kept.append(f))
+    pages.page(None)
+    texts = [None if i % 50 == 7 else f"<title>t{i}</title>" + f"<p>{'word ' * 40}{i}</p>" * (2000 if i == 3 else 40) for i in range(1000)]
+    batch = pa.array(texts, pa.string())
+    tracemalloc.start()
+    try:
+        found = kept[0](batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 << 20 < batch.nbytes
+    assert [r and (r["title"], len(r["paragraphs"])) for r in found.to_pylist()] == [None if t is None else (f"t{i}", 2000 if i == 3 else 40) for i, t in enumerate(texts)]
