@@ -74,3 +74,12 @@ def test_percentiles_equal_the_buffer(spark, accuracy):
     assert percentiles.exact_percentiles(df.limit(0), ["key"], "v", shares, accuracy).count() == 0
     with pytest.raises(ValueError):
         percentiles.exact_percentiles(df, ["key"], "v", {"x": 1.5})
+
+
+def test_tail_classifier_reads_bars_once(spark):
+    """What is read again for labels, moments and the fit are the bars as written, not all line items."""
+    from tests.conftest import DATA
+    from tidemark.plans import QUERIES
+
+    files = QUERIES["ml06_tail_classifier"](spark, f"{DATA}/sf0.001").inputFiles()
+    assert files and not any("lineitem" in f for f in files)

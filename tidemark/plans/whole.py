@@ -12,7 +12,7 @@ from tidemark.plans.market import OVER, W
 from tidemark.plans.registry import query, rounded
 from tidemark.plans.texts import TITLE
 from tidemark.plans.trials import DESIGN, RETURNS, design, run_returns
-from tidemark.sources.readers import table
+from tidemark.sources.readers import table, written
 
 SIGN = "CASE direction WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END"
 
@@ -292,6 +292,7 @@ def ml17_metadata_and_shifted(spark, d):
 def ml06_tail_classifier(spark, d):
     """The chance that a symbol's next day is among its worst tenth, by a logistic regression on what the day before showed; trained before day 9500. Tested against Newton's method."""
     x = bars_1d(spark, d).select("symbol", "day", (F.col("close") / F.col("open") - 1).alias("x1"), ((F.col("high") - F.col("low")) / F.col("open")).alias("x2"), (F.lead("close").over(W()) / F.col("close") - 1).alias("y"))
+    x = written(x, "tail")  # a row a symbol and day, which labels, moments and each step of the fit read again
     train = F.col("day") < 9500
     labelled = models.tail_labels(x, "symbol", "y", train)
     return models.tail_classifier(labelled, ["x1", "x2"], "tail", train).select("symbol", "day", F.col("tail").cast("int").alias("tail"), F.round("probability", 6).alias("probability"))
