@@ -62,6 +62,33 @@ def test_trade_draws_equal_a_loop(spark, block):
         assert abs(r.drawdown - fall) < 1e-9 and abs(r["mean"] - sum(path) / n) < 1e-9 and abs(r.profit_factor - wins / losses) < 1e-9
 
 
+@pytest.mark.parametrize("length, draws", [(7, 4), (64, 3), (1000, 5000)])
+def test_trade_draws_of_many_parts(spark, length, draws):
+    """Parts of a few picks, and two buckets of trades: falls within a part, over parts and below the peak of a part before."""
+    dice = random.Random(length)
+    x = [dice.choice([-40.0, 35.0]) * dice.random() for _ in range(500)]
+    n = len(x)
+    df = spark.createDataFrame(list(enumerate(x)), "k long, v double")
+    found = paths.trade_draws(df, "k", "v", draws, 9, 100.0, 16, length)
+    got = {r.draw: r for r in found.where("draw < 4").collect()}
+    assert len(got) == min(draws, 4)
+    for d, r in got.items():
+        value = peak = 100.0
+        fall = 0.0
+        for j in range(n):
+            value += x[int(hashlib.md5(f"9:{d * n + j}".encode()).hexdigest()[:12], 16) % n]
+            peak = max(peak, value)
+            fall = max(fall, (peak - value) / peak)
+        assert abs(r.drawdown - fall) < 1e-9
+
+
+def test_trade_draws_shuffle_arrays_and_no_picks(spark):
+    """A pick is no row of the plan: what is shuffled between drawing and looking up is a row for each part and bucket."""
+    df = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 7 - 3.0).alias("v"))
+    plan = paths.trade_draws(df, "k", "v", 10, 1, 100.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "Range (0, 10," in plan
+
+
 def test_bootstraps_of_nothing(spark):
     empty = spark.createDataFrame([], "k long, v double, c long")
     for found in (
