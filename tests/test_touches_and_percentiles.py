@@ -2,11 +2,14 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from tidemark.operators import percentiles, touches
+from tidemark.plans import QUERIES
 
 
 def touched(trade, bars):
@@ -83,3 +86,23 @@ def test_tail_classifier_reads_bars_once(spark):
 
     files = QUERIES["ml06_tail_classifier"](spark, f"{DATA}/sf0.001").inputFiles()
     assert files and not any("lineitem" in f for f in files)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trades_alike_are_asked_once(spark):
+    """3,000 trades of two lives: blocks are met by the lives, and each trade has its own answer."""
+    bars = spark.createDataFrame([("a", s, 10.0 + s, 9.0 + s) for s in range(40)], "key string, slot long, high double, low double")
+    trades = spark.range(3000).select(F.col("id").alias("trade"), F.lit("a").alias("key"), (F.col("id") % 2).alias("start"), F.lit(35).alias("end"))
+    found = touches.first_touch(trades, bars, "trade", "key", "slot", "start", "end", F.lit(None), F.lit(20.0), levels=1)
+    assert re.search(r"Aggregate \[k#\d+, a#\d+L, b#\d+L, floor#\d+, ceiling#\d+", plan_of(found))
+    assert sorted(map(tuple, found.select("trade", "slot", "below", "above").collect())) == [(i, 10, False, True) for i in range(3000)]
+
+
+@pytest.mark.parametrize("name", ["wn28_first_touch"])
+def test_bars_are_made_once(spark, name):
+    """Line items are read for the bars only, which are written; no order is sorted among its days."""
+    plan = plan_of(QUERIES[name](spark, f"{DATA}/sf0.001"))
+    assert "l_partkey" not in plan and "windowspecdefinition(o_orderkey" not in plan

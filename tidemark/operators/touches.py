@@ -1,7 +1,8 @@
 """First bar at which a level is touched, found by jumping.
 
 Bars are summed up in blocks of `fan`, `fan`^2, ... slots: highest high, lowest low, largest fall from a high to a later low. A life of any length is a few dozen whole blocks; the first that holds a
-touch is opened into its `fan` parts, down to a bar. So a trade costs a number of rows that grows with the logarithm of its life, and no row for each of its bars.
+touch is opened into its `fan` parts, down to a bar. So a trade costs a number of rows that grows with the logarithm of its life, and no row for each of its bars. Trades of one key with the same life and
+the same levels are asked once, so that many trades over few bars cost no more than the lives that differ.
 
 Cases: trades with a null id, key, start or end, or without a bar in their life, have no row; a null level is never touched; repeated trades (same id) count as one; slots are whole numbers, a slot that
 repeats within its key counts as one bar with the highest high and lowest low; bars without a high or low only miss that side; an empty side gives an empty result; other columns may have any name.
@@ -60,7 +61,9 @@ def first_touch(
     t = trades.select(
         F.col(trade).alias("id"), F.col(key).alias("k"), F.col(start).cast("long").alias("a"), F.col(end).cast("long").alias("b"), level(floor, "floor"), level(ceiling, "ceiling"), level(peak, "peak"), level(trail, "trail")
     )
-    t = t.where("id is not null and k is not null and a <= b").dropDuplicates(["id"])
+    t = written(t.where("id is not null and k is not null and a <= b"), "trades")
+    asked_once = ["k", "a", "b", "floor", "ceiling", "peak", "trail"]
+    lives = t.groupBy(*asked_once).agg(F.min("id").alias("id"))  # a life goes by the smallest id of its trades
     b = bars.where(F.col(key).isNotNull() & F.col(slot).isNotNull()).select(F.col(key).alias("k"), F.col(slot).cast("long").alias("s"), F.col("high").cast("double").alias("high"), F.col("low").cast("double").alias("low"))
     blocks = written(_blocks(b, fan, levels), "blocks")  # read once a level
     terms = ["floor", "ceiling", "trail"]
@@ -78,10 +81,12 @@ def first_touch(
         return x.groupBy("id").agg(best.alias("f")).select("id", "f.*")
 
     cover = F.explode(_cover(F.col("a"), F.col("b"), fan, levels)).alias("c")
-    found = first(t.select("id", "k", "peak", *terms, cover).select("id", "k", "peak", *terms, "c.level", "c.block"), "inner")
+    found = first(lives.select("id", "k", "peak", *terms, cover).select("id", "k", "peak", *terms, "c.level", "c.block"), "inner")
     for i in range(levels, 0, -1):
         # What is found lower down, or not at all, stays as it is.
         block = F.col("block")
         parts = F.when(F.col("level") == i, F.sequence(block * fan, block * fan + fan - 1)).otherwise(F.array(block))
         found = first(found.select("id", "k", "peak", *terms, F.when(F.col("level") == i, i - 1).otherwise(F.col("level")).alias("level"), F.explode(parts).alias("block")), "left")
-    return found.select(F.col("id").alias(trade), F.col("block").alias(slot), "below", "above", "peak")
+    answers = found.select("id", "block", "below", "above", F.col("peak").alias("highest")).join(lives, "id").select("block", "below", "above", "highest", *(F.col(c).alias(f"life_{c}") for c in asked_once))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"life_{c}")) for c in asked_once))
+    return t.join(answers, same).dropDuplicates(["id"]).select(F.col("id").alias(trade), F.col("block").alias(slot), "below", "above", F.col("highest").alias("peak"))

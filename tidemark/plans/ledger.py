@@ -9,6 +9,7 @@ from tidemark.operators import indicators as I
 from tidemark.operators import stats, timeline, touches
 from tidemark.plans.demo import SETTLEMENTS, TRADES, bars_1d, settlements, trades
 from tidemark.plans.registry import query, rounded
+from tidemark.sources.readers import written
 
 
 @query(f"""WITH {TRADES} SELECT symbol, reason, count(*) AS n, sum((net > 0)::INT)::BIGINT AS wins, round(avg((net > 0)::INT), 6) AS win_rate,
@@ -96,8 +97,9 @@ def wn29_trailing_stop(spark, d):
 SELECT o_orderkey, CASE WHEN s IS NULL AND p IS NULL THEN 'time' WHEN p IS NULL OR s <= p THEN 'stop' ELSE 'target' END AS touched, least(s, p) AS day FROM g""")
 def wn28_first_touch(spark, d):
     """Whether a trade's stop, its target or its time comes first, and on which bar, found by jumping over blocks of bars; a stop wins a tie."""
-    t = trades(spark, d).withColumn("from", F.col("entry") + 1)
-    g = touches.first_touch(t, bars_1d(spark, d), "o_orderkey", "symbol", "day", "from", "exit", F.col("entry_price") * 0.7, F.col("entry_price") * 1.5, levels=1)  # lives of three weeks
+    b = written(bars_1d(spark, d), "bars")  # a row a symbol and day
+    t = trades(spark, d, b).withColumn("from", F.col("entry") + 1)
+    g = touches.first_touch(t, b, "o_orderkey", "symbol", "day", "from", "exit", F.col("entry_price") * 0.7, F.col("entry_price") * 1.5, levels=1)  # lives of three weeks
     return g.select("o_orderkey", F.when(F.col("below"), "stop").when(F.col("above"), "target").otherwise("time").alias("touched"), "day")
 
 
