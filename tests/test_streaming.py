@@ -166,3 +166,42 @@ def test_first_captures_of_many_keys(spark):
     assert sorted(r[0] or 0 for r in got) == sorted(r.key or 0 for r in rows.select("key").distinct().collect())
     assert sorted((tuple(r[:2]) for r in got), key=str) == sorted(((mine[0].key, mine[0].id) for mine in by_key(rows).values()), key=str)
     assert states <= 4 * stateful.BUCKETS + 8  # an entry and its timer, which Spark keeps by key and by time
+
+
+def test_a_processor_gets_packed_rows(spark):
+    """What Spark hands to a processor as one tuple each is some packs of a bucket, with the same values."""
+    import numpy as np
+
+    from tidemark.streaming import stateful
+
+    rows = many_keys(spark, 20, 400)
+    packs = stateful._packed(stateful._dealt(rows, "value"), "value").collect()
+    assert len(packs) < rows.count() / 4
+    got = [tuple(r) for p in packs for r in zip(*(np.frombuffer(p[c], stateful.KINDS.get(c, "f8")).tolist() for c in (*stateful.KINDS, "value")))]
+    want = [tuple(r)[1:-1] + (float("nan") if r.value is None else r.value,) for r in stateful._dealt(rows, "value").collect()]
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in want)
+
+
+def test_fusion_of_values_whose_squares_no_double_holds(spark):
+    from tidemark.streaming import stateful
+
+    rows = spark.createDataFrame([(1, i, i * 10, 1e200 if i == 0 else 5.0, 4.0, 3.0) for i in range(8)], "key long, id long, at long, value double, a double, b double")
+    got, _ = states_of(spark, lambda e: stateful.fusion(e, 2, 10), rows)
+    found = {r[1]: r[2] for r in got}
+    assert len(got) == 8 and abs(found[7] - 0.8) < 1e-12  # errors of 1 and 4; the first row has left the window
+
+
+def test_a_larger_table_comes_in_more_files(spark, monkeypatch):
+    """A batch's files follow the table, so that none of the tasks that write and read them grows with it."""
+    import glob
+
+    from tidemark.plans import streams
+    from tidemark.streaming import stateful
+
+    folders = []
+    monkeypatch.setattr(streams, "shared_folder", lambda spark, name: folders.append(tempfile.mkdtemp(prefix=f"tidemark-{name}-")) or folders[-1])
+    monkeypatch.setattr(streams, "ROWS", 25)
+    n = spark.read.parquet(SRC).count()
+    got = streams.resumed(spark, f"{DATA}/sf0.001", lambda e: stateful.positions(streams.keyed(e, "value"), 25.0, 0.5, 0.6), "files")
+    assert got.count() == n
+    assert len(glob.glob(folders[0] + "/*.parquet")) == 8 * -(-n // 200)

@@ -4,6 +4,8 @@ Queries with states of their own get the rows as eight micro-batches and are sto
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query, rounded
@@ -119,20 +121,22 @@ def sm15_decisions(spark, d):
     return result(spark, rolling.decisions(events(spark, d), gates).select("event_id", "reasons", "decision"), "decisions")
 
 
-BATCHES, FILES = 8, 2
+#: Micro-batches, the fewest files of one, and rows of a file: a batch has the more files, the larger the table.
+BATCHES, FILES, ROWS = 8, 2, 250_000
 
 
 def resumed(spark, d, make, name, jitter=0):
     """What `make` gives of events that arrive in `BATCHES` micro-batches by time (moved by up to `jitter` seconds, so that rows come out of order), stopped after half of them and resumed from its checkpoint."""
     folder, out = shared_folder(spark, name + "-in"), shared_folder(spark, name)
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    files = max(FILES, math.ceil(e.count() / BATCHES / ROWS))
     moved = F.unix_micros("ts") + (F.col("event_id") * 7919 % (jitter + 1)) * 1_000_000
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKS)  # stateful processors need Spark's store of states on disk
     try:
         for half in (range(BATCHES // 2), range(BATCHES // 2, BATCHES)):
-            rolling.dealt(e, moved, BATCHES, FILES, folder, half)
-            found = rolling.written(make(rolling.arriving(spark, e.schema, folder, FILES)), out)
+            rolling.dealt(e, moved, BATCHES, files, folder, half)
+            found = rolling.written(make(rolling.arriving(spark, e.schema, folder, files)), out)
         return found
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

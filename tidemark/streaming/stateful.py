@@ -2,6 +2,7 @@
 
 Keys are dealt into a fixed number of buckets by hash, and a processor sees one bucket's rows of one micro-batch: it takes the states of the bucket's keys from one entry of Spark's store, puts the rows
 in order of key and time, goes on from each key's state, and writes the entry back. So a call to the store and a frame are paid for once a bucket and not once a key, however many keys there are.
+Spark hands a processor its rows as one Python tuple each; where no watermark is asked about single rows, they come packed: a tuple has all of the bucket that stood in one Arrow batch.
 State is checkpointed with the stream and bounded per key: a position, a window of errors, a day's sum that is let go when the watermark has passed the day. Rows that come after a later batch are
 taken when they come.
 
@@ -11,11 +12,11 @@ Cases: rows with a null key share one state; rows with a null value change nothi
 from __future__ import annotations
 
 import pickle
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -36,12 +37,43 @@ def _dealt(rows: DataFrame, *columns: str | Column) -> DataFrame:
     return rows.select(_bucket("key"), *whole, *columns)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], *values: str) -> Iterator[tuple]:
-    """(key or None, id or None, at, values) of a bucket by key, time and id."""
-    x = pd.concat(list(rows), ignore_index=True)
-    x = x.iloc[np.lexsort([x[c].to_numpy() for c in ("id", "no_id", "at", "key", "no_key")])]
-    keys, ids = ([None if n else v for v, n in zip(x[c].tolist(), x[f"no_{c}"].tolist())] for c in ("key", "id"))
-    return zip(keys, ids, x["at"].tolist(), *(x[v].tolist() for v in values))
+#: What a packed column holds; all others are doubles.
+KINDS = {"key": "i8", "no_key": "?", "id": "i8", "no_id": "?", "at": "i8"}
+
+
+def _packed(rows: DataFrame, *values: str) -> DataFrame:
+    """One row for each bucket of an Arrow batch of `_dealt` rows: its values column by column as bytes."""
+    kinds = KINDS | dict.fromkeys(values, "f8")
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bucket = batch.column("bucket").to_numpy()
+                order = np.argsort(bucket, kind="stable")
+                starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                ends = np.append(starts, len(order))
+                columns = [pa.array(bucket[order][starts])]
+                for name, kind in kinds.items():
+                    x = batch.column(name).to_numpy(zero_copy_only=False).astype(kind)[order]
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * x.itemsize).astype("i4")), pa.py_buffer(x.tobytes())]))
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", *kinds])
+
+    doubles = rows.withColumns({v: F.col(v).cast("double") for v in values})
+    return doubles.mapInArrow(packs, ", ".join(["bucket long", *(f"{k} binary" for k in kinds)]))
+
+
+def _by_key(rows: Iterator[pd.DataFrame], *values: str) -> dict[str, np.ndarray]:
+    """The columns of a bucket, packed or not, by key, time and id."""
+    frames = pd.concat(list(rows), ignore_index=True)
+    x = {c: frames[c].to_numpy() for c in (*KINDS, *values)}
+    x = {c: np.frombuffer(b"".join(v), KINDS.get(c, "f8")) if v.dtype == object else v for c, v in x.items()}
+    order = np.lexsort([x[c] for c in ("id", "no_id", "at", "key", "no_key")])
+    return {c: v[order] for c, v in x.items()}
+
+
+def _tuples(x: dict[str, np.ndarray], *columns: str) -> Iterator[tuple]:
+    """Rows of `columns`, key and id None where they are null."""
+    return zip(*([None if n else v for v, n in zip(x[c].tolist(), x[f"no_{c}"].tolist())] if c in ("key", "id") else x[c].tolist() for c in columns))
 
 
 class ByBucket(StatefulProcessor):
@@ -68,6 +100,12 @@ def _frame(rows: list[tuple], **types: str) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series(v, dtype=t) for (n, t), v in zip(types.items(), zip(*rows) if rows else [[]] * len(types))})
 
 
+def _named(x: dict[str, np.ndarray], found: pd.DataFrame) -> pd.DataFrame:
+    """`found` with key and id of the rows before it."""
+    names = {c: pd.Series(pd.arrays.IntegerArray(x[c], x[f"no_{c}"])) for c in ("key", "id")}
+    return pd.DataFrame(names | dict(found.items()))
+
+
 class Positions(ByBucket):
     """Long from a value above `enter` until it falls to the trailing stop, which the values seen before set."""
 
@@ -75,8 +113,8 @@ class Positions(ByBucket):
         self.enter, self.floor, self.trail = enter, floor, trail
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held, out = self.kept(), []
-        for k, id_, _, value in _in_order(rows, "value"):
+        held, out, x = self.kept(), [], _by_key(rows, "value")
+        for k, value in _tuples(x, "key", "value"):
             entry, peak = held.get(k, (None, None))
             stop = None if entry is None else max(self.floor * entry, self.trail * peak)
             if entry is not None and value == value:
@@ -88,43 +126,62 @@ class Positions(ByBucket):
             elif entry is None and value == value and value > self.enter:
                 entry = value
                 held[k] = value, value
-            out.append((k, id_, int(entry is not None), stop))
+            out.append((int(entry is not None), stop))
         self.keep(held)
-        yield _frame(out, key="Int64", id="Int64", held="int32", stop="float64")
+        yield _named(x, _frame(out, held="int32", stop="float64"))
 
 
 class Fusion(ByBucket):
-    """Two forecasts weighted by the inverse of their mean squared errors over the last `window` rows whose outcome was known by now."""
+    """Two forecasts weighted by the inverse of their mean squared errors over the last `window` rows whose outcome was known by now.
+
+    A key has a queue of errors in the order in which its rows came: those that are known in front (their time is KNOWN), then those that are not due yet; one becomes known when it and all before it are due.
+    The state has the queues of a bucket's keys one after another, and all rows of a batch are looked up in them at once.
+    """
+
+    QUEUE = {"key": "i8", "no_key": "?", "at": "i8", "x": "f8", "y": "f8"}
+    KNOWN = np.iinfo("i8").min
 
     def __init__(self, window: int, horizon: int):
         self.window, self.horizon = window, horizon
 
-    @staticmethod
-    def _weight(known: deque) -> float:
-        """The weight of the first forecast; formed anew only when the window has changed."""
-        x, y = (1 / max(sum(k[i] for k in known) / len(known), 1e-12) for i in (0, 1))
-        return x / (x + y)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        kept, out = self.kept(), []
-        last, weight = object(), None
-        for k, id_, at, value, a, b in _in_order(rows, "value", "a", "b"):
-            if k != last:
-                last = k
-                pending, known = kept.setdefault(k, (deque(), deque(maxlen=self.window)))  # pending ones in order of time, so what is due stands in front
-                weight = self._weight(known) if known else None
-            new = False
-            while pending and pending[0][0] + self.horizon <= at:
-                known.append(pending.popleft()[1:])
-                new = True
-            if new:
-                weight = self._weight(known)
-            fused = None if weight is None else weight * a + (1 - weight) * b
-            out.append((k, id_, weight, fused))
-            if value == value and a == a and b == b:
-                pending.append((at, (value - a) ** 2, (value - b) ** 2))
-        self.keep({k: v for k, v in kept.items() if v[0] or v[1]})
-        yield _frame(out, key="Int64", id="Int64", weight="float64", fused="float64")
+        new, kept = _by_key(rows, "value", "a", "b"), self.kept() or {c: np.empty(0, t) for c, t in self.QUEUE.items()}
+        with np.errstate(over="ignore", invalid="ignore"):
+            new |= {"x": (new["value"] - new["a"]) ** 2, "y": (new["value"] - new["b"]) ** 2}
+        counts = ~np.isnan(np.stack([new[c] for c in ("value", "a", "b")])).any(axis=0)
+        # kept errors and new rows by key, in order within it; `code` numbers the keys
+        both = {c: np.concatenate([kept[c], new[c]]) for c in self.QUEUE}
+        order = np.lexsort([both["key"], both["no_key"]])
+        both = {c: v[order] for c, v in both.items()}
+        other = (both["key"][1:] != both["key"][:-1]) | (both["no_key"][1:] != both["no_key"][:-1])
+        code = np.concatenate([[0], np.cumsum(other)])
+        queued, asks = np.concatenate([np.ones(len(kept["at"]), "?"), counts])[order], order >= len(kept["at"])
+        queue = {c: v[queued] for c, v in both.items()}
+        place, ahead = code[queued], (np.cumsum(queued) - queued)[asks]  # of a row: the errors that stand in the queues before it
+        start = np.searchsorted(place, np.arange(code[-1] + 1))
+        # when an error and all before it are due, as a rank, so that one search finds a row's place in its key's queue
+        times, rank = np.unique(queue["at"], return_inverse=True)
+        due = np.maximum.accumulate(place * (len(times) + 1) + rank)
+        seen = np.searchsorted(times, both["at"][asks] - self.horizon, side="right")
+        end = np.minimum(np.searchsorted(due, code[asks] * (len(times) + 1) + seen), ahead)
+        first = start[code[asks]]
+        x, y = np.zeros(len(end)), np.zeros(len(end))
+        for back in range(self.window, 0, -1):
+            i = np.flatnonzero(end - back >= first)
+            x[i] += queue["x"][end[i] - back]
+            y[i] += queue["y"][end[i] - back]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            n = np.minimum(end - first, self.window)
+            x, y = (1 / np.maximum(v / n, 1e-12) for v in (x, y))
+            weight = np.where(n > 0, x / (x + y), np.nan)
+            fused = weight * new["a"] + (1 - weight) * new["b"]
+        known = start + np.bincount(place[queue["at"] == self.KNOWN], minlength=len(start))
+        known[code[asks]] = end  # the last row of a key counts
+        i, known = np.arange(len(place)), known[place]
+        queue["at"] = np.where(i < known, self.KNOWN, queue["at"])
+        stays = i >= known - self.window
+        self.keep({c: v[stays] for c, v in queue.items()} if stays.any() else {})
+        yield _named(new, pd.DataFrame({"weight": weight, "fused": fused}))
 
 
 class RunningLoss(ByBucket):
@@ -135,7 +192,7 @@ class RunningLoss(ByBucket):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         kept, out = self.kept(), []
-        for k, id_, _, value in _in_order(rows, "value"):
+        for k, id_, value in _tuples(_by_key(rows, "value"), "key", "id", "value"):
             total, told = kept.get(k, (0.0, False))
             total += value if value == value else 0.0
             if not told and total < -self.limit:
@@ -154,12 +211,12 @@ class RunningLoss(ByBucket):
 
 def positions(rows: DataFrame, enter: float, floor: float, trail: float) -> DataFrame:
     """key, id, held, stop (before the row) for each row of a stream (key, id, at, value)."""
-    return _dealt(rows, "value").groupBy("bucket").transformWithStateInPandas(Positions(enter, floor, trail), "key long, id long, held int, stop double", "Append", "None")
+    return _packed(_dealt(rows, "value"), "value").groupBy("bucket").transformWithStateInPandas(Positions(enter, floor, trail), "key long, id long, held int, stop double", "Append", "None")
 
 
 def fusion(rows: DataFrame, window: int, horizon: int) -> DataFrame:
     """key, id, weight (of a), fused for each row of a stream (key, id, at, value, a, b)."""
-    return _dealt(rows, "value", "a", "b").groupBy("bucket").transformWithStateInPandas(Fusion(window, horizon), "key long, id long, weight double, fused double", "Append", "None")
+    return _packed(_dealt(rows, "value", "a", "b"), "value", "a", "b").groupBy("bucket").transformWithStateInPandas(Fusion(window, horizon), "key long, id long, weight double, fused double", "Append", "None")
 
 
 def running_losses(rows: DataFrame, time: str, limit: float, late: str = "1 hour") -> DataFrame:
