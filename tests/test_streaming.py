@@ -205,3 +205,30 @@ def test_a_larger_table_comes_in_more_files(spark, monkeypatch):
     got = streams.resumed(spark, f"{DATA}/sf0.001", lambda e: stateful.positions(streams.keyed(e, "value"), 25.0, 0.5, 0.6), "files")
     assert got.count() == n
     assert len(glob.glob(folders[0] + "/*.parquet")) == 8 * -(-n // 200)
+
+
+def test_state_has_no_more_parts_than_cores_or_files(spark, monkeypatch):
+    """A wide shuffle of the session is none of the store's: each of its parts costs a worker and a commit in every micro-batch."""
+    import glob
+
+    from tidemark.plans import streams
+    from tidemark.streaming import stateful
+
+    folders = []
+    monkeypatch.setattr(streams, "shared_folder", lambda spark, name: folders.append(tempfile.mkdtemp(prefix=f"tidemark-{name}-")) or folders[-1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")}
+    n = spark.read.parquet(SRC).count()
+    positions = lambda e: stateful.positions(streams.keyed(e, "value"), 25.0, 0.5, 0.6)
+    captures = lambda e: stateful.first_captures(e, ["user_id"], "ts", "event_id")
+    try:
+        for parts, rows, make, want in ((40, streams.ROWS, captures, 8), (40, -(-n // 96), positions, 12), (3, streams.ROWS, positions, 3)):
+            monkeypatch.setattr(streams, "ROWS", rows)
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got = streams.resumed(spark, f"{DATA}/sf0.001", make, "parts", 3000 if make is captures else 0)
+            assert got.count() == n if make is positions else got.count() > 0
+            assert len(glob.glob(folders[-1] + "/state/state/0/[0-9]*")) == want
+            assert spark.conf.get("spark.sql.shuffle.partitions") == str(parts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {k: spark.conf.get(k) for k in before} == before

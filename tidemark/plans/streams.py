@@ -125,21 +125,33 @@ def sm15_decisions(spark, d):
 BATCHES, FILES, ROWS = 8, 2, 250_000
 
 
+def stores(spark, files):
+    """Parts of a stream's state for micro-batches of `files` files: as many as there are cores or files, but no more than buckets of keys, nor than the session's parts of a shuffle.
+
+    Each part has a store that is opened and committed, and a Python worker that starts, in every micro-batch, also where hardly a row comes to it.
+    """
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), stateful.BUCKETS, max(spark.sparkContext.defaultParallelism, files))
+
+
 def resumed(spark, d, make, name, jitter=0):
     """What `make` gives of events that arrive in `BATCHES` micro-batches by time (moved by up to `jitter` seconds, so that rows come out of order), stopped after half of them and resumed from its checkpoint."""
     folder, out = shared_folder(spark, name + "-in"), shared_folder(spark, name)
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     files = max(FILES, math.ceil(e.count() / BATCHES / ROWS))
     moved = F.unix_micros("ts") + (F.col("event_id") * 7919 % (jitter + 1)) * 1_000_000
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKS)  # stateful processors need Spark's store of states on disk
+    # stateful processors need Spark's store of states on disk
+    held = {"spark.sql.streaming.stateStore.providerClass": stateful.ROCKS, "spark.sql.shuffle.partitions": str(stores(spark, files))}
+    before = {k: spark.conf.get(k) for k in held}
     try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
         for half in (range(BATCHES // 2), range(BATCHES // 2, BATCHES)):
             rolling.dealt(e, moved, BATCHES, files, folder, half)
             found = rolling.written(make(rolling.arriving(spark, e.schema, folder, files)), out)
         return found
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def keyed(e, *more):
